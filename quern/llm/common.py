@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Sub-batches handed to numpy kernels hold about this many bytes of text (one longer text makes its own).
 SLICE_BYTES = 4 << 20
@@ -45,6 +46,11 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(c.cast("string")) % 5 == 0, F.lit(True))
 
 
+def widened(schema: StructType, ddl: str) -> StructType:
+    """schema with the fields of a DDL string after its own."""
+    return StructType(schema.fields + StructType.fromDDL(ddl).fields)
+
+
 def text_slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column with about ``limit`` bytes each."""
     n = len(col)
