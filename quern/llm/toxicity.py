@@ -163,6 +163,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     return w
 
 
+def variants(word: bytes) -> list[bytes]:
+    """Edited forms of a word, by rule: one inserted letter at each inner place, one dropped letter."""
+    out = []
+    for i in range(1, len(word)):
+        out.append(word[:i] + b"xqzjk"[i % 5 : i % 5 + 1] + word[i:])
+    return out + [word[: len(word) // 2] + word[len(word) // 2 + 1 :]]
+
+
 def train(rows: list[tuple[bytes, int]]) -> Model:
     """Fit on (UTF-8 text, label) rows."""
     ys = np.array([y for _, y in rows], np.int64)
@@ -207,7 +215,9 @@ def train(rows: list[tuple[bytes, int]]) -> Model:
             for bag, y in zip(bags, ys.tolist()):
                 if y:
                     good += [w for w in sorted(bag, key=lambda w: (-f[w], w))[:3] if f[w] > 0.3 and not clean[w]]
-        good = list(dict.fromkeys(good))[:2000]
+        # virtual examples: edited forms of the surest words, which sentences to come may hold
+        sure = [w for w in positive if odds[w] >= 0.6 * odds[positive[0]]]
+        good = list(dict.fromkeys(good + [v for w in sure for v in variants(w) if not clean[v]]))[:3000]
         seen = set(good)
         bad = sorted((w for w in clean if w not in seen), key=lambda w: (-f[w], w))
         bad = bad[:2500] + bad[2500 :: max(1, len(bad) // 1500)][:1500]
