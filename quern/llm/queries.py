@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pieces, simhash, substrings, toxicity
+from . import decontaminate, licenses, lm, media, pages, pieces, quality, simhash, substrings, toxicity
 from .common import held_out, table
 
 
@@ -22,6 +22,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.col("removed_bytes") > 0).alias("repeated"), "removed_bytes", sources.alias("first_doc_ids"), "spans", "text")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents")).drop("th")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("th")
@@ -33,12 +41,28 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents")).select("doc_id", "n_pieces", "piece_ids", "round_trip")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.read_media(media.to_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    clip = F.transform("clips", lambda c: F.concat_ws("-", c["first_frame"], c["last_frame"], c["start_ms"], c["end_ms"], c["level"].cast("string")))
+    return read.withColumn("feature", F.concat_ws(";", clip)).drop("clips")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_simhash, op5_decontamination, op6_toxicity, op8_pieces)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_simhash, op4_license_scan, op5_decontamination, op6_toxicity, op7_html_text, op8_pieces, op9_quality, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
