@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Modules of quern.plans whose import registers queries.
+PLANS = ("retrieval",)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -20,3 +24,7 @@ def query(sql: str | None = None) -> Callable:
         return f
 
     return wrap
+
+
+for _plan in PLANS:
+    import_module(f"quern.plans.{_plan}")
