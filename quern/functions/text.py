@@ -17,6 +17,11 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c: str | Column) -> Column:
+    """White space of any kind trimmed."""
+    return F.regexp_replace(_col(c), r"^\s+|\s+\z", "")
+
+
 def squeeze(c: str | Column) -> Column:
     """White space to single blanks, trimmed."""
     return F.trim(F.regexp_replace(_col(c), r"\s+", " "))
@@ -254,12 +259,12 @@ def rational(c):
 
 def xml_field(c: str | Column, name: str) -> Column:
     """Trimmed content of the first <name> element, null without one."""
-    return F.trim(found(F.regexp_extract(_col(c), rf"(?s)<{name}>(.*?)</{name}>", 1)))
+    return strip(found(F.regexp_extract(_col(c), rf"(?s)<{name}>(.*?)</{name}>", 1)))
 
 
 def code_fence(c: str | Column) -> Column:
     """Content of the first code fence, else the trimmed text."""
-    return F.coalesce(F.trim(found(F.regexp_extract(_col(c), r"(?s)```(?:\w+)?\n(.*?)```", 1))), F.trim(_col(c)))
+    return F.coalesce(strip(found(F.regexp_extract(_col(c), r"(?s)```(?:\w+)?\n(.*?)```", 1))), strip(c))
 
 
 def json_slice(c: str | Column) -> Column:
