@@ -171,6 +171,12 @@ def variants(word: bytes) -> list[bytes]:
     return out + [word[: len(word) // 2] + word[len(word) // 2 + 1 :]]
 
 
+def projected(words: list[bytes], project: np.ndarray, step: int = 400) -> np.ndarray:
+    """Nystroem coordinates of words, a few dense feature rows at a time."""
+    out = [features(words[lo : lo + step]) @ project.T for lo in range(0, len(words), step)]
+    return np.concatenate(out).astype(np.float64)
+
+
 def train(rows: list[tuple[bytes, int]]) -> Model:
     """Fit on (UTF-8 text, label) rows."""
     ys = np.array([y for _, y in rows], np.int64)
@@ -178,59 +184,61 @@ def train(rows: list[tuple[bytes, int]]) -> Model:
     flat = Model(np.zeros(DIM, np.float32), -1.0, np.array([np.log((base + 1e-3) / (1 - base + 1e-3)), 0, 0, 0, 0, 0]))
     if len(set(ys.tolist())) < 2:
         return flat
-    bags = [[b"", *sorted({w for s in re.split(rb"[.!?\n]+", raw) for w in folded_words(s)})] for raw, _ in rows]
-    toxic, clean = Counter(), Counter()
-    for bag, y in zip(bags, ys.tolist()):
-        (toxic if y else clean).update(bag)
+    # bags of word ids: the words of the sentences of each text
+    vocab: dict[bytes, int] = {}
+    bags = []
+    for raw, _ in rows:
+        own = {w for s in re.split(rb"[.!?\n]+", raw) for w in folded_words(s)}
+        bags.append(np.array(sorted(vocab.setdefault(w, len(vocab)) for w in own), np.int32))
+    words = list(vocab)
     nt, nc = int(ys.sum()), int((1 - ys).sum())
-    odds = {}
-    for w, a in toxic.items():
-        if w and a >= 2:
-            p, q = (a + 0.5) / (nt + 1), (clean[w] + 0.5) / (nc + 1)
-            z = (p - q) / np.sqrt(q * (1 - q) / nt + p * (1 - p) / nt)
-            if z > 3 and p > 4 * q and len(w) > 3:
-                odds[w] = z
-    telling = sorted(odds, key=lambda w: (-odds[w], w))
-    positive = telling[:POSITIVE_LANDMARKS]
-    if not positive:
+    every = lambda y: np.concatenate([np.zeros(0, np.int32), *(b for b, v in zip(bags, ys.tolist()) if v == y)])
+    toxic, clean = (np.bincount(every(y), minlength=len(words)) for y in (1, 0))
+    p, q = (toxic + 0.5) / (nt + 1), (clean + 0.5) / (nc + 1)
+    z = (p - q) / np.sqrt(q * (1 - q) / nt + p * (1 - p) / nt)
+    long = np.fromiter((len(w) > 3 for w in words), bool, len(words))
+    telling = np.flatnonzero((toxic >= 2) & (z > 3) & (p > 4 * q) & long)
+    telling = sorted(telling.tolist(), key=lambda i: (-z[i], words[i]))
+    if not telling:
         return flat
-    pool = sorted(w for w in clean if w and w not in positive)
-    near = kernel_sums(pool, features(positive).max(axis=0))
+    positive = telling[:POSITIVE_LANDMARKS]
+    mark = features([words[i] for i in positive])
+    pool = sorted(set(np.flatnonzero(clean).tolist()) - set(positive), key=lambda i: words[i])
+    near = kernel_sums([words[i] for i in pool], mark.max(axis=0))
     order = np.argsort(-near, kind="stable")
     half = NEGATIVE_LANDMARKS // 2
-    step = max(1, len(pool) // half)
-    negative = list(dict.fromkeys([pool[i] for i in order[:half]] + pool[::step][:half]))
-    landmarks = positive + negative
-    z = features(landmarks)
-    values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
-    values = np.maximum(values, 1e-4)
-    whiten = (vectors / np.sqrt(values)) @ vectors.T
-    project = (whiten @ z).astype(np.float32)  # K(x, Z) K_ZZ^-1/2 = phi(x) project^T
-    tensor, bias = features(positive).mean(axis=0), -0.5
+    negative = list(dict.fromkeys([pool[i] for i in order[:half]] + pool[:: max(1, len(pool) // half)][:half]))
+    phi = np.concatenate([mark, features([words[i] for i in negative])])
+    values, vectors = np.linalg.eigh((phi @ phi.T).astype(np.float64))
+    whiten = (vectors / np.sqrt(np.maximum(values, 1e-4))) @ vectors.T
+    project = (whiten @ phi).astype(np.float32)  # K(x, Z) K_ZZ^-1/2 = phi(x) project^T
+    del phi
+    # virtual examples: edited forms of the surest words, which sentences to come may hold
+    sure = [words[i] for i in positive if z[i] >= 0.6 * z[positive[0]]]
+    edited = [v for w in sure for v in variants(w) if v not in vocab or not clean[vocab[v]]]
+    tensor, bias = mark.mean(axis=0), -0.5
+    f = kernel_sums(words, tensor) + np.float32(bias)
     for turn in range(3):
-        words = sorted({w for bag in bags for w in bag})
-        f = dict(zip(words, (kernel_sums(words, tensor) + bias).tolist()))
         good = list(telling)
         if turn:  # witnesses: strongest words of toxic documents that clean ones don't use
             for bag, y in zip(bags, ys.tolist()):
-                if y:
-                    good += [w for w in sorted(bag, key=lambda w: (-f[w], w))[:3] if f[w] > 0.3 and not clean[w]]
-        # virtual examples: edited forms of the surest words, which sentences to come may hold
-        sure = [w for w in positive if odds[w] >= 0.6 * odds[positive[0]]]
-        good = list(dict.fromkeys(good + [v for w in sure for v in variants(w) if not clean[v]]))[:3000]
-        seen = set(good)
-        bad = sorted((w for w in clean if w not in seen), key=lambda w: (-f[w], w))
+                if y and len(bag):
+                    best = bag[np.argsort(-f[bag], kind="stable")[:3]].tolist()
+                    good += [i for i in best if f[i] > 0.3 and not clean[i]]
+        good = list(dict.fromkeys(good))
+        own = list(dict.fromkeys([words[i] for i in good] + edited))[:3000]
+        bad = np.setdiff1d(np.flatnonzero(clean), good)
+        bad = bad[np.argsort(-f[bad], kind="stable")].tolist()
         bad = bad[:2500] + bad[2500 :: max(1, len(bad) // 1500)][:1500]
-        x = np.concatenate([features(good), features(bad)]) @ project.T
-        y = np.concatenate([np.ones(len(good)), -np.ones(len(bad))])
-        w, bias = _svm(x.astype(np.float64), y)
+        x = projected(own + [words[i] for i in bad], project)
+        y = np.concatenate([np.ones(len(own)), -np.ones(len(bad))])
+        w, bias = _svm(x, y)
         tensor = (w @ project).astype(np.float32)
-    words = sorted({w for bag in bags for w in bag})
-    f = dict(zip(words, (kernel_sums(words, tensor) + bias).tolist()))
+        f = kernel_sums(words, tensor) + np.float32(bias)
     x = []
     for bag in bags:
-        own = [f[w] for w in bag if w] or [float(bias)]
-        x.append(document_features(max(own), sum(v >= SURE for v in own), len(own)))
+        v = f[bag] if len(bag) else np.array([bias])
+        x.append(document_features(float(v.max()), int((v >= SURE).sum()), len(v)))
     return Model(tensor, float(bias), _logistic(np.array(x), ys.astype(float)))
 
 
