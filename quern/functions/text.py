@@ -22,6 +22,11 @@ def strip(c: str | Column) -> Column:
     return F.regexp_replace(_col(c), r"^\s+|\s+\z", "")
 
 
+def let(c: Column, body) -> Column:
+    """body(c) with c computed once, where body uses it many times: keeps generated code small."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def squeeze(c: str | Column) -> Column:
     """White space to single blanks, trimmed."""
     return F.trim(F.regexp_replace(_col(c), r"\s+", " "))
@@ -192,10 +197,16 @@ def normalize_answer(c: str | Column) -> Column:
     for frac in (r"\dfrac", r"\tfrac"):
         a = F.replace(a, F.lit(frac), F.lit(r"\frac"))
     a = F.translate(a, ",$%", "")
-    a = F.coalesce(found(F.regexp_extract(a, r"^(-?\d+\.?\d*)\s+[a-zA-Z]", 1)), a)
-    v = F.trim(a).try_cast("double")
-    whole = (v == F.floor(v)) & (F.abs(v) < 1e15)
-    return F.when(whole, v.cast("long").cast("string")).when(v.isNotNull(), v.cast("string")).otherwise(F.trim(F.lower(a)))
+    bare = lambda a: F.coalesce(found(F.regexp_extract(a, r"^(-?\d+\.?\d*)\s+[a-zA-Z]", 1)), a)
+
+    def form(a: Column) -> Column:
+        def number(v: Column) -> Column:
+            whole = (v == F.floor(v)) & (F.abs(v) < 1e15)
+            return F.when(whole, v.cast("long").cast("string")).when(v.isNotNull(), v.cast("string")).otherwise(F.trim(F.lower(a)))
+
+        return let(F.trim(a).try_cast("double"), number)
+
+    return let(let(a, bare), form)
 
 
 def option_label(c: str | Column) -> Column:

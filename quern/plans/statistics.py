@@ -213,7 +213,7 @@ def weighted_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = p.select("round", F.sum("p").over(Window.partitionBy(F.lit(0)).orderBy("round").rowsBetween(Window.unboundedPreceding, 0)).alias("hi"))
     u = F.conv(F.substring(F.sha2(F.concat(F.lit("draw"), F.col("id").cast("string")), 256), 1, 8), 16, 10).cast("double") / 4294967296.0
     draws = spark.range(50).select(F.col("id").alias("draw"), u.alias("u"))
-    return draws.join(F.broadcast(c), F.col("hi") > F.col("u")).groupBy("draw").agg(F.min("round").alias("round"))
+    return draws.join(c, F.col("hi") > F.col("u")).groupBy("draw").agg(F.min("round").alias("round"))
 
 
 def softmax_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
