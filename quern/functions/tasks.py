@@ -226,3 +226,67 @@ SCORERS = {
     "normalized": lambda p, r: (N.normalize_answer(p) == N.normalize_answer(r)).cast("double"),
     "math": lambda p, r: F.coalesce(verdict(p, r).cast("double"), F.lit(0.0)),
 }
+
+
+ANSWER_MARKER = r"(?i)(?:\b(?:the )?(?:final )?answer\s*(?:is|:)\s*|\b(?:therefore|hence|thus)\b[, :]*)([^\n]+)"
+
+
+def visible_answer(text: str | Column, finish: str | Column) -> tuple[Column, Column]:
+    """(answer, source) of what a response shows: nothing of cut-off responses, open hidden blocks or open boxes; else the
+    last marked answer or the last box, whichever comes later, else the last line. No reference takes part."""
+    raw = _col(text)
+    t = F.regexp_replace(raw, r"(?is)<think>.*?</think>", "")
+    hidden = t.rlike(r"(?i)<think>")
+    boxes = F.regexp_extract_all(t, F.lit(N.NESTED_BOXED), 1)
+    open_box = t.rlike(r"\\boxed\s*\{") & (F.size(boxes) == 0)
+    marked = F.regexp_extract_all(t, F.lit(ANSWER_MARKER), 1)
+    unread = (_col(finish) == "length") | hidden | (F.trim(t) == "") | open_box
+    after = F.regexp_extract(t, r"(?s).*(\\boxed\{.*)", 1).rlike(ANSWER_MARKER)  # a marker follows the last box
+    use_mark = (F.size(marked) > 0) & ((F.size(boxes) == 0) | after)
+    said = F.regexp_replace(F.trim(F.element_at(marked, -1)), r"^\$(.*)\$\.?\z", "$1")
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    answer = F.when(unread, None).when(use_mark, said).when(F.size(boxes) > 0, F.trim(F.try_element_at(boxes, F.lit(-1)))).otherwise(F.try_element_at(lines, F.lit(-1)))
+    source = F.when(unread, "incomplete").when(use_mark, "marker").when(F.size(boxes) > 0, "box").otherwise("last_line")
+    return answer, source
+
+
+def answer_spec(question: str | Column) -> Column:
+    """The kind of answer a question asks for, first rule first."""
+    q = F.lower(_col(question))
+    rules = {"choice": r"\(a\).*\(b\)|which of the following", "base_numeral": r"in base|base \d+", "percent": r"percent|%", "fraction": r"common fraction|fraction", "interval": r"interval notation", "set": r"all (?:real |integer )?(?:values|solutions)", "expression": r"express.*in terms of|simplify", "integer": r"how many|integer", "decimal": r"nearest|decimal"}
+    return F.coalesce(*[F.when(q.rlike(p), F.lit(k)) for k, p in rules.items()], F.lit("number"))
+
+
+def candidate_events(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, position, candidate, occurrences): boxed and marked candidate answers of a reasoning text in order, with the number of
+    times the same comparable form occurs."""
+    from pyspark.sql import Window
+
+    found = F.regexp_extract_all(_col(text), F.lit(r"\\boxed\{([^{}]+)\}|(?i:(?:answer|result) (?:is|would be|=|:) ?)([^\n.;]+)"), 0)
+    x = rows.select(key, F.posexplode(found).alias("position", "_m"))
+    bare = F.coalesce(N.found(F.regexp_extract("_m", r"\\boxed\{([^{}]+)\}", 1)), F.regexp_replace("_m", r"(?i)^(?:answer|result) (?:is|would be|=|:) ?", ""))
+    x = x.select(key, "position", N.normalize_answer(bare).alias("candidate"))
+    return x.withColumn("occurrences", F.count(F.lit(1)).over(Window.partitionBy(key, "candidate")))
+
+
+@pandas_udf(StringType())
+def top_level_parts(c):
+    """Parts between commas outside all brackets, as a JSON list; null where brackets don't balance."""
+    pairs = {")": "(", "]": "[", "}": "{"}
+
+    def split(t):
+        if t is None:
+            return None
+        stack, out, last = [], [], 0
+        for i, ch in enumerate(t):
+            if ch in "([{":
+                stack.append(ch)
+            elif ch in pairs:
+                if not stack or stack.pop() != pairs[ch]:
+                    return None
+            elif ch == "," and not stack:
+                out.append(t[last:i].strip())
+                last = i + 1
+        return None if stack else json.dumps([*out, t[last:].strip()], ensure_ascii=False)
+
+    return c.map(split)

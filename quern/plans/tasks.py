@@ -230,3 +230,74 @@ def first_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first user turn of each conversation (min_by: no sort)."""
     c = load(spark, sf_dir, "conversations").filter("role = 'user'")
     return c.groupBy("conv_id").agg(F.min_by(F.struct("turn", "text"), "turn").alias("f")).select("conv_id", "f.turn", "f.text")
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN p_size::VARCHAR WHEN 2 THEN (p_size + 1)::VARCHAR WHEN 3 THEN 'line ' || p_size WHEN 4 THEN NULL ELSE '7' END AS answer,
+  CASE p_partkey % 6 WHEN 0 THEN 'incomplete' WHEN 1 THEN 'box' WHEN 2 THEN 'marker' WHEN 3 THEN 'last_line' WHEN 4 THEN 'incomplete' ELSE 'marker' END AS source FROM part
+""")
+def visible_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that responses show, with where they were found."""
+    k = F.expr("p_partkey % 6")
+    s, more = F.col("p_size").cast("string"), (F.col("p_size") + 1).cast("string")
+    lit = F.lit
+    text = (
+        F.when(k == 0, F.concat(lit("The answer is "), s))
+        .when(k == 1, F.concat(lit("The answer is 5 \nso \\boxed{ "), s, lit(" }")))
+        .when(k == 2, F.concat(lit("\\boxed{"), s, lit("} wait\nfinal answer: "), more))
+        .when(k == 3, F.concat(lit("some work\nline "), s, lit("\n \n")))
+        .when(k == 4, lit("<think> hidden 4"))
+        .otherwise(lit("<think>the answer is 3</think>Thus $7$"))
+    )
+    answer, source = K.visible_answer(text, F.when(k == 0, "length").otherwise("stop"))
+    return load(spark, sf_dir, "part").select("p_partkey", answer.alias("answer"), source.alias("source"))
+
+
+@query("""
+SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'percent' WHEN 1 THEN 'integer' WHEN 2 THEN 'base_numeral' WHEN 3 THEN 'choice' ELSE 'number' END AS kind FROM nation
+""")
+def answer_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of answers that questions ask for."""
+    q = F.expr("CASE n_nationkey % 5 WHEN 0 THEN 'What percent of it?' WHEN 1 THEN 'How many are there?' WHEN 2 THEN 'Write 5 in base 2' WHEN 3 THEN 'Which of the following' ELSE 'Find x' END")
+    return load(spark, sf_dir, "nation").select("n_nationkey", K.answer_spec(q).alias("kind"))
+
+
+@query("""
+SELECT p_partkey, position, CASE position WHEN 1 THEN '3' ELSE p_size::VARCHAR END AS candidate, CASE WHEN p_size = 3 THEN 3 WHEN position = 1 THEN 1 ELSE 2 END AS occurrences FROM part CROSS JOIN (SELECT unnest([0, 1, 2]) AS position)
+""")
+def candidate_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate answers of a reasoning text with their repetitions."""
+    t = F.concat(F.lit("try \\boxed{"), F.col("p_size").cast("string"), F.lit(".0} then result is 3\nso the answer is "), F.col("p_size").cast("string"))
+    return K.candidate_events(load(spark, sf_dir, "part").select("p_partkey", t.alias("t")), "p_partkey", "t")
+
+
+@query()
+def bracketed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tuple and set answers split outside brackets."""
+    t = F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(", [1, 2]), {a, b}, x"))
+    return load(spark, sf_dir, "part").select("p_partkey", K.top_level_parts(t).alias("parts"), K.top_level_parts(F.lit("(a, b")).alias("open"))
+
+
+@query("""
+WITH p AS (SELECT source, CASE WHEN quality IS NULL THEN NULL ELSE quality = 1 END AS a, CASE WHEN toxic IS NULL THEN NULL ELSE toxic = 0 END AS b FROM documents LEFT JOIN labels USING (doc_id))
+SELECT source, count(*) AS n, count(*) FILTER (a AND NOT b) AS wins, count(*) FILTER (NOT a AND b) AS losses, count(*) FILTER (a IS NULL OR b IS NULL) AS unknown,
+  CASE WHEN count(*) FILTER (a IS NULL OR b IS NULL) = 0 THEN round(100.0::DOUBLE * (count(*) FILTER (a AND NOT b) - count(*) FILTER (NOT a AND b)) / count(*), 9) END AS delta_pp FROM p GROUP BY 1
+""")
+def paired_with_unknowns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paired wins and losses; one unknown verdict leaves the difference unknown."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "source").join(load(spark, sf_dir, "labels"), "doc_id", "left")
+    a, b = F.col("quality") == 1, F.col("toxic") == 0
+    g = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(a & ~b).alias("wins"), F.count_if(~a & b).alias("losses"), F.count_if(a.isNull() | b.isNull()).alias("unknown"))
+    return g.withColumn("delta_pp", F.when(F.col("unknown") == 0, F.round(100.0 * (F.col("wins") - F.col("losses")) / F.col("n"), 9)))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 20 = 0 THEN 'other_run' WHEN o_orderkey % 3 = 0 THEN 'done' ELSE 'open' END AS state FROM orders
+""")
+def resume_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored records against a run's identity: records of another identity are rejected, those of this one are done."""
+    ident = lambda c: F.sha2(F.concat_ws("|", F.lit("config"), c), 256)
+    o = load(spark, sf_dir, "orders").select("o_orderkey")
+    stored = o.filter("o_orderkey % 3 = 0 OR o_orderkey % 20 = 0").select("o_orderkey", ident(F.when(F.col("o_orderkey") % 20 == 0, "other").otherwise("this")).alias("identity"))
+    state = F.when(F.col("identity").isNull(), "open").when(F.col("identity") == ident(F.lit("this")), "done").otherwise("other_run")
+    return o.join(stored, "o_orderkey", "left").select("o_orderkey", state.alias("state"))
