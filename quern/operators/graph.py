@@ -80,8 +80,7 @@ def incident(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 def budget_prefix(rows: DataFrame, tokens: str, order: list[Column], budget: int, by: list[str] | None = None) -> DataFrame:
     """Rows in order while the running sum of tokens stays within the budget; the first overflow ends the prefix.
 
-    Without groups the rows are first cut to the ``budget`` first ones (each costs one token or more, or
-    nothing at all, which never ends a prefix), so that the single-partition window stays small."""
+    Without groups the window has one partition: callers cut the rows to the most that the budget can hold before."""
     w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("running", F.sum(tokens).over(w)).filter(F.col("running") <= budget)
 
