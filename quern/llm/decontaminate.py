@@ -226,8 +226,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without a contaminated pair; rows with a null doc_id go by their text."""
-    bad = checkpointed(contaminated(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("th").alias("_bad")).distinct())
+    bad = checkpointed(contaminated(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__q_id"), F.col("th").alias("__q_bad")).distinct())
     cols = docs.columns
-    tagged = docs.withColumn("_th", text_key())
-    met = tagged.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_bad")), "left_anti")
+    tagged = docs.withColumn("__q_th", text_key())
+    met = tagged.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__q_id")) & (F.col("__q_th") == F.col("__q_bad")), "left_anti")
     return met.select(*[F.col(f"`{c}`") for c in cols])

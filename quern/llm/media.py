@@ -243,7 +243,7 @@ def clips_of(avi: bytes) -> tuple[bytes, list[dict]]:
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """docs with n_bytes (of the text) and media (AVI bytes of its payload)."""
+    """docs with n_bytes (of the text) and media (AVI bytes of its payload), which replace columns of these names."""
     names = docs.columns
     inner = [f"_c{i}" for i in range(len(names))]
     at = names.index("text")
@@ -258,7 +258,8 @@ def to_media(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, [*inner, "_n", "_m"])
 
     out = src.mapInArrow(run, widened(src.schema, "_n long, _m binary"))
-    return out.toDF(*names, "n_bytes", "media")
+    kept = [F.col(i).alias(n) for i, n in zip(inner, names) if n not in ("n_bytes", "media")]
+    return out.select(*kept, F.col("_n").alias("n_bytes"), F.col("_m").alias("media"))
 
 
 CLIPS = "array<struct<first_frame:int,last_frame:int,start_ms:int,end_ms:int,level:double>>"

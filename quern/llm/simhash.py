@@ -279,8 +279,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """Documents with one row of each near-duplicate component: the smallest doc_id, ties by text hash."""
     kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("first_th")))
     # one row for each component: rows without any id differ by fp
-    kept = kept.groupBy("doc_id", "th").agg(F.first("fp").alias("_one")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    kept = kept.groupBy("doc_id", "th").agg(F.first("fp").alias("__q_one")).select(F.col("doc_id").alias("__q_id"), F.col("th").alias("__q_th"))
     cols = docs.columns
-    tagged = docs.withColumn("_th", text_key())
-    met = tagged.join(kept.withColumnRenamed("_th", "_kt"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_kt")), "left_semi")
-    return met.dropDuplicates(["doc_id", "_th"]).select(*[F.col(f"`{c}`") for c in cols])
+    tagged = docs.withColumn("__q_th", text_key())
+    met = tagged.join(kept.withColumnRenamed("__q_th", "__q_kt"), F.col("doc_id").eqNullSafe(F.col("__q_id")) & (F.col("__q_th") == F.col("__q_kt")), "left_semi")
+    return met.dropDuplicates(["doc_id", "__q_th"]).select(*[F.col(f"`{c}`") for c in cols])

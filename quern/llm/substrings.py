@@ -151,20 +151,21 @@ def merge_runs(chunks: list[tuple[int, int, int | None]]) -> list[tuple[int, int
     return [(a, b, f) for a, b, f in out if b - a >= MIN_RUN]
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, removed: str = "removed_bytes", spans_as: str = "spans") -> DataFrame:
     """Every row of docs with its text without repeated runs, and the columns removed_bytes (int), spans
-    (array of start, end, first in bytes of the original text, first = the doc_id that keeps the passage)."""
+    (array of start, end, first in bytes of the original text, first = the doc_id that keeps the passage), under the given names; they
+    replace columns of docs with these names."""
     names = docs.columns
-    runs = repeated_runs(docs).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("runs").alias("_runs"))
-    tagged = docs.withColumn("_th", text_key().bitwiseAND(F.lit(0x7FFF)))
-    met = tagged.join(runs, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_tag")), "left")
-    met = met.withColumn("_text", F.col("text").cast("string")).select(*[F.col(f"`{c}`") for c in names if c != "text"], "_text", "_runs")
+    runs = repeated_runs(docs).select(F.col("doc_id").alias("__q_id"), F.col("tag").alias("__q_tag"), F.col("runs").alias("__q_runs"))
+    tagged = docs.withColumn("__q_th", text_key().bitwiseAND(F.lit(0x7FFF)))
+    met = tagged.join(runs, F.col("doc_id").cast("long").eqNullSafe(F.col("__q_id")) & (F.col("__q_th") == F.col("__q_tag")), "left")
+    met = met.withColumn("__q_text", F.col("text").cast("string")).select(*[F.col(f"`{c}`") for c in names if c != "text"], "__q_text", "__q_runs")
     keep = [c for c in names if c != "text"]
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text, removed, spans = [], [], []
-            for t, r in zip(b.column("_text").to_pylist(), b.column("_runs").to_pylist()):
+            for t, r in zip(b.column("__q_text").to_pylist(), b.column("__q_runs").to_pylist()):
                 found = merge_runs([(x["start"], x["length"], x["first"]) for x in r]) if r and t else []
                 if found:
                     raw, out, last = t.encode(), [], 0
@@ -178,9 +179,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 spans.append([{"start": a, "end": z, "first": f} for a, z, f in found])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first", pa.int64())]))
             cols = [b.column(c) for c in keep] + [pa.array(text, pa.string()), pa.array(removed, pa.int32()), pa.array(spans, kind)]
-            yield pa.RecordBatch.from_arrays(cols, [*keep, "_text", "_removed", "_spans"])
+            yield pa.RecordBatch.from_arrays(cols, [*keep, "__q_text", "__q_removed", "__q_spans"])
 
-    schema = widened(met.select(*[F.col(f"`{c}`") for c in keep], "_text").schema, "_removed int, _spans array<struct<start:int,end:int,first:bigint>>")
+    schema = widened(met.select(*[F.col(f"`{c}`") for c in keep], "__q_text").schema, "__q_removed int, __q_spans array<struct<start:int,end:int,first:bigint>>")
     done = met.mapInArrow(strip, schema)
-    cols = [F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names]
-    return done.select(*cols, F.col("_removed").alias("removed_bytes"), F.col("_spans").alias("spans"))
+    cols = [F.col("__q_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names if c not in (removed, spans_as)]
+    return done.select(*cols, F.col("__q_removed").alias(removed), F.col("__q_spans").alias(spans_as))

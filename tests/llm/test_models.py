@@ -148,3 +148,12 @@ def test_lm_whole_table(spark):
     share = np.concatenate([np.zeros(lm.TOP), np.log(kinds)])
     assert lm._score_slice(seqs, w, share) == pytest.approx([lm.score_text(s, w, share) for s in seqs], abs=1e-4)
     assert lm.scored(docs.limit(0)).count() == 0
+
+
+def test_empty_and_unlabelled_tables(spark):
+    docs, labels = frames(spark, "sf0.001")
+    docs = docs.drop("th", "score", "_id")
+    assert quality.scored(docs.limit(0), quality.fit(docs.limit(0), labels)).count() == 0
+    got = quality.scored(docs, quality.fit(docs, labels.limit(0))).collect()
+    assert len(got) == docs.count() and {round(r.score, 3) for r in got} == {0.5}
+    assert toxicity.train(toxicity.labelled_sample(docs.limit(0), labels, "toxic")).layer[1] == 0

@@ -51,7 +51,7 @@ def test_whole_table_against_brute_force(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     rows += [(9001, None), (9002, ""), (9003, "One two"), (9004, "one TWO"), (None, "one two"), (9003, "One two"), (None, "alone here now"), (9010, "x " * 30000)]
     fps, comps = brute_components(rows)
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as component_id", "'x' as fp")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as component_id", "'x' as fp", "2 as _th", "3 as _id")
     got = sorted(((r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
     assert got == sorted(((d, f, c) for (d, _), f, c in zip(rows, fps, comps)), key=str)
     kept = simhash.keep_one(df)

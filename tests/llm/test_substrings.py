@@ -64,9 +64,9 @@ def test_passages_go_and_clean_documents_stay(spark):
     clean = dict(rows[20:])
     rows[:20] = [(i, t[: 50 + 17 * i] + "\n" + passage + "\n" + t[50 + 17 * i :]) for i, t in rows[:20]]
     rows += [(70, None), (71, ""), (72, "é" * 40000), (None, passage), (5, rows[5][1]), (74, words(rng, 3))]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as spans0", "2 as digest", "3 as runs")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as spans", "2 as digest", "3 as runs", "4 as _th", "5 as __q_x")
     out = substrings.deduplicated(df)
-    assert out.columns == [*df.columns, "removed_bytes", "spans"]
+    assert out.columns == ["doc_id", "text", "digest", "runs", "_th", "__q_x", "removed_bytes", "spans"]
     got = out.collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(brute(rows), key=str)
     for r in got:
