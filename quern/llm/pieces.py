@@ -31,7 +31,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Longer segments are streamed and not memoised.
 MEMO_CHARS = 64
-MEMO_SIZE = 600_000
+MEMO_SIZE = 250_000
 _PART = re.compile(r" *[^ \n]+| +|\n")
 
 
@@ -59,21 +59,34 @@ class Model:
         self.fits: dict[tuple[str, str], bool] = {}
         # pieces that the merges can't build never occur
         self.made = {p for p in self.ids if len(p) == 1 or self.merge(p) == [p]}
+        # lengths of 3 or more of the pieces with the same last three characters, longest first
+        ends: dict[str, set[int]] = {}
+        for p in self.made:
+            if len(p) > 2:
+                ends.setdefault(p[-3:], set()).add(len(p))
+        self.suffixes = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
+        # segment to ids, a young and an old generation; and the segments that decoding doesn't give back
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.lossy: set[str] = set()
 
     def merge(self, s: str) -> list[str]:
         """Merge by the rule: the best-scored, then leftmost, neighbouring pair whose joint text is a piece."""
-        parts = list(s)
-        while len(parts) > 1:
+        parts, ids, score = list(s), self.ids, self.score
+        worth = [score[i] if (i := ids.get(a + b)) is not None else None for a, b in zip(parts, parts[1:])]
+        while True:
             best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.score[i] > best):
-                    best, at = self.score[i], k
+            for k, w in enumerate(worth):
+                if w is not None and (best is None or w > best):
+                    best, at = w, k
             if at < 0:
-                break
+                return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            del worth[at]
+            for k in (at - 1, at):  # only the pairs beside the merged one change
+                if 0 <= k < len(worth):
+                    i = ids.get(parts[k] + parts[k + 1])
+                    worth[k] = score[i] if i is not None else None
 
     def fit(self, a: str, b: str) -> bool:
         """Whether the merges of a + b give a and b."""
@@ -87,11 +100,13 @@ class Model:
 
     def stream(self, s: str) -> Iterator[list[str]]:
         """Committed pieces of s, in order. State: the length of the last piece at each node of the window."""
-        made, longest, fit = self.made, self.longest, self.fit
+        made, longest, fit, suffixes = self.made, self.longest, self.fit, self.suffixes
         n, done = len(s), 0
         last = [0]  # last[i]: length of the piece that ends at node done + i
         for i in range(1, n + 1):
-            for length in range(min(longest, i - done), 0, -1):
+            for length in (*suffixes.get(s[i - 3 : i], ()), 2, 1) if i > 2 else (2, 1):
+                if length > i - done:
+                    continue
                 piece = s[i - length : i]
                 if length > 1 and piece not in made:
                     continue
@@ -138,22 +153,34 @@ class Model:
                     out.append(self.unknown)
         return np.array(out, np.int32).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """int32 ids of a whole text, as the library gives them."""
+    def segment(self, part: str) -> bytes:
+        """Ids of a segment that the memo lacks."""
+        got = self.old.get(part)
+        if got is None:
+            got = self.encode_part(part.replace(" ", MARK))
+            back = b"".join(map(self.raw.__getitem__, np.frombuffer(got, np.int32).tolist()))
+            if back != part.encode("utf-8", "replace"):
+                self.lossy.add(part)
+        if len(part) <= MEMO_CHARS:
+            if len(self.memo) >= MEMO_SIZE:
+                self.old, self.memo = self.memo, {}
+            self.memo[part] = got
+        return got
+
+    def encode_checked(self, text: str) -> tuple[bytes, bool]:
+        """int32 ids of a whole text, and whether decoding gives the text back: decoding joins what its segments' ids stand
+        for, so it does if it does for each segment."""
         if not text:
-            return b""
+            return b"", True
         text = text.replace(MARK, " ")
-        memo, out = self.memo, []
-        for part in _PART.findall(" " + text if self.prefix else text):
-            got = memo.get(part)
-            if got is None:
-                got = self.encode_part(part.replace(" ", MARK))
-                if len(part) <= MEMO_CHARS:
-                    if len(memo) >= MEMO_SIZE:
-                        memo.clear()
-                    memo[part] = got
-            out.append(got)
-        return b"".join(out)
+        get, segment = self.memo.get, self.segment
+        parts = _PART.findall(" " + text if self.prefix else text)
+        ids = b"".join([get(p) or segment(p) for p in parts])
+        return ids, not self.lossy or self.lossy.isdisjoint(parts)
+
+    def encode(self, text: str) -> bytes:
+        """int32 ids of a whole text, as the library gives them."""
+        return self.encode_checked(text)[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: pieces joined, marks as spaces, without the space that encoding put in front."""
@@ -171,7 +198,7 @@ def model(path: str = MODEL) -> Model:
 
 def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """docs with the columns piece_ids array<int>, n_pieces int and round_trip boolean (decoding gives the text back;
-    the space mark itself, which the format can't tell from a space, counts as a space)."""
+    the space mark itself, which the format can't tell from a space, counts as a space). They replace columns of docs with these names."""
     names = docs.columns
     inner = [f"_c{i}" for i in range(len(names))]
     at = names.index("text")
@@ -183,15 +210,16 @@ def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
             for lo, hi in text_slices(b.column(at)):
                 part = b.slice(lo, hi - lo)
                 ts = texts(part.column(at))
-                ids = [np.frombuffer(m.encode(t), np.int32) for t in ts]
-                counts = np.array([len(x) for x in ids], np.int32)
-                same = [m.decode(x) == t.replace(MARK, " ") for x, t in zip(ids, ts)]
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+                done = [m.encode_checked(t) for t in ts]
+                counts = np.array([len(x) // 4 for x, _ in done], np.int32)
+                same = [ok for _, ok in done]
+                flat = np.frombuffer(b"".join(x for x, _ in done), np.int32)
                 cols = [*part.columns, list_array(flat, counts, pa.int32()), pa.array(counts), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(cols, [*inner, "_ids", "_n", "_same"])
 
     out = src.mapInArrow(run, widened(src.schema, "_ids array<int>, _n int, _same boolean"))
-    return out.select(*[F.col(i).alias(n) for i, n in zip(inner, names)], F.col("_ids").alias("piece_ids"), F.col("_n").alias("n_pieces"), F.col("_same").alias("round_trip"))
+    added = ("piece_ids", "n_pieces", "round_trip")
+    return out.select(*[F.col(i).alias(n) for i, n in zip(inner, names) if n not in added], F.col("_ids").alias("piece_ids"), F.col("_n").alias("n_pieces"), F.col("_same").alias("round_trip"))
 
 
 def decoded(df: DataFrame, ids: str = "piece_ids", path: str = MODEL) -> DataFrame:

@@ -39,7 +39,7 @@ POSITIVE_LANDMARKS = 100
 NEGATIVE_LANDMARKS = 200
 #: Norm of a short word; shorter ones don't count as more alike for having few subsequences.
 LEAST_NORM = 1.6
-MEMO = 400_000
+MEMO = 200_000
 #: Decision from which a word counts as a hit.
 SURE = 0.8
 #: Signs that stand for letters.
