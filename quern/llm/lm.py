@@ -3,8 +3,9 @@
 Words are counted over all documents; the ``TOP`` most frequent ones are the model's words and the others share ``REST`` hash
 buckets (their number of distinct words, from the same count, splits a bucket's probability). A window network predicts each
 token from ``REACH`` words on both sides: embeddings, one tanh layer, and a two-level softmax over classes and words in a class. It
-is trained in numpy on all documents: each task walks its documents from the shared weights with stochastic gradient steps on masked
-positions (one in ``MASK``, by place, other places in the next round), and the tasks' weights are averaged by their number of steps, in ``ROUNDS`` rounds. A
+is trained in numpy on all tokens of all documents: each task walks its documents from the shared weights with stochastic gradient steps
+on masked positions (one in ``ROUNDS``, by place, other places in the next round, so that every position is predicted once), and the
+tasks' weights are averaged by their number of steps, in ``ROUNDS`` rounds. A
 document's score is the sum over all its tokens of log P(token | both sides), and its mean.
 
 Scale: the count is partially aggregated in the tasks; what tasks send for the average grows with the number of tasks
@@ -35,7 +36,6 @@ INNER = SIZE // CLASSES
 REACH = 2
 EMBED = 16
 HIDDEN = 32
-MASK = 8
 ROUNDS = 2
 #: Rows of a gradient step, and of a scoring batch.
 STEP, BATCH = 4096, 32768
@@ -245,6 +245,12 @@ def read_ids(col: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.uint16).astype(np.int32) if x.is_valid else np.zeros(0, np.int32) for x in col]
 
 
+def masked(n: int, turn: int) -> slice:
+    """The places of a text of n tokens that a round predicts; the rounds together predict each place once. Texts of even
+    and odd length begin apart, so that no round sees one kind of place only."""
+    return slice((turn + n) % ROUNDS, None, ROUNDS)
+
+
 def train(coded: DataFrame, uses: np.ndarray) -> list[np.ndarray]:
     """ROUNDS of local training on all documents (as sequences) and weighted averaging."""
     src = coded.select("ids")
@@ -260,8 +266,8 @@ def train(coded: DataFrame, uses: np.ndarray) -> list[np.ndarray]:
             for b in batches:
                 for ids in read_ids(b.column(0)):
                     part = (part * 31 + len(ids)) & 0x7FFFFFFF
-                    ctxs.append(windows(ids)[turn % MASK :: MASK])
-                    targets.append(ids[turn % MASK :: MASK])
+                    ctxs.append(windows(ids)[masked(len(ids), turn)])
+                    targets.append(ids[masked(len(ids), turn)])
                     held += len(targets[-1])
                     while held >= STEP:
                         c, t = np.concatenate(ctxs), np.concatenate(targets)

@@ -150,6 +150,18 @@ def test_lm_whole_table(spark):
     assert lm.scored(docs.limit(0)).count() == 0
 
 
+def test_lm_trains_on_every_position(spark):
+    for n in (1, 2, 7, 40):
+        assert sorted(i for turn in range(lm.ROUNDS) for i in np.arange(n)[lm.masked(n, turn)].tolist()) == list(range(n))
+    # 7 stands at places 4 modulo 8 only, between two 9s, and the start weights don't know it
+    ids = np.tile(np.array([3, 3, 3, 9, 7, 9, 3, 3], np.uint16), 512)
+    coded = spark.createDataFrame([(bytearray(ids[: len(ids) - k % 2].tobytes()),) for k in range(40)], "ids binary").coalesce(1)
+    uses = np.zeros(lm.SIZE, np.int64)
+    w = lm.train(coded, uses)
+    ctx, seven = lm.windows(ids.astype(np.int32))[100:101], np.array([7], np.int32)
+    assert lm.log_probabilities(w, ctx, seven)[0] > lm.log_probabilities(lm.start(uses), ctx, seven)[0] + 0.5
+
+
 def test_empty_and_unlabelled_tables(spark):
     docs, labels = frames(spark, "sf0.001")
     docs = docs.drop("th", "score", "_id")
