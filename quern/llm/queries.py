@@ -18,7 +18,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.deduplicated(table(spark, sf_dir, "documents"))
-    sources = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["first"])))
+    sources = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: s["holders"]))))
     return found.select("doc_id", (F.col("removed_bytes") > 0).alias("repeated"), "removed_bytes", sources.alias("first_doc_ids"), "spans", "text")
 
 

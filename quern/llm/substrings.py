@@ -1,11 +1,12 @@
 """Substring dedup by content-defined chunking.
 
 A gear rolling hash runs over the UTF-8 bytes; a chunk ends before a white-space byte where two bits of the hash of
-the last 16 bytes are zero, at ``MIN_CHUNK`` bytes or later and at ``MAX_CHUNK`` at the latest. Boundaries depend on
+the last 16 bytes are zero, or where five bits are before any character if the last ``MIN_CHUNK`` bytes hold no white space,
+at ``MIN_CHUNK`` bytes or later and at ``MAX_CHUNK`` at the latest. Boundaries depend on
 nearby bytes only, so inserted text shifts no boundary beyond it. A chunk is identified by its 64-bit XXH3 digest; the
-first holder of a digest is the smallest doc_id (in one document: the first place). Neighbouring chunks
-whose first holder is the same other place form a run, and runs of ``MIN_RUN`` bytes or more are repeated substrings:
-they are removed from every document but the first holder. Runs shorter than that are common phrases and stay.
+first holder of a digest is the smallest doc_id (in one document: the first place). Neighbouring repeated chunks
+form a run, whatever their first holders, and runs of ``MIN_RUN`` bytes or more are repeated substrings: each of their chunks is
+removed from every document but its first holder. Runs shorter than that are common phrases and stay.
 
 Scale: first holders are a partially aggregated min; the join that brings them back to the documents splits hot
 digests (both sides are plain shuffles, so AQE's skew join applies); each document's runs are a list bounded by
@@ -33,6 +34,8 @@ MAX_CHUNK = 512
 #: Bytes that neighbouring repeated chunks must cover together.
 MIN_RUN = 100
 _MASK = np.uint16(0x6000)
+#: The mask bits where no white space is near.
+_DENSE = np.uint16(0x7C00)
 #: One 16-bit value for each byte, by rule: the XXH64 of the byte.
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) & 0xFFFF for b in range(256)], np.uint16)
 _SPACE = np.zeros(256, bool)
@@ -40,14 +43,22 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def candidates(data: np.ndarray) -> np.ndarray:
-    """Positions where a chunk may end: the gear hash of the 16 bytes before has zero mask bits and white space follows."""
+    """Positions where a chunk may end: the gear hash of the 16 bytes before has zero mask bits and white space follows, or,
+    after MIN_CHUNK bytes without white space, more zero bits and a character begins."""
     h = GEAR[data]
     for step in (1, 2, 4, 8):
         nxt = h.copy()
         nxt[step:] += h[:-step] << np.uint16(step)
         h = nxt
     hit = (h[:-1] & _MASK) == 0
-    hit &= _SPACE[data[1:]]
+    space = _SPACE[data]
+    far = np.flatnonzero((h[:-1] & _DENSE) == 0) + 1
+    far = far[(far >= MIN_CHUNK) & (data[far] & 0xC0 != 0x80)]
+    if len(far):
+        gaps = np.append(-1, np.flatnonzero(space))  # the last white space before each place
+        far = far[far - gaps[np.searchsorted(gaps, far) - 1] > MIN_CHUNK]
+    hit &= space[1:]
+    hit[far - 1] = True
     return np.flatnonzero(hit) + 1
 
 
@@ -138,22 +149,25 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     return met.groupBy("doc_id", F.shiftright("at", 48).alias("tag")).agg(F.collect_list(chunk).alias("runs"))
 
 
-def merge_runs(chunks: list[tuple[int, int, int | None]]) -> list[tuple[int, int, int | None]]:
-    """Sorted (start, length, first) chunks to (start, end, first) runs of MIN_RUN bytes or more.
+def merge_runs(chunks: list[tuple[int, int, int | None]]) -> list[tuple[int, int, list]]:
+    """Sorted (start, length, first) chunks to (start, end, holders) runs of MIN_RUN bytes or more.
 
-    Neighbours join a run while they have the same first holder; two runs that touch are judged one by one."""
+    Neighbours join a run whatever their first holders, which are listed in order of place, each once."""
     out: list[list] = []
     for start, length, first in sorted(set(chunks), key=lambda c: (c[0], c[1], c[2] is None, c[2] or 0)):
-        if out and out[-1][1] == start and out[-1][2] == first:
+        if out and out[-1][1] == start:
             out[-1][1] = start + length
+            if first not in out[-1][2]:
+                out[-1][2].append(first)
         else:
-            out.append([start, start + length, first])
+            out.append([start, start + length, [first]])
     return [(a, b, f) for a, b, f in out if b - a >= MIN_RUN]
 
 
 def deduplicated(docs: DataFrame, removed: str = "removed_bytes", spans_as: str = "spans") -> DataFrame:
     """Every row of docs with its text without repeated runs, and the columns removed_bytes (int), spans
-    (array of start, end, first in bytes of the original text, first = the doc_id that keeps the passage), under the given names; they
+    (array of start, end, first, holders in bytes of the original text, holders = the doc_ids that keep parts of the passage, first = the
+smallest of them), under the given names; they
     replace columns of docs with these names."""
     names = docs.columns
     runs = repeated_runs(docs).select(F.col("doc_id").alias("__q_id"), F.col("tag").alias("__q_tag"), F.col("runs").alias("__q_runs"))
@@ -176,12 +190,12 @@ def deduplicated(docs: DataFrame, removed: str = "removed_bytes", spans_as: str
                     t = b"".join(out).decode()
                 text.append(t)
                 removed.append(sum(z - a for a, z, _ in found))
-                spans.append([{"start": a, "end": z, "first": f} for a, z, f in found])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first", pa.int64())]))
+                spans.append([{"start": a, "end": z, "first": min((x for x in f if x is not None), default=None), "holders": f} for a, z, f in found])
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first", pa.int64()), ("holders", pa.list_(pa.int64()))]))
             cols = [b.column(c) for c in keep] + [pa.array(text, pa.string()), pa.array(removed, pa.int32()), pa.array(spans, kind)]
             yield pa.RecordBatch.from_arrays(cols, [*keep, "__q_text", "__q_removed", "__q_spans"])
 
-    schema = widened(met.select(*[F.col(f"`{c}`") for c in keep], "__q_text").schema, "__q_removed int, __q_spans array<struct<start:int,end:int,first:bigint>>")
+    schema = widened(met.select(*[F.col(f"`{c}`") for c in keep], "__q_text").schema, "__q_removed int, __q_spans array<struct<start:int,end:int,first:bigint,holders:array<bigint>>>")
     done = met.mapInArrow(strip, schema)
     cols = [F.col("__q_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names if c not in (removed, spans_as)]
     return done.select(*cols, F.col("__q_removed").alias(removed), F.col("__q_spans").alias(spans_as))

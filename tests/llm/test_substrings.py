@@ -76,6 +76,35 @@ def test_passages_go_and_clean_documents_stay(spark):
             assert r.removed_bytes > 0.4 * len(passage) and all(s["first"] == 0 for s in r.spans)
 
 
+def test_runs_join_across_first_holders():
+    assert substrings.merge_runs([(0, 50, 1), (50, 40, 2), (90, 50, 1)]) == [(0, 140, [1, 2])]
+    assert substrings.merge_runs([(0, 50, 1), (50, 40, 2), (100, 90, 1)]) == []
+
+
+def test_a_chunk_seen_earlier_does_not_split_a_passage(spark):
+    rng = random.Random(8)
+    passage = words(rng, 60)
+    raw = passage.encode()
+    data = np.frombuffer(raw, np.uint8)
+    ends = substrings.cuts(data, substrings.candidates(data).tolist(), 0, len(raw))
+    # every other chunk of the passage also stands alone in an earlier document
+    rows = [(k, words(rng, 30) + raw[a:z].decode() + words(rng, 30)) for k, (a, z) in enumerate(zip(ends, ends[1:])) if k % 2]
+    rows += [(900, words(rng, 40) + passage + words(rng, 40)), (901, words(rng, 40) + passage + words(rng, 40))]
+    got = {r.doc_id: r for r in substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[901].removed_bytes > 0.6 * len(raw)
+
+
+def test_boundaries_without_white_space_resist_insertions():
+    rng = random.Random(9)
+    a = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(3000))
+    parts = []
+    for raw in (a.encode(), ("新" + a[:900] + "入" + a[900:]).encode()):
+        data = np.frombuffer(raw, np.uint8)
+        ends = substrings.cuts(data, substrings.candidates(data).tolist(), 0, len(raw))
+        parts.append({raw[x:y].decode() for x, y in zip([0, *ends], ends)})
+    assert len(parts[0] & parts[1]) > 0.8 * len(parts[0])
+
+
 def test_whole_table_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
