@@ -65,10 +65,9 @@ class Model:
             if len(p) > 2:
                 ends.setdefault(p[-3:], set()).add(len(p))
         self.suffixes = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
-        # segment to ids, a young and an old generation; and the segments that decoding doesn't give back
+        # segment to ids, a young and an old generation
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.lossy: set[str] = set()
 
     def merge(self, s: str) -> list[str]:
         """Merge by the rule: the best-scored, then leftmost, neighbouring pair whose joint text is a piece."""
@@ -158,29 +157,24 @@ class Model:
         got = self.old.get(part)
         if got is None:
             got = self.encode_part(part.replace(" ", MARK))
-            back = b"".join(map(self.raw.__getitem__, np.frombuffer(got, np.int32).tolist()))
-            if back != part.encode("utf-8", "replace"):
-                self.lossy.add(part)
         if len(part) <= MEMO_CHARS:
             if len(self.memo) >= MEMO_SIZE:
                 self.old, self.memo = self.memo, {}
             self.memo[part] = got
         return got
 
-    def encode_checked(self, text: str) -> tuple[bytes, bool]:
-        """int32 ids of a whole text, and whether decoding gives the text back: decoding joins what its segments' ids stand
-        for, so it does if it does for each segment."""
+    def encode(self, text: str) -> bytes:
+        """int32 ids of a whole text, as the library gives them."""
         if not text:
-            return b"", True
+            return b""
         text = text.replace(MARK, " ")
         get, segment = self.memo.get, self.segment
-        parts = _PART.findall(" " + text if self.prefix else text)
-        ids = b"".join([get(p) or segment(p) for p in parts])
-        return ids, not self.lossy or self.lossy.isdisjoint(parts)
+        return b"".join([get(p) or segment(p) for p in _PART.findall(" " + text if self.prefix else text)])
 
-    def encode(self, text: str) -> bytes:
-        """int32 ids of a whole text, as the library gives them."""
-        return self.encode_checked(text)[0]
+    def encode_checked(self, text: str) -> tuple[bytes, bool]:
+        """int32 ids of a whole text, and whether decoding them as a whole gives the text back."""
+        ids = self.encode(text)
+        return ids, self.decode(np.frombuffer(ids, np.int32)) == text.replace(MARK, " ")
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: pieces joined, marks as spaces, without the space that encoding put in front."""

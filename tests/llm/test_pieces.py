@@ -25,6 +25,13 @@ def test_long_segments_stream():
     assert len(parts) > 50 and max(map(len, parts)) < 16 * m.longest
 
 
+def test_round_trip_decodes_the_returned_ids():
+    m = pieces.Model(pieces.MODEL)
+    assert m.encode_checked("some words") == (m.encode("some words"), True)
+    m.memo[" words"] = m.encode("others")  # wrong ids from the memo must show
+    assert m.encode_checked("some words")[1] is False
+
+
 def test_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()] + [(None, None), (7001, ""), (7002, "a b" * 20000), (7001, "")]
