@@ -6,17 +6,23 @@ into each node continues a valid path, so the Viterbi keeps one backpointer a no
 nodes can still be followed by later arcs: the window. When the backpointer paths of all nodes of the window meet
 in one boundary, the ids before it are final and are committed.
 
-In models whose pieces hold the space mark only in front, all paths meet before each run of spaces and around each
-line break, so texts are cut there first and short segments are memoised in a bounded cache; longer ones
-stream. Ids equal the library's for the model, including byte fallback for unknown characters.
+In models whose pieces hold the space mark only in front, no arc crosses the place before a run of spaces or beside a
+line break, so all paths converge there whatever the window holds. A text is therefore read as a sequence of segments between
+such places. Segments up to two windows long go through a bounded memo: the new ones of a slice are taken once each, in sorted
+order, so that the nodes of a common prefix are computed once; longer segments stream through the window.
+``Model.stream`` runs the window over any text, memo or not, and gives the same ids. Ids equal the library's for the
+model, including byte fallback for unknown characters.
 
 Edge cases: null counts as empty and empty texts give no ids; repeated rows get equal results; texts of any length
-use a window of fixed size; other columns are kept; an empty table gives an empty result.
+use a window of fixed size; a space mark in the text is encoded as the space that the format takes it for, and round_trip is false;
+other columns are kept; an empty table gives an empty result. Executors need the model file at ``path``, or its name as
+added by ``spark.sparkContext.addFile``.
 """
 
 from __future__ import annotations
 
-import re
+import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,10 +35,11 @@ from .common import list_array, text_slices, texts, widened
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Longer segments are streamed and not memoised.
-MEMO_CHARS = 64
-MEMO_SIZE = 250_000
-_PART = re.compile(r" *[^ \n]+| +|\n")
+#: Segments in each of the two generations of the memo.
+MEMO_SIZE = 200_000
+#: What an id of no piece stands for: a character outside the vocabulary, or the start of a segment.
+UNKNOWN, START = -1, -2
+_ONE = (1,)
 
 
 class Model:
@@ -56,18 +63,27 @@ class Model:
         self.bytes = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == 6}
         self.raw = [bytes([int(p[1:-1], 16)]) if kind == 6 else p.replace(MARK, " ").encode() if kind == 1 else b"" for p, _, kind in pieces]
         self.longest = max(map(len, self.ids))
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.pad = "\n" * self.longest
+        #: (id << 20 | id) to whether the two pieces may stand side by side
+        self.fits: dict[int, bool] = {}
+        self.text = [p for p, _, _ in pieces]
         # pieces that the merges can't build never occur
-        self.made = {p for p in self.ids if len(p) == 1 or self.merge(p) == [p]}
-        # lengths of 3 or more of the pieces with the same last three characters, longest first
+        self.made = {p: i for p, i in self.ids.items() if len(p) == 1 or self.merge(p) == [p]}
+        self.lengths = [len(p) for p, _, _ in pieces] + [1]  # the last one serves UNKNOWN
+        # lengths of the pieces with the same last characters, longest first
         ends: dict[str, set[int]] = {}
         for p in self.made:
             if len(p) > 2:
-                ends.setdefault(p[-3:], set()).add(len(p))
-        self.suffixes = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
-        # segment to ids, a young and an old generation
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+                ends.setdefault(p[-3:], {1}).add(len(p))
+        for p, lengths in ends.items():
+            if p[1:] in self.made:
+                lengths.add(2)
+        self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
+        self.pairs = {p: (2, 1) for p in self.made if len(p) == 2}
+        # word to ids, in front of which one space stands, and other segments; a young and an old generation of each
+        self.spaced: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def merge(self, s: str) -> list[str]:
         """Merge by the rule: the best-scored, then leftmost, neighbouring pair whose joint text is a piece."""
@@ -87,94 +103,155 @@ class Model:
                     i = ids.get(parts[k] + parts[k + 1])
                     worth[k] = score[i] if i is not None else None
 
-    def fit(self, a: str, b: str) -> bool:
-        """Whether the merges of a + b give a and b."""
-        key = (a, b)
-        ok = self.fits.get(key)
-        if ok is None:
-            if len(self.fits) > 1_000_000:
-                self.fits.clear()
-            ok = self.fits[key] = self.merge(a + b) == [a, b]
+    def fit(self, a: int, b: int) -> bool:
+        """Whether the merges of two pieces' joint text give both back."""
+        if len(self.fits) > 1_000_000:
+            self.fits.clear()
+        x, y = self.text[a], self.text[b]
+        ok = self.fits[a << 20 | b] = self.merge(x + y) == [x, y]
         return ok
 
-    def stream(self, s: str) -> Iterator[list[str]]:
-        """Committed pieces of s, in order. State: the length of the last piece at each node of the window."""
-        made, longest, fit, suffixes = self.made, self.longest, self.fit, self.suffixes
-        n, done = len(s), 0
-        last = [0]  # last[i]: length of the piece that ends at node done + i
-        for i in range(1, n + 1):
-            for length in (*suffixes.get(s[i - 3 : i], ()), 2, 1) if i > 2 else (2, 1):
-                if length > i - done:
-                    continue
-                piece = s[i - length : i]
-                if length > 1 and piece not in made:
-                    continue
-                before = last[i - length - done]
-                if before == 0 and i - length == done or fit(s[i - length - before : i - length], piece):
-                    last.append(length)
+    def extend(self, padded: str, last: list[int], begin: int, end: int) -> None:
+        """Append the backpointers of the nodes begin + 1 to end: the id of the piece that ends there.
+
+        padded is the segment after the line breaks of ``pad``, which no piece holds; last holds the nodes up to begin, the
+        first of them START, and may begin later than the segment."""
+        ends, pairs, made, fits, fit, push = self.ends, self.pairs, self.made.get, self.fits.get, self.fit, last.append
+        front = self.longest
+        for i in range(front + begin + 1, front + end + 1):  # i: where the text of the node ends in padded
+            lengths = ends.get(padded[i - 3 : i])
+            if lengths is None:
+                lengths = pairs.get(padded[i - 2 : i], _ONE)
+            for length in lengths:
+                if length == 1:
+                    own = made(padded[i - 1], UNKNOWN)
+                else:
+                    own = made(padded[i - length : i])
+                    if own is None:
+                        continue
+                before = last[-length]
+                if before < 0 or own < 0:
+                    break
+                ok = fits(before << 20 | own)
+                if ok is None:
+                    ok = fit(before, own)
+                if ok:
                     break
             else:
                 raise AssertionError("no path")
-            if i - done >= 8 * longest and i < n:
-                ends = {i - k for k in range(longest)}
-                while len(ends) > 1:  # follow the furthest path back until all meet
-                    top = max(ends)
-                    ends.remove(top)
-                    ends.add(top - last[top - done])
-                at = ends.pop()
-                if at > done and (cut := at - last[at - done]) > done:
-                    # the last committed piece stays as context of the next arcs
-                    yield self.back(s, last, done, cut)
-                    last = last[cut - done :]
-                    last[0] = 0
-                    done = cut
-        yield self.back(s, last, done, n)
-
-    def back(self, s: str, last: list[int], done: int, end: int) -> list[str]:
-        out = []
-        while end > done:
-            start = end - last[end - done]
-            out.append(s[start:end])
-            end = start
+            push(own)
+
+    def back(self, last: list[int], end: int, chars: str) -> list[int]:
+        """Ids of the path that ends in node ``end`` of last; chars: the text of its nodes, for byte fallback."""
+        out, lengths = [], self.lengths
+        while end > 0:
+            own = last[end]
+            if own >= 0:
+                out.append(own)
+            elif self.bytes:
+                out.extend(self.bytes[b] for b in chars[end - 1].encode("utf-8", "replace")[::-1])
+            else:
+                out.append(self.unknown)
+            end -= lengths[own]
         return out[::-1]
 
-    def encode_part(self, part: str) -> bytes:
-        """int32 ids of one segment (spaces as marks)."""
-        out: list[int] = []
-        for pieces in self.stream(part):
-            for p in pieces:
-                i = self.ids.get(p)
-                if i is not None:
-                    out.append(i)
-                elif self.bytes:
-                    out.extend(self.bytes[b] for b in p.encode())
-                else:
-                    out.append(self.unknown)
-        return np.array(out, np.int32).tobytes()
-
-    def segment(self, part: str) -> bytes:
-        """Ids of a segment that the memo lacks."""
-        got = self.old.get(part)
-        if got is None:
-            got = self.encode_part(part.replace(" ", MARK))
-        if len(part) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_SIZE:
-                self.old, self.memo = self.memo, {}
-            self.memo[part] = got
-        return got
+    def stream(self, s: str) -> Iterator[list[int]]:
+        """Committed ids of s (spaces as marks), in order. The window holds the nodes since the last commit; at every
+        ``longest`` nodes the paths of those that later arcs can follow are traced, and what lies before the node
+        where they meet is committed."""
+        padded, n, lengths = self.pad + s, len(s), self.lengths
+        done, at, last = 0, 0, [START]
+        while at < n:
+            ahead = min(n, at + self.longest)
+            self.extend(padded, last, at, ahead)
+            at = ahead
+            nodes = set(range(max(0, len(last) - self.longest), len(last)))
+            while len(nodes) > 1:  # follow the furthest path back until all meet
+                top = max(nodes)
+                nodes.remove(top)
+                nodes.add(top - lengths[last[top]])
+            meet = nodes.pop()
+            if meet and at < n and (cut := meet - lengths[last[meet]]):
+                # the piece before the meeting point stays: it is what the next arcs must fit
+                yield self.back(last, cut, s[done : done + cut])
+                last = last[cut:]
+                last[0] = START
+                done += cut
+        yield self.back(last, len(last) - 1, s[done:])
+
+    def encode_segments(self, parts: list[str]) -> dict[str, bytes]:
+        """int32 ids of distinct segments."""
+        out, last, before = {}, [START], ""
+        for part in sorted(parts):
+            s = part.replace(" ", MARK)
+            if len(s) > 2 * self.longest:
+                out[part] = array("i", [i for ids in self.stream(s) for i in ids]).tobytes()
+                continue
+            common = 0
+            for x, y in zip(before, s):
+                if x != y:
+                    break
+                common += 1
+            del last[common + 1 :]
+            self.extend(self.pad + s, last, common, len(s))
+            before = s
+            out[part] = array("i", self.back(last, len(s), s)).tobytes()
+        return out
+
+    def _remember(self, memo: dict[str, bytes], old: dict[str, bytes], need: set[str], front: str) -> None:
+        """Bring the ids of all needed segments (front + key) into the memo."""
+        new = []
+        for k in need.difference(memo):
+            got = old.get(k)
+            if got is None:
+                new.append(front + k)
+            else:
+                memo[k] = got
+        skip = len(front)
+        for k, ids in self.encode_segments(new).items():
+            memo[k[skip:]] = ids
+
+    def encode_all(self, ts: list[str]) -> list[bytes]:
+        """int32 ids of whole texts, as the library gives them."""
+        if len(self.spaced) + len(self.plain) > MEMO_SIZE:
+            self.old, self.spaced, self.plain = (self.spaced, self.plain), {}, {}
+        lines: list[list[tuple[str, list[str]]]] = []  # of each text's lines the segment in front and the words after one space each
+        spaced: set[str] = set()
+        plain: set[str] = {"\n"}
+        for t in ts:
+            own = []
+            if t:
+                t = t.replace(MARK, " ")
+                for line in (" " + t if self.prefix else t).split("\n"):
+                    front, *words = line.split(" ")
+                    if "" in words:  # runs of spaces belong to the word after them
+                        words, gap, several = [], "", line[len(front) :].split(" ")[1:]
+                        for w in several:
+                            if w:
+                                words.append(gap + w)
+                                gap = ""
+                            else:
+                                gap += " "
+                        if gap:  # at the end of the line
+                            words.append(gap[1:])
+                    spaced.update(words)
+                    plain.add(front)
+                    own.append((front, words))
+            lines.append(own)
+        self._remember(self.spaced, self.old[0], spaced, " ")
+        self._remember(self.plain, self.old[1], plain, "")
+        get, plain_get, new_line = self.spaced.__getitem__, self.plain.__getitem__, self.plain["\n"]
+        out = [new_line.join([plain_get(front) + b"".join(map(get, words)) for front, words in own]) for own in lines]
+        longest = 2 * self.longest
+        for memo, need in ((self.spaced, spaced), (self.plain, plain)):
+            for k in need:
+                if len(k) >= longest:
+                    memo.pop(k)
+        return out
 
     def encode(self, text: str) -> bytes:
-        """int32 ids of a whole text, as the library gives them."""
-        if not text:
-            return b""
-        text = text.replace(MARK, " ")
-        get, segment = self.memo.get, self.segment
-        return b"".join([get(p) or segment(p) for p in _PART.findall(" " + text if self.prefix else text)])
-
-    def encode_checked(self, text: str) -> tuple[bytes, bool]:
-        """int32 ids of a whole text, and whether decoding them as a whole gives the text back."""
-        ids = self.encode(text)
-        return ids, self.decode(np.frombuffer(ids, np.int32)) == text.replace(MARK, " ")
+        """int32 ids of one text."""
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: pieces joined, marks as spaces, without the space that encoding put in front."""
@@ -187,12 +264,16 @@ class Model:
 @lru_cache(maxsize=2)
 def model(path: str = MODEL) -> Model:
     """One model a worker process."""
+    if not os.path.exists(path):
+        from pyspark import SparkFiles
+
+        path = SparkFiles.get(os.path.basename(path))
     return Model(path)
 
 
 def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """docs with the columns piece_ids array<int>, n_pieces int and round_trip boolean (decoding gives the text back;
-    the space mark itself, which the format can't tell from a space, counts as a space). They replace columns of docs with these names."""
+    """docs with the columns piece_ids array<int>, n_pieces int and round_trip boolean (decoding the ids gives the text back).
+    They replace columns of docs with these names."""
     names = docs.columns
     inner = [f"_c{i}" for i in range(len(names))]
     at = names.index("text")
@@ -204,10 +285,11 @@ def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
             for lo, hi in text_slices(b.column(at)):
                 part = b.slice(lo, hi - lo)
                 ts = texts(part.column(at))
-                done = [m.encode_checked(t) for t in ts]
-                counts = np.array([len(x) // 4 for x, _ in done], np.int32)
-                same = [ok for _, ok in done]
-                flat = np.frombuffer(b"".join(x for x, _ in done), np.int32)
+                done = m.encode_all(ts)
+                counts = np.array([len(x) // 4 for x in done], np.int32)
+                flat = np.frombuffer(b"".join(done), np.int32)
+                ends = np.cumsum(counts)
+                same = [m.decode(flat[z - n : z]) == t for t, n, z in zip(ts, counts.tolist(), ends.tolist())]
                 cols = [*part.columns, list_array(flat, counts, pa.int32()), pa.array(counts), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(cols, [*inner, "_ids", "_n", "_same"])
 

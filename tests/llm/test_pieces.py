@@ -22,14 +22,28 @@ def test_long_segments_stream():
     for text in ("thereof" * 3000, "ab" * 5000, " " * 400 + "x", "é漢" * 900, "internationalization" * 700):
         assert np.frombuffer(m.encode(text), np.int32).tolist() == LIB.encode(text)
     parts = list(m.stream("thereof" * 3000))
-    assert len(parts) > 50 and max(map(len, parts)) < 16 * m.longest
+    assert len(parts) > 200 and max(map(len, parts)) <= 3 * m.longest
 
 
-def test_round_trip_decodes_the_returned_ids():
+def test_streaming_whole_texts_of_the_table_commits_and_equals_the_library(spark, sf_dir):
+    m = pieces.model()
+    commits = 0
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        s = (" " + r.text).replace(" ", pieces.MARK) if r.text else ""
+        parts = list(m.stream(s))
+        commits += len(parts) - 1
+        assert [i for p in parts for i in p] == LIB.encode(r.text or "")
+        assert all(len(p) <= 4 * m.longest for p in parts)
+    assert commits > 1000
+
+
+def test_round_trip_decodes_the_returned_ids(spark):
     m = pieces.Model(pieces.MODEL)
-    assert m.encode_checked("some words") == (m.encode("some words"), True)
-    m.memo[" words"] = m.encode("others")  # wrong ids from the memo must show
-    assert m.encode_checked("some words")[1] is False
+    m.encode("some words")
+    m.spaced["words"] = m.encode("others")  # wrong ids from the memo must show
+    assert m.decode(np.frombuffer(m.encode("some words"), np.int32)) != "some words"
+    df = spark.createDataFrame([(1, "a▁b"), (2, "a b"), (3, "▁")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.round_trip) for r in pieces.encoded(df).collect()) == [(1, False), (2, True), (3, False)]
 
 
 def test_whole_table(spark, sf_dir):
