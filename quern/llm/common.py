@@ -32,14 +32,24 @@ def text_key(col: str | Column = "text") -> Column:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder of the session, so that lost executors cost a re-read."""
+    """Cut the lineage in the shared checkpoint folder of the session, so that lost executors cost a re-read.
+
+    Where the setting is absent a folder of this machine serves local sessions; on a cluster it is an error."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quern-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def by_place(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with columns named by place (_c0, _c1 ...), apart from any name an operator adds, and its own names."""
+    names = df.columns
+    return df.toDF(*[f"_c{i}" for i in range(len(names))]), names
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True where crc32 of the id's decimal text leaves 0 modulo 5; null ids count as held out."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

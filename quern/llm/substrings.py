@@ -14,7 +14,8 @@ its own text.
 
 Edge cases: null texts stay null, empty ones empty, with no spans; rows with one doc_id count as one document
 (identical rows get identical results, none is removed as the other's copy); rows with a null doc_id only lose
-repeats of their own text or of documents with an id and are never first holders; an empty table gives an empty result; other columns are kept.
+repeats of their own text or of documents with an id and are never first holders; runs belong to a row by its doc_id and the whole
+64-bit hash of its text, so rows of one doc_id, or without any, keep apart; an empty table gives an empty result; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_key, text_slices, utf8, widened
+from .common import by_place, checkpointed, text_key, text_slices, utf8, widened
 
 MIN_CHUNK = 24
 MAX_CHUNK = 512
@@ -78,11 +79,11 @@ def cuts(data: np.ndarray, found: list[int], start: int, end: int) -> list[int]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], places: bool) -> Iterator[pa.RecordBatch]:
-    """(digest, doc_id) of each document's distinct chunks or, with places, all chunks as (digest, doc_id, at, local):
-    at packs 16 bits of the text hash, the byte offset and the length; local marks repeats within the text."""
+    """(digest, doc_id) of each document's distinct chunks or, with places, all chunks as (digest, doc_id, th, at, local):
+    th is the text hash, at packs the byte offset and the length; local marks repeats within the text."""
     digest = xxhash.xxh3_64_intdigest
     for b in batches:
-        ids, tags = b.column("doc_id"), b.column("th").to_numpy()
+        ids, hashes = b.column("doc_id"), b.column("th")
         col = b.column("text")
         raw, off = utf8(col)
         for lo, hi in text_slices(col):
@@ -102,7 +103,6 @@ def _chunks(batches: Iterator[pa.RecordBatch], places: bool) -> Iterator[pa.Reco
                 s, e = int(ends[k]), int(ends[k + 1])
                 if s == e:
                     continue
-                tag = (int(tags[lo + k]) & 0x7FFF) << 48
                 seen: set[int] = set()
                 last = s
                 for c in cuts(data, [x for x in found[split[k] : split[k + 1]].tolist() if x < e], s, e):
@@ -112,15 +112,16 @@ def _chunks(batches: Iterator[pa.RecordBatch], places: bool) -> Iterator[pa.Reco
                         hs.append(h)
                         rows.append(lo + k)
                         if places:
-                            at.append(tag | (last - s) << 16 | (c - last))
+                            at.append((last - s) << 16 | (c - last))
                             local.append(again)
                     seen.add(h)
                     last = c
-            cols = [pa.array(np.array(hs, np.uint64).view(np.int64)), ids.take(pa.array(rows, pa.int64()))]
+            of = pa.array(rows, pa.int64())
+            cols = [pa.array(np.array(hs, np.uint64).view(np.int64)), ids.take(of)]
             names = ["digest", "doc_id"]
             if places:
-                cols += [pa.array(at, pa.int64()), pa.array(local, pa.bool_())]
-                names += ["at", "local"]
+                cols += [hashes.take(of), pa.array(at, pa.int64()), pa.array(local, pa.bool_())]
+                names += ["th", "at", "local"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
 
@@ -129,24 +130,24 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def first_holders(docs: DataFrame) -> DataFrame:
-    """(digest, first): chunks that two or more documents hold, with the smallest doc_id."""
-    rows = _source(docs).filter("doc_id is not null").mapInArrow(lambda it: _chunks(it, False), "digest long, doc_id long")
-    held = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    return held.filter("first < last").select("digest", "first")
+    """(digest, first): chunks that two or more documents, or one and a row without a doc_id, hold, with the smallest doc_id."""
+    rows = _source(docs).mapInArrow(lambda it: _chunks(it, False), "digest long, doc_id long")
+    held = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.bool_or(F.col("doc_id").isNull()).alias("stray"))
+    return held.filter("first < last or first is not null and stray").select("digest", "first")
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, runs): for each text with repeats, its repeated chunks [(offset, length, first holder)]."""
+    """(doc_id, th, runs): for each text with repeats, its repeated chunks [(offset, length, first holder)]."""
     holders = checkpointed(first_holders(docs))
-    places = _source(docs).mapInArrow(lambda it: _chunks(it, True), "digest long, doc_id long, at long, local boolean")
+    places = _source(docs).mapInArrow(lambda it: _chunks(it, True), "digest long, doc_id long, th long, at long, local boolean")
     met = places.join(holders, "digest", "left").filter(F.col("local") | (F.col("first") < F.coalesce("doc_id", F.lit(2**63 - 1))))
     other = F.when(F.col("first") < F.coalesce("doc_id", F.lit(2**63 - 1)), F.col("first")).otherwise(F.col("doc_id"))
     chunk = F.struct(
-        F.shiftright("at", 16).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"),
+        F.shiftright("at", 16).cast("int").alias("start"),
         F.col("at").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("length"),
         other.alias("first"),
     )
-    return met.groupBy("doc_id", F.shiftright("at", 48).alias("tag")).agg(F.collect_list(chunk).alias("runs"))
+    return met.groupBy("doc_id", "th").agg(F.collect_list(chunk).alias("runs"))
 
 
 def merge_runs(chunks: list[tuple[int, int, int | None]]) -> list[tuple[int, int, list]]:
@@ -169,17 +170,17 @@ def deduplicated(docs: DataFrame, removed: str = "removed_bytes", spans_as: str
     (array of start, end, first, holders in bytes of the original text, holders = the doc_ids that keep parts of the passage, first = the
 smallest of them), under the given names; they
     replace columns of docs with these names."""
-    names = docs.columns
-    runs = repeated_runs(docs).select(F.col("doc_id").alias("__q_id"), F.col("tag").alias("__q_tag"), F.col("runs").alias("__q_runs"))
-    tagged = docs.withColumn("__q_th", text_key().bitwiseAND(F.lit(0x7FFF)))
-    met = tagged.join(runs, F.col("doc_id").cast("long").eqNullSafe(F.col("__q_id")) & (F.col("__q_th") == F.col("__q_tag")), "left")
-    met = met.withColumn("__q_text", F.col("text").cast("string")).select(*[F.col(f"`{c}`") for c in names if c != "text"], "__q_text", "__q_runs")
-    keep = [c for c in names if c != "text"]
+    src, names = by_place(docs)
+    inner = src.columns
+    key, at = names.index("doc_id"), names.index("text")
+    runs = repeated_runs(docs).toDF("_id", "_th", "_runs")
+    src = src.withColumn(inner[at], F.col(inner[at]).cast("string"))
+    met = src.join(runs, src[inner[key]].cast("long").eqNullSafe(F.col("_id")) & (text_key(inner[at]) == F.col("_th")), "left").select(*inner, "_runs")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, removed, spans = [], [], []
-            for t, r in zip(b.column("__q_text").to_pylist(), b.column("__q_runs").to_pylist()):
+            text, cut, spans = [], [], []
+            for t, r in zip(b.column(at).to_pylist(), b.column("_runs").to_pylist()):
                 found = merge_runs([(x["start"], x["length"], x["first"]) for x in r]) if r and t else []
                 if found:
                     raw, out, last = t.encode(), [], 0
@@ -189,13 +190,13 @@ smallest of them), under the given names; they
                     out.append(raw[last:])
                     t = b"".join(out).decode()
                 text.append(t)
-                removed.append(sum(z - a for a, z, _ in found))
+                cut.append(sum(z - a for a, z, _ in found))
                 spans.append([{"start": a, "end": z, "first": min((x for x in f if x is not None), default=None), "holders": f} for a, z, f in found])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first", pa.int64()), ("holders", pa.list_(pa.int64()))]))
-            cols = [b.column(c) for c in keep] + [pa.array(text, pa.string()), pa.array(removed, pa.int32()), pa.array(spans, kind)]
-            yield pa.RecordBatch.from_arrays(cols, [*keep, "__q_text", "__q_removed", "__q_spans"])
+            cols = [*b.columns[: len(inner)], pa.array(cut, pa.int32()), pa.array(spans, kind)]
+            cols[at] = pa.array(text, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, [*inner, "_cut", "_spans"])
 
-    schema = widened(met.select(*[F.col(f"`{c}`") for c in keep], "__q_text").schema, "__q_removed int, __q_spans array<struct<start:int,end:int,first:bigint,holders:array<bigint>>>")
-    done = met.mapInArrow(strip, schema)
-    cols = [F.col("__q_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names if c not in (removed, spans_as)]
-    return done.select(*cols, F.col("__q_removed").alias(removed), F.col("__q_spans").alias(spans_as))
+    done = met.mapInArrow(strip, widened(src.schema, "_cut int, _spans array<struct<start:int,end:int,first:bigint,holders:array<bigint>>>"))
+    kept = [F.col(i).alias(n) for i, n in zip(inner, names) if n not in (removed, spans_as)]
+    return done.select(*kept, F.col("_cut").alias(removed), F.col("_spans").alias(spans_as))

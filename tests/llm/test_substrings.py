@@ -64,9 +64,9 @@ def test_passages_go_and_clean_documents_stay(spark):
     clean = dict(rows[20:])
     rows[:20] = [(i, t[: 50 + 17 * i] + "\n" + passage + "\n" + t[50 + 17 * i :]) for i, t in rows[:20]]
     rows += [(70, None), (71, ""), (72, "é" * 40000), (None, passage), (5, rows[5][1]), (74, words(rng, 3))]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as spans", "2 as digest", "3 as runs", "4 as _th", "5 as __q_x")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as spans", "2 as digest", "3 as runs", "4 as _th", "5 as __q_id", "6 as _c0", "7 as _runs")
     out = substrings.deduplicated(df)
-    assert out.columns == ["doc_id", "text", "digest", "runs", "_th", "__q_x", "removed_bytes", "spans"]
+    assert out.columns == ["doc_id", "text", "digest", "runs", "_th", "__q_id", "_c0", "_runs", "removed_bytes", "spans"]
     got = out.collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(brute(rows), key=str)
     for r in got:
@@ -94,6 +94,16 @@ def test_a_chunk_seen_earlier_does_not_split_a_passage(spark):
     assert got[901].removed_bytes > 0.6 * len(raw)
 
 
+def test_rows_without_an_id_or_of_one_id_keep_apart(spark):
+    rng = random.Random(12)
+    passage = words(rng, 60)
+    rows = [(None, words(rng, 40) + (" é " + passage if k % 3 == 0 else "")) for k in range(400)]
+    rows += [(1, passage), (2, words(rng, 30)), (2, words(rng, 30) + " " + passage), (2, "ß" * 300), (3, words(rng, 20) + " " + passage), (3, words(rng, 20) + " " + passage), (None, passage + " " + passage)]
+    got = substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(brute(rows), key=str)
+    assert sum(r.removed_bytes > 0.4 * len(passage) for r in got if r.doc_id is None) == 135
+
+
 def test_boundaries_without_white_space_resist_insertions():
     rng = random.Random(9)
     a = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(3000))
