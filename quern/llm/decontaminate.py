@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_key, text_slices, texts
+from .common import by_place, checkpointed, text_key, text_slices, texts
 
 N = 3
 RARE = 1e-7
@@ -226,8 +226,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without a contaminated pair; rows with a null doc_id go by their text."""
-    bad = checkpointed(contaminated(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__q_id"), F.col("th").alias("__q_bad")).distinct())
-    cols = docs.columns
-    tagged = docs.withColumn("__q_th", text_key())
-    met = tagged.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__q_id")) & (F.col("__q_th") == F.col("__q_bad")), "left_anti")
-    return met.select(*[F.col(f"`{c}`") for c in cols])
+    bad = checkpointed(contaminated(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
+    src, names = by_place(docs)
+    own, text = src[f"_c{names.index('doc_id')}"], f"_c{names.index('text')}"
+    met = src.join(bad, own.cast("long").eqNullSafe(F.col("_id")) & (text_key(text) == F.col("_th")), "left_anti")
+    return met.toDF(*names)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed, raw_texts, text_key, text_slices
+from .common import ascii_lower, by_place, checkpointed, raw_texts, text_key, text_slices
 
 SHINGLE = 3
 SEED = 42
@@ -234,16 +234,16 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.mapInArrow(_compare, "u long, v long")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): smallest node reachable over the undirected edges (u, v); nodes without an edge are absent.
 
     Each round takes the smallest label of the neighbours (partially aggregated, so hubs don't skew it) and then
-    jumps to the label's own label. Rounds are cut by checkpoints; only a count of changes reaches the driver.
+    jumps to the label's own label, until no label changes. Rounds are cut by checkpoints; only a count of changes reaches the driver.
     """
     both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).distinct()
     both = checkpointed(both)
     state = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("root")))
-    for _ in range(max_rounds):
+    while True:
         seen = both.join(state, both.v == state.node).select(both.u.alias("node"), "root")
         low = seen.groupBy("node").agg(F.min("root").alias("m"))
         near = state.join(low, "node").select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
@@ -254,7 +254,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         state = new.select("node", "root")
         if not changed:
             return state
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -279,8 +278,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """Documents with one row of each near-duplicate component: the smallest doc_id, ties by text hash."""
     kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("first_th")))
     # one row for each component: rows without any id differ by fp
-    kept = kept.groupBy("doc_id", "th").agg(F.first("fp").alias("__q_one")).select(F.col("doc_id").alias("__q_id"), F.col("th").alias("__q_th"))
-    cols = docs.columns
-    tagged = docs.withColumn("__q_th", text_key())
-    met = tagged.join(kept.withColumnRenamed("__q_th", "__q_kt"), F.col("doc_id").eqNullSafe(F.col("__q_id")) & (F.col("__q_th") == F.col("__q_kt")), "left_semi")
-    return met.dropDuplicates(["doc_id", "__q_th"]).select(*[F.col(f"`{c}`") for c in cols])
+    kept = kept.groupBy("doc_id", "th").agg(F.first("fp").alias("one")).select(F.col("doc_id").alias("_kept"), F.col("th").alias("_kept_th"))
+    src, names = by_place(docs)
+    own, text = src[f"_c{names.index('doc_id')}"], f"_c{names.index('text')}"
+    tagged = src.withColumn("_id", own.cast("long")).withColumn("_th", text_key(text))
+    met = tagged.join(kept, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_th") == F.col("_kept_th")), "left_semi")
+    return met.dropDuplicates(["_id", "_th"]).select(*src.columns).toDF(*names)
