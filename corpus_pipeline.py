@@ -23,11 +23,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut from the text; n_chars follows."""
     names = docs.columns
-    out = substrings.deduplicated(docs, "__q_removed", "__q_spans")
+    removed, spans = "_" * max(map(len, names)) + "removed", "_" * max(map(len, names)) + "spans"  # no column of docs
+    out = substrings.deduplicated(docs, removed, spans)
     if "n_chars" in names:
-        shorter = F.when(F.col("__q_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        shorter = F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", shorter)
-    return out.select(*[F.col(f"`{c}`") for c in names])
+    return out.drop(removed, spans)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
