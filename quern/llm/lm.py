@@ -1,18 +1,20 @@
 """Language-model scoring by masked pseudo-likelihood.
 
-Words are counted over all documents; the ``TOP`` most frequent ones are the model's words and the others share ``REST`` hash
-buckets (their number of distinct words, from the same count, splits a bucket's probability). A window network predicts each
-token from ``REACH`` words on both sides: embeddings, one tanh layer, and a two-level softmax over classes and words in a class. It
-is trained in numpy on all tokens of all documents: each task walks its documents from the shared weights with stochastic gradient steps
-on masked positions (one in ``ROUNDS``, by place, other places in the next round, so that every position is predicted once), and the
-tasks' weights are averaged by their number of steps, in ``ROUNDS`` rounds. A
-document's score is the sum over all its tokens of log P(token | both sides), and its mean.
-
-Scale: the count is partially aggregated in the tasks; what tasks send for the average grows with the number of tasks
-and is added up in a tree (common.block_sums); the weights have a fixed size (0.9 MB).
+Words are counted over all documents. The ``TOP`` most frequent ones are the model's words and the others share ``REST`` hash
+buckets; a bucket's probability is split among its words by their own corpus counts, which are joined from the whole count table. A
+window network predicts each token from ``REACH`` words on both sides: embeddings, one tanh layer, and a two-level softmax over classes
+and words in a class. It is trained in numpy on all tokens of all documents: each task walks its documents from the shared weights with
+Adagrad steps on masked positions (one in ``ROUNDS``, by place, other places in the next round, so that every position is predicted
+once), and the tasks' weights are averaged by their number of steps, in ``ROUNDS`` rounds. Tasks get ``TASK_TOKENS`` tokens or more, as
+short walks teach little. A document's score is the sum over all its tokens of log P(token | both sides), and its mean.
+
+Scale: the counts are partially aggregated in the tasks; what tasks send for the average grows with the number of tasks
+and is added up in a tree (common.block_sums); the weights have a fixed size (0.3 MB). The counts of words outside the model
+meet their places in a shuffle join by word hash; no such word can hold more than one in ``TOP`` + 1 of all tokens, so the join has no hot key.
 
 Edge cases: null and empty texts have no tokens, sum 0 and mean null; repeated rows get equal scores; one word has
-padding on both sides; an empty table gives an empty result; other columns are ignored; texts of any length are cut into batches.
+padding on both sides; an empty table gives an empty result; other columns are ignored, whatever their names; texts of any length are
+cut into batches. Sums are added in the order of arrival, so scores are rounded to ``DIGITS`` places and may still differ in the last one between runs.
 """
 
 from __future__ import annotations
@@ -26,28 +28,40 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, block_sums, checkpointed, raw_texts, text_key, text_slices
+from .common import ascii_lower, block_sums, checkpointed, list_array, raw_texts, text_key, text_slices
 
-TOP = 3072
-REST = 1024
-CLASSES = 64
+TOP = 2048
+REST = 256
+CLASSES = 48
 SIZE = TOP + REST
 INNER = SIZE // CLASSES
 REACH = 2
-EMBED = 16
-HIDDEN = 32
+EMBED = 12
+HIDDEN = 24
 ROUNDS = 2
 #: Rows of a gradient step, and of a scoring batch.
-STEP, BATCH = 4096, 32768
-RATE = 1.0
-MEMO = 300_000
+STEP, BATCH = 8192, 8192
+RATE = 0.16
+#: Tokens that a training task has at least, where the corpus allows.
+TASK_TOKENS = 2_000_000
+#: Logits are clipped to this size.
+LIMIT = np.float32(60)
+DIGITS = 6
+MEMO = 400_000
 #: Floats of the weights that travel together.
 BLOCK = 1024
 _SHAPES = ((SIZE + 1, EMBED), (2 * REACH * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, INNER), (CLASSES, INNER))
 
 
-def bucket(word: bytes) -> int:
-    return TOP + xxhash.xxh32_intdigest(word, 3) % REST
+def word_hash(word: bytes) -> int:
+    """Signed 64-bit hash, as the SQL function xxhash64 gives it for a binary value; never an id of the model."""
+    h = xxhash.xxh64_intdigest(word, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def buckets(hashes: np.ndarray) -> np.ndarray:
+    """Ids of the buckets of word hashes."""
+    return TOP + hashes % REST
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -73,10 +87,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-    """Model words with ids by frequency (ties by word), the number of distinct other words of each bucket (1 at least), and
-    the occurrences of every id."""
-    counts = checkpointed(word_counts(docs))
+def vocabulary(counts: DataFrame) -> tuple[dict[bytes, int], np.ndarray]:
+    """Model words with ids by frequency (ties by word), and the occurrences of every id, from the whole word counts."""
     # a histogram of the counts (16 steps an octave) finds where the top begins, so that tasks send little besides it
     level = F.floor(F.log2("n") * 16)
     need, least = TOP, 0
@@ -88,43 +100,31 @@ def vocabulary(docs: DataFrame) -> tuple[dict[bytes, int], np.ndarray, np.ndarra
     top = {bytes(r.word): i for i, r in enumerate(rows)}
     uses = np.zeros(SIZE, np.int64)
     uses[: len(rows)] = [r.n for r in rows]
+    # words of the model count in no bucket: what they add to theirs is taken off again
+    for r in counts.groupBy(F.pmod(F.xxhash64("word"), F.lit(REST)).alias("b")).agg(F.sum("n").alias("n")).collect():
+        uses[TOP + r.b] = r.n
+    for w, i in top.items():
+        uses[TOP + word_hash(w) % REST] -= uses[i]
+    return top, uses
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, uses = np.zeros(REST, np.int64), np.zeros(REST, np.int64)
-        for b in batches:
-            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if w not in top:
-                    k = bucket(w) - TOP
-                    kinds[k] += 1
-                    uses[k] += n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(REST)), pa.array(kinds), pa.array(uses)], ["b", "kinds", "uses"])
 
-    kinds = np.ones(REST, np.int64)
-    for r in counts.select("word", "n").mapInArrow(run, "b long, kinds long, uses long").groupBy("b").agg(F.sum("kinds").alias("kinds"), F.sum("uses").alias("uses")).collect():
-        kinds[r.b] = max(1, r.kinds)
-        uses[TOP + r.b] = r.uses
-    return top, kinds, uses
+class Reader(dict):
+    """Texts to codes: the id of a word of the model, the hash of any other."""
 
+    def __init__(self, top: dict[bytes, int]) -> None:
+        super().__init__(top)
+        self.top = top
 
-class Reader:
-    """Texts to id sequences."""
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > MEMO:
+            self.clear()
+            self.update(self.top)
+        code = self[word] = word_hash(word)
+        return code
 
-    def __init__(self, top: dict[bytes, int]) -> None:
-        self.top, self.rest = top, {}
-
-    def ids(self, raw: bytes) -> np.ndarray:
-        top, rest = self.top, self.rest
-        if len(rest) > MEMO:
-            rest.clear()
-        out = []
-        for w in ascii_lower(raw).split():
-            i = top.get(w)
-            if i is None:
-                i = rest.get(w)
-                if i is None:
-                    i = rest[w] = bucket(w)
-            out.append(i)
-        return np.array(out, np.int32)
+    def codes(self, raw: bytes) -> np.ndarray:
+        words = ascii_lower(raw).split()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def start(uses: np.ndarray) -> list[np.ndarray]:
@@ -169,9 +169,12 @@ def windows(ids: np.ndarray) -> np.ndarray:
 def _forward(w: list[np.ndarray], ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x = w[0][ctx].reshape(len(ctx), -1)
     h = np.tanh(x @ w[1] + w[2])
-    z = h @ w[3] + w[4]
-    z -= z.max(axis=1, keepdims=True)
-    return x, h, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return x, h, _clipped(h @ w[3], w[4])
+
+
+def _clipped(z: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    z += bias
+    return np.clip(z, -LIMIT, LIMIT, out=z)
 
 
 def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -184,61 +187,95 @@ def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]
 
 def log_probabilities(w: list[np.ndarray], ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log P(target | context) of each row."""
-    _, h, lc = _forward(w, ctx)
-    out = lc[np.arange(len(target)), target % CLASSES].astype(np.float64)
+    _, h, z = _forward(w, ctx)
+    n = len(target)
+    out = z[np.arange(n), target % CLASSES].astype(np.float64)
+    out -= np.log(np.exp(z, out=z) @ np.ones(CLASSES, np.float32))
     order, groups = _by_class(target)
-    for c, a, z in groups:
-        rows = order[a:z]
-        s = h[rows] @ w[5][c] + w[6][c]
-        s -= s.max(axis=1, keepdims=True)
-        out[rows] += s[np.arange(z - a), target[rows] // CLASSES] - np.log(np.exp(s).sum(axis=1))
+    h, inner = h[order], (target // CLASSES)[order]
+    part = np.empty(n)
+    for c, a, b in groups:
+        s = _clipped(h[a:b] @ w[5][c], w[6][c])
+        part[a:b] = s[np.arange(b - a), inner[a:b]]
+        part[a:b] -= np.log(np.exp(s, out=s) @ np.ones(INNER, np.float32))
+    out[order] += part
     return out
 
 
-def step(w: list[np.ndarray], ctx: np.ndarray, target: np.ndarray, rate: float) -> None:
-    """One gradient step in place on the mean negative log-likelihood of a batch."""
+def gradients(w: list[np.ndarray], ctx: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
+    """Gradients of the mean negative log-likelihood of a batch, in the order of the weights."""
     n = np.float32(len(target))
-    x, h, lc = _forward(w, ctx)
-    dz = np.exp(lc)
-    dz[np.arange(len(target)), target % CLASSES] -= 1
-    dz /= n
-    dh = dz @ w[3].T
+    x, h, z = _forward(w, ctx)
+    np.exp(z, out=z)
+    z *= (1 / n / (z @ np.ones(CLASSES, np.float32)))[:, None]
+    z[np.arange(len(target)), target % CLASSES] -= 1 / n
     order, groups = _by_class(target)
-    for c, a, z in groups:
-        rows = order[a:z]
-        hc = h[rows]
-        s = hc @ w[5][c] + w[6][c]
-        s = np.exp(s - s.max(axis=1, keepdims=True))
-        s /= s.sum(axis=1, keepdims=True)
-        s[np.arange(z - a), target[rows] // CLASSES] -= 1
-        s /= n
-        dh[rows] += s @ w[5][c].T
-        w[5][c] -= 4 * rate * (hc.T @ s)
-        w[6][c] -= rate * s.sum(axis=0)
-    w[3] -= rate * (h.T @ dz)
-    w[4] -= rate * dz.sum(axis=0)
+    hs, inner = h[order], (target // CLASSES)[order]
+    ds = np.empty_like(hs)
+    matrix, bias = np.zeros_like(w[5]), np.zeros_like(w[6])
+    for c, a, b in groups:
+        s = _clipped(hs[a:b] @ w[5][c], w[6][c])
+        np.exp(s, out=s)
+        s *= (1 / n / (s @ np.ones(INNER, np.float32)))[:, None]
+        s[np.arange(b - a), inner[a:b]] -= 1 / n
+        ds[a:b] = s @ w[5][c].T
+        matrix[c] = hs[a:b].T @ s
+        bias[c] = s.sum(axis=0)
+    dh = z @ w[3].T
+    dh[order] += ds
     dp = dh * (1 - h * h)
     dx = (dp @ w[1].T).reshape(-1, EMBED)
-    w[1] -= rate * (x.T @ dp)
-    w[2] -= rate * dp.sum(axis=0)
     at = ctx.ravel()
-    for k in range(EMBED):
-        w[0][:, k] -= 4 * rate * np.bincount(at, weights=dx[:, k], minlength=SIZE + 1).astype(np.float32)
+    words = np.stack([np.bincount(at, weights=dx[:, k], minlength=SIZE + 1) for k in range(EMBED)], axis=1).astype(np.float32)
+    return [words, x.T @ dp, dp.sum(axis=0), h.T @ z, z.sum(axis=0), matrix, bias]
+
+
+def step(w: list[np.ndarray], past: list[np.ndarray], ctx: np.ndarray, target: np.ndarray, rate: float) -> None:
+    """One Adagrad step in place; past: sums of squared gradients."""
+    for x, p, g in zip(w, past, gradients(w, ctx, target)):
+        p += g * g
+        g *= np.float32(rate)
+        g /= np.sqrt(p)
+        x -= g
+
+
+def _source(docs: DataFrame) -> DataFrame:
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), F.col("text").cast("string").alias("text"))
+    return src.withColumn("row_key", F.xxhash64("doc_id", "th"))
 
 
 def sequences(docs: DataFrame, top: dict[bytes, int]) -> DataFrame:
-    """(doc_id, th, ids): every text as 16-bit ids in a binary column."""
+    """(doc_id, th, row_key, ids, rare): every text as 16-bit ids in a binary column, and the hashes of its words outside the model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(top)
         for b in batches:
             col = b.column("text")
             for lo, hi in text_slices(col):
-                ids = [reader.ids(r).astype(np.uint16).tobytes() for r in raw_texts(col.slice(lo, hi - lo))]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("th").slice(lo, hi - lo), pa.array(ids, pa.binary())], ["doc_id", "th", "ids"])
+                codes = [reader.codes(r) for r in raw_texts(col.slice(lo, hi - lo))]
+                n = np.array([len(c) for c in codes])
+                flat = np.concatenate(codes)
+                other = (flat < 0) | (flat >= TOP)
+                ids = np.where(other, buckets(flat), flat).astype(np.uint16).tobytes()
+                ends = np.concatenate([[0], np.cumsum(n)])
+                rare = np.concatenate([[0], np.cumsum(other)])[ends]
+                own = [ids[2 * x : 2 * y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                cols = [*(b.column(c).slice(lo, hi - lo) for c in ("doc_id", "th", "row_key")), pa.array(own, pa.binary()), list_array(flat[other], np.diff(rare), pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "row_key", "ids", "rare"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, th long, ids binary")
+    return src.withColumn("row_key", F.xxhash64("doc_id", "th")).mapInArrow(run, "doc_id long, th long, row_key long, ids binary, rare array<long>")
+
+
+def rare_sums(coded: DataFrame, counts: DataFrame) -> DataFrame:
+    """(row_key, worth): for every text the sum of log corpus count over its words outside the model."""
+    places = coded.select("row_key", F.explode("rare").alias("word"))
+    worth = counts.filter("n > 1").select(F.xxhash64("word").alias("word"), F.log("n").alias("worth"))
+    met = places.join(worth, "word").select("row_key", "worth", F.lit(0).alias("copies"))
+    # rows of one text and doc_id share a key: their number takes the sum back to one of them
+    every = met.union(coded.select("row_key", F.lit(0.0), F.lit(1)))
+    sums = every.groupBy("row_key").agg(F.sum("worth").alias("worth"), F.sum("copies").alias("copies"))
+    return sums.select("row_key", (F.col("worth") / F.col("copies")).alias("worth"))
 
 
 def read_ids(col: pa.Array) -> list[np.ndarray]:
@@ -253,13 +290,15 @@ def masked(n: int, turn: int) -> slice:
 
 def train(coded: DataFrame, uses: np.ndarray) -> list[np.ndarray]:
     """ROUNDS of local training on all documents (as sequences) and weighted averaging."""
-    src = coded.select("ids")
+    tasks = max(1, int(uses.sum()) // TASK_TOKENS)
+    src = coded.select("ids").coalesce(tasks)
     weights = start(uses)
     blocks = len(flat(weights)) // BLOCK
     for turn in range(ROUNDS):
 
         def run(batches: Iterator[pa.RecordBatch], begin: list[np.ndarray] = weights, turn: int = turn) -> Iterator[pa.RecordBatch]:
             w, steps, part = [x.copy() for x in begin], 0, 0
+            past = [np.full_like(x, 1e-8) for x in begin]
             ctxs: list[np.ndarray] = []
             targets: list[np.ndarray] = []
             held = 0
@@ -271,11 +310,11 @@ def train(coded: DataFrame, uses: np.ndarray) -> list[np.ndarray]:
                     held += len(targets[-1])
                     while held >= STEP:
                         c, t = np.concatenate(ctxs), np.concatenate(targets)
-                        step(w, c[:STEP], t[:STEP], RATE / (1 + turn))
+                        step(w, past, c[:STEP], t[:STEP], RATE / (1 + turn))
                         steps += 1
                         ctxs, targets, held = [c[STEP:]], [t[STEP:]], len(t) - STEP
             if held:
-                step(w, np.concatenate(ctxs), np.concatenate(targets), RATE / (1 + turn) * held / STEP)
+                step(w, past, np.concatenate(ctxs), np.concatenate(targets), RATE / (1 + turn) * held / STEP)
                 steps += held / STEP
             if steps:
                 v = flat(w) * np.float32(steps)
@@ -290,46 +329,65 @@ def train(coded: DataFrame, uses: np.ndarray) -> list[np.ndarray]:
 
 
 def score_text(ids: np.ndarray, w: list[np.ndarray], share: np.ndarray) -> float:
-    """Sum of the log-probabilities of all tokens; share: log split of each id among its words."""
+    """Sum of the log-probabilities of all tokens; share: log of the occurrences that each id's words have together, 0 for words of the model."""
     if not len(ids):
         return 0.0
-    ctx, total = windows(ids), 0.0
+    total = 0.0
     for lo in range(0, len(ids), BATCH):
         t = ids[lo : lo + BATCH]
-        total += float((log_probabilities(w, ctx[lo : lo + BATCH], t) - share[t]).sum())
+        front = max(0, lo - REACH)
+        ctx = windows(ids[front : lo + BATCH + REACH])[lo - front : lo - front + len(t)]
+        total += float((log_probabilities(w, ctx, t) - share[t]).sum())
     return total
 
 
 def _score_slice(seqs: list[np.ndarray], w: list[np.ndarray], share: np.ndarray) -> np.ndarray:
     """score_text of many texts in shared batches."""
     n = np.array([len(s) for s in seqs])
-    if not n.sum():
-        return np.zeros(len(seqs))
-    ctx, t = np.concatenate([windows(s) for s in seqs]), np.concatenate(seqs)
-    each = np.empty(len(t))
-    for lo in range(0, len(t), BATCH):
-        own = t[lo : lo + BATCH]
-        each[lo : lo + BATCH] = log_probabilities(w, ctx[lo : lo + BATCH], own) - share[own]
-    sums = np.concatenate([[0.0], np.cumsum(each)])
-    ends = np.cumsum(n)
-    return sums[ends] - sums[ends - n]
+    sums = np.zeros(len(seqs) + 1)
+    if n.sum():
+        row = np.repeat(np.arange(len(seqs)), n)
+        ids = np.concatenate(seqs)
+        ctx = np.concatenate([windows(s) for s in seqs])
+        for lo in range(0, len(ids), BATCH):
+            own = ids[lo : lo + BATCH]
+            sums += np.bincount(row[lo : lo + BATCH], weights=log_probabilities(w, ctx[lo : lo + BATCH], own) - share[own], minlength=len(sums))
+    return sums[:-1]
+
+
+def _groups(n: list[int], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Row ranges of about so many tokens, one row at least."""
+    lo, held = 0, 0
+    for k, x in enumerate(n):
+        if held and held + x > most:
+            yield lo, k
+            lo, held = k, 0
+        held += x
+    if lo < len(n):
+        yield lo, len(n)
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """(doc_id, th, n_tokens, sum_logprob, mean_logprob) of every document by a model of all documents."""
-    top, kinds, uses = vocabulary(docs)
+    counts = checkpointed(word_counts(docs))
+    top, uses = vocabulary(counts)
     coded = checkpointed(sequences(docs, top))
     weights = train(coded, uses)
-    share = np.concatenate([np.zeros(TOP), np.log(kinds)])
+    share = np.concatenate([np.zeros(TOP), np.log(np.maximum(1, uses[TOP:]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, len(b), 256):
-                part = b.slice(lo, 256)
+            sizes = [len(x.as_buffer()) // 2 if x.is_valid else 0 for x in b.column("ids")]
+            for lo, hi in _groups(sizes):
+                part = b.slice(lo, hi - lo)
+                n = np.array(sizes[lo:hi], np.int32)
                 seqs = read_ids(part.column("ids"))
-                n = np.array([len(s) for s in seqs], np.int32)
-                sums = _score_slice(seqs, weights, share)
-                mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(n), pa.array(sums), mean], ["doc_id", "th", "n_tokens", "sum_logprob", "mean_logprob"])
-
-    return coded.mapInArrow(run, "doc_id long, th long, n_tokens int, sum_logprob double, mean_logprob double")
+                one = hi - lo == 1 and n[0] > BATCH  # a very long text: its contexts are made batch by batch
+                sums = np.array([score_text(seqs[0], weights, share)]) if one else _score_slice(seqs, weights, share)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "th", "row_key")), pa.array(n), pa.array(sums)], ["doc_id", "th", "row_key", "n_tokens", "net"])
+
+    net = coded.mapInArrow(run, "doc_id long, th long, row_key long, n_tokens int, net double")
+    whole = F.col("net") + F.coalesce("worth", F.lit(0.0))
+    met = net.join(rare_sums(coded, counts), "row_key", "left")
+    mean = F.when(F.col("n_tokens") > 0, F.round(whole / F.col("n_tokens"), DIGITS))
+    return met.select("doc_id", "th", "n_tokens", F.round(whole, DIGITS).alias("sum_logprob"), mean.alias("mean_logprob"))

@@ -40,6 +40,11 @@ def test_kernel_equals_brute_force():
 
 def test_folding():
     assert toxicity.folded_words("1D1OT i-d-i.o.t réÊß i d i o t ok".encode()) == [b"idiot", b"idiot", b"rees", b"i", b"d", b"i", b"o", b"t", b"ok", b"idiot"]
+    # other scripts: letters by code point, no Latin letters made of their bytes
+    words = toxicity.folded_words("ты идиот и дурак, ложь「愚か」 naïve".encode())
+    assert len(words) == 6 and [len(w) for w in words[:4]] == [2, 5, 1, 5] and words[5] == b"naive"
+    assert not any(97 <= c <= 122 for w in words[:5] for c in w) and words[1] != words[3]
+    assert toxicity.folded_words(("и" * 500).encode()) == [toxicity.folded_words("и".encode())[0] * 500]
 
 
 EXTRA = [(9001, None), (9002, ""), (None, "x y"), (9003, "word " * 30000), (9002, "")]
@@ -60,12 +65,11 @@ def test_held_out_fold(spark):
 @pytest.mark.parametrize("op, label, least", [("toxicity", "toxic", 0.85), ("quality", "quality", 0.9)])
 def test_held_out_accuracy_and_edges(spark, op, label, least):
     docs, labels = frames(spark, "sf0.01")
-    docs = docs.drop("th", "score", "_id")
     if op == "toxicity":
         model = toxicity.train(toxicity.labelled_sample(docs, labels, label))
         out = toxicity.scored(docs, model)
         kept = toxicity.reject(docs, model)
-        assert kept.columns == docs.columns
+        assert kept.columns == docs.columns == ["doc_id", "text", "th", "score", "_id"]
     else:
         out = quality.scored(docs, quality.fit(docs, labels))
     got = out.collect()
@@ -79,10 +83,26 @@ def test_held_out_accuracy_and_edges(spark, op, label, least):
         assert kept.count() == sum(r.score < 0.5 for r in got)
 
 
+def test_labelled_rows_and_few_telling_words(spark):
+    rows = [(k, f"text {k}") for k in range(60)] + [(1, "again")]
+    labels = [(k, k % 2) for k in range(60)] + [(1, 0), (3, 0), (None, 1)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.labelled_sample(docs, known, "toxic", 20)
+    assert len(got) == 20
+    every = toxicity.labelled_sample(docs, known, "toxic")
+    ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5]
+    assert len(every) == len(ids) + (1 in ids) and sum(y for _, y in every) == sum(k % 2 for k in ids) + (1 in ids)
+    # two toxic texts prove little, but the words that tell them apart still serve
+    few = [([b"good", b"words", b"here"], 0)] * 5 + [([b"good", b"nasty"], 1), ([b"words", b"vile"], 1)]
+    model = toxicity.train(few)
+    s = toxicity.score_texts([b"nasty thing", b"good words here"], model, {})
+    assert s[0] > s[1]
+
+
 def test_no_labels_give_the_base_rate(spark):
     docs, labels = frames(spark, "sf0.001")
     model = toxicity.train(toxicity.labelled_sample(docs, labels.limit(0), "toxic"))
-    assert {round(r.score, 2) for r in toxicity.scored(docs.drop("th", "score", "_id"), model).collect()} == {0.5}
+    assert {round(r.score, 2) for r in toxicity.scored(docs, model).collect()} == {0.5}
     flat = quality.train(np.zeros((0, 2 * quality.DIM + 3)), np.zeros(0, np.int64), np.zeros((quality.BUCKETS, 2 * quality.DIM), np.float32))
     assert flat.score(np.zeros((2, 2 * quality.DIM + 3))) == pytest.approx([0.5, 0.5])
     assert toxicity.scored(docs.limit(0), model).count() == 0
@@ -116,40 +136,91 @@ def test_lm_probabilities_sum_to_one_and_gradient():
     p = np.exp(lm.log_probabilities(w, np.repeat(ctx, lm.SIZE, axis=0), every))
     assert p.sum() == pytest.approx(1, abs=1e-4)
     ctx, t = rng.integers(0, 50, (256, 4)).astype(np.int32), rng.integers(0, 50, 256).astype(np.int32)
-    before = lm.log_probabilities(w, ctx, t).mean()
+    # gradients against central differences
+    loss = lambda: -lm.log_probabilities(w, ctx, t).mean()
+    for x, g in zip(w, lm.gradients(w, ctx, t)):
+        at = np.unravel_index(int(np.abs(g).argmax()), x.shape)
+        was, eps = x[at], 0.05
+        x[at] = was + eps
+        high = loss()
+        x[at] = was - eps
+        low = loss()
+        x[at] = was
+        assert (high - low) / (2 * eps) == pytest.approx(g[at], rel=0.05, abs=1e-4)
+    before, past = -loss(), [np.full_like(x, 1e-8) for x in w]
     for _ in range(30):
-        lm.step(w, ctx, t, 0.5)
-    assert lm.log_probabilities(w, ctx, t).mean() > before + 0.3
+        lm.step(w, past, ctx, t, 0.1)
+    assert -loss() > before + 0.3
     assert np.array_equal(np.concatenate([x.ravel() for x in lm.unflat(lm.flat(w))]), np.concatenate([x.ravel() for x in w]))
 
 
 def test_lm_whole_table(spark):
-    docs, _ = frames(spark, "sf0.001")
-    docs = docs.drop("th", "score", "_id")
-    got = lm.scored(docs).collect()
-    by = {r.doc_id: r for r in got}
-    assert len(got) == docs.count()
-    assert by[9001].n_tokens == 0 and by[9001].sum_logprob == 0 and by[9001].mean_logprob is None
-    assert all(r.mean_logprob < 0 for r in got if r.n_tokens)
-    # counts and vocabulary against brute force
     from collections import Counter
 
     from quern.llm.common import ascii_lower
 
-    want = Counter(w for r in docs.collect() for w in ascii_lower((r.text or "").encode()).split())
-    top, kinds, uses = lm.vocabulary(docs)
+    docs, _ = frames(spark, "sf0.001")
+    docs = docs.withColumnsRenamed({"th": "row_key", "score": "word", "_id": "ids"}).coalesce(1)
+    rows = docs.collect()
+    got = lm.scored(docs).collect()
+    assert len(got) == len(rows)
+    # counts and vocabulary
+    want = Counter(w for r in rows for w in ascii_lower((r.text or "").encode()).split())
+    top, uses = lm.vocabulary(lm.word_counts(docs))
     assert list(top) == [w for w, _ in sorted(want.items(), key=lambda p: (-p[1], p[0]))[: lm.TOP]]
-    assert uses.sum() == sum(want.values())
-    rest = Counter(lm.bucket(w) - lm.TOP for w in want if w not in top)
-    assert kinds.tolist() == [max(1, rest[b]) for b in range(lm.REST)]
-    # shared batches give the score of each text alone
-    reader, w = lm.Reader(top), lm.start(uses)
-    seqs = [reader.ids(b"the and of the"), reader.ids(b""), reader.ids(b"zz")]
-    share = np.concatenate([np.zeros(lm.TOP), np.log(kinds)])
-    assert lm._score_slice(seqs, w, share) == pytest.approx([lm.score_text(s, w, share) for s in seqs], abs=1e-4)
+    rest = Counter()
+    for w, n in want.items():
+        if w not in top:
+            rest[lm.word_hash(w) % lm.REST] += n
+    assert uses.tolist() == [want[w] for w in top] + [0] * (lm.TOP - len(top)) + [rest[b] for b in range(lm.REST)]
+    # scores, word by word
+    weights = lm.train(lm.sequences(docs, top), uses)
+
+    def brute(text):
+        words = ascii_lower((text or "").encode()).split()
+        ids = [top.get(w, lm.TOP + lm.word_hash(w) % lm.REST) for w in words]
+        total = 0.0
+        for i, w in enumerate(words[:3000]):
+            ctx = [ids[j] if 0 <= j < len(ids) else lm.SIZE for j in (i - 2, i - 1, i + 1, i + 2)]
+            h = np.tanh(weights[0][ctx].ravel() @ weights[1] + weights[2])
+            z = h @ weights[3] + weights[4]
+            c, k = ids[i] % lm.CLASSES, ids[i] // lm.CLASSES
+            s = h @ weights[5][c] + weights[6][c]
+            total += z[c] - np.log(np.exp(z).sum()) + s[k] - np.log(np.exp(s).sum())
+            if w not in top:
+                total += np.log(want[w] / rest[ids[i] - lm.TOP])
+        return len(words), total
+
+    for r in got:
+        text = next(x.text for x in rows if x.doc_id == r.doc_id)
+        if r.n_tokens <= 3000:
+            n, total = brute(text)
+            assert r.n_tokens == n and r.sum_logprob == pytest.approx(total, rel=1e-3, abs=1e-3)
+            assert r.mean_logprob is None if not n else r.mean_logprob == pytest.approx(total / n, rel=1e-3)
+    # a long text in batches of its own
+    ids = np.tile(np.arange(300, dtype=np.int32), 100)
+    share = np.zeros(lm.SIZE)
+    assert lm._score_slice([ids[:10], ids], weights, share)[1] == pytest.approx(lm.score_text(ids, weights, share), rel=1e-5)
     assert lm.scored(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tasks", [4, 32])
+def test_lm_learns(spark, tasks):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(tasks, "doc_id")
+    top, uses = lm.vocabulary(lm.word_counts(docs))
+    coded = lm.sequences(docs, top)
+    weights = lm.train(coded, uses)
+    seqs = [s for s in lm.read_ids(coded.filter("doc_id % 10 = 3").toArrow()["ids"].combine_chunks()) if len(s) >= 20]
+    tokens = np.concatenate(seqs)
+    trained = np.concatenate([lm.log_probabilities(weights, lm.windows(s), s) for s in seqs])
+    unigram = np.log(np.maximum(uses, 1) / uses.sum())[tokens]
+    assert trained.mean() > unigram.mean() + 0.5
+    rng = np.random.default_rng(2)
+    above = [lm.score_text(s, weights, np.zeros(lm.SIZE)) > lm.score_text(rng.permutation(s), weights, np.zeros(lm.SIZE)) for s in seqs]
+    print("learned", trained.mean() - unigram.mean(), np.mean(above))
+    assert np.mean(above) > 0.9
+
+
 def test_lm_trains_on_every_position(spark):
     for n in (1, 2, 7, 40):
         assert sorted(i for turn in range(lm.ROUNDS) for i in np.arange(n)[lm.masked(n, turn)].tolist()) == list(range(n))
@@ -164,7 +235,6 @@ def test_lm_trains_on_every_position(spark):
 
 def test_empty_and_unlabelled_tables(spark):
     docs, labels = frames(spark, "sf0.001")
-    docs = docs.drop("th", "score", "_id")
     assert quality.scored(docs.limit(0), quality.fit(docs.limit(0), labels)).count() == 0
     got = quality.scored(docs, quality.fit(docs, labels.limit(0))).collect()
     assert len(got) == docs.count() and {round(r.score, 3) for r in got} == {0.5}
