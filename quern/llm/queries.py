@@ -30,6 +30,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def license_base_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.base_phrases(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("th")
@@ -62,8 +66,8 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_simhash, op4_license_scan, op5_decontamination, op6_toxicity, op7_html_text, op8_pieces, op9_quality, op10_media)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_simhash, op4_license_scan, license_base_phrases, op5_decontamination, op6_toxicity, op7_html_text, op8_pieces, op9_quality, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"license_base_phrases": licenses.BASE_SQL}

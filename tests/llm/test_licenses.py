@@ -5,7 +5,8 @@ from quern.llm import licenses
 EXTRA = [
     (8001, None), (8002, ""), (8003, "..."), (8004, "The MIT License, THE mit\nlicense the-mit-license"), (8005, "cc by nc CC-BY-NC ccc by nc cc éby nc"),
     (8006, "Apache License, Version 2.0 and the mit license"), (8007, "word " * 30000 + "the mit license"), (8008, "This work is licensed under the GNU General Public License, version 3."),
-    (8009, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"), (8004, "license"), (None, "cc by sa 4.0 licensed under cc by sa 4 0"),
+    (8009, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"), (8004, "license"), (8010, "Kelvin \u212a: released under the m\u0130t license. Permission is hereby granted, free of charge, to any person who gets this software to use, copy, modify, merge, publish, distribute, sublicense copies"),
+    (8011, licenses.TEMPLATES[-7][1].replace("conditions", "terms").replace("merge ", "") + " " + licenses.TEMPLATES[-6][1]), (None, "cc by sa 4.0 licensed under cc by sa 4 0"),
 ]
 
 
@@ -25,10 +26,13 @@ def brute(text):
 def method(w, templates):
     """Labels and best share of the method by trying every start of every template."""
     labels, best = set(), 0.0
+    idf = {x: p for t in templates for x, _, p in t.lookups}
+    own = sorted(set(w) & set(idf), key=lambda x: (-idf[x], x))
     for t in templates:
+        looked = [x for x in own if x in {x for x, _, _ in t.lookups}][: licenses.LOOKUPS]
         for s in range(-len(t.words), len(w)):
             get = lambda i: w[s + i] if 0 <= s + i < len(w) else None  # noqa: B023, E731
-            share = sum(p for x, i, p in t.lookups if get(i) == x)
+            share = sum(p for x, i, p in t.lookups if x in looked and get(i) == x) / t.mass
             if all(get(t.key_at + k) == x for k, x in enumerate(t.key)) and share > 0 and (t.base or share >= licenses.LEAST_SHARE):
                 labels.add(t.label)
                 best = max(best, 1.0 if t.base else min(share, 1.0))
@@ -50,6 +54,17 @@ def test_whole_table_against_brute_force(spark, sf_dir):
     assert dict((r[0], r[6]) for r in got)[8008] == "gpl-3" and dict((r[0], r[6]) for r in got)[8009] == "bsd"
 
 
+def test_base_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(d, t) for d, t in EXTRA if d != 8007] + [(8020, "the\tmit\x7flicense cc by nc"), (8021, "tHe MIT licenſe \u212a")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
+    want = sorted(con.execute(licenses.BASE_SQL).fetchall(), key=str)
+    assert sorted((tuple(r) for r in licenses.base_phrases(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == want
+
+
 def test_plan_is_native_and_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     out = licenses.scan(df)
