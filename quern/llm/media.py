@@ -4,10 +4,12 @@ A payload (bytes, zero-padded to a positive multiple of 64) becomes grey 8x8 blo
 k-th quantised coefficient in zigzag order, the format's unit. Every coefficient has size category 8 (values -255 to -128 and
 128 to 255), which the one-symbol Huffman tables here write as one 0 bit and the byte itself, so a block is 72 bytes
 before stuffing; each block is one restart interval, so the DC prediction is 0. Frames of 64 blocks (64 x 64
-pixels; the last frame one block high with what is left) go into a RIFF AVI with header lists, a movi list and an
-idx1 index. Any baseline decoder can open the frames.
+pixels; the last frame one block high with what is left, which its own header says and the stream header doesn't) go into a RIFF AVI
+with header lists, a movi list and an idx1 index.
 
-Reading back parses the RIFF tree and the index, decodes each intra frame (markers, unstuffing, coefficients, inverse DCT),
+Reading back parses the RIFF tree and the index and decodes each intra frame with the frame's own quantisation and Huffman tables,
+components, sampling and restart intervals (``decode_frame``, baseline sequential; progressive frames are refused). Frames in the layout above
+skip the bit reader: their coefficients are bytes at fixed places, a fast case with the same result. Then it takes the inverse DCT,
 compares the luma histograms of neighbouring frames and cuts a shot where the difference passes an adaptive threshold (mean and
 deviation of the differences before). Shots are clips with times.
 
@@ -22,6 +24,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -167,38 +170,211 @@ def frames_of(avi: bytes) -> tuple[float, list[bytes]]:
     return second, out
 
 
-def _scan_of(jpeg: bytes) -> tuple[int, bytes]:
-    """(blocks, scan data with EOI) of a frame; its markers are checked."""
-    at, blocks = 2, 0
-    if jpeg[:2] != b"\xff\xd8" or jpeg[-2:] != b"\xff\xd9":
+@dataclass
+class Component:
+    """One component of a decoded frame: quantised coefficients in zigzag order, in raster order of its blocks."""
+
+    wide: int  # blocks in a row, with padding to whole units
+    across: int  # sampling factors
+    down: int
+    quant: np.ndarray  # 64 divisors, zigzag order
+    blocks: np.ndarray  # (rows of blocks, wide, 64)
+
+
+def _codes(counts: bytes, symbols: bytes) -> tuple[list[int], list[int]]:
+    """Of every 16-bit prefix: the length of the Huffman code in front (0: none) and its symbol."""
+    lengths, values, code, at = [0] * 65536, [0] * 65536, 0, 0
+    for length, n in enumerate(counts, 1):
+        for symbol in symbols[at : at + n]:
+            first, span = code << (16 - length), 1 << (16 - length)
+            lengths[first : first + span] = [length] * span
+            values[first : first + span] = [symbol] * span
+            code += 1
+        at += n
+        code <<= 1
+    return lengths, values
+
+
+class _Bits:
+    """Reader of one restart interval without stuffing."""
+
+    def __init__(self, raw: bytes) -> None:
+        self.raw, self.at, self.held, self.n = raw, 0, 0, 0
+
+    def peek16(self) -> int:
+        while self.n < 16:
+            self.held = self.held << 8 | (self.raw[self.at] if self.at < len(self.raw) else 0xFF)
+            self.at += 1
+            self.n += 8
+        return self.held >> (self.n - 16) & 0xFFFF
+
+    def skip(self, k: int) -> None:
+        self.n -= k
+        self.held &= (1 << self.n) - 1
+        if self.at - self.n // 8 > len(self.raw):
+            raise ValueError("scan data ends early")
+
+    def symbol(self, codes: tuple[list[int], list[int]]) -> int:
+        p = self.peek16()
+        if not codes[0][p]:
+            raise ValueError("no such Huffman code")
+        self.skip(codes[0][p])
+        return codes[1][p]
+
+    def signed(self, size: int) -> int:
+        """A value of a size category."""
+        if not size:
+            return 0
+        v = self.peek16() >> (16 - size)
+        self.skip(size)
+        return v if v >> (size - 1) else v - (1 << size) + 1
+
+
+def decode_frame(jpeg: bytes) -> tuple[int, int, list[Component]]:
+    """(width, height, components) of a baseline JPEG, with whatever tables it carries."""
+    if jpeg[:2] != b"\xff\xd8":
         raise ValueError("no JPEG")
+    at, interval, wide, high = 2, 0, 0, 0
+    quant: dict[int, np.ndarray] = {}
+    codes: dict[int, tuple[list[int], list[int]]] = {}
+    parts: dict[int, list] = {}
     while True:
-        mark, size = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
+        if jpeg[at] != 0xFF or at + 4 > len(jpeg):
+            raise ValueError("no marker")
+        mark = jpeg[at + 1]
+        if mark == 0xFF:  # fill byte
+            at += 1
+            continue
+        size = struct.unpack_from(">H", jpeg, at + 2)[0]
         body = jpeg[at + 4 : at + 2 + size]
         at += 2 + size
-        if mark == 0xC0:
+        if mark == 0xDB:
+            k = 0
+            while k < len(body):
+                wide_values = body[k] >> 4
+                n = 128 if wide_values else 64
+                quant[body[k] & 15] = np.frombuffer(body[k + 1 : k + 1 + n], ">u2" if wide_values else np.uint8).astype(np.int64)
+                k += 1 + n
+        elif mark == 0xC4:
+            k = 0
+            while k < len(body):
+                n = sum(body[k + 1 : k + 17])
+                codes[body[k]] = _codes(body[k + 1 : k + 17], body[k + 17 : k + 17 + n])
+                k += 17 + n
+        elif mark in (0xC0, 0xC1):
+            if body[0] != 8:
+                raise ValueError("samples of 8 bits only")
             high, wide = struct.unpack_from(">HH", body, 1)
-            blocks = (high // 8) * (wide // 8)
-        elif mark == 0xC4 and body[1:17] != bytes([1] + [0] * 15):
-            raise ValueError("other Huffman tables")
+            parts = {body[k]: [body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]] for k in range(6, 6 + 3 * body[5], 3)}
+        elif 0xC2 <= mark <= 0xCF and mark != 0xCC:
+            raise ValueError("no baseline frame")
+        elif mark == 0xDD:
+            interval = struct.unpack(">H", body)[0]
         elif mark == 0xDA:
-            return blocks, jpeg[at:]
+            if body[0] != len(parts):
+                raise ValueError("one interleaved scan only")
+            tables = {body[k]: (codes[body[k + 1] >> 4], codes[16 + (body[k + 1] & 15)]) for k in range(1, 1 + 2 * body[0], 2)}
+            break
+    # restart intervals: up to a marker other than stuffing
+    chunks, begin, k = [], at, at
+    while True:
+        k = jpeg.find(b"\xff", k)
+        if k < 0 or k + 1 >= len(jpeg):
+            raise ValueError("no end of image")
+        if jpeg[k + 1] == 0:
+            k += 2
+        elif 0xD0 <= jpeg[k + 1] <= 0xD7:
+            chunks.append(jpeg[begin:k])
+            begin = k = k + 2
+        else:
+            chunks.append(jpeg[begin:k])
+            break
+    most_across, most_down = max(p[0] for p in parts.values()), max(p[1] for p in parts.values())
+    if len(parts) == 1:  # the units of a single component are its blocks
+        most_across = most_down = 1
+        for p in parts.values():
+            p[:2] = 1, 1
+    units_wide, units_high = -(-wide // (8 * most_across)), -(-high // (8 * most_down))
+    units = units_wide * units_high
+    planes = {c: np.zeros((units_high * p[1], units_wide * p[0], 64), np.int64) for c, p in parts.items()}
+    unit = 0
+    for raw in chunks:
+        bits, before = _Bits(raw.replace(b"\xff\0", b"\xff")), dict.fromkeys(parts, 0)
+        for unit in range(unit, min(units, unit + (interval or units))):
+            row, column = divmod(unit, units_wide)
+            for c, (across, down, _) in parts.items():
+                dc, ac = tables[c]
+                for i in range(across * down):
+                    block = planes[c][row * down + i // across, column * across + i % across]
+                    before[c] += bits.signed(bits.symbol(dc))
+                    block[0] = before[c]
+                    k = 1
+                    while k < 64:
+                        run, size = divmod(bits.symbol(ac), 16)
+                        if not size and run != 15:  # end of block
+                            break
+                        k += run
+                        if size:
+                            if k > 63:
+                                raise ValueError("a run past its block")
+                            block[k] = bits.signed(size)
+                        k += 1
+        unit += 1
+    if unit < units:
+        raise ValueError("blocks are missing")
+    return wide, high, [Component(planes[c].shape[1], p[0], p[1], quant[p[2]], planes[c]) for c, p in parts.items()]
+
+
+def luma(frame: tuple[int, int, list[Component]]) -> np.ndarray:
+    """(height, width) samples of the first component before clamping."""
+    wide, high, parts = frame
+    p = parts[0]
+    coefficient = np.zeros((*p.blocks.shape[:2], 64), np.float32)
+    coefficient[:, :, ZIGZAG] = p.blocks * p.quant
+    out = _DCT.T @ coefficient.reshape(*p.blocks.shape[:2], 8, 8) @ _DCT + 128
+    return out.transpose(0, 2, 1, 3).reshape(8 * p.blocks.shape[0], -1)[:high, :wide]
+
+
+def _packed(jpeg: bytes) -> int:
+    """Blocks of a frame whose head is the one written here, else 0."""
+    at = jpeg.find(b"\xff\xda")
+    if at < 0 or len(jpeg) < at + 10 or jpeg[-2:] != b"\xff\xd9":
+        return 0
+    high, wide = struct.unpack_from(">HH", jpeg, _SIZE_AT) if len(jpeg) > _SIZE_AT + 4 else (0, 0)
+    n = (high // 8) * (wide // 8)
+    return n if n <= FRAME_BLOCKS and jpeg.startswith(_HEADS[n]) else 0
+
+
+#: Where a head written here has its height and width.
+_SIZE_AT = _HEADS[1].index(b"\xff\xc0") + 5
+
+
+def payload_of(frame: tuple[int, int, list[Component]]) -> np.ndarray:
+    """(blocks, 64) payload bytes of a frame: coefficients of size category 8 as the bytes they stand for."""
+    v = frame[2][0].blocks.reshape(-1, 64)
+    if (np.abs(v) < 128).any() or (np.abs(v) > 255).any():
+        raise ValueError("the frame carries no payload")
+    return np.where(v < 0, v + 255, v).astype(np.uint8)
 
 
 def decode(avi: bytes) -> tuple[float, np.ndarray, np.ndarray]:
     """Seconds a frame, payload bytes as (blocks, 64), and the blocks of each frame."""
     second, frames = frames_of(avi)
-    scans = [_scan_of(f) for f in frames]
-    flat = np.frombuffer(b"".join(s for _, s in scans), np.uint8)
+    counts = np.array([_packed(f) for f in frames])
+    if not counts.all():
+        blocks = [payload_of(decode_frame(f)) for f in frames]
+        return second, np.concatenate(blocks), np.array(list(map(len, blocks)))
+    flat = np.frombuffer(b"".join([f[len(_HEADS[n]) :] for f, n in zip(frames, counts.tolist())]), np.uint8)
     stuffed = np.flatnonzero((flat[1:] == 0) & (flat[:-1] == 0xFF)) + 1
     if len(stuffed):
         keep = np.ones(len(flat), bool)
         keep[stuffed] = False
         flat = flat[keep]
-    counts = np.array([n for n, _ in scans])
+    if len(flat) != 74 * counts.sum():
+        raise ValueError("broken scan data")
     row = flat.reshape(-1, 74)
     ends = np.cumsum(counts) - 1
-    if len(row) != counts.sum() or (row[:, 72] != 0xFF).any() or (row[ends, 73] != 0xD9).any():
+    if (row[:, 72] != 0xFF).any() or (row[ends, 73] != 0xD9).any():
         raise ValueError("broken scan data")
     g = row[:, :72].reshape(-1, 8, 9)
     b = np.empty((len(g), 8, 8), np.uint8)
@@ -222,6 +398,23 @@ def histograms(blocks: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out / (64 * counts)[:, None]
 
 
+def frame_histogram(frame: tuple[int, int, list[Component]]) -> np.ndarray:
+    """Luma histogram of any decoded frame, on the scale of histograms()."""
+    level = np.clip((luma(frame) + 384) / (1024 / BINS), 0, BINS - 1).astype(np.int64)
+    return np.bincount(level.ravel(), minlength=BINS) / level.size
+
+
+def clips_of_frames(avi: bytes) -> list[dict]:
+    """Clips of any motion-JPEG AVI with baseline frames, payload or none."""
+    second, frames = frames_of(avi)
+    return _clips(np.array([frame_histogram(decode_frame(f)) for f in frames]), second)
+
+
+def _clips(hist: np.ndarray, second: float) -> list[dict]:
+    level = hist @ np.arange(BINS)
+    return [{"first_frame": a, "last_frame": z, "start_ms": round(a * second * 1000), "end_ms": round((z + 1) * second * 1000), "level": round(float(level[a : z + 1].mean()), 3)} for a, z in shots(hist)]
+
+
 def shots(hist: np.ndarray) -> list[tuple[int, int]]:
     """[first, last] frames of each shot: a cut where the histogram difference passes the adaptive threshold."""
     cuts, diffs = [0], np.abs(np.diff(hist, axis=0)).sum(axis=1)
@@ -236,10 +429,7 @@ def shots(hist: np.ndarray) -> list[tuple[int, int]]:
 def clips_of(avi: bytes) -> tuple[bytes, list[dict]]:
     """The payload read back, and the clips: frames, times in milliseconds, mean luma level of the clip."""
     second, blocks, counts = decode(avi)
-    hist = histograms(blocks, counts)
-    level = hist @ np.arange(BINS)
-    out = [{"first_frame": a, "last_frame": z, "start_ms": round(a * second * 1000), "end_ms": round((z + 1) * second * 1000), "level": round(float(level[a : z + 1].mean()), 3)} for a, z in shots(hist)]
-    return blocks.tobytes(), out
+    return blocks.tobytes(), _clips(histograms(blocks, counts), second)
 
 
 def to_media(docs: DataFrame) -> DataFrame:

@@ -73,3 +73,90 @@ def test_whole_table(spark, sf_dir):
     assert got == sorted(want, key=str)
     assert media.clip_rows(stored).columns == ["doc_id", "clip", "first_frame", "last_frame", "start_ms", "end_ms", "level"]
     assert media.read_media(media.to_media(df.limit(0))).count() == 0
+
+
+def test_the_bit_reader_gives_what_the_fast_case_gives():
+    rng = np.random.default_rng(1)
+    for n in (1, 64, 4096, 9000):
+        avi = media.encode(media.padded(rng.integers(0, 256, n, dtype=np.uint8).tobytes()))
+        _, blocks, counts = media.decode(avi)
+        frames = [media.decode_frame(f) for f in media.frames_of(avi)[1]]
+        assert np.array_equal(np.concatenate([media.payload_of(f) for f in frames]), blocks)
+        assert np.allclose([media.frame_histogram(f) for f in frames], media.histograms(blocks, counts), atol=2e-3)
+        assert [(c["first_frame"], c["last_frame"]) for c in media.clips_of_frames(avi)] == [(c["first_frame"], c["last_frame"]) for c in media.clips_of(avi)[1]]
+
+
+def plain_jpeg(planes, sampling, quant, wide, high, interval):
+    """A baseline JPEG with 8-bit AC and 5-bit DC codes of its own; planes: (rows, columns, 64) coefficients of each component."""
+    across, down = max(s[0] for s in sampling), max(s[1] for s in sampling)
+    ac = sorted({r << 4 | s for r in range(16) for s in range(1, 11)} | {0, 0xF0})
+    bits, out, units = "", b"", planes[0].shape[1] // sampling[0][0] * (planes[0].shape[0] // sampling[0][1])
+
+    def value(v):
+        size = int(abs(v)).bit_length()
+        return size, f"{v if v > 0 else v + (1 << size) - 1:0{size}b}" if size else ""
+
+    def flush(last, k):
+        raw = bytes(int((bits + "1" * (-len(bits) % 8))[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+        return raw + (b"\xff\xd9" if last else bytes([0xFF, 0xD0 + k % 8]))
+
+    before = [0] * len(planes)
+    for u in range(units):
+        row, column = divmod(u, planes[0].shape[1] // sampling[0][0])
+        for c, (plane, (a, d)) in enumerate(zip(planes, sampling)):
+            for i in range(a * d):
+                b = plane[row * d + i // a, column * a + i % a].tolist()
+                size, tail = value(b[0] - before[c])
+                before[c] = b[0]
+                bits += f"{size:05b}" + tail
+                run, left = 0, 63 - max((k for k in range(1, 64) if b[k]), default=0)
+                for k in range(1, 64 - left):
+                    if not b[k]:
+                        run += 1
+                        continue
+                    while run > 15:
+                        bits += f"{ac.index(0xF0):08b}"
+                        run -= 16
+                    size, tail = value(b[k])
+                    bits += f"{ac.index(run << 4 | size):08b}" + tail
+                    run = 0
+                if left:
+                    bits += f"{ac.index(0):08b}"
+        if interval and (u + 1) % interval == 0 and u + 1 < units:
+            out += flush(False, u // interval)
+            bits, before = "", [0] * len(planes)
+    out += flush(True, 0)
+    seg = media._segment
+    head = b"\xff\xd8" + b"".join(seg(0xDB, bytes([k]) + q.astype(np.uint8).tobytes()) for k, q in enumerate(quant))
+    head += seg(0xC0, struct.pack(">BHHB", 8, high, wide, len(planes)) + b"".join(bytes([c + 1, a << 4 | d, min(c, len(quant) - 1)]) for c, (a, d) in enumerate(sampling)))
+    head += seg(0xC4, b"\x01" + bytes([0] * 4 + [12] + [0] * 11) + bytes(range(12)) + b"\x12" + bytes([0] * 7 + [len(ac)] + [0] * 8) + bytes(ac))
+    if interval:
+        head += seg(0xDD, struct.pack(">H", interval))
+    return head + seg(0xDA, bytes([len(planes)]) + b"".join(bytes([c + 1, 0x12]) for c in range(len(planes))) + b"\x00\x3f\x00") + out
+
+
+@pytest.mark.parametrize("sampling, interval", [([(1, 1)], 0), ([(2, 2), (1, 1), (1, 1)], 2), ([(2, 1), (1, 1), (1, 1)], 0)])
+def test_frames_with_other_tables_sampling_and_intervals(sampling, interval):
+    rng = np.random.default_rng(9)
+    planes = []
+    for a, d in sampling:
+        p = rng.integers(-40, 40, (3 * d, 4 * a, 64)) * (rng.random((3 * d, 4 * a, 64)) < 0.2)
+        p[:, :, 0] = rng.integers(-300, 300, p.shape[:2])
+        planes.append(p)
+    quant = [rng.integers(1, 20, 64), rng.integers(1, 20, 64)][: len(planes)]
+    wide, high = 8 * 4 * sampling[0][0] - 3, 8 * 3 * sampling[0][1] - 5
+    jpeg = plain_jpeg(planes, sampling, quant, wide, high, interval)
+    w, h, parts = media.decode_frame(jpeg)
+    assert (w, h) == (wide, high) and all(np.array_equal(p.blocks, q) for p, q in zip(parts, planes))
+    # samples against the defining sum of the inverse transform
+    got = media.luma((w, h, parts))
+    assert got.shape == (high, wide)
+    y, x = 9, 13
+    f = np.zeros(64)
+    f[media.ZIGZAG] = planes[0][1, 1] * quant[0]
+    c = lambda k: np.sqrt((1 if k == 0 else 2) / 8)
+    want = sum(c(u) * c(v) * f[8 * v + u] * np.cos((2 * (x - 8) + 1) * u * np.pi / 16) * np.cos((2 * (y - 8) + 1) * v * np.pi / 16) for u in range(8) for v in range(8))
+    assert got[y, x] == pytest.approx(want + 128, abs=0.05)
+    for broken in (jpeg[: len(jpeg) // 2], jpeg[:-2], b"", b"\xff\xd8\xff\xc2\x00\x04\x00\x00"):
+        with pytest.raises((ValueError, IndexError, struct.error)):
+            media.decode_frame(broken)
