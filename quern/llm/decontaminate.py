@@ -7,8 +7,8 @@ diagonals (``MIN_SEEDS`` or more, or one if the item has a single 3-gram) open a
 -1, gap -1), so inserted, dropped and replaced words cost little. score = alignment / (2 x item words).
 
 Scale: documents are never shuffled. The benchmark goes to the tasks in blocks of at most ``BLOCK_ITEMS`` items and
-``BLOCK_CHARS`` characters on average, each with its own pass, so what is sent is bounded whatever its size. Windows of a
-slice are aligned together by numpy.
+``BLOCK_CHARS`` characters on average, each with its own pass, so what is sent is bounded whatever its size. Windows are cut into
+strips of a few item lengths and aligned together by numpy, ``CELLS`` words at once, so a long repetitive text takes no more memory.
 
 Edge cases: null and empty texts and items and items under three words match nothing; rows with a null doc_id are
 reported with it; repeated documents give repeated rows; repeated items count once; empty tables give no rows;
@@ -33,6 +33,8 @@ MIN_SEEDS = 2
 SLACK = 12
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 20_000_000
+#: Words of the windows that are aligned together, padding included.
+CELLS = 200_000
 #: Pairs below this score are not reported.
 REPORT = 0.35
 #: A document is contaminated at this score, or with RUN_WORDS aligned words net of edits.
@@ -154,14 +156,14 @@ def find(ts: list[str], block: Items) -> list[tuple[int, int, float, int, int, i
     keep = size >= block.needed[item[head]]
     head, tail = head[keep], (head + size - 1)[keep]
     best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
-    for lo in range(0, len(head), 512):
-        rows = []
-        for h, t in zip(head[lo : lo + 512].tolist(), tail[lo : lo + 512].tolist()):
-            d, k = int(doc[h]), int(item[h])
-            length = len(block.words[k])
-            a = max(int(starts[d]), int(diag[h]) - SLACK)
-            z = min(int(starts[d + 1]) - 2, int(diag[t]) + length + SLACK)
-            rows.append((d, k, a, z))
+    spans = []
+    for h, t in zip(head.tolist(), tail.tolist()):
+        d, k = int(doc[h]), int(item[h])
+        length = len(block.words[k])
+        a = max(int(starts[d]), int(diag[h]) - SLACK)
+        z = min(int(starts[d + 1]) - 2, int(diag[t]) + length + SLACK)
+        spans += [(d, k, x, y) for x, y in strips(a, z, length)]
+    for rows in batches_of(spans, block):
         windows = [seq[a:z] for _, _, a, z in rows]
         items = [block.words[k] for _, k, _, _ in rows]
         score, end = align(windows, items)
@@ -175,6 +177,27 @@ def find(ts: list[str], block: Items) -> list[tuple[int, int, float, int, int, i
     return [(d, k, *got) for (d, k), got in sorted(best.items())]
 
 
+def strips(a: int, z: int, length: int) -> list[tuple[int, int]]:
+    """A window in overlapping strips: an alignment with an item of so many words spans 3 times as many at most (each gap costs half a
+    match), and every such span lies in one strip whole."""
+    if z - a <= 8 * length:
+        return [(a, z)]
+    return [(x, min(x + 6 * length, z)) for x in range(a, max(a + 1, z - 3 * length), 3 * length)]
+
+
+def batches_of(spans: list[tuple], block: Items) -> Iterator[list[tuple]]:
+    """The windows by size, so many at once that their padded table has CELLS cells at most, one at least."""
+    spans = sorted(spans, key=lambda s: (max(s[3] - s[2], len(block.words[s[1]])), s))
+    rows: list[tuple] = []
+    for s in spans:
+        if rows and (len(rows) + 1) * max(s[3] - s[2], len(block.words[s[1]])) > CELLS:
+            yield rows
+            rows = []
+        rows.append(s)
+    if rows:
+        yield rows
+
+
 def _count_words(docs: DataFrame, block: Items) -> tuple[np.ndarray, int]:
     """How often the documents have each word of the block, and their words in all."""
     vocab, size = block.vocab, block.size

@@ -78,3 +78,23 @@ def test_blocks_and_empty_tables(spark, sf_dir, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in D.contaminated(docs, bench).filter("contaminated").collect()} == whole
     assert D.contaminated(docs.limit(0), bench).count() == 0
     assert D.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_strips_and_batches_lose_no_alignment():
+    rng = np.random.default_rng(5)
+    block = D.Items([(1, " ".join(f"w{k}" for k in rng.integers(0, 6, 11))), (2, "w1 w2 w3"), (3, " ".join(f"w{k}" for k in range(40)))])
+    block.seed(np.zeros(block.size, np.int64), 0)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 7, n)) for n in (5000, 3, 90, 700)]
+    got = {(d, k): s for d, k, s, *_ in D.find(texts, block)}
+    for d, t in enumerate(texts):
+        seq = [block.vocab.get(w, 0) for w in D.words_of(t)]
+        for k in (0, 1):
+            whole = smith_waterman(seq, block.words[k].tolist()) / (2 * len(block.words[k]))
+            assert got.get((d, k), 0) == (whole if (d, k) in got else 0) and ((d, k) in got or whole < 1)
+    for a, z, n in ((0, 1000, 10), (5, 86, 10), (7, 88, 10), (0, 81, 10)):
+        cut = D.strips(a, z, n)
+        assert all(any(x <= i and i + 3 * n <= y for x, y in cut) for i in range(a, z - 3 * n + 1)) and cut[-1][1] == z
+    rows = [(0, 2, 0, int(n)) for n in rng.integers(1, 90_000, 50)]
+    batches = list(D.batches_of(rows, block))
+    assert sorted(r for b in batches for r in b) == sorted(rows)
+    assert all(len(b) == 1 or len(b) * max(r[3] - r[2] for r in b) <= D.CELLS for b in batches)
