@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import block_sums, text_key, text_slices, texts
-from .toxicity import labelled_sample
+from .toxicity import first_rows, labelled
 
 SAMPLE = 4000
 BUCKETS = 1 << 14
@@ -177,11 +177,18 @@ def train(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, seed: int = 5) -> M
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
+    """Word vectors of all documents, and the network on labelled rows, which the tasks send as feature rows."""
     vectors = word_vectors(context_vectors(docs))
-    rows = labelled_sample(docs, labels, label, SAMPLE)
-    tokens = Tokens()
-    x = pooled([raw.decode("utf-8", "replace") for raw, _ in rows], vectors, tokens)
-    return train(x, np.array([y for _, y in rows], np.int64), vectors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for b in batches:
+            x = pooled(texts(b.column("text")), vectors, tokens)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array([v.tobytes() for v in x], pa.binary()), b.column("_y")], ["doc_id", "th", "x", "_y"])
+
+    rows = first_rows(labelled(docs, labels, label, SAMPLE).mapInArrow(run, "doc_id long, th long, x binary, _y int"), SAMPLE)
+    x = np.array([np.frombuffer(r.x, np.float32) for r in rows], np.float32).reshape(len(rows), 2 * DIM + 3)
+    return train(x, np.array([r._y for r in rows], np.int64), vectors)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -2,8 +2,8 @@
 
 The kernel compares words by the subsequences of three letters that they share, gapped ones discounted by ``DECAY``
 for each letter skipped (``SPAN`` letters at most), so words with inserted characters stay close to their clean
-forms. Letters are folded first: case, digits and signs that stand for letters; other characters between letters drop
-out, and single letters set apart by spaces are joined. Landmarks are words of the labelled sentences: those that set toxic documents apart and
+forms. Letters are folded first: case, accents, digits and signs that stand for letters; letters of other scripts become one
+of ``FOREIGN`` symbols by code point; other characters between letters drop out, and single letters set apart by spaces are joined. Landmarks are words of the labelled sentences: those that set toxic documents apart and
 the clean words nearest to them. The SVM works on the landmarks' whitened kernel values (Nystroem); a
 sentence's decision is that of its strongest word, and the words that train it are chosen again after each round
 (multiple-instance learning from document labels). As the kernel has a finite feature space, landmarks and weights fold
@@ -11,7 +11,10 @@ into one tensor of 28^3 numbers, exactly, so scoring a word costs its own subseq
 A logistic layer turns a document's strongest word and number of positive words into a calibrated score.
 
 Labels are learned from at most ``SAMPLE`` labelled rows that are not held out (smallest hash first, a documented
-bound); scoring reads every whole text. Models are small constants, sent with the task closures.
+bound), of which the tasks send the distinct folded words; scoring reads every whole text. An id with both labels counts as toxic.
+Landmarks have four letters or more, as shorter words share subsequences with too many clean ones; they are ``POSITIVE_LANDMARKS`` and
+``NEGATIVE_LANDMARKS`` at most, and an SVM round takes ``MOST_POSITIVE`` and 4000 words at most. Where no word tells the classes
+apart beyond doubt, the ``FEW`` that do so best serve. Models are small constants, sent with the task closures.
 
 Edge cases: null and empty texts get the score of a text without words; without labels of both kinds all scores
 are the base rate (0.5 if there are none); repeated rows get equal scores; an empty table gives an empty result; other columns are ignored.
@@ -21,9 +24,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,8 @@ SPAN = 6
 DECAY = 0.6
 POSITIVE_LANDMARKS = 100
 NEGATIVE_LANDMARKS = 200
+MOST_POSITIVE = 3000
+FEW = 20
 #: Norm of a short word; shorter ones don't count as more alike for having few subsequences.
 LEAST_NORM = 1.6
 MEMO = 200_000
@@ -49,21 +54,38 @@ for _b in range(65, 91):
     _FOLD[_b] = _b + 32
 for _a, _z in SIGNS.items():
     _FOLD[ord(_a)] = ord(_z)
-# accented Latin-1 letters: the lead byte of their UTF-8 form drops out, the other becomes the base letter
-for _c in range(0xC0, 0x100):
-    _base = "s" if _c == 0xDF else unicodedata.normalize("NFD", chr(_c))[0].lower()
-    if "a" <= _base <= "z":
-        _FOLD[chr(_c).encode()[1]] = ord(_base)
 _FOLD = bytes(_FOLD)
-_DROP = bytes(b for b in range(256) if not (97 <= _FOLD[b] <= 122 or b in (9, 10, 11, 12, 13, 32)))
+#: Symbols for letters of other scripts, after the letters, the mark and the gap.
+FOREIGN = 8
+_FIRST = 128
+_KEPT = {*range(97, 123), *range(_FIRST, _FIRST + FOREIGN), 9, 10, 11, 12, 13, 32}
+_DROP = bytes(b for b in range(256) if _FOLD[b] not in _KEPT)
+_RUN = re.compile(rb"[\x80-\xff]+")
 _SPACED = re.compile(rb"(?<!\S)(?:[a-z]\s){3,}[a-z](?!\S)")
 _STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN + 1 - a)]
-#: Letters 0-25, the mark in front of each word 26, the gap between words 27.
-MARK, GAP, BASE = 26, 27, 28
+#: Letters 0-25, the mark in front of each word 26, the gap between words 27, letters of other scripts.
+MARK, GAP, BASE = 26, 27, 28 + FOREIGN
 DIM = BASE**3
 
 
+@lru_cache(maxsize=100_000)
+def _fold_run(run: bytes) -> bytes:
+    """Folded form of neighbouring non-ASCII characters, code point by code point, letters of other scripts as bytes from _FIRST on."""
+    out = bytearray()
+    for c in run.decode("utf-8", "replace"):
+        base = "s" if c == "ß" else unicodedata.normalize("NFKD", c)[0].lower()
+        if "a" <= base <= "z":
+            out += base.encode()
+        elif c.isspace():
+            out += b" "
+        elif c.isalpha():
+            out.append(_FIRST + ord(c) % FOREIGN)
+    return bytes(out)
+
+
 def fold(raw: bytes) -> bytes:
+    if not raw.isascii():
+        raw = _RUN.sub(lambda m: _fold_run(m.group()) if len(m.group()) < 64 else b"".join(_fold_run(x.encode()) for x in m.group().decode("utf-8", "replace")), raw)
     return raw.translate(_FOLD, _DROP)
 
 
@@ -76,9 +98,14 @@ def folded_words(raw: bytes) -> list[bytes]:
     return out
 
 
+_CODE = np.zeros(256, np.int32)
+_CODE[97:125] = np.arange(28)
+_CODE[_FIRST : _FIRST + FOREIGN] = np.arange(28, BASE)
+
+
 def _stream(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Letter codes of many words (gaps between them, SPAN long, so that no subsequence crosses), and their starts."""
-    codes = np.frombuffer(b"{" + (b"|" * SPAN + b"{").join(words) + b"|" * SPAN, np.uint8).astype(np.int32) - 97
+    codes = _CODE[np.frombuffer(b"{" + (b"|" * SPAN + b"{").join(words) + b"|" * SPAN, np.uint8)]
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + SPAN + 1
     return codes, np.concatenate([[0], np.cumsum(lengths)[:-1]])
 
@@ -105,7 +132,7 @@ def features(words: list[bytes]) -> np.ndarray:
     """Rows phi(w) / |phi(w)| in the explicit feature space (training only)."""
     out = np.zeros((len(words), DIM), np.float32)
     for k, w in enumerate(words):
-        c = [MARK, *(x - 97 for x in w)]
+        c = [MARK, *_CODE[list(w)].tolist()]
         total = 0.0
         for i in range(len(c)):
             for a, b in _STEPS:
@@ -171,14 +198,14 @@ def variants(word: bytes) -> list[bytes]:
     return out + [word[: len(word) // 2] + word[len(word) // 2 + 1 :]]
 
 
-def projected(words: list[bytes], project: np.ndarray, step: int = 400) -> np.ndarray:
+def projected(words: list[bytes], project: np.ndarray, step: int = 200) -> np.ndarray:
     """Nystroem coordinates of words, a few dense feature rows at a time."""
     out = [features(words[lo : lo + step]) @ project.T for lo in range(0, len(words), step)]
     return np.concatenate(out).astype(np.float64)
 
 
-def train(rows: list[tuple[bytes, int]]) -> Model:
-    """Fit on (UTF-8 text, label) rows."""
+def train(rows: list[tuple[list[bytes], int]]) -> Model:
+    """Fit on (distinct folded words, label) rows."""
     ys = np.array([y for _, y in rows], np.int64)
     base = float(ys.mean()) if len(ys) else 0.5
     flat = Model(np.zeros(DIM, np.float32), -1.0, np.array([np.log((base + 1e-3) / (1 - base + 1e-3)), 0, 0, 0, 0, 0]))
@@ -187,8 +214,7 @@ def train(rows: list[tuple[bytes, int]]) -> Model:
     # bags of word ids: the words of the sentences of each text
     vocab: dict[bytes, int] = {}
     bags = []
-    for raw, _ in rows:
-        own = {w for s in re.split(rb"[.!?\n]+", raw) for w in folded_words(s)}
+    for own, _ in rows:
         bags.append(np.array(sorted(vocab.setdefault(w, len(vocab)) for w in own), np.int32))
     words = list(vocab)
     nt, nc = int(ys.sum()), int((1 - ys).sum())
@@ -200,6 +226,9 @@ def train(rows: list[tuple[bytes, int]]) -> Model:
     telling = np.flatnonzero((toxic >= 2) & (z > 3) & (p > 4 * q) & long)
     telling = sorted(telling.tolist(), key=lambda i: (-z[i], words[i]))
     if not telling:
+        best = np.flatnonzero((p > q) & long)
+        telling = sorted(best.tolist(), key=lambda i: (-z[i], words[i]))[:FEW]
+    if not telling:  # no words at all
         return flat
     positive = telling[:POSITIVE_LANDMARKS]
     mark = features([words[i] for i in positive])
@@ -226,7 +255,7 @@ def train(rows: list[tuple[bytes, int]]) -> Model:
                     best = bag[np.argsort(-f[bag], kind="stable")[:3]].tolist()
                     good += [i for i in best if f[i] > 0.3 and not clean[i]]
         good = list(dict.fromkeys(good))
-        own = list(dict.fromkeys([words[i] for i in good] + edited))[:3000]
+        own = list(dict.fromkeys([words[i] for i in good] + edited))[:MOST_POSITIVE]
         bad = np.setdiff1d(np.flatnonzero(clean), good)
         bad = bad[np.argsort(-f[bad], kind="stable")].tolist()
         bad = bad[:2500] + bad[2500 :: max(1, len(bad) // 1500)][:1500]
@@ -242,14 +271,36 @@ def train(rows: list[tuple[bytes, int]]) -> Model:
     return Model(tensor, float(bias), _logistic(np.array(x), ys.astype(float)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int = SAMPLE) -> list[tuple[bytes, int]]:
-    """At most ``limit`` labelled rows outside the held-out fold, smallest hash of the id first."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int = SAMPLE) -> DataFrame:
+    """(doc_id, th, text, _y) of the rows of at most ``limit`` labelled ids outside the held-out fold, smallest hash first; of
+    several labels of an id the largest counts."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    known = known.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).dropDuplicates(["_id"])
+    known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_y"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(limit)
-    got = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
-    rows = got.select("doc_id", "text", "_y").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(2 * limit).collect()
-    return [((r.text or "").encode("utf-8", "replace"), int(r._y)) for r in rows]
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), F.col("text").cast("string").alias("text"))
+    return own.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("doc_id", "th", "text", "_y")
+
+
+def first_rows(rows: DataFrame, limit: int = SAMPLE) -> list:
+    """At most ``limit`` rows of what the tasks made of labelled(), in a fixed order."""
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "th").limit(limit).collect()
+
+
+def sentence_words(raw: bytes) -> list[bytes]:
+    """Distinct folded words of a text's sentences, sorted."""
+    return sorted({w for s in re.split(rb"[.!?\n]+", raw) for w in folded_words(s)})
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int = SAMPLE) -> list[tuple[list[bytes], int]]:
+    """(distinct folded words, label) of labelled()'s rows, folded in the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bags = [b" ".join(sentence_words(r)) for r in raw_texts(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(bags, pa.binary()), b.column("_y")], ["doc_id", "th", "words", "_y"])
+
+    rows = labelled(docs, labels, label, limit).mapInArrow(run, "doc_id long, th long, words binary, _y int")
+    return [(bytes(r.words).split(), int(r._y)) for r in first_rows(rows, limit)]
 
 
 def score_texts(raws: list[bytes], model: Model, memo: dict[bytes, float]) -> np.ndarray:
