@@ -125,3 +125,44 @@ def decayed(severity: Column, age_hours: Column, scale: float = 72.0) -> Column:
 
 def confidence(n: Column) -> Column:
     return n / (n + 10)
+
+
+def transfer_utility(score: Column, exact: Column, compatible: Column, positive: Column, cost: Column, risk: Column, mismatch: Column) -> Column:
+    """Worth of seeding a candidate: retrieval, signature and history against cost, risk and a wrong type."""
+    signature = F.when(exact, 1.25).when(compatible, 0.85).otherwise(-0.75)
+    return 0.18 * score + signature + 0.90 * positive - 1.15 * cost - 1.00 * risk - F.when(mismatch, 1.25).otherwise(0.0)
+
+
+#: Seed modes from least to most, each with the utility it needs.
+SEED_MODES = (("no_seed", None), ("guard_only_seed", 2.6), ("skeleton_only_seed", 3.5), ("code_excerpt_seed", 4.6))
+
+
+def seed_mode(utility: Column, override: Column) -> Column:
+    """The fullest mode that the utility reaches, or the override where it is a lesser one."""
+    rank = lambda c: F.array_position(F.array(*[F.lit(m) for m, _ in SEED_MODES]), c)
+    reached = F.coalesce(*[F.when(utility >= least, F.lit(m)) for m, least in reversed(SEED_MODES) if least is not None], F.lit(SEED_MODES[0][0]))
+    return F.when((rank(override) > 0) & (rank(override) < rank(reached)), override).otherwise(reached)
+
+
+def skill_total(family: Column, benchmark: Column, entry: Column, signature: Column, pattern: Column, overlap: Column, language: Column, function: Column, utility: Column, direct: Column) -> Column:
+    """Recall plus rerank score of a skill for a code task."""
+    flag = lambda c, v: F.when(c, v).otherwise(0.0)
+    meaning = flag(family, 1.0) + flag(benchmark, 1.0) + flag(entry, 3.0) + flag(signature, 0.75) + flag(pattern, 1.0) + overlap
+    fit = flag(benchmark, 1.0) + flag(language, 0.5) + flag(function, 0.5) + F.when(entry, 1.0).when(signature, 0.5).otherwise(-0.75) + flag(pattern, 0.5)
+    return meaning + fit + utility + flag(benchmark & function & direct, 0.25)
+
+
+def tokens_after(tokens: Column, end: Column, length: Column) -> Column:
+    """Tokens behind a place of a text, by its share of the characters."""
+    return tokens * (length - end) / length
+
+
+def answers_equal(a: str | Column, b: str | Column) -> Column:
+    """Equal as text, as numbers within 0.001, without spaces beside operators, or as sums in another order of terms."""
+    a, b = _col(a), _col(b)
+    number = lambda c: F.try_to_number(F.replace(F.trim(c), F.lit(","), F.lit("")), F.lit("S" + "9" * 20 + "D" + "9" * 10)).cast("double")
+    tight = lambda c: F.regexp_replace(F.trim(c), r"\s*([-+*/^])\s*", "$1")
+    terms = lambda c: F.array_sort(F.transform(F.split(F.trim(c), r"\+"), lambda t: F.trim(t)))
+    x, y = number(a), number(b)
+    near = F.abs(x - y) <= F.greatest(1e-9 * F.greatest(F.abs(x), F.abs(y)), F.lit(1e-3))
+    return (a == b) | F.when(x.isNotNull() & y.isNotNull(), near).otherwise((tight(a) == tight(b)) | (terms(a) == terms(b)))

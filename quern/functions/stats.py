@@ -83,26 +83,39 @@ def clopper_pearson_high(k, n):
     return k.combine(n, lambda x, m: None if not m else 1.0 if x == m else _bisect(lambda p: _tail(int(x) + 1, int(m), p) >= 0.975))
 
 
-def bootstrap_difference(pairs: DataFrame, a: str, b: str, by: str, resamples: int = 20_000, seed: int = 7) -> DataFrame:
+def bootstrap_difference(pairs: DataFrame, a: str, b: str, by: str, resamples: int = 20_000, seed: int = 7, ends: str = "order") -> DataFrame:
     """(by, n, difference, low, high): 95 % interval of mean(b) - mean(a) over paired booleans.
 
     A resample of n pairs draws multinomial counts of the three possible differences, so a group is three counts
-    (aggregated by Spark) and nothing of the size of the data reaches Python. Ends are order statistics."""
+    (aggregated by Spark) and nothing of the size of the data reaches Python. ends: "order" takes order statistics, "interpolated" linear
+percentiles, "floor" the draws at the floor of 0.025 and 0.975 times the last index. A group with an unknown answer has no difference and no ends."""
     d = F.col(b).cast("int") - F.col(a).cast("int")
-    counts = pairs.groupBy(by).agg(*[F.sum((d == v).cast("long")).alias(name) for name, v in (("worse", -1), ("same", 0), ("better", 1))])
+    counts = pairs.groupBy(by).agg(*[F.sum((d == v).cast("long")).alias(name) for name, v in (("worse", -1), ("same", 0), ("better", 1))], F.count_if(d.isNull()).alias("unknown"))
 
     def draw(batches):
         for pdf in batches:
             low, high = [], []
-            for w, s, g in zip(pdf.worse, pdf.same, pdf.better):
+            pdf = pdf.fillna({"worse": 0, "same": 0, "better": 0})
+            for w, s, g, unknown in zip(pdf.worse, pdf.same, pdf.better, pdf.unknown):
                 n = int(w + s + g)
+                if unknown or not n:
+                    low.append(None)
+                    high.append(None)
+                    continue
                 rng = np.random.default_rng([seed, int(w), int(s), int(g)])
                 x = rng.multinomial(n, np.array([w, s, g]) / n, size=resamples)
-                ends = np.sort((x[:, 2] - x[:, 0]) / n)
-                low.append(ends[int(0.025 * resamples)])
-                high.append(ends[int(0.975 * resamples) - 1])
-            n = pdf.worse + pdf.same + pdf.better
-            yield pdf.assign(n=n, difference=(pdf.better - pdf.worse) / n, low=low, high=high)[[by, "n", "difference", "low", "high"]]
+                drawn = np.sort((x[:, 2] - x[:, 0]) / n)
+                if ends == "interpolated":
+                    a, z = np.quantile(drawn, [0.025, 0.975])
+                elif ends == "floor":
+                    a, z = drawn[int(0.025 * (resamples - 1))], drawn[int(0.975 * (resamples - 1))]
+                else:
+                    a, z = drawn[int(0.025 * resamples)], drawn[int(0.975 * resamples) - 1]
+                low.append(a)
+                high.append(z)
+            n = (pdf.worse + pdf.same + pdf.better + pdf.unknown).astype("int64")
+            difference = ((pdf.better - pdf.worse) / n).where(pdf.unknown == 0)
+            yield pdf.assign(n=n, difference=difference, low=low, high=high)[[by, "n", "difference", "low", "high"]]
 
     kind = pairs.schema[by].dataType.simpleString()
     return counts.mapInPandas(draw, f"{by} {kind}, n long, difference double, low double, high double")

@@ -129,8 +129,12 @@ def action_parts(c: str | Column) -> tuple[Column, Column, Column]:
 def goal_parameters(c: str | Column) -> tuple[Column, Column]:
     """(object, target) of a goal by the first pattern that fits."""
     t = F.lower(_col(c))
-    patterns = [r"put (?:a |an |the |some )?(.+?) (?:in|on) (?:a |an |the )?(.+?)\.?\z", r"(?:clean|heat|cool) (?:a |an |the |some )?(.+?) and put it (?:in|on) (?:a |an |the )?(.+?)\.?\z", r"examine (?:a |an |the )?(.+?) with (?:a |an |the )?(.+?)\.?\z"]
-    patterns = [patterns[1], patterns[2], patterns[0]]
+    # a goal that changes the object also says where to put it, so the plain "put" comes last
+    patterns = [
+        r"(?:clean|heat|cool) (?:a |an |the |some )?(.+?) and put it (?:in|on) (?:a |an |the )?(.+?)\.?\z",
+        r"examine (?:a |an |the )?(.+?) with (?:a |an |the )?(.+?)\.?\z",
+        r"put (?:a |an |the |some )?(.+?) (?:in|on) (?:a |an |the )?(.+?)\.?\z",
+    ]
     return tuple(F.coalesce(*[N.found(F.regexp_extract(t, p, g)) for p in patterns]) for g in (1, 2))
 
 

@@ -283,7 +283,11 @@ def json_slice(c: str | Column) -> Column:
     return found(F.regexp_extract(_col(c), r"(?s)(\{.*\})", 1))
 
 
-def parse_records(rows: DataFrame, raw: str, delimiter: str, record: str = "##", end: str = "<END>") -> DataFrame:
+#: Fixed value: what separates the fields of an extraction record.
+FIELD_DELIMITER = "<|>"
+
+
+def parse_records(rows: DataFrame, raw: str, delimiter: str = FIELD_DELIMITER, record: str = "##", end: str = "<END>") -> DataFrame:
     """Extraction output to rows: entities need four fields, relations five; names are upper case, the weight is the last
     field if it is a number, else 1. Adds record, name, kind, tgt, description, keywords, weight."""
     part = F.explode(split_markers(raw, [record, end]))

@@ -102,3 +102,24 @@ def indel_pairs(rows: DataFrame, key: str, text: str, least: float) -> DataFrame
     n, m = F.length("_a"), F.length("_b")
     met = a.join(b, "_w").filter("left < right").filter(2 * F.least(n, m) >= least * (n + m)).select("left", "right", "_a", "_b").distinct()
     return met.select("left", "right", F.round(N.indel_ratio("_a", "_b"), 9).alias("ratio")).filter(F.col("ratio") >= least)
+
+
+def like_pairs(rows: DataFrame, key: str, group: str, features: str, steps: str, least: float, ratio: float) -> DataFrame:
+    """(left, right, jaccard, ratio): pairs of a group whose feature sets and steps are alike.
+
+    Exact prefix filter: with the features of a row in order of their frequency, two sets of Jaccard similarity ``least`` share one of
+    the first n - ceil(least n) + 1 of either, so only the rarest features meet, and only rows of fitting sizes."""
+    r = rows.select(F.col(key).alias("_k"), F.col(group).alias("_g"), F.array_distinct(features).alias("_f"), F.col(steps).alias("_s"))
+    one = r.select("_k", "_g", "_s", "_f", F.explode("_f").alias("_w"))
+    often = one.groupBy("_g", "_w").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = one.join(often, ["_g", "_w"]).groupBy("_k", "_g", "_s", "_f").agg(F.array_sort(F.collect_list(F.struct("_n", "_w"))).alias("_o"))
+    n = F.size("_o")
+    front = ranked.select("_k", "_g", "_s", "_f", F.explode(F.slice("_o", 1, (n - F.ceil(least * n - 1e-9) + 1).cast("int"))).alias("_p")).select("_k", "_g", "_s", "_f", F.col("_p._w").alias("_w"))
+    a = front.select("_g", "_w", F.col("_k").alias("left"), F.col("_f").alias("_a"), F.col("_s").alias("_x"))
+    b = front.select("_g", "_w", F.col("_k").alias("right"), F.col("_f").alias("_b"), F.col("_s").alias("_y"))
+    small, large = F.least(F.size("_a"), F.size("_b")), F.greatest(F.size("_a"), F.size("_b"))
+    met = a.join(b, ["_g", "_w"]).filter((F.col("left") < F.col("right")) & (small >= least * large)).dropDuplicates(["left", "right"])
+    shared = F.size(F.array_intersect("_a", "_b"))
+    jaccard = shared / (F.size("_a") + F.size("_b") - shared)
+    found = met.select("left", "right", "_x", "_y", F.round(jaccard, 9).alias("jaccard")).filter(F.col("jaccard") >= least)
+    return found.select("left", "right", "jaccard", F.round(N.sequence_ratio("_x", "_y"), 9).alias("ratio")).filter(F.col("ratio") >= ratio)

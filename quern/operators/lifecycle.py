@@ -38,3 +38,22 @@ def next_state(state: tuple[int, int, int, float], ok: bool, alpha: float = 0.5)
 def clamped_walk(oks: str | Column, start: float, up: float, down: float, low: float = 0.0, high: float = 1.0) -> Column:
     """A value moved up or down by each outcome and clamped at each step."""
     return F.aggregate(oks, F.lit(float(start)), lambda u, ok: F.greatest(F.lit(low), F.least(F.lit(high), u + F.when(ok, up).otherwise(-down))))
+
+
+def clamped_fold(df: DataFrame, key: str, block: str, order: list[str], step: str, start: float, lo: float, hi: float) -> DataFrame:
+    """(key, value): start moved by every step of the key in order, clamped to [lo, hi] after each.
+
+    A run of clamped steps is itself one: u -> min(max(u + shift, low), high). Each block of rows (a column that grows with the
+    order, such as the hour) is folded to these three numbers by itself, then the blocks of a key are, so no task holds all rows of a key."""
+
+    def then(state: Column, shift: Column, low: Column, high: Column) -> Column:
+        bound = lambda c: F.least(F.greatest(c, low), high)
+        return F.struct((state["shift"] + shift).alias("shift"), bound(state["low"] + shift).alias("low"), bound(state["high"] + shift).alias("high"))
+
+    none = F.struct(F.lit(0.0).alias("shift"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
+    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(step).alias("_step"))))
+    part = df.groupBy(key, block).agg(rows.alias("_rows"))
+    part = part.select(key, block, F.aggregate("_rows", none, lambda s, r: then(s, r["_step"], F.lit(lo), F.lit(hi))).alias("_fold"))
+    whole = part.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(block).alias("_block"), "_fold"))).alias("_parts"))
+    folded = F.aggregate("_parts", none, lambda s, p: then(s, p["_fold"]["shift"], p["_fold"]["low"], p["_fold"]["high"]))
+    return whole.select(key, folded.alias("_all")).select(key, F.least(F.greatest(F.lit(start) + F.col("_all.shift"), F.col("_all.low")), F.col("_all.high")).alias("value"))

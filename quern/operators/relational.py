@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,21 @@ def unmatched(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def exactly_one(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Violations of a one-row-a-key rule: (keys, n) with n > 1."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def strict_join(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of labels; a row without a label, or a key with several labels, stops the query with an error."""
+    one = labels.groupBy(key).agg(*[F.first(c).alias(c) for c in labels.columns if c != key], F.count(F.lit(1)).alias("_labels"))
+    met = rows.join(one, key, "left")
+    name = F.concat(F.lit(f"{key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    checked = F.when(F.col("_labels").isNull(), F.raise_error(F.concat(name, F.lit(" has no label")))).when(F.col("_labels") > 1, F.raise_error(F.concat(name, F.lit(" has several labels"))))
+    # the check yields null where it passes, so it can't be optimised away from the key
+    return met.withColumn(key, F.coalesce(checked.cast(met.schema[key].dataType), F.col(key))).drop("_labels")
+
+
+def after_sealing(submissions: DataFrame, labels: DataFrame, key: str, sealed: Column) -> DataFrame:
+    """submissions with their labels, which join only when every submission is sealed; an unsealed one stops the query with an error."""
+    open_ones = submissions.agg(F.count_if(~F.coalesce(sealed, F.lit(False))).alias("_open"))
+    gate = open_ones.select(F.when(F.col("_open") > 0, F.raise_error(F.lit("labels are read only after all submissions are sealed"))).otherwise(F.lit(0)).alias("_gate"))
+    gated = labels.join(F.broadcast(gate)).filter("_gate = 0").drop("_gate")  # one row
+    return submissions.join(gated, key, "left")

@@ -56,7 +56,8 @@ def max_f1_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("p_partkey", F.when(same == 0, 0.0).otherwise(F.round(2.0 * same / (F.size(a) + F.size(b)), 9)).alias("f1")).groupBy("p_partkey").agg(F.max("f1").alias("f1"))
 
 
-#: Made answers, the same text on both sides: chr(92) is the backslash.
+#: Made answers, the same text for both SQL dialects: Spark's takes a backslash in a literal as an escape and DuckDB's doesn't,
+#: so chr92 stands for it until chr(92) replaces it at run time.
 _ANSWER = """
 CASE p_partkey % 6
   WHEN 0 THEN 'work chr92boxed{ ' || p_size || ' } and chr92boxed{chr92frac{1}{' || p_size || '}}'

@@ -134,14 +134,15 @@ def near_dup_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH w AS (SELECT doc_id, regexp_split_to_array(lower(text), '\\s+') AS w FROM documents), g AS (SELECT doc_id, array_to_string(w[i : i + 7], ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
-b AS (SELECT item_id, array_to_string(regexp_split_to_array(lower(text), '\\s+')[1 : 8], ' ') AS h FROM benchmark)
+b AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 7], ' ') AS h FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT item_id, regexp_split_to_array(lower(text), '\\s+') AS w FROM benchmark)))
 SELECT doc_id, min(item_id) AS item_id, count(DISTINCT item_id) AS items FROM g JOIN b USING (h) GROUP BY 1
 """)
 def contamination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold the first eight words of an item: 8-grams joined by their text."""
-    d = load(spark, sf_dir, "documents").select("doc_id", F.split(F.lower("text"), r"\s+").alias("w")).filter("size(w) >= 8")
-    g = d.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))).alias("h"))
-    b = load(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split(F.lower("text"), r"\s+"), 1, 8), " ").alias("h"))
+    """Documents that hold eight words in a row of an item, wherever they stand in it: joined by the 64-bit hashes of all 8-grams, so
+    that no gram travels as text; items under eight words have none."""
+    grams = lambda df, key: df.select(key, F.split(F.lower("text"), r"\s+").alias("w")).filter("size(w) >= 8").select(
+        key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.xxhash64(F.slice("w", i, 8))))).alias("h"))
+    g, b = grams(load(spark, sf_dir, "documents"), "doc_id"), grams(load(spark, sf_dir, "benchmark"), "item_id")
     return g.join(b, "h").groupBy("doc_id").agg(F.min("item_id").alias("item_id"), F.countDistinct("item_id").alias("items"))
 
 

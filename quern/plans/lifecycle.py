@@ -51,13 +51,13 @@ def clamped_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT user_id AS key, count(*) AS support, sum((event_type <> 'error')::INT)::BIGINT AS good, sum((event_type = 'error')::INT)::BIGINT AS bad FROM events WHERE event_id % 17 = 0 GROUP BY 1)
+WITH s AS (SELECT user_id AS key, count(*) AS support, sum((event_type <> 'error')::INT)::BIGINT AS good, sum((event_type = 'error')::INT)::BIGINT AS bad FROM events GROUP BY 1)
 SELECT key, support, greatest(0, support + good - bad)::BIGINT AS priority, CASE WHEN bad >= 2 AND bad >= good THEN 'suppressed' WHEN support >= 2 THEN 'active' ELSE 'draft' END AS status FROM s
 """)
 def template_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Template support, priority and status after feedback (every seventeenth event is an observation of a template)."""
+    """Template support, priority and status after feedback (every event is an observation of a template)."""
     ok = F.col("ok").cast("long")
-    s = usage(spark, sf_dir).filter("seq % 17 = 0").groupBy("key").agg(F.count(F.lit(1)).alias("support"), F.sum(ok).alias("good"), F.sum(1 - ok).alias("bad"))
+    s = usage(spark, sf_dir).groupBy("key").agg(F.count(F.lit(1)).alias("support"), F.sum(ok).alias("good"), F.sum(1 - ok).alias("bad"))
     status = F.when((F.col("bad") >= 2) & (F.col("bad") >= F.col("good")), "suppressed").when(F.col("support") >= 2, "active").otherwise("draft")
     return s.select("key", "support", F.greatest(F.lit(0), F.col("support") + F.col("good") - F.col("bad")).cast("long").alias("priority"), status.alias("status"))
 
@@ -134,8 +134,12 @@ SELECT event_type, count(*) AS n, list(DISTINCT user_id ORDER BY user_id)[1:5] A
 """)
 def insight_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insights from three samples or more, with five exemplars."""
-    g = load(spark, sf_dir, "events").filter("value > 90").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set("user_id")), 1, 5).alias("exemplars"))
-    return g.filter("n >= 3")
+    # counts a user first; the rank limit is applied in the tasks before the shuffle, so no list grows past five
+    users = load(spark, sf_dir, "events").filter("value > 90").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    first = users.withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy("user_id"))).filter("r <= 5")
+    exemplars = first.groupBy("event_type").agg(F.array_sort(F.collect_list("user_id")).alias("exemplars"))
+    n = users.groupBy("event_type").agg(F.sum("n").alias("n")).filter("n >= 3")
+    return n.join(exemplars, "event_type").select("event_type", "n", "exemplars")
 
 
 @query("""
@@ -145,7 +149,8 @@ SELECT key, round(list_reduce(list_prepend(0.0::DOUBLE, d), lambda u, x: greates
 def policy_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policy deltas after each episode, clamped to [-1, 1]."""
     e = load(spark, sf_dir, "events").select(F.col("event_type").alias("key"), "ts", F.col("event_id").alias("seq"), (F.col("value") > 50).alias("ok"))
-    return L.ordered_outcomes(e).select("key", F.round(L.clamped_walk("oks", 0.0, 0.05, 0.08, -1.0, 1.0), 6).alias("delta"))
+    e = e.withColumn("step", F.when(F.col("ok"), 0.05).otherwise(-0.08)).withColumn("block", F.date_trunc("hour", "ts"))
+    return L.clamped_fold(e, "key", "block", ["ts", "seq"], "step", 0.0, -1.0, 1.0).select("key", F.round("value", 6).alias("delta"))
 
 
 @query("""
@@ -161,9 +166,9 @@ def meta_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT key, min(doc_id) AS doc_id FROM (SELECT md5(lang || '|' || left(text, 40)) AS key, doc_id FROM documents) GROUP BY key
+SELECT key, min(doc_id) AS doc_id FROM (SELECT md5(lang || '|' || text) AS key, doc_id FROM documents) GROUP BY key
 """)
 def response_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Get-or-put cache: the first response under each argument digest."""
-    key = F.md5(F.concat_ws("|", "lang", F.left("text", F.lit(40)))).alias("key")
+    key = F.md5(F.concat_ws("|", "lang", "text")).alias("key")
     return load(spark, sf_dir, "documents").groupBy(key).agg(F.min("doc_id").alias("doc_id"))

@@ -502,13 +502,13 @@ SELECT coalesce(a.n_regionkey, b.n_regionkey) AS n_regionkey, list_sort(list_dis
 FROM (SELECT n_regionkey, list(n_name) AS v FROM nation WHERE n_nationkey < 15 GROUP BY 1) a FULL JOIN (SELECT n_regionkey, list(n_name) AS v FROM nation WHERE n_nationkey > 9 GROUP BY 1) b ON a.n_regionkey = b.n_regionkey
 """)
 def map_of_lists_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two maps of lists merged key by key without repeats."""
+    """Two maps of lists, a row a key, merged key by key without repeats."""
     n = load(spark, sf_dir, "nation")
-    as_map = lambda df, name: df.groupBy("n_regionkey").agg(F.collect_list("n_name").alias("v")).agg(F.map_from_entries(F.collect_list(F.struct("n_regionkey", "v"))).alias(name))
-    two = as_map(n.filter("n_nationkey < 15"), "a").join(F.broadcast(as_map(n.filter("n_nationkey > 9"), "b")))
+    lists = lambda df, name: df.groupBy("n_regionkey").agg(F.collect_list("n_name").alias(name))
+    two = lists(n.filter("n_nationkey < 15"), "a").join(lists(n.filter("n_nationkey > 9"), "b"), "n_regionkey", "full")
     empty = F.array().cast("array<string>")
-    merged = F.map_zip_with("a", "b", lambda k, x, y: F.array_sort(F.array_distinct(F.concat(F.coalesce(x, empty), F.coalesce(y, empty)))))
-    return two.select(F.explode(merged).alias("n_regionkey", "merged"))
+    merged = F.array_sort(F.array_distinct(F.concat(F.coalesce("a", empty), F.coalesce("b", empty))))
+    return two.select("n_regionkey", merged.alias("merged"))
 
 
 @query("""

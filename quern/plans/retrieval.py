@@ -362,11 +362,11 @@ UNION ALL SELECT 'relationship', upper(n_name), NULL, upper(r_name), 'lies in',
 """)
 def extraction_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw extraction output of each nation, parsed to entity and relation rows."""
-    t = "<" + chr(124) + ">"
+    t = N.FIELD_DELIMITER
     nation, region = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")
     m = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     weight = F.when(F.col("n_nationkey") % 3 == 0, F.concat("n_nationkey", F.lit(".5"))).otherwise(F.lit("strong"))
     entity = F.concat_ws(t, F.lit('("entity"'), "n_name", F.lit("nation"), F.concat(F.lit("in region "), "n_regionkey", F.lit(")")))
     relation = F.concat_ws(t, F.lit('("relationship"'), "n_name", "r_name", F.lit("lies in"), F.lit("place"), F.concat(weight, F.lit(")")))
     raw = m.select("n_nationkey", F.concat(entity, F.lit("##"), relation, F.lit('##("entity"' + t + "short)<END>")).alias("raw"))
-    return N.parse_records(raw, "raw", delimiter=t).select("record", "name", "kind", "tgt", "description", "weight")
+    return N.parse_records(raw, "raw").select("record", "name", "kind", "tgt", "description", "weight")

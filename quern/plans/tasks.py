@@ -199,12 +199,12 @@ def message_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT r_regionkey, r_name, n FROM region JOIN (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1) ON n_regionkey = r_regionkey")
 def stored_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON lines and nested CSV cells written to the shared folder and read back."""
-    import tempfile
     import uuid
 
+    from ..operators.lineage import shared_folder
     from ..sources import files
 
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='quern-store-')}/store-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
     files.write_json(load(spark, sf_dir, "region"), f"{root}/region")
     files.write_csv(load(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_list("n_name").alias("names")), f"{root}/nation")
     a = files.read_jsonl(spark, f"{root}/region", "r_regionkey int, r_name string")

@@ -54,11 +54,10 @@ def sessions(events: DataFrame, gap: str = "2 hours", late: str = "1 hour") -> D
 def run_once(stream: DataFrame, mode: str) -> DataFrame:
     """Process what is available through Parquet files in the shared folder of the session and return the rows; the
     stream's own checkpoint lies beside them, so a run that lost its driver resumes."""
-    import tempfile
+    from ..operators.lineage import shared_folder
 
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-stream-")
-    at = f"{root}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "update":  # the file sink appends only: keep each batch with its number
 
         def keep(df: DataFrame, number: int) -> None:

@@ -113,9 +113,9 @@ def test_graph(spark):
 
 
 def test_record_parser(spark):
-    t = "<" + "|" + ">"
+    t = N.FIELD_DELIMITER
     raw = f'("entity"{t}ann{t}person{t}tall)##("relationship"{t}ann{t}bob{t}knows{t}friend{t}2.5)##("relationship"{t}a{t}b{t}c{t}d{t}many)##("entity"{t}{t}x{t}y)##junk<END>'
-    rows = N.parse_records(spark.createDataFrame([(raw,)], "raw string"), "raw", t).collect()
+    rows = N.parse_records(spark.createDataFrame([(raw,)], "raw string"), "raw").collect()
     assert [(r.record, r.name, r.tgt, r.weight) for r in rows] == [("entity", "ANN", None, None), ("relationship", "ANN", "BOB", 2.5), ("relationship", "A", "B", 1.0)]
 
 
