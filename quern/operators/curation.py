@@ -18,13 +18,33 @@ def seal(*cols: str) -> Column:
     return F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in cols]), 256)
 
 
+def ranked(rows: DataFrame, by: list[str], part: Column, order: list, name: str = "_r") -> DataFrame:
+    """rows with their exact rank (from 1) by ``order`` within ``by``, and ``_size``, the rows of the group.
+
+    A group may hold most of the table, so it isn't sorted in one task: part, a value that grows with the order, splits it; rows are ranked within their part
+    and the sizes of the parts before, a small table, are added."""
+    r = rows.withColumn("_part", part)
+    n = r.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*by)
+    before = n.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_part").alias("_at"), (F.sum("_n").over(group.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(group).alias("_size"))
+    same = F.col("_part").eqNullSafe(F.col("_at"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
+    out = r.withColumn("_inside", inside).join(before, same)
+    return out.withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_at", "_before", "_inside", *[f"_of_{c}" for c in by])
+
+
+def hash_part(digest: Column) -> Column:
+    """4096 parts that grow with a hexadecimal digest."""
+    return F.left(digest, F.lit(3))
+
+
 def stratified_split(groups: DataFrame, strata: list[str], group: str, share: float) -> DataFrame:
     """Whole groups to dev: max(1, round(share x groups)) of each stratum with more than one, in hash order."""
-    w = Window.partitionBy(*strata)
-    r = F.row_number().over(w.orderBy(F.sha2(group, 256), group))
-    k = F.count(F.lit(1)).over(w)
-    dev = (F.col("_k") > 1) & (F.col("_r") <= F.greatest(F.lit(1), F.round(share * F.col("_k"))))
-    return groups.withColumns({"_r": r, "_k": k}).withColumn("split", F.when(dev, "dev").otherwise("train")).drop("_r", "_k")
+    digest = F.sha2(group, 256)
+    dev = (F.col("_size") > 1) & (F.col("_r") <= F.greatest(F.lit(1), F.round(share * F.col("_size"))))
+    return ranked(groups, strata, hash_part(digest), [digest, group]).withColumn("split", F.when(dev, "dev").otherwise("train")).drop("_r", "_size")
 
 
 def sample_per_stratum(rows: DataFrame, strata: list[str], order: Column, quota: int) -> DataFrame:
@@ -51,11 +71,11 @@ def pick_in_turn(rows: DataFrame, key: str, categories: dict[str, list[Column]],
     return taken
 
 
-def permuted_within(rows: DataFrame, by: str, key: str, label: str, order: Column) -> DataFrame:
-    """(key, label, shuffled): labels of each group dealt anew in hash order."""
-    r = rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(key)))
-    h = rows.select(F.col(by), F.col(label).alias("shuffled"), F.row_number().over(Window.partitionBy(by).orderBy(order)).alias("_r"))
-    return r.join(h, [by, "_r"]).select(key, label, "shuffled")
+def permuted_within(rows: DataFrame, by: str, key: str, label: str, digest: Column) -> DataFrame:
+    """(key, label, shuffled): labels of each group dealt anew in the order of a digest; key is an integer."""
+    r = ranked(rows, [by], F.floor(F.col(key) / 4096), [key])
+    h = ranked(rows, [by], hash_part(digest), [digest, key]).select(F.col(by).alias("_by"), F.col(label).alias("shuffled"), F.col("_r").alias("_h"))
+    return r.join(h, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_r") == F.col("_h"))).select(key, label, "shuffled")
 
 
 def block_keys(rows: DataFrame, key: str, text: str, width: int = 24) -> DataFrame:

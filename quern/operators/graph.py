@@ -77,23 +77,33 @@ def incident(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(a.union(b).distinct(), ["src", "tgt"])
 
 
-def budget_prefix(rows: DataFrame, tokens: str, order: list[Column], budget: int, by: list[str] | None = None) -> DataFrame:
-    """Rows in order while the running sum of tokens stays within the budget; the first overflow ends the prefix.
-
-    Without groups the window has one partition: callers cut the rows to the most that the budget can hold before."""
+def budget_prefix(rows: DataFrame, tokens: str, order: list[Column], budget: int, by: list[str] | None = None, coarse: str | None = None) -> DataFrame:
+    """Rows in order while the running sum of tokens (0 or more each) stays within the budget; the first overflow ends the prefix.
+
+    Without groups the window has one partition: callers cut the rows to the most that the budget can hold before. With groups and
+    coarse, the column that leads the order (ascending), the tokens of its values are summed first and only rows whose values begin within the
+    budget reach the window, so a group of any size is never sorted whole."""
+    if by and coarse:
+        sums = rows.groupBy(*by, coarse).agg(F.sum(tokens).alias("_t"))
+        begins = F.sum("_t").over(Window.partitionBy(*by).orderBy(coarse)) - F.col("_t")
+        within = sums.withColumn("_b", begins).filter(F.col("_b") <= budget).select(*[F.col(c).alias(f"_of_{c}") for c in (*by, coarse)])
+        same = F.lit(True)
+        for c in (*by, coarse):
+            same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+        rows = rows.join(within, same, "left_semi")
     w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("running", F.sum(tokens).over(w)).filter(F.col("running") <= budget)
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, component): smallest id reachable over undirected edges (src, tgt). Min-label rounds with label jumping, cut by
-    checkpoints in the session's shared folder."""
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(id, component): smallest id reachable over undirected edges (src, tgt). Min-label rounds with label jumping until no
+    label changes, cut by checkpoints in the session's shared folder."""
     from .lineage import checkpointed
 
     both = checkpointed(edges.select("src", "tgt").union(edges.select(F.col("tgt"), F.col("src"))).distinct())
     state = both.groupBy(F.col("src").alias("id")).agg(F.min("tgt").alias("m")).select("id", F.least("id", "m").alias("component"))
     state = checkpointed(state)
-    for _ in range(rounds):
+    while True:
         seen = both.join(state, both.tgt == state.id).select(both.src.alias("id"), "component").groupBy("id").agg(F.min("component").alias("m"))
         near = state.join(seen, "id").select("id", F.col("component").alias("was"), F.least("component", "m").alias("component"))
         above = state.select(F.col("id").alias("_r"), F.col("component").alias("_up"))
@@ -101,7 +111,6 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         state = new.select("id", "component")
         if new.filter("component <> was").limit(1).count() == 0:
             return state
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def largest_component(edges: DataFrame) -> DataFrame:

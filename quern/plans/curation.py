@@ -36,8 +36,9 @@ SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY sha256('s
 """)
 def shuffle_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded shuffle by hash order, the first hundred of each language apart."""
-    w = Window.partitionBy("lang").orderBy(F.sha2(F.concat(F.lit("s7"), "doc_id"), 256), "doc_id")
-    return load(spark, sf_dir, "documents").select("doc_id", F.when(F.row_number().over(w) <= 100, "validate").otherwise("test").alias("split"))
+    digest = F.sha2(F.concat(F.lit("s7"), "doc_id"), 256)
+    rows = C.ranked(load(spark, sf_dir, "documents").select("doc_id", "lang"), ["lang"], C.hash_part(digest), [digest, "doc_id"])
+    return rows.select("doc_id", F.when(F.col("_r") <= 100, "validate").otherwise("test").alias("split"))
 
 
 @query("""

@@ -160,7 +160,7 @@ SELECT doc_id, lang, tokens, running FROM (
 def token_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortest documents of each language within a budget of 4000 tokens."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", N.word_count("text").cast("long").alias("tokens"))
-    return G.budget_prefix(docs, "tokens", [F.col("n_chars"), F.col("doc_id")], 4000, ["lang"]).select("doc_id", "lang", "tokens", "running")
+    return G.budget_prefix(docs, "tokens", [F.col("n_chars"), F.col("doc_id")], 4000, ["lang"], "n_chars").select("doc_id", "lang", "tokens", "running")
 
 
 @query(f"""

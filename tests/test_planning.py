@@ -80,3 +80,19 @@ def test_budget_and_counts_of_registered_bpe_queries(spark, sf_dir):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = catalog.QUERIES["bpe_budget_prefix"](spark, sf_dir).collect()
     assert rows and all(r.tokens == len(e.encode_ordinary(text[r.doc_id])) and r.running <= 4000 for r in rows)
+
+
+def test_ranks_and_budgets_of_large_groups_equal_plain_windows(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from quern.operators import graph as G
+
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(k, None if k % 7 == 0 else "g%d" % (k % 3), int(rng.integers(0, 30)), int(rng.integers(0, 9))) for k in range(3000)], "k long, g string, a int, t int")
+    d = F.md5(F.col("k").cast("string"))
+    plain = df.select("k", F.row_number().over(Window.partitionBy("g").orderBy(d)).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("g")).alias("n"))
+    assert {tuple(r) for r in C.ranked(df, ["g"], C.hash_part(d), [d]).select("k", "_r", "_size").collect()} == {tuple(r) for r in plain.collect()}
+    order = [F.col("a"), F.col("k")]
+    both = [{tuple(r) for r in G.budget_prefix(df, "t", order, 400, ["g"], c).select("k", "running").collect()} for c in (None, "a")]
+    assert both[0] == both[1] and both[0]
