@@ -1,0 +1,36 @@
+"""Typed equality: pairs that must agree, differ or stay open."""
+
+import pytest
+
+from quern.functions import typed as T
+
+SAME = [
+    ("\\frac{1}{2}", "0.5"), ("2\\sqrt{3}+3", "3 + 2\\sqrt{3}"), ("\\sqrt{12}", "2\\sqrt{3}"), ("(x+1)^2", "x^2+2x+1"), ("\\frac{1}{\\sqrt{2}}", "\\frac{\\sqrt{2}}{2}"), ("(B)", "\\text{B}"), ("\\{1, 2\\}", "\\{2,1\\}"),
+    ("[0, \\infty)", "[0,\\infty)"), ("(1, 2)", "\\left(1, \\frac{4}{2}\\right)"), ("\\begin{pmatrix}1&2\\\\3&4\\end{pmatrix}", "\\begin{bmatrix} 1 & 2 \\\\ 3 & 4 \\end{bmatrix}"), ("y = 2x + 1", "2y - 4x = 2"), ("150 cm", "1.5 meters"),
+    ("1,000", "1000"), ("2 feet", "24 inches"), ("3\\pi", "\\pi \\cdot 3"), ("\\sqrt{2}\\sqrt{8}", "4"), ("50\\%", "50 percent"), ("\\$3", "300 cents"), ("2^{-1}", ".5"), ("4 square feet", "576 in^2"), ("-\\frac{3}{4}x", "-0.75x"), ("3+-2x", "3-2x"), ("2*-3", "-6"),
+]
+OTHER = [("\\frac{1}{3}", "0.333", "exact_nonzero_difference"), ("(1,2)", "(2,1)", "ordered_component_comparison"), ("\\{1,2\\}", "\\{1,2,3\\}", "set_cardinality_mismatch"), ("[0,1]", "[0,1)", "unequal_solution_sets"), ("x+1", "x-1", "exact_nonzero_difference"), ("2x", "3x", "nonzero_polynomial"),
+         ("A", "B", "exact_label_or_numeral"), ("5 cm", "5 kg", "unit_dimension_mismatch"), ("5", "5 cm", "typed_object_mismatch"), ("\\{1,2\\}", "\\{1,3\\}", "finite_set_membership_mismatch"), ("\\begin{pmatrix}1\\\\2\\end{pmatrix}", "\\begin{pmatrix}1&2\\end{pmatrix}", "dimension_mismatch")]
+OPEN = [("x^2=1", "x=1", "equation_zero_set_not_proven"), ("\\sin x", "1", "prediction:unparsed_expression"), ("1", "\\int", "reference:unparsed_expression"), ("", "1", "missing_prediction"), ("\\frac{1}{0}", "1", "prediction:division_outside_the_grammar"), (None, None, "missing_prediction")]
+
+
+@pytest.mark.parametrize("a, b", SAME)
+def test_same(a, b):
+    assert T.verdict(a, b)[0] is True and T.verdict(b, a)[0] is True
+
+
+@pytest.mark.parametrize("a, b, code", OTHER)
+def test_other(a, b, code):
+    assert T.verdict(a, b) == (False, code)
+
+
+@pytest.mark.parametrize("a, b, code", OPEN)
+def test_open(a, b, code):
+    assert T.verdict(a, b) == (None, code)
+
+
+def test_as_columns(spark):
+    rows = [(a, b) for a, b in SAME] + [(a, b) for a, b, _ in OTHER + OPEN]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", T.graded("a", "b").alias("g")).collect()
+    assert all((r.g.verdict, r.g.code) == T.verdict(r.a, r.b) for r in got) and len(got) == len(rows)
+    assert T.verdict("1, 2", "2, 1", "set")[0] is True and T.verdict("(1,2)", "(1,2]", "interval")[0] is False
