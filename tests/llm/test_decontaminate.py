@@ -80,6 +80,15 @@ def test_blocks_and_empty_tables(spark, sf_dir, monkeypatch):
     assert D.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_clean_keeps_rows_of_one_id_apart(spark):
+    item = " ".join(f"item{k}" for k in range(30))
+    rows = [(1, "before " + item + " after"), (1, "an innocent text"), (None, item), (None, "another one"), (2, None), (2, ""), (3, "an innocent text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as __q_id", "2 as th", "3 as _c1", "4 as item_id")
+    got = D.clean(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted((r for r in rows if item not in (r[1] or "")), key=str)
+
+
 def test_strips_and_batches_lose_no_alignment():
     rng = np.random.default_rng(5)
     block = D.Items([(1, " ".join(f"w{k}" for k in rng.integers(0, 6, 11))), (2, "w1 w2 w3"), (3, " ".join(f"w{k}" for k in range(40)))])

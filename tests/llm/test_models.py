@@ -99,6 +99,46 @@ def test_labelled_rows_and_few_telling_words(spark):
     assert s[0] > s[1]
 
 
+def test_toxicity_scores_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = toxicity.train(toxicity.labelled_sample(docs, labels, "toxic"))
+
+    def decision(word):
+        c, dot, square = [toxicity.MARK, *(x - 97 if x < 128 else x - 128 + 28 for x in word)], 0.0, 0.0
+        for i in range(len(c)):
+            for j in range(i + 1, len(c)):
+                for k in range(j + 1, min(len(c), i + toxicity.SPAN + 1)):
+                    v = toxicity.DECAY ** (k - i - 2)
+                    dot += v * model.tensor[(c[i] * toxicity.BASE + c[j]) * toxicity.BASE + c[k]]
+                    square += v * v
+        return dot / max(square**0.5, toxicity.LEAST_NORM) + model.bias
+
+    rows = docs.filter("doc_id % 9 = 0").collect()
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
+    for r in rows:
+        values = [decision(w) for w in set(toxicity.folded_words((r.text or "").encode()))] or [model.bias]
+        hits = sum(v >= toxicity.SURE for v in values)
+        x = [1.0, min(max(max(values), -2.0), 1.2), np.log1p(hits), np.log1p(100 * hits / len(values)), np.log1p(len(values)), float(hits > 0)]
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-sum(a * b for a, b in zip(model.layer, x)))), abs=1e-3)
+
+
+def test_quality_scores_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality.scored(docs, model).collect()}
+    dim, (w1, b1, w2, b2) = quality.DIM, model.layers
+    for r in docs.filter("doc_id % 9 = 0").collect():
+        ids = quality.Tokens().ids(r.text or "")
+        vectors = [model.vectors[i].astype(float) for i in ids]
+        mean = sum(vectors, np.zeros(2 * dim)) / max(1, len(ids))
+        agree = sum(float(a[dim:] @ b[dim:]) for a, b in zip(vectors, vectors[1:])) / max(1, len(ids) - 1)
+        x = np.array([*mean, np.sqrt((mean[dim:] ** 2).sum()), agree, np.log1p(len(ids)) / 10])
+        z = np.tanh((x - model.shift) / model.scale @ w1 + b1)
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-float(z @ w2[:, 0] + b2[0]) / model.temperature)), abs=1e-3)
+
+
 def test_no_labels_give_the_base_rate(spark):
     docs, labels = frames(spark, "sf0.001")
     model = toxicity.train(toxicity.labelled_sample(docs, labels.limit(0), "toxic"))

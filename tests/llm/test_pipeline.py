@@ -20,6 +20,7 @@ def test_stages_and_run(spark, tmp_path):
     rows += [(9000 + i, f"{rows[i][1][:200]} {passage} {rows[i][1][200:500]}", "en", "src1", 0) for i in range(4)]
     rows += [(9100, f"{rows[3][1][:300]} {bench[2][1]}", "en", "src2", 5), (9200, rows[1][1], "en", "src3", 7), (9300, None, "en", None, None), (9301, "", "en", None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.selectExpr("*", "1 as __q_id", "'x' as _c0", "2 as removed_bytes", "3 as th", "4 as spans", "5 as piece_id")
     df.write.parquet(f"{tmp_path}/documents.parquet")
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
