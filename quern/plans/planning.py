@@ -197,3 +197,57 @@ def typed_grading(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.when(kind == 0, made("\\frac{", c("q"), "}{", c("d"), "}")).when(kind == 1, made(c("q"), "x + ", c("d"))).otherwise(made("[", c("q"), ", ", c("q") + c("d"), ")"))
     r = F.when(kind == 0, made(other, "/", c("e"))).when(kind == 1, made(c("d"), "+", other, "x")).otherwise(made("[", c("q"), ",", c("q") + c("e"), ")"))
     return li.select("l_orderkey", "l_linenumber", T.graded(p, r)["verdict"].alias("same"))
+
+
+@query("""
+SELECT event_type, round(p - h, 6) AS low, round(p + h, 6) AS high, round(greatest(p2 - h2, 0), 6) AS low_90, round(least(p2 + h2, 1), 6) AS high_90 FROM (
+  SELECT event_type, (r + z * z / (2 * n)) / (1 + z * z / n) AS p, z * sqrt(r * (1 - r) / n + z * z / (4 * n * n)) / (1 + z * z / n) AS h, (r + y * y / (2 * n)) / (1 + y * y / n) AS p2, y * sqrt(r * (1 - r) / n + y * y / (4 * n * n)) / (1 + y * y / n) AS h2
+  FROM (SELECT event_type, count(*)::DOUBLE AS n, avg((value > 50)::INT) AS r, 1.959963984540054::DOUBLE AS z, 1.6448536269514722::DOUBLE AS y FROM events GROUP BY 1))
+""")
+def wilson_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wilson intervals by the longer constant without clamping, and at 90 % with it."""
+    g = load(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("k"))
+    ends = [*S.wilson(F.col("k"), F.col("n"), 1.959963984540054, clamp=False), *S.wilson(F.col("k"), F.col("n"), 1.6448536269514722)]
+    return g.select("event_type", *[F.round(c, 6).alias(a) for c, a in zip(ends, ("low", "high", "low_90", "high_90"))])
+
+
+@query("""
+SELECT p_partkey, sha256('{"brand":"' || p_brand || '","key":' || p_partkey || ',"missing":null,"size":' || p_size || '}') AS digest,
+  substr(sha256('def f():' || chr(10) || '    return ' || p_size), 1, 16) AS code FROM part
+""")
+def content_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of a row's JSON with sorted keys, and of code without blank lines and trailing blanks."""
+    from ..functions import tasks as K2
+
+    c = F.col
+    code = F.concat(F.lit("\ndef f():   \n\n    return "), c("p_size"), F.lit("  \n"))
+    digest = K2.canonical_digest(size=c("p_size"), key=c("p_partkey"), brand=c("p_brand"), missing=F.lit(None).cast("string"))
+    return load(spark, sf_dir, "part").select("p_partkey", digest.alias("digest"), K2.code_hash(code).alias("code"))
+
+
+@query("""
+SELECT doc_id, len(regexp_extract_all(text, '(?i)\\b(?:answer is|therefore|thus)\\b')) AS candidate, len(regexp_extract_all(text, '(?i)\\b(?:check|verify|confirm)\\b')) AS "check",
+  len(regexp_extract_all(text, '(?i)\\b(?:wait|actually|instead|mistake)\\b')) AS revision,
+  CASE WHEN a > 0 AND b > 0 AND c > 0 THEN [a, a + b + 2, a + b + 2 + c + 1] END AS stages FROM (
+  SELECT *, CASE WHEN b > 0 THEN strpos(substr(low, a + b + 4), 'in') ELSE 0 END AS c FROM (SELECT *, CASE WHEN a > 0 THEN strpos(substr(low, a + 3), 'of') ELSE 0 END AS b FROM (SELECT *, lower(text) AS low, strpos(lower(text), 'the') AS a FROM documents)))
+""")
+def trace_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues of candidates, checks and revisions in a trace, and the places of stages that must follow each other."""
+    from ..functions import tasks as K2
+
+    d = load(spark, sf_dir, "documents")
+    counts = [c.cast("long") for c in K2.cue_counts("text")]
+    return d.select("doc_id", *[c.alias(n) for c, n in zip(counts, K2.CUES)], F.transform(K2.ordered_stages("text", ["the", "of", "in"]), lambda x: x.cast("long")).alias("stages"))
+
+
+@query("""
+WITH r AS (SELECT user_id, ts, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS run FROM events),
+s AS (SELECT user_id, event_type, run, count(*) AS n, max(struct_pack(t := ts, i := event_id)) AS last FROM r GROUP BY ALL)
+SELECT user_id, max(n) AS longest, arg_max(n, last) AS current, arg_max(event_type, last) AS current_type FROM s GROUP BY 1
+""")
+def equal_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest and current streak of equal values of each key."""
+    w, v = Window.partitionBy("user_id").orderBy("ts", "event_id"), Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    r = load(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", (F.row_number().over(w) - F.row_number().over(v)).alias("run"))
+    s = r.groupBy("user_id", "event_type", "run").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("ts", "event_id")).alias("last"))
+    return s.groupBy("user_id").agg(F.max("n").alias("longest"), F.max_by("n", "last").alias("current"), F.max_by("event_type", "last").alias("current_type"))

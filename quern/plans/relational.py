@@ -188,13 +188,17 @@ def cumulative_cost_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT o_orderpriority AS condition, count(*) AS n, sum((o_orderstatus = 'F')::INT)::BIGINT AS passed, sum((o_orderstatus = 'F')::INT) / count(*)::DOUBLE AS rate,
-  sum((o_totalprice > 200000)::INT)::BIGINT AS costly, CASE WHEN sum((o_orderstatus = 'F')::INT) > 0 THEN round(count(*) / sum((o_orderstatus = 'F')::INT)::DOUBLE, 9) END AS tries_per_pass FROM orders GROUP BY 1
+  sum((o_totalprice > 200000)::INT)::BIGINT AS costly, CASE WHEN sum((o_orderstatus = 'F')::INT) > 0 THEN round(count(*) / sum((o_orderstatus = 'F')::INT)::DOUBLE, 9) END AS tries_per_pass,
+  avg((o_custkey % 3 = 0)::INT) AS hit_rate, avg((o_custkey % 3 = 1)::INT) AS injection_rate, avg((o_custkey % 3 = 2)::INT) AS skip_rate,
+  CASE WHEN sum((o_orderstatus = 'F')::INT) > 0 THEN round(sum(round(o_totalprice)::BIGINT) / sum((o_orderstatus = 'F')::INT)::DOUBLE, 6) END AS tokens_per_pass FROM orders GROUP BY 1
 """)
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pass rate and costs of each condition; null where nothing passed."""
+    """Pass, hit, injection and skip rates and the costs of each condition; null where nothing passed."""
     ok = (F.col("o_orderstatus") == "F").cast("long")
-    g = load(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("condition")).agg(F.count(F.lit(1)).alias("n"), F.sum(ok).alias("passed"), F.sum((F.col("o_totalprice") > 200000).cast("long")).alias("costly"))
-    return g.select("condition", "n", "passed", (F.col("passed") / F.col("n")).alias("rate"), "costly", F.when(F.col("passed") > 0, F.round(F.col("n") / F.col("passed"), 9)).alias("tries_per_pass"))
+    g = load(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("condition")).agg(F.count(F.lit(1)).alias("n"), F.sum(ok).alias("passed"), F.sum((F.col("o_totalprice") > 200000).cast("long")).alias("costly"),
+        *[F.avg((F.col("o_custkey") % 3 == k).cast("int")).alias(a) for k, a in enumerate(("hit_rate", "injection_rate", "skip_rate"))], F.sum(F.round("o_totalprice").cast("long")).alias("tokens"))
+    tokens = F.when(F.col("passed") > 0, F.round(F.col("tokens") / F.col("passed"), 6)).alias("tokens_per_pass")
+    return g.select("condition", "n", "passed", (F.col("passed") / F.col("n")).alias("rate"), "costly", F.when(F.col("passed") > 0, F.round(F.col("n") / F.col("passed"), 9)).alias("tries_per_pass"), "hit_rate", "injection_rate", "skip_rate", tokens)
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, count(DISTINCT ts::DATE) AS days FROM events GROUP BY event_type")

@@ -5,10 +5,16 @@ Paths go through Spark's readers only, so any store that Spark reads works.
 
 from __future__ import annotations
 
+import base64
+import json
+import uuid
+import zlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 #: One schema for the tasks of every data set.
 TASK_SCHEMA = "task_id string, benchmark string, prompt string, answer string, level string, subject string, tests array<string>"
@@ -24,9 +30,29 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataF
         raise
 
 
+def replace_folder(spark: SparkSession, new: str, path: str) -> None:
+    """Put the finished folder ``new`` in the place of ``path``: the old one steps aside first and goes last, so readers find one of the two whole,
+    or for a moment none, and a failure in between loses neither."""
+    jvm = spark.sparkContext._jvm
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex}")
+    had = fs.exists(to)
+    if had and not fs.rename(to, aside):
+        raise OSError(f"{path} can't be set aside")
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(new), to):
+        if had:
+            fs.rename(aside, to)
+        raise OSError(f"{path} can't be replaced")
+    if had:
+        fs.delete(aside, True)
+
+
 def write_json(df: DataFrame, path: str) -> None:
-    """JSON lines; Spark's commit protocol makes the replacement visible as a whole."""
-    df.write.mode("overwrite").json(path)
+    """JSON lines, written beside the old folder and put in its place when complete; df may read the old one."""
+    new = f"{path}.new-{uuid.uuid4().hex}"
+    df.write.json(new)
+    replace_folder(df.sparkSession, new, path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, recursive: bool = False) -> DataFrame:
@@ -111,17 +137,41 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(ids).alias("position", "task_id"))
 
 
+#: Bytes that packed test cases may unpack to.
+UNPACKED = 64 << 20
+
+
+@pandas_udf(StringType())
+def _unpacked(c):
+    """JSON text as it is, or out of base64 and zlib; null for anything else. Pickles are bytes like any others here and never executed."""
+
+    def read(x):
+        if x is None or x.lstrip()[:1] in ("[", "{"):
+            return x
+        try:
+            text = zlib.decompressobj().decompress(base64.b64decode(x, validate=True), UNPACKED).decode("utf-8")
+            json.loads(text)
+            return text
+        except (ValueError, zlib.error):
+            return None
+
+    return c.map(read)
+
+
 def decode_test_cases(raw: str | Column) -> Column:
-    """Test cases as JSON text; other encodings (pickles among them) give null and are never executed."""
+    """Test cases from JSON text, plain or packed by zlib and base64; other encodings (pickles among them) give null."""
     c = F.col(raw) if isinstance(raw, str) else raw
-    return F.from_json(c, "array<struct<input:string,output:string,testtype:string>>")
+    return F.from_json(_unpacked(c), "array<struct<input:string,output:string,testtype:string>>")
 
 
 def export_jsonl(df: DataFrame, path: str) -> DataFrame:
-    """Write JSON lines and return a one-row manifest: rows written and an order-free digest of them."""
-    df.write.mode("overwrite").json(path)
-    back = df.sparkSession.read.text(path)
-    return back.agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(F.lit(None).cast("string"))), F.sum(F.xxhash64("value").cast("decimal(20,0)")).cast("string")), 256).alias("digest"))
+    """Write JSON lines and return a one-row manifest: rows written and a digest of their content, whatever their order and files: the
+    count and three sums over parts of the 256-bit digests of the lines, digested again."""
+    write_json(df, path)
+    line = F.sha2("value", 256)
+    half = lambda at: F.sum(F.conv(F.substring(line, at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    n = F.count(F.lit(1))
+    return df.sparkSession.read.text(path).agg(n.alias("rows"), F.sha2(F.concat_ws("|", n.cast("string"), half(1), half(17), half(33)), 256).alias("digest"))
 
 
 def flat_cells(df: DataFrame) -> DataFrame:
@@ -165,6 +215,23 @@ def save_partitioned(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").partitionBy(by).json(path)
 
 
+def load_partitioned(spark: SparkSession, path: str, schema: StructType | str, by: str, key: str | None = None) -> DataFrame:
+    """What save_partitioned wrote, or one key of it (only its folder is read)."""
+    kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    if by not in kind.fieldNames():
+        kind = StructType(kind.fields).add(by, "string")
+    df = spark.read.schema(kind).json(path)
+    return df if key is None else df.filter(F.col(by) == key)
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A GraphML folder with one file, in stable order."""
+    lines = graphml_lines(nodes, edges)
+    new = f"{path}.new-{uuid.uuid4().hex}"
+    lines.coalesce(1).sortWithinPartitions("part", "key").select("line").write.text(new)
+    replace_folder(lines.sparkSession, new, path)
+
+
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a GraphML file: quotes around values go; an edge without a weight has 0."""
     raw = spark.read.text(path, wholetext=True).select("value")
