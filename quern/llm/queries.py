@@ -19,7 +19,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.deduplicated(table(spark, sf_dir, "documents"))
     sources = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: s["holders"]))))
-    return found.select("doc_id", (F.col("removed_bytes") > 0).alias("repeated"), "removed_bytes", sources.alias("first_doc_ids"), "spans", "text")
+    other = F.exists(sources, lambda d: ~d.eqNullSafe(F.col("doc_id")))  # repeated: a passage of an earlier document; inside: of the text's own only
+    return found.select("doc_id", other.alias("repeated"), ((F.col("removed_bytes") > 0) & ~other).alias("repeated_inside"), "removed_bytes", sources.alias("first_doc_ids"), "spans", "text")
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

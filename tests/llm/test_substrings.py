@@ -121,3 +121,14 @@ def test_whole_table_against_brute_force(spark, sf_dir):
     got = [(r.doc_id, r.text) for r in substrings.deduplicated(docs).collect()]
     assert sorted(got) == sorted(brute(rows))
     assert substrings.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_query_tells_other_documents_repeats_from_own(spark, tmp_path):
+    from quern.llm.queries import op1_substring_dedup
+
+    rng = random.Random(21)
+    passage, own = words(rng, 60), words(rng, 60)
+    rows = [(1, words(rng, 30) + " " + passage), (2, words(rng, 30) + " " + passage), (3, own + " " + words(rng, 20) + " " + own), (4, words(rng, 80)), (None, passage), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id, r.repeated, r.repeated_inside) for r in op1_substring_dedup(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(1, False, False), (2, True, False), (3, False, True), (4, False, False), (None, True, False), (None, False, False)], key=str)
