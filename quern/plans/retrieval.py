@@ -296,6 +296,54 @@ def naive_chunk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.budget_prefix(rows, "tokens", [F.desc("similarity"), F.col("doc_id")], 4000).select("doc_id", "similarity", "running")
 
 
+def _fits(rows: DataFrame, line: str, order: list, budget: int) -> DataFrame:
+    """Rows in order whose lines fit a budget of BPE tokens. Each line has a token or more, so the window sees ``budget`` rows at most."""
+    from ..functions.tokens import token_count
+
+    best = rows.orderBy(*order).limit(budget)
+    return G.budget_prefix(best.withColumn("tokens", token_count(line).cast("long")), "tokens", order, budget)
+
+
+def _sections(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    """(section, line, tokens, running) of the local or global context: relations, entities and sources, each within its budget of tokens."""
+    edges, hits, part = graph_edges(spark, sf_dir), entity_hits(spark, sf_dir), load(spark, sf_dir, "part").select(F.concat(F.lit("P#"), "p_partkey").alias("id"), "p_name")
+    degree = G.degrees(edges)
+    near = G.incident(hits, edges) if mode == "local" else edges.join(hits.select(F.col("id").alias("src")), "src")
+    relations = G.with_edge_rank(near, degree).withColumn("line", F.concat_ws(",", "src", "tgt", "weight", "rank"))
+    relations = _fits(relations, "line", [F.desc("rank"), F.desc("weight"), F.col("src"), F.col("tgt")], 4000 if mode == "local" else 2000)
+    if mode == "local":
+        entities = part.join(hits.select("id", "similarity"), "id").join(degree, "id").withColumn("at", -F.col("similarity"))
+    else:
+        ends = relations.select(F.explode(F.array("src", "tgt")).alias("id")).distinct()
+        entities = part.join(ends, "id").join(degree, "id").withColumn("at", -F.col("degree"))
+    entities = _fits(entities.withColumn("line", F.concat_ws(",", "id", "p_name", "degree")), "line", [F.col("at"), F.col("id")], 1000)
+    li = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.concat(F.lit("P#"), "l_partkey").alias("src"), F.concat(F.lit("S#"), "l_suppkey").alias("tgt"), "l_quantity")
+    named = li.join(relations.select("src", "tgt", F.col("running").alias("at")), ["src", "tgt"]).groupBy("chunk").agg(F.min("at").alias("at"), F.sum("l_quantity").alias("quantity"))
+    sources = _fits(named.withColumn("line", F.concat_ws(",", "chunk", "quantity")), "line", [F.col("at"), F.col("chunk")], 2000)
+    parts = [df.select(F.lit(name).alias("section"), "line", "tokens", "running") for name, df in (("relations", relations), ("entities", entities), ("sources", sources))]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query()
+def local_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole local context by real token counts."""
+    return _sections(spark, sf_dir, "local")
+
+
+@query()
+def global_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole global context by real token counts."""
+    return _sections(spark, sf_dir, "global")
+
+
+@query()
+def hybrid_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both contexts merged section by section: each line once, the local ones first, in their order."""
+    both = _sections(spark, sf_dir, "local").withColumn("at", F.struct(F.lit(0), "running")).union(_sections(spark, sf_dir, "global").withColumn("at", F.struct(F.lit(1), "running")))
+    one = both.groupBy("section", "line").agg(F.min("at").alias("at"), F.first("tokens").alias("tokens"))
+    return one.withColumn("place", F.row_number().over(Window.partitionBy("section").orderBy("at"))).select("section", "place", "line", "tokens")
+
+
 @query("""
 SELECT p_partkey AS key, p_name AS name, ord FROM (SELECT unnest([7, 3, 999999, 12, 3]) AS k, unnest([0, 1, 2, 3, 4]) AS ord) LEFT JOIN part ON p_partkey = k
 """)

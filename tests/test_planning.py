@@ -96,3 +96,23 @@ def test_ranks_and_budgets_of_large_groups_equal_plain_windows(spark):
     order = [F.col("a"), F.col("k")]
     both = [{tuple(r) for r in G.budget_prefix(df, "t", order, 400, ["g"], c).select("k", "running").collect()} for c in (None, "a")]
     assert both[0] == both[1] and both[0]
+
+
+def test_contexts_by_real_tokens(spark, sf_dir):
+    e = K.encoding()
+    budgets = {("local", "relations"): 4000, ("global", "relations"): 2000, "entities": 1000, "sources": 2000}
+    lines = {}
+    for mode in ("local", "global"):
+        rows = catalog.QUERIES[f"{mode}_context"](spark, sf_dir).collect()
+        for section in ("relations", "entities", "sources"):
+            own = sorted((r for r in rows if r.section == section), key=lambda r: r.running)
+            lines[mode, section] = [r.line for r in own]
+            total = 0
+            for r in own:
+                total += len(e.encode_ordinary(r.line))
+                assert r.tokens == len(e.encode_ordinary(r.line)) and r.running == total
+            assert own and total <= budgets.get((mode, section), budgets.get(section))
+    got = {}
+    for r in sorted(catalog.QUERIES["hybrid_context"](spark, sf_dir).collect(), key=lambda r: r.place):
+        got.setdefault(r.section, []).append(r.line)
+    assert got == {s: list(dict.fromkeys(lines["local", s] + lines["global", s])) for s in ("relations", "entities", "sources")}
