@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -121,6 +122,30 @@ percentiles, "floor" the draws at the floor of 0.025 and 0.975 times the last in
     return counts.mapInPandas(draw, f"{by} {kind}, n long, difference double, low double, high double")
 
 
-def percentiles(col: str, shares: list[float]) -> list[Column]:
-    """Exact interpolated percentiles as p<share> columns."""
-    return [F.percentile(col, s).alias(f"p{round(100 * s)}") for s in shares]
+def percentiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """by with exact linearly interpolated percentiles of value (nulls left out) as p<share> columns.
+
+    A group may hold most of the table, so its values meet in no single buffer: equal values are counted first, the range of a group is
+    split into 1024 parts, ranks are running counts within a part plus those of the parts before, and only the two
+    values beside each percentile are kept."""
+    v = F.col(value).cast("double")
+    g = rows.select(*by, v.alias("_v")).filter("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    same = lambda names, of: reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(of(c))), names, F.lit(True))
+    ends = rows.select(*by, v.alias("_v")).groupBy(*[F.col(c).alias(f"_e_{c}") for c in by]).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(1023), F.floor(1024 * (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).cast("int"))).otherwise(0)
+    g = g.join(ends, same(by, lambda c: f"_e_{c}")).select(*by, "_v", "_n", part.alias("_part"))
+    sizes = g.groupBy(*by, "_part").agg(F.sum("_n").alias("_n"))
+    group = Window.partitionBy(*by)
+    before = sizes.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_part").alias("_b_part"), (F.sum("_n").over(group.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(group).alias("_size"))
+    inside = F.sum("_n").over(Window.partitionBy(*by, "_part").orderBy("_v"))
+    r = g.withColumn("_upto", inside).join(before, same([*by, "_part"], lambda c: f"_b{c}" if c == "_part" else f"_b_{c}"))
+    last = F.col("_before") + F.col("_upto") - 1  # rank of the last of the equal values, from 0
+    holds = lambda at: (last - F.col("_n") < at) & (at <= last)
+    place = lambda s: s * (F.col("_size") - 1)
+    needed = reduce(lambda a, b: a | b, [holds(end(place(s))) for s in shares for end in (F.floor, F.ceil)])
+    out = []
+    for s in shares:
+        low, high = (F.max(F.when(holds(end(place(s))), F.col("_v"))) for end in (F.floor, F.ceil))
+        at = s * (F.first("_size") - 1)
+        out.append((low + (high - low) * (at - F.floor(at))).alias(f"p{round(100 * s)}"))
+    return r.filter(needed).groupBy(*by).agg(*out)

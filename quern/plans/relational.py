@@ -285,8 +285,11 @@ SELECT p_brand, name, median FROM (SELECT p_brand, median(p_retailprice) AS pric
 """)
 def timing_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Medians of several measures, one row a measure."""
-    g = load(spark, sf_dir, "part").groupBy("p_brand").agg(F.percentile("p_retailprice", 0.5).alias("price"), F.percentile("p_size", 0.5).alias("size"))
-    return g.unpivot(["p_brand"], ["price", "size"], "name", "median")
+    from ..functions.stats import percentiles
+
+    p = load(spark, sf_dir, "part").select("p_brand", F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("size"))
+    long = p.unpivot(["p_brand"], ["price", "size"], "name", "value")
+    return percentiles(long, ["p_brand", "name"], "value", [0.5]).withColumnRenamed("p50", "median")
 
 
 # windows ------------------------------------------------------------------------------------------------------------

@@ -77,8 +77,8 @@ SELECT lang, round(min(n_chars), 6) AS low, round(quantile_cont(n_chars, 0.25),
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distribution summary with interpolated percentiles."""
     d = load(spark, sf_dir, "documents").select("lang", F.col("n_chars").cast("double").alias("v"))
-    out = d.groupBy("lang").agg(F.min("v").alias("low"), *S.percentiles("v", [0.25, 0.5, 0.75, 0.9, 0.95]), F.max("v").alias("high"), F.avg("v").alias("mean"), F.count(F.lit(1)).alias("n"))
-    return out.select("lang", *[F.round(c, 6).alias(c) for c in ("low", "p25", "p50", "p75", "p90", "p95", "high", "mean")], "n")
+    out = d.groupBy("lang").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"), F.count(F.lit(1)).alias("n"))
+    return out.join(S.percentiles(d, ["lang"], "v", [0.25, 0.5, 0.75, 0.9, 0.95]), "lang").select("lang", *[F.round(c, 6).alias(c) for c in ("low", "p25", "p50", "p75", "p90", "p95", "high", "mean")], "n")
 
 
 @query("""

@@ -116,3 +116,12 @@ def test_contexts_by_real_tokens(spark, sf_dir):
     for r in sorted(catalog.QUERIES["hybrid_context"](spark, sf_dir).collect(), key=lambda r: r.place):
         got.setdefault(r.section, []).append(r.line)
     assert got == {s: list(dict.fromkeys(lines["local", s] + lines["global", s])) for s in ("relations", "entities", "sources")}
+
+
+def test_percentiles_equal_numpy(spark):
+    rng = np.random.default_rng(8)
+    rows = [("a", float(x)) for x in rng.normal(0, 1, 500)] + [("b", 7.0)] * 300 + [("b", 1.0)] * 3 + [("c", 2.5), (None, 1.0), (None, 4.0), ("a", None)]
+    got = {r.g: r for r in S.percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", [0.0, 0.1, 0.5, 0.95, 1.0]).collect()}
+    for g in ("a", "b", "c", None):
+        v = [x for k, x in rows if k == g and x is not None]
+        assert [got[g][f"p{p}"] for p in (0, 10, 50, 95, 100)] == pytest.approx(np.percentile(v, [0, 10, 50, 95, 100]).tolist())
