@@ -119,26 +119,44 @@ def sequence_ratio(a, b):
     return a.combine(b, lambda x, y: SequenceMatcher(None, x or "", y or "", autojunk=False).ratio())
 
 
+def _indel(x: str | None, y: str | None) -> float:
+    x, y = x or "", y or ""
+    if not x and not y:
+        return 1.0
+    # bit-parallel longest common subsequence: one bit a character of x
+    where: dict[str, int] = {}
+    for i, ch in enumerate(x):
+        where[ch] = where.get(ch, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    row = full
+    for ch in y:
+        m = row & where.get(ch, 0)
+        row = (row + m | row - m) & full
+    return 2 * (len(x) - row.bit_count()) / (len(x) + len(y))
+
+
 @pandas_udf(DoubleType())
 def indel_ratio(a, b):
     """Twice the longest common subsequence over both lengths; 1 for two empty texts."""
+    return a.combine(b, _indel)
+
+
+def sequence_ratio_from(a: str | Column, b: str | Column, least: float) -> Column:
+    """sequence_ratio where it reaches ``least``, else null. Matching blocks are a common subsequence, so the cheaper
+    insertion-deletion ratio bounds theirs and leaves few pairs to be matched."""
+    from difflib import SequenceMatcher
+
+    @pandas_udf(DoubleType())
+    def run(x, y):
+        def ratio(p, q):
+            if _indel(p, q) < least:
+                return None
+            r = SequenceMatcher(None, p or "", q or "", autojunk=False).ratio()
+            return r if r >= least else None
+
+        return x.combine(y, ratio)
 
-    def ratio(x, y):
-        x, y = x or "", y or ""
-        if not x and not y:
-            return 1.0
-        # bit-parallel longest common subsequence: one bit a character of x
-        where: dict[str, int] = {}
-        for i, ch in enumerate(x):
-            where[ch] = where.get(ch, 0) | 1 << i
-        full = (1 << len(x)) - 1
-        row = full
-        for ch in y:
-            m = row & where.get(ch, 0)
-            row = (row + m | row - m) & full
-        return 2 * (len(x) - row.bit_count()) / (len(x) + len(y))
-
-    return a.combine(b, ratio)
+    return run(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
 
 
 # answers ------------------------------------------------------------------------------------------------------------

@@ -96,8 +96,9 @@ def near_duplicate_pairs(rows: DataFrame, key: str, text: str, least: float) ->
     b = one.select(F.col(key).alias("right"), F.col("_t").alias("_b"))
     met = pairs.join(a, "left").join(b, "right")
     n, m = F.length("_a"), F.length("_b")
-    met = met.filter(2 * F.least(n, m) >= least * (n + m))
-    return met.select("left", "right", F.round(N.sequence_ratio("_a", "_b"), 9).alias("ratio")).filter(F.col("ratio") >= least)
+    # few rows that cost much each: spread, where the bytes alone would put them in one task
+    met = met.filter(2 * F.least(n, m) >= least * (n + m)).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "left", "right")
+    return met.select("left", "right", F.round(N.sequence_ratio_from("_a", "_b", least), 9).alias("ratio")).filter("ratio is not null")
 
 
 def nearest_by_overlap(rows: DataFrame, key: str, words: str, least: float) -> DataFrame:

@@ -127,10 +127,13 @@ def near_dup_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def near_dup_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items and messages that are near duplicates: blocked pairs verified by the matching-blocks ratio (0.9)."""
-    a = load(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), "text")
-    b = load(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), "text")
-    return C.near_duplicate_pairs(a.union(b), "id", "text", 0.9)
+    """Items and messages, and later versions of the items with a word more, that are near duplicates: blocked pairs verified by the
+    matching-blocks ratio (0.9)."""
+    items = load(spark, sf_dir, "benchmark").select("item_id", "text")
+    a = items.select(F.concat(F.lit("b"), "item_id").alias("id"), "text")
+    later = items.select(F.concat(F.lit("v"), "item_id").alias("id"), F.concat("text", F.lit(" again")).alias("text"))
+    messages = load(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), "text")
+    return C.near_duplicate_pairs(a.union(later).union(messages), "id", "text", 0.9)
 
 
 @query("""
@@ -150,12 +153,12 @@ def contamination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH t AS (SELECT item_id, list_distinct(regexp_split_to_array(lower(text), '\\s+')) AS w FROM benchmark), p AS (
   SELECT a.item_id, b.item_id AS other, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE, 9) AS sim FROM t a JOIN t b ON a.item_id <> b.item_id)
-SELECT item_id, other, sim FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, other) AS r FROM p WHERE sim >= 0.1) WHERE r = 1
+SELECT item_id, other, sim FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, other) AS r FROM p WHERE sim >= 0.05) WHERE r = 1
 """)
 def nearest_exposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most similar other item above a cutoff: shared words found by an inverted index, not by comparing all pairs."""
     t = load(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.split(F.lower("text"), r"\s+")).alias("w"))
-    return C.nearest_by_overlap(t, "item_id", "w", 0.1)
+    return C.nearest_by_overlap(t, "item_id", "w", 0.05)
 
 
 @query("""

@@ -160,11 +160,11 @@ def pairs_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("user_id", "day", F.col("event_id").alias("first_id")).join(p.select("user_id", "day", F.col("event_id").alias("second_id")), ["user_id", "day"]).filter("first_id < second_id").select("user_id", "first_id", "second_id")
 
 
-@query("SELECT event_id FROM events e WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events d WHERE d.user_id = e.user_id AND d.event_type = 'signup')")
+@query("SELECT event_id FROM events e WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events d WHERE d.user_id = e.user_id AND d.ts::DATE = e.ts::DATE AND d.event_type = 'signup')")
 def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tasks whose key has no finished row yet."""
-    ev = load(spark, sf_dir, "events")
-    return ev.filter("event_type = 'error'").join(ev.filter("event_type = 'signup'").select("user_id"), "user_id", "left_anti").select("event_id")
+    """Tasks whose key (user and day) has no finished row yet."""
+    ev = load(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    return ev.filter("event_type = 'error'").join(ev.filter("event_type = 'signup'").select("user_id", "day"), ["user_id", "day"], "left_anti").select("event_id")
 
 
 # aggregations -------------------------------------------------------------------------------------------------------
