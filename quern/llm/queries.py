@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lm, media, pages, pieces, quality, simhash, substrings, toxicity
+from . import decontaminate, licenses, lm, media, mixing, negatives, pages, pieces, quality, simhash, substrings, toxicity, whitening
 from .common import held_out, table
 
 
@@ -66,9 +66,26 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.withColumn("feature", F.concat_ws(";", clip)).drop("clips")
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents")).drop("source")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def whitening_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), components=1).select("vec_id", "n", "deviation")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", negatives.relabelled())
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_simhash, op4_license_scan, license_base_phrases, op5_decontamination, op6_toxicity, op7_html_text, op8_pieces, op9_quality, op10_media)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_simhash, op4_license_scan, license_base_phrases, op5_decontamination, op6_toxicity, op7_html_text, op8_pieces, op9_quality, op10_media, op11_source_mix, op12_whitening, whitening_deviations, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"license_base_phrases": licenses.BASE_SQL}
+    return {"license_base_phrases": licenses.BASE_SQL, "op11_source_mix": mixing.TAKEN_SQL, "whitening_deviations": whitening.DEVIATION_SQL, "op13_hard_negatives": negatives.NEGATIVES_SQL}
