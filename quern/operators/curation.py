@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as N
+from .similarity import similar_in_blocks
 
 
 def hash32(c: Column) -> Column:
@@ -86,43 +87,11 @@ def block_keys(rows: DataFrame, key: str, text: str, width: int = 24) -> DataFra
     return t.select(key, F.explode(F.array(pre, suf)).alias("key"))
 
 
-def near_duplicate_pairs(rows: DataFrame, key: str, text: str, least: float) -> DataFrame:
-    """(left, right, ratio): pairs of a block, length bound first, then the ratio. Equal texts collapse before pairing."""
-    t = rows.select(key, N.digit_mask(text).alias("_t"))
-    one = t.groupBy("_t").agg(F.min(key).alias(key))
-    k = block_keys(one.withColumnRenamed("_t", text), key, text)
-    pairs = k.select("key", F.col(key).alias("left")).join(k.select("key", F.col(key).alias("right")), "key").filter("left < right").select("left", "right").distinct()
-    a = one.select(F.col(key).alias("left"), F.col("_t").alias("_a"))
-    b = one.select(F.col(key).alias("right"), F.col("_t").alias("_b"))
-    met = pairs.join(a, "left").join(b, "right")
-    n, m = F.length("_a"), F.length("_b")
-    # few rows that cost much each: spread, where the bytes alone would put them in one task
-    met = met.filter(2 * F.least(n, m) >= least * (n + m)).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "left", "right")
-    return met.select("left", "right", F.round(N.sequence_ratio_from("_a", "_b", least), 9).alias("ratio")).filter("ratio is not null")
-
-
-def nearest_by_overlap(rows: DataFrame, key: str, words: str, least: float) -> DataFrame:
-    """(key, other, sim): the other row of highest word Jaccard at or above ``least``, ties by smallest key. Pairs meet in an
-    inverted index of their words."""
-    w = rows.select(key, F.size(words).alias("_n"), F.explode(words).alias("_w"))
-    a = w.select(F.col(key), "_n", "_w")
-    b = w.select(F.col(key).alias("other"), F.col("_n").alias("_m"), "_w")
-    both = a.join(b, "_w").filter(F.col(key) != F.col("other")).groupBy(key, "other", "_n", "_m").agg(F.count(F.lit(1)).alias("_s"))
-    sim = F.round(F.col("_s") / (F.col("_n") + F.col("_m") - F.col("_s")), 9)
-    scored = both.select(key, "other", sim.alias("sim")).filter(F.col("sim") >= least)
-    best = F.min_by(F.struct("other", "sim"), F.struct((-F.col("sim")).alias("s"), "other")).alias("b")
-    return scored.groupBy(key).agg(best).select(key, "b.other", "b.sim")
-
-
-def indel_pairs(rows: DataFrame, key: str, text: str, least: float) -> DataFrame:
-    """(left, right, ratio): pairs of distinct texts with the insertion-deletion ratio at or above ``least``; candidates share a word and a
-    length band; copies of one text stand for the smallest key."""
-    one = rows.groupBy(F.col(text).alias("_t")).agg(F.min(key).alias("_k"))
-    w = one.select("_k", "_t", F.explode(F.array_distinct(F.split("_t", " "))).alias("_w"))
-    a, b = w.select(F.col("_k").alias("left"), F.col("_t").alias("_a"), "_w"), w.select(F.col("_k").alias("right"), F.col("_t").alias("_b"), "_w")
-    n, m = F.length("_a"), F.length("_b")
-    met = a.join(b, "_w").filter("left < right").filter(2 * F.least(n, m) >= least * (n + m)).select("left", "right", "_a", "_b").distinct()
-    return met.select("left", "right", F.round(N.indel_ratio("_a", "_b"), 9).alias("ratio")).filter(F.col("ratio") >= least)
+def near_duplicate_pairs(rows: DataFrame, key: str, text: str, least: float, width: int = 24) -> DataFrame:
+    """(left, right, ratio): pairs of masked texts with a common beginning or end and a matching-blocks ratio of ``least`` or more."""
+    masked = rows.select(key, N.digit_mask(text).alias("_t"))
+    ends = lambda c: F.array(F.concat(F.lit("prefix:"), F.left(c, F.lit(width))), F.concat(F.lit("suffix:"), F.right(c, F.lit(width))))
+    return similar_in_blocks(masked, key, "_t", least, lambda c: ends(F.col(c)))
 
 
 def like_pairs(rows: DataFrame, key: str, group: str, features: str, steps: str, least: float, ratio: float) -> DataFrame:

@@ -9,6 +9,7 @@ from ..catalog import query
 from ..functions import text as N
 from ..operators import curation as C
 from ..operators import relational as R
+from ..operators.similarity import first_apart, nearest_by_words, similar_texts
 from .tables import load
 
 
@@ -156,9 +157,9 @@ WITH t AS (SELECT item_id, list_distinct(regexp_split_to_array(lower(text), '\\s
 SELECT item_id, other, sim FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, other) AS r FROM p WHERE sim >= 0.05) WHERE r = 1
 """)
 def nearest_exposed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most similar other item above a cutoff: shared words found by an inverted index, not by comparing all pairs."""
+    """The most similar other item above a cutoff: rare words meet first, and only items without a partner at a high similarity look further."""
     t = load(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.split(F.lower("text"), r"\s+")).alias("w"))
-    return C.nearest_by_overlap(t, "item_id", "w", 0.05)
+    return nearest_by_words(t, "item_id", "w", 0.05)
 
 
 @query("""
@@ -171,10 +172,79 @@ def independence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.filter("source <> 'src0'").join(seen, "h", "left").select("doc_id", F.when(F.col("hit"), "removed").otherwise("kept").alias("fate"))
 
 
-@query()
+#: Insertion-deletion ratios of all pairs (l, r, x, y: lists of characters) by the rows of the common-subsequence table, as CTE ``scored`` over a CTE ``pr``.
+_LCS = """
+dp AS (
+  SELECT l, r, x, y, 0::BIGINT AS i, list_transform(range(len(y) + 1), lambda j: 0::BIGINT) AS cells FROM pr
+  UNION ALL
+  SELECT l, r, x, y, i + 1, list_reduce(list_transform(range(1, len(y) + 1), lambda j: [j]),
+    lambda acc, j: list_append(acc, greatest(cells[j[1] + 1], acc[j[1]], cells[j[1]] + (y[j[1]] = x[i + 1])::BIGINT)), [0::BIGINT]) FROM dp WHERE i < len(x)
+), scored AS (SELECT l, r, round(2 * cells[len(y) + 1] / (len(x) + len(y))::DOUBLE, 9) AS ratio FROM dp WHERE i = len(x))"""
+
+
+@query(f"""
+WITH RECURSIVE n AS (SELECT p_name AS t, min(p_partkey) AS k FROM part GROUP BY 1),
+pr AS (SELECT a.k AS l, b.k AS r, string_split(a.t, '') AS x, string_split(b.t, '') AS y FROM n a JOIN n b ON a.k < b.k), {_LCS}
+SELECT l AS "left", r AS "right", ratio FROM scored WHERE ratio >= 0.9
+""")
 def lcs_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of part names with an insertion-deletion ratio of 0.9 or more: length bands and shared words first, then the ratio."""
-    return C.indel_pairs(load(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", 0.9)
+    """Pairs of part names with an insertion-deletion ratio of 0.9 or more, all of them, by the positional gram index."""
+    return similar_texts(load(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", 0.9)
+
+
+_SUPPLIER_PAIRS = f"""
+n AS (SELECT s_name AS t, min(s_suppkey) AS k FROM supplier GROUP BY 1),
+pr AS (SELECT a.k AS l, b.k AS r, string_split(a.t, '') AS x, string_split(b.t, '') AS y FROM n a JOIN n b ON a.k < b.k), {_LCS},
+alike AS (SELECT l, r FROM scored WHERE ratio >= 0.94)"""
+
+
+def _alike_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_texts(load(spark, sf_dir, "supplier"), "s_suppkey", "s_name", 0.94).select("left", "right")
+
+
+@query(f"""
+WITH RECURSIVE {_SUPPLIER_PAIRS}, hit AS (SELECT l AS k, r AS other FROM alike UNION ALL SELECT r, l FROM alike)
+SELECT s_suppkey, count(other) AS alike, CASE WHEN count(other) > 0 THEN 'removed' ELSE 'kept' END AS fate
+FROM supplier s LEFT JOIN (SELECT k, other FROM hit JOIN supplier e ON e.s_suppkey = other WHERE e.s_nationkey % 8 = 0) ON k = s_suppkey WHERE s_nationkey % 8 <> 0 GROUP BY 1
+""")
+def similarity_independence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers apart from the exposed ones (every eighth nation): removed where an exposed name is alike (0.94 or more), however few words or
+    letters in a row they share; names are unique, so no copies are to be spread to."""
+    s = load(spark, sf_dir, "supplier").withColumn("exposed", F.col("s_nationkey") % 8 == 0)
+    p = similar_texts(s, "s_suppkey", "s_name", 0.94, across="exposed")
+    hit = p.select("left", "right").union(p.select("right", "left")).toDF("s_suppkey", "other").groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("alike"))
+    n = F.coalesce("alike", F.lit(0).cast("long"))
+    return s.filter("not exposed").join(hit, "s_suppkey", "left").select("s_suppkey", n.alias("alike"), F.when(n > 0, "removed").otherwise("kept").alias("fate"))
+
+
+_WALK = """
+nb AS (SELECT k, list(other) AS others FROM (SELECT l AS k, r AS other FROM alike UNION ALL SELECT r, l FROM alike) GROUP BY k),
+o AS (SELECT s_suppkey AS k, s_nationkey AS s, coalesce(others, []) AS others, row_number() OVER (ORDER BY s_nationkey, sha256('q' || s_suppkey)) AS place FROM supplier LEFT JOIN nb ON k = s_suppkey),
+walk AS (
+  SELECT 0::BIGINT AS place, []::BIGINT[] AS chosen, []::BIGINT[] AS strata
+  UNION ALL
+  SELECT o.place, CASE WHEN ok THEN list_append(chosen, o.k) ELSE chosen END, CASE WHEN ok THEN list_append(strata, o.s::BIGINT) ELSE strata END
+  FROM walk w JOIN (SELECT * FROM o) o ON o.place = w.place + 1, LATERAL (SELECT NOT list_has_any(w.chosen, o.others) AND len(list_filter(w.strata, lambda x: x = o.s)) < {quota} AS ok)
+)"""
+
+
+@query(f"WITH RECURSIVE {_SUPPLIER_PAIRS}, {_WALK.format(quota=2)} SELECT s_suppkey, list_contains((SELECT chosen FROM walk ORDER BY place DESC LIMIT 1), s_suppkey) AS chosen FROM supplier")
+def quota_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two suppliers a nation in a fixed order, none alike one chosen before in any nation."""
+    return first_apart(_supplier_order(spark, sf_dir), _alike_suppliers(spark, sf_dir), 2).withColumnRenamed("key", "s_suppkey")
+
+
+@query(f"WITH RECURSIVE {_SUPPLIER_PAIRS}, {_WALK.format(quota=1000000)} SELECT s_suppkey, list_contains((SELECT chosen FROM walk ORDER BY place DESC LIMIT 1), s_suppkey) AS chosen FROM supplier")
+def greedy_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier in a fixed order unless one chosen before is alike."""
+    return first_apart(_supplier_order(spark, sf_dir), _alike_suppliers(spark, sf_dir)).withColumnRenamed("key", "s_suppkey")
+
+
+def _supplier_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.sha2(F.concat(F.lit("q"), "s_suppkey"), 256)
+    s = load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", digest.alias("digest"))
+    part = F.concat(F.lpad(F.col("s_nationkey").cast("string"), 10, "0"), C.hash_part(F.col("digest")))
+    return C.ranked(s, [], part, [F.col("s_nationkey"), F.col("digest")]).select(F.col("s_suppkey").alias("key"), F.col("_r").alias("place"), F.col("s_nationkey").alias("stratum"))
 
 
 # integrity ----------------------------------------------------------------------------------------------------------
