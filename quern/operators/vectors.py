@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,3 +22,87 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 60, floor: float | No
     if floor is not None:
         rows = rows.filter(F.col("similarity") >= floor)
     return rows.orderBy(F.desc("similarity"), id_col).limit(k)
+
+
+#: Most rows of a part, queries multiplied at once, and entries of the first product.
+ROWS, BATCH, HEAD = 1 << 16, 128, 16
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 60, floor: float | None = 0.2, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, id, similarity): for each row (query_id, query_vector) of a table of queries the k nearest vectors by cosine (six digits) at or above the floor, ties by id.
+
+    Vectors lie in parts of ``ROWS``; queries stream through every part in batches, so a task holds one part. The first ``HEAD`` entries are multiplied for all
+    rows, and the lengths of the rests bound what the others can add: only rows that may still reach the floor, or a query's k-th best
+    so far, are multiplied whole. Each part returns k rows a query at most, and only those are ranked. Null, empty, zero and ragged vectors
+    (another length than the query) match nothing."""
+    spark = vectors.sparkSession
+    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null and id is not null")
+    n = src.count()
+    parts = max(-(-n // ROWS), min(2 * spark.sparkContext.defaultParallelism, -(-n // 1024)), 1)
+    rows = src.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("ask"))
+    asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col("query_vector").cast("array<double>").alias("v")).filter("v is not null")
+    asked = asked.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("ask"))
+    least = -2.0 if floor is None else floor
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def unit(col):
+            """{length: (row places, unit vectors)}"""
+            lists, out = col.to_pylist(), {}
+            by: dict[int, list[int]] = {}
+            for i, v in enumerate(lists):
+                if v and None not in v:
+                    by.setdefault(len(v), []).append(i)
+            for d, at in by.items():
+                m = np.array([lists[i] for i in at], np.float64)
+                size = np.sqrt((m * m).sum(axis=1))
+                good = np.isfinite(size) & (size > 0)
+                out[d] = (np.array(at)[good], m[good] / size[good, None])
+            return out
+
+        def best(qids, q, ids, y):
+            found = []
+            q_rest, y_rest = (np.sqrt((m[:, HEAD:] ** 2).sum(axis=1)) for m in (q, y))
+            for lo in range(0, len(q), BATCH):
+                a, ra = q[lo : lo + BATCH], q_rest[lo : lo + BATCH]
+                bound = a[:, :HEAD] @ y[:, :HEAD].T + ra[:, None] * y_rest[None, :] + 1e-6
+                at = np.flatnonzero((bound >= least).any(axis=0))
+                if not len(at):
+                    continue
+                s = np.round(a @ y[at].T, 6)
+                for i in range(len(a)):
+                    own = s[i]
+                    ok = np.flatnonzero(own >= least)
+                    if len(ok) > k:
+                        ok = ok[own[ok] >= np.partition(own[ok], -k)[-k]]
+                    ok = ok[np.lexsort((ids[at[ok]], -own[ok]))[:k]]
+                    found.append((np.full(len(ok), qids[lo + i]), ids[at[ok]], own[ok]))
+            return found
+
+        held, ready, part = [], {}, None
+        for b in batches:
+            where, asks = b.column("part").to_numpy(), b.column("ask").to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((where[1:] != where[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(where)]):
+                if lo == hi:
+                    continue
+                if where[lo] != part:
+                    held, ready, part = [], {}, where[lo]
+                ids, units = b.column("id").slice(lo, hi - lo).to_numpy(), unit(b.column("v").slice(lo, hi - lo))
+                if not asks[lo]:
+                    held.append((ids, units))
+                    continue
+                if held:
+                    for d in {d for _, u in held for d in u}:
+                        some = [(i[u[d][0]], u[d][1]) for i, u in held if d in u]
+                        ready[d] = (np.concatenate([x for x, _ in some]), np.concatenate([x for _, x in some]))
+                    held = []
+                found = [f for d, (at, q) in units.items() if d in ready for f in best(ids[at], q, *ready[d])]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", "id", "similarity"])
+
+    met = rows.union(asked).repartition(parts, "part").sortWithinPartitions("part", "ask").mapInArrow(run, "query_id long, id long, similarity double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return met.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")

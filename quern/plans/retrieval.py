@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import text as N
 from ..operators import graph as G
 from ..operators import vectors as V
+from ..operators.contexts import GLOBAL, LOCAL, Graph
+from ..operators.lineage import checkpointed
 from .tables import EDGE_SQL, HIT_SQL, entity_hits, graph_edges, load, query_vector
 
 
@@ -296,52 +298,125 @@ def naive_chunk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.budget_prefix(rows, "tokens", [F.desc("similarity"), F.col("doc_id")], 4000).select("doc_id", "similarity", "running")
 
 
-def _fits(rows: DataFrame, line: str, order: list, budget: int) -> DataFrame:
-    """Rows in order whose lines fit a budget of BPE tokens. Each line has a token or more, so the window sees ``budget`` rows at most."""
-    from ..functions.tokens import token_count
+def _graph(spark: SparkSession, sf_dir: str) -> Graph:
+    part = load(spark, sf_dir, "part").select(F.concat(F.lit("P#"), "p_partkey").alias("id"), F.col("p_name").alias("name"))
+    li = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.concat(F.lit("P#"), "l_partkey").alias("src"), F.concat(F.lit("S#"), "l_suppkey").alias("tgt"), F.col("l_quantity").alias("quantity"))
+    return Graph(graph_edges(spark, sf_dir), part, li)
 
-    best = rows.orderBy(*order).limit(budget)
-    return G.budget_prefix(best.withColumn("tokens", token_count(line).cast("long")), "tokens", order, budget)
 
+def _one_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "embeddings")
+    hits = V.nearest(e.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), e)
+    return checkpointed(hits.select("query_id", F.concat(F.lit("P#"), F.col("id") + 1).alias("id"), "similarity"))
 
-def _sections(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    """(section, line, tokens, running) of the local or global context: relations, entities and sources, each within its budget of tokens."""
-    edges, hits, part = graph_edges(spark, sf_dir), entity_hits(spark, sf_dir), load(spark, sf_dir, "part").select(F.concat(F.lit("P#"), "p_partkey").alias("id"), "p_name")
-    degree = G.degrees(edges)
-    near = G.incident(hits, edges) if mode == "local" else edges.join(hits.select(F.col("id").alias("src")), "src")
-    relations = G.with_edge_rank(near, degree).withColumn("line", F.concat_ws(",", "src", "tgt", "weight", "rank"))
-    relations = _fits(relations, "line", [F.desc("rank"), F.desc("weight"), F.col("src"), F.col("tgt")], 4000 if mode == "local" else 2000)
-    if mode == "local":
-        entities = part.join(hits.select("id", "similarity"), "id").join(degree, "id").withColumn("at", -F.col("similarity"))
-    else:
-        ends = relations.select(F.explode(F.array("src", "tgt")).alias("id")).distinct()
-        entities = part.join(ends, "id").join(degree, "id").withColumn("at", -F.col("degree"))
-    entities = _fits(entities.withColumn("line", F.concat_ws(",", "id", "p_name", "degree")), "line", [F.col("at"), F.col("id")], 1000)
-    li = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.concat(F.lit("P#"), "l_partkey").alias("src"), F.concat(F.lit("S#"), "l_suppkey").alias("tgt"), "l_quantity")
-    named = li.join(relations.select("src", "tgt", F.col("running").alias("at")), ["src", "tgt"]).groupBy("chunk").agg(F.min("at").alias("at"), F.sum("l_quantity").alias("quantity"))
-    sources = _fits(named.withColumn("line", F.concat_ws(",", "chunk", "quantity")), "line", [F.col("at"), F.col("chunk")], 2000)
-    parts = [df.select(F.lit(name).alias("section"), "line", "tokens", "running") for name, df in (("relations", relations), ("entities", entities), ("sources", sources))]
-    return parts[0].union(parts[1]).union(parts[2])
+
+def _bpe(line: str) -> Column:
+    from ..functions.tokens import token_count
+
+    return token_count(line)
 
 
 @query()
 def local_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole local context by real token counts."""
-    return _sections(spark, sf_dir, "local")
+    return _graph(spark, sf_dir).sections(_one_query(spark, sf_dir), "local", LOCAL, _bpe).drop("query_id")
 
 
 @query()
 def global_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole global context by real token counts."""
-    return _sections(spark, sf_dir, "global")
+    return _graph(spark, sf_dir).sections(_one_query(spark, sf_dir), "global", GLOBAL, _bpe).drop("query_id")
 
 
 @query()
 def hybrid_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both contexts merged section by section: each line once, the local ones first, in their order."""
-    both = _sections(spark, sf_dir, "local").withColumn("at", F.struct(F.lit(0), "running")).union(_sections(spark, sf_dir, "global").withColumn("at", F.struct(F.lit(1), "running")))
-    one = both.groupBy("section", "line").agg(F.min("at").alias("at"), F.first("tokens").alias("tokens"))
-    return one.withColumn("place", F.row_number().over(Window.partitionBy("section").orderBy("at"))).select("section", "place", "line", "tokens")
+    return _graph(spark, sf_dir).both(_one_query(spark, sf_dir), tokens=_bpe).drop("query_id")
+
+
+#: Every vector as a query: hits by cosine of six digits, 0.2 or more, best 20.
+_ALL_HITS = """
+unit AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS size FROM embeddings),
+all_hits AS (
+  SELECT query_id, vec_id, similarity FROM (
+    SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(q.v, e.v) / (q.size * e.size), 6) AS similarity FROM unit q, unit e)
+  WHERE similarity >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 20
+), seeds AS (SELECT query_id, 'P#' || (vec_id + 1) AS id, similarity FROM all_hits)"""
+#: Budgets of the contexts of the whole table of queries.
+_SMALL, _SMALL_GLOBAL = (400, 120, 200), (200, 120, 200)
+
+
+def _section_sql(mode: str, budgets: tuple[int, int, int]) -> str:
+    """CTEs of one mode: {mode}_relations, {mode}_entities, {mode}_sources over seeds and ranked."""
+    count = "len(regexp_extract_all(line, '[A-Za-z0-9]+'))"
+    near = "SELECT query_id, src, tgt, weight, rank FROM ranked JOIN seeds ON id = src"
+    if mode == "local":
+        near += " UNION SELECT query_id, src, tgt, weight, rank FROM ranked JOIN seeds ON id = tgt"
+        entities = "SELECT query_id, s.id, -similarity AS spot, degree, p_name FROM seeds s"
+    else:
+        entities = f"SELECT query_id, s.id, -degree::DOUBLE AS spot, degree, p_name FROM (SELECT query_id, src AS id FROM {mode}_relations UNION SELECT query_id, tgt FROM {mode}_relations) s"
+    cut = lambda order, budget: f"SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY {order} ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM (SELECT *, {count} AS tokens FROM lines) QUALIFY running <= {budget}"
+    return f"""
+{mode}_relations AS (WITH lines AS (SELECT *, src || ',' || tgt || ',' || weight || ',' || rank AS line FROM ({near})) {cut("rank DESC, weight DESC, src, tgt", budgets[0])}),
+{mode}_entities AS (WITH lines AS (SELECT *, id || ',' || p_name || ',' || degree AS line FROM ({entities} JOIN degree d ON d.id = s.id JOIN part ON s.id = 'P#' || p_partkey)) {cut("spot, id", budgets[1])}),
+{mode}_sources AS (WITH lines AS (
+  SELECT query_id, l_orderkey AS chunk, min(running) AS spot, l_orderkey || ',' || sum(l_quantity) AS line
+  FROM lineitem JOIN {mode}_relations ON src = 'P#' || l_partkey AND tgt = 'S#' || l_suppkey GROUP BY 1, 2) {cut("spot, chunk", budgets[2])}),
+{mode}_all AS (
+  SELECT query_id, 'relations' AS section, line, tokens, running FROM {mode}_relations
+  UNION ALL SELECT query_id, 'entities', line, tokens, running FROM {mode}_entities UNION ALL SELECT query_id, 'sources', line, tokens, running FROM {mode}_sources)"""
+
+
+_RANKED_SQL = "ranked AS (SELECT src, tgt, weight, a.degree + b.degree AS rank FROM edges JOIN degree a ON a.id = src JOIN degree b ON b.id = tgt)"
+
+
+def _all_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "embeddings")
+    return V.nearest(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), e, k=20)
+
+
+def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checkpointed(_all_queries(spark, sf_dir).select("query_id", F.concat(F.lit("P#"), F.col("id") + 1).alias("id"), "similarity"))
+
+
+@query(f"WITH {_ALL_HITS} SELECT query_id, vec_id AS id, similarity FROM all_hits")
+def vector_topk_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector, all queries in one plan."""
+    return _all_queries(spark, sf_dir)
+
+
+@query(f"WITH {EDGE_SQL}, {_ALL_HITS}, {_RANKED_SQL}, {_section_sql('local', _SMALL)} SELECT * FROM local_all")
+def local_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local contexts of a table of queries, by word counts."""
+    return _graph(spark, sf_dir).sections(_seeds(spark, sf_dir), "local", _SMALL)
+
+
+@query(f"WITH {EDGE_SQL}, {_ALL_HITS}, {_RANKED_SQL}, {_section_sql('global', _SMALL_GLOBAL)} SELECT * FROM global_all")
+def global_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Global contexts of a table of queries, by word counts."""
+    return _graph(spark, sf_dir).sections(_seeds(spark, sf_dir), "global", _SMALL_GLOBAL)
+
+
+@query(f"""
+WITH {EDGE_SQL}, {_ALL_HITS}, {_RANKED_SQL}, {_section_sql('local', _SMALL)}, {_section_sql('global', _SMALL_GLOBAL)},
+one AS (SELECT query_id, section, line, min(tokens) AS tokens, min(spot) AS spot FROM (
+  SELECT *, running AS spot FROM local_all UNION ALL SELECT *, 1000000 + running FROM global_all) GROUP BY 1, 2, 3)
+SELECT query_id, section, row_number() OVER (PARTITION BY query_id, section ORDER BY spot) AS place, line, tokens FROM one
+""")
+def hybrid_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both contexts of a table of queries, merged section by section."""
+    return _graph(spark, sf_dir).both(_seeds(spark, sf_dir), _SMALL, _SMALL_GLOBAL)
+
+
+@query(f"""
+WITH {_ALL_HITS}, c AS (SELECT query_id, doc_id, similarity, len(regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS tokens FROM all_hits JOIN documents ON vec_id = doc_id)
+SELECT query_id, doc_id, similarity, sum(tokens) OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM c QUALIFY running <= 4000
+""")
+def naive_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of each query's hits in order of similarity, within its budget of words."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", N.word_count("text").cast("long").alias("tokens"))
+    rows = docs.join(_all_queries(spark, sf_dir), F.col("doc_id") == F.col("id"))
+    return G.budget_prefix(rows, "tokens", [F.desc("similarity"), F.col("doc_id")], 4000, ["query_id"]).select("query_id", "doc_id", "similarity", "running")
 
 
 @query("""
