@@ -9,7 +9,7 @@ once), and the tasks' weights are averaged by their number of steps, in ``ROUNDS
 short walks teach little. A document's score is the sum over all its tokens of log P(token | both sides), and its mean.
 
 Scale: the counts are partially aggregated in the tasks; what tasks send for the average grows with the number of tasks
-and is added up in a tree (common.block_sums); the weights have a fixed size (0.3 MB). The counts of words outside the model
+and is added up in a tree (common.block_sums); the weights have a fixed size (0.9 MB). The counts of words outside the model
 meet their places in a shuffle join by word hash; no such word can hold more than one in ``TOP`` + 1 of all tokens, so the join has no hot key.
 
 Edge cases: null and empty texts have no tokens, sum 0 and mean null; repeated rows get equal scores; one word has
@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, block_sums, checkpointed, list_array, raw_texts, text_key, text_slices
 
-TOP = 2048
-REST = 256
-CLASSES = 48
+TOP = 3072
+REST = 1024
+CLASSES = 64
 SIZE = TOP + REST
 INNER = SIZE // CLASSES
 REACH = 2
-EMBED = 12
-HIDDEN = 24
+EMBED = 16
+HIDDEN = 32
 ROUNDS = 2
 #: Rows of a gradient step, and of a scoring batch.
 STEP, BATCH = 8192, 8192
