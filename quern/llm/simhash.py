@@ -283,4 +283,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     own, text = src[f"_c{names.index('doc_id')}"], f"_c{names.index('text')}"
     tagged = src.withColumn("_id", own.cast("long")).withColumn("_th", text_key(text))
     met = tagged.join(kept, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_th") == F.col("_kept_th")), "left_semi")
-    return met.dropDuplicates(["_id", "_th"]).select(*src.columns).toDF(*names)
+    # of rows with one id and text the one of the smallest hash stays (maps can't be hashed and don't count)
+    hashed = [c for c, kind in src.dtypes if "map<" not in kind and kind != "variant"]
+    one = met.groupBy("_id", "_th").agg(F.min_by(F.struct(*src.columns), F.xxhash64(*hashed)).alias("_row"))
+    return one.select("_row.*").toDF(*names)

@@ -147,7 +147,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         F.col("at").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("length"),
         other.alias("first"),
     )
-    return met.groupBy("doc_id", "th").agg(F.collect_list(chunk).alias("runs"))
+    # a set: rows that share id and text, or lack an id, bring each chunk once, so a row's list is bounded by its own text
+    return met.groupBy("doc_id", "th").agg(F.collect_set(chunk).alias("runs"))
 
 
 def merge_runs(chunks: list[tuple[int, int, int | None]]) -> list[tuple[int, int, list]]:

@@ -83,3 +83,14 @@ def test_hot_bucket_in_sub_blocks(spark, monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 0 and simhash.keep_one(df).count() == 0
+
+
+def test_ties_of_one_id_and_text_are_decided(spark):
+    rows = [(1, "some words of a text", k, {"a": k % 2}) for k in range(9)] + [(2, "other words entirely here", 0, None)]
+    kept = []
+    for n in (1, 4):
+        df = spark.createDataFrame(rows[:: 1 if n == 1 else -1], "doc_id long, text string, n_chars long, more map<string,int>").repartition(n, "n_chars")
+        out = simhash.keep_one(df)
+        assert out.columns == df.columns
+        kept.append(sorted((r.doc_id, r.n_chars) for r in out.collect()))
+    assert kept[0] == kept[1] and [d for d, _ in kept[0]] == [1, 2]

@@ -2,6 +2,8 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from quern.llm import substrings
 
 
@@ -132,3 +134,13 @@ def test_query_tells_other_documents_repeats_from_own(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(((r.doc_id, r.repeated, r.repeated_inside) for r in op1_substring_dedup(spark, str(tmp_path)).collect()), key=str)
     assert got == sorted([(1, False, False), (2, True, False), (3, False, True), (4, False, False), (None, True, False), (None, False, False)], key=str)
+
+
+def test_many_equal_rows_make_no_long_list(spark):
+    text = " ".join(f"word{i} of a passage" for i in range(60))
+    rows = [(None, text)] * 10_000 + [(5, text), (9, "x " + text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    longest = substrings.repeated_runs(df).select(F.max(F.size("runs"))).first()[0]
+    assert longest <= len(text) // substrings.MIN_CHUNK + 1
+    got = substrings.deduplicated(df)
+    assert got.count() == len(rows) and got.filter("doc_id = 5 and text = '" + text + "'").count() == 1
