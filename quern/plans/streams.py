@@ -1,4 +1,4 @@
-"""Streaming queries over the events table (rows only: no SQL twin runs a stream)."""
+"""Streaming queries over the events table; the SQL computes from the whole table what the stream has seen at its end."""
 
 from __future__ import annotations
 
@@ -6,24 +6,113 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..operators import policies as P
 from ..streaming import usage as U
+from .tables import load
 
 
-@query()
+@query("""
+WITH o AS (SELECT user_id AS key, list(event_type <> 'error' ORDER BY ts, event_id) AS oks FROM events GROUP BY 1)
+SELECT key, len(oks) AS calls, len(list_filter(oks, lambda x: x)) AS successes, list_position(list_append(list_reverse(oks), true), true) - 1 AS streak,
+  round(list_reduce(list_prepend(0.5::DOUBLE, list_transform(range(1, len(oks) + 1), lambda i: len(list_filter(oks[1:i], lambda x: x)) / i::DOUBLE)), lambda u, e: 0.5 * u + 0.5 * e), 9) AS utility FROM o
+""")
 def stream_usage_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage state of each key after the whole stream; equals the batch fold."""
+    U.with_state_store(spark)
     rows = U.run_once(U.usage_states(U.event_stream(spark, f"{sf_dir}/events.parque[t]")), "update")
     last = F.max_by(F.struct("calls", "successes", "streak", "utility"), "batch").alias("s")
-    return rows.groupBy("key").agg(last).select("key", "s.*")
+    return rows.groupBy("key").agg(last).select("key", "s.calls", "s.successes", "s.streak", F.round("s.utility", 9).alias("utility"))
 
 
-@query()
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Day windows by type; the last open window isn't emitted."""
-    return U.run_once(U.tumbling(U.event_stream(spark, f"{sf_dir}/events.parque[t]")), "append")
+    """Day windows by type, the last one too."""
+    rows = U.run_to_end(spark, f"{sf_dir}/events.parque[t]", U.tumbling)
+    return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
-@query()
+@query("""
+WITH g AS (SELECT user_id, ts, coalesce(ts > lag(ts) OVER w + INTERVAL 2 HOURS, true)::INT AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS "start", strftime(max(ts) + INTERVAL 2 HOURS, '%Y-%m-%d %H:%M:%S.%f') AS "end", count(*) AS n FROM s GROUP BY user_id, session
+""")
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions by a gap of two hours."""
-    return U.run_once(U.sessions(U.event_stream(spark, f"{sf_dir}/events.parque[t]")), "append")
+    """Sessions by a gap of two hours, the open ones too."""
+    rows = U.run_to_end(spark, f"{sf_dir}/events.parque[t]", U.sessions)
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return rows.select("user_id", shown("start"), shown("end"), "n")
+
+
+def episodes(events: DataFrame) -> DataFrame:
+    """Events as episodes: what was tried, with which skill, and how it ended."""
+    v, u = F.col("value"), F.col("user_id")
+    return events.select(
+        F.col("ts"), F.col("event_id").alias("seq"), F.concat(F.lit("b"), u % 3).alias("benchmark"), F.col("event_type").alias("pattern"),
+        F.when(u % 7 > 0, F.concat(F.lit("s"), u % 40)).alias("skill"), F.element_at(F.array(F.lit(""), F.lit("x"), F.lit("y")), (F.col("event_id") % 3 + 1).cast("int")).alias("subtype"),
+        F.when(v < 20, "pure_dynamic_success").when(v < 45, "seeded_dynamic_success").when(v < 70, "direct_skill_reuse").otherwise("failed").alias("provenance"),
+        (F.col("event_type") != "error").alias("success"), F.when(F.col("event_id") % 2 == 0, "skill_seeded_dynamic").otherwise("dynamic").alias("mode"), (F.col("event_id") % 5 != 0).alias("reuse"),
+        F.when(v > 99.5, "pruned").when(v > 99, "suppressed").otherwise("").alias("status_after"),
+    )
+
+
+EPISODES = """
+episodes AS (
+  SELECT ts, event_id AS seq, 'b' || (user_id % 3) AS benchmark, event_type AS pattern, CASE WHEN user_id % 7 > 0 THEN 's' || (user_id % 40) END AS skill, ['', 'x', 'y'][event_id % 3 + 1] AS subtype,
+    CASE WHEN value < 20 THEN 'pure_dynamic_success' WHEN value < 45 THEN 'seeded_dynamic_success' WHEN value < 70 THEN 'direct_skill_reuse' ELSE 'failed' END AS provenance,
+    event_type <> 'error' AS success, CASE WHEN event_id % 2 = 0 THEN 'skill_seeded_dynamic' ELSE 'dynamic' END AS mode, event_id % 5 <> 0 AS reuse,
+    CASE WHEN value > 99.5 THEN 'pruned' WHEN value > 99 THEN 'suppressed' ELSE '' END AS status_after
+  FROM events
+)"""
+_KINDS = {
+    "fresh": "provenance = 'pure_dynamic_success' AND reuse",
+    "seeded": "provenance = 'seeded_dynamic_success'",
+    "direct": "provenance = 'direct_skill_reuse' AND success",
+    "seed_failed": "mode = 'skill_seeded_dynamic' AND NOT success",
+    "suppressed": "status_after = 'suppressed'",
+    "pruned": "status_after = 'pruned'",
+}
+
+
+def _steps_sql() -> str:
+    rows = []
+    for place, (kind, dimension, channel, step, by_subtype, directive) in enumerate(P.RULES):
+        for n in range(2 if by_subtype else 1):
+            sub, more = ("subtype", " AND subtype <> ''") if n else ("''", "")
+            rows.append(f"SELECT ts, seq, {2 * place + n} AS place, '{dimension}' AS dimension, {dimension} AS name, '{channel}' AS channel, {sub} AS subtype, {step}::DOUBLE AS step, '{directive}' AS directive FROM episodes WHERE {_KINDS[kind]} AND {dimension} IS NOT NULL{more}")
+    return "steps AS (" + " UNION ALL ".join(rows) + ")"
+
+
+_DELTAS = f"""WITH {EPISODES}, {_steps_sql()},
+folded AS (SELECT dimension, name, channel, subtype, list(step ORDER BY ts, seq, place) AS d FROM steps GROUP BY ALL),
+deltas AS (SELECT dimension, name, channel, subtype, list_reduce(list_prepend(0.0::DOUBLE, d), lambda u, x: round(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, u + x)), 4)) AS delta FROM folded)"""
+
+
+@query(_DELTAS + " SELECT * FROM deltas")
+def policy_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deltas of benchmarks, task patterns and skills, each also by usage subtype, after all episodes."""
+    return P.policy_deltas(P.policy_steps(episodes(load(spark, sf_dir, "events"))))
+
+
+@query(f"""WITH {EPISODES}, {_steps_sql()},
+said AS (SELECT dimension, name, subtype, directive, min((ts, seq, place)) AS came FROM steps WHERE directive <> '' GROUP BY ALL)
+SELECT dimension, name, subtype, directive, row_number() OVER (PARTITION BY dimension, name, subtype ORDER BY came) AS place FROM said
+""")
+def policy_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directives of each policy in the order in which they came."""
+    return P.policy_directives(P.policy_steps(episodes(load(spark, sf_dir, "events"))))
+
+
+@query(_DELTAS + """, said AS (SELECT dimension, name, subtype, directive, min((ts, seq, place)) AS came FROM steps WHERE directive <> '' GROUP BY ALL),
+lists AS (SELECT dimension, name, subtype, list(directive ORDER BY came) AS directives FROM said GROUP BY ALL)
+SELECT d.*, array_to_string(coalesce(directives, []), '; ') AS directives FROM deltas d LEFT JOIN lists USING (dimension, name, subtype)
+""")
+def stream_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same deltas and directives as keyed state of a stream."""
+    U.with_state_store(spark)
+    steps = P.policy_steps(episodes(U.event_stream(spark, f"{sf_dir}/events.parque[t]")))
+    rows = U.run_once(P.policy_stream(steps), "update")
+    by = ["dimension", "name", "channel", "subtype"]
+    # a directive may come after a delta's last move: the newest list of its subtype counts
+    lists = rows.groupBy("dimension", "name", "subtype").agg(F.max_by("directives", F.struct("batch", F.size("directives"))).alias("directives"))
+    last = rows.groupBy(*by).agg(F.max_by("delta", "batch").alias("delta"))
+    return last.join(lists, ["dimension", "name", "subtype"]).select(*by, "delta", F.array_join("directives", "; ").alias("directives"))

@@ -225,42 +225,29 @@ def load_partitioned(spark: SparkSession, path: str, schema: StructType | str, b
 
 
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """A GraphML folder with one file, in stable order."""
-    lines = graphml_lines(nodes, edges)
-    new = f"{path}.new-{uuid.uuid4().hex}"
-    lines.coalesce(1).sortWithinPartitions("part", "key").select("line").write.text(new)
-    replace_folder(lines.sparkSession, new, path)
-
-
-def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a GraphML file: quotes around values go; an edge without a weight has 0."""
-    raw = spark.read.text(path, wholetext=True).select("value")
-    unquote = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r'^(?:&quot;|")+|(?:&quot;|")+$', "")
-
-    def keyed(body: Column, name: str) -> Column:
-        return F.regexp_extract(body, rf'(?s)<data key="{name}"[^>]*>(.*?)</data>', 1)
-
-    keys = raw.select(F.expr(r"""map_from_entries(transform(regexp_extract_all(value, '(?s)(<key [^>]*>)', 1), k ->
-        struct(concat(regexp_extract(k, 'for="(.*?)"', 1), '.', regexp_extract(k, 'attr.name="(.*?)"', 1)) AS k, regexp_extract(k, 'id="(.*?)"', 1) AS v)))""").alias("keys"), "value")
-    nodes = keys.select("keys", F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(<node .*?(?:</node>|/>))"), 1)).alias("b"))
-    edges = keys.select("keys", F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(<edge .*?(?:</edge>|/>))"), 1)).alias("b"))
-    field = lambda kind, name: F.expr(f"regexp_extract(b, concat('(?s)<data key=\"', keys['{kind}.{name}'], '\"[^>]*>(.*?)</data>'), 1)")
-    attr = lambda name: unquote(F.regexp_extract("b", rf'\b{name}="(.*?)"', 1))
-    n = nodes.select(attr("id").alias("id"), unquote(field("node", "entity_type")).alias("entity_type"), unquote(field("node", "description")).alias("description"), field("node", "source_id").alias("source_id"))
-    weight = F.coalesce(field("edge", "weight").try_cast("double"), F.lit(0.0))
-    e = edges.select(attr("source").alias("src"), attr("target").alias("tgt"), weight.alias("weight"), unquote(field("edge", "description")).alias("description"), field("edge", "source_id").alias("source_id"))
-    return n, e
-
-
-def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """GraphML text lines in stable order (position, line): header, nodes by id, edges by label, end."""
-    esc = lambda c: F.replace(F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
-    head = '<graphml><key id="d0" for="node" attr.name="entity_type"/><key id="d1" for="node" attr.name="description"/><key id="d2" for="edge" attr.name="weight"/><graph edgedefault="undirected">'
-    spark = nodes.sparkSession
-    one = lambda rank, text: spark.range(1).select(F.lit(rank).alias("part"), F.lit("").alias("key"), F.lit(text).alias("line"))
-    n = nodes.select(F.lit(1), F.col("id"), F.concat(F.lit('<node id="'), esc("id"), F.lit('"><data key="d0">'), esc("entity_type"), F.lit('</data><data key="d1">'), esc("description"), F.lit("</data></node>")))
-    e = edges.select(F.lit(2), F.concat_ws(" -> ", "src", "tgt"), F.concat(F.lit('<edge source="'), esc("src"), F.lit('" target="'), esc("tgt"), F.lit('"><data key="d2">'), F.col("weight").cast("string"), F.lit("</data></edge>")))
-    return one(0, head).union(n).union(e).union(one(3, "</graph></graphml>")).orderBy("part", "key")
+    """A new GraphML folder: every task writes a document of its rows, and all appear together when the job is committed."""
+    from .graphml import SCHEMA, GraphML
+
+    nodes.sparkSession.dataSource.register(GraphML)
+    fields = StructType.fromDDL(SCHEMA).fields
+
+    def full(df: DataFrame, kind: str) -> DataFrame:
+        own = {*df.columns}
+        return df.select(*[(F.lit(kind) if f.name == "kind" else F.col(f.name) if f.name in own else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+
+    full(nodes, "node").unionByName(full(edges, "edge")).write.format("graphml").mode("append").save(path)
+
+
+def read_graphml(spark: SparkSession, path: str, split: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a GraphML file, or of a folder that write_graphml made, read in ranges of ``split`` bytes: quotes around values go; an edge
+    without a weight has 0."""
+    from .graphml import GraphML
+
+    spark.dataSource.register(GraphML)
+    reader = spark.read.format("graphml")
+    rows = (reader.option("range", split) if split else reader).load(path)
+    nodes = rows.filter("kind = 'node'").select("id", "entity_type", "description", "source_id")
+    return nodes, rows.filter("kind = 'edge'").select("src", "tgt", "weight", "description", "keywords", "source_id")
 
 
 def markdown_table(df: DataFrame, limit: int = 1000) -> str:
