@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of quern.plans whose import registers queries.
-PLANS = ("retrieval", "statistics", "relational", "answers", "curation", "lifecycle", "tasks", "planning", "streams", "stores")
+PLANS = ("retrieval", "statistics", "relational", "answers", "curation", "lifecycle", "tasks", "planning", "streams", "stores", "rules")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -53,13 +53,14 @@ def sample_per_stratum(rows: DataFrame, strata: list[str], order: Column, quota:
     return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= quota).drop("_r")
 
 
-def largest_remainder(sizes: DataFrame, key: str, n: str, places: int) -> DataFrame:
-    """(key, quota): places in proportion to n; one row a stratum, so ordered windows are small."""
-    whole = Window.partitionBy(F.lit(0))
-    q = sizes.select(key, (places * F.col(n) / F.sum(n).over(whole)).alias("_x"))
+def largest_remainder(sizes: DataFrame, key: str, n: str, places: int, by: list[str] | None = None) -> DataFrame:
+    """(by..., key, quota): places in proportion to n, as many for each group of ``by`` if given; one row a stratum, so ordered windows are small."""
+    group = by or [F.lit(0)]
+    whole = Window.partitionBy(*group)
+    q = sizes.select(*(by or []), key, (places * F.col(n) / F.sum(n).over(whole)).alias("_x"))
     r = F.row_number().over(whole.orderBy(F.desc(F.col("_x") - F.floor("_x")), key))
     rest = places - F.sum(F.floor("_x")).over(whole)
-    return q.select(key, (F.floor("_x") + (r <= rest).cast("int")).alias("quota"))
+    return q.select(*(by or []), key, (F.floor("_x") + (r <= rest).cast("int")).alias("quota"))
 
 
 def pick_in_turn(rows: DataFrame, key: str, categories: dict[str, list[Column]], each: int) -> DataFrame:

@@ -118,3 +118,13 @@ def largest_component(edges: DataFrame) -> DataFrame:
     comps = connected_components(edges)
     best = comps.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1)
     return comps.join(best, "component", "left_semi")
+
+
+def stable_component(edges: DataFrame) -> DataFrame:
+    """(src, tgt), distinct: the edges of the largest component with their nodes relabelled (upper case, trimmed, character references decoded), each pair in its stored order."""
+    from ..functions.text import unescape_html
+
+    nodes = largest_component(edges)
+    labels = nodes.select("id", unescape_html(F.trim(F.upper("id"))).alias("label"))
+    a, b = labels.toDF("src", "_a"), labels.toDF("tgt", "_b")
+    return edges.join(a, "src").join(b, "tgt").select(F.least("_a", "_b").alias("src"), F.greatest("_a", "_b").alias("tgt")).distinct()
