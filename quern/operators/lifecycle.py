@@ -12,9 +12,14 @@ def ordered_outcomes(usage: DataFrame) -> DataFrame:
     return usage.groupBy("key").agg(F.transform(rows, lambda x: x["ok"]).alias("oks"))
 
 
-def usage_state(usage: DataFrame, start: float = 0.5, alpha: float = 0.5, digits: int | None = None) -> DataFrame:
+def usage_state(usage: DataFrame, start: float = 0.5, alpha: float = 0.5, digits: int | None = None, block: str | None = None) -> DataFrame:
     """(key, calls, successes, streak, utility) after all usage: utility = (1 - alpha) x utility + alpha x successes / calls at
-    each step (rounded half-even to ``digits`` if given); streak counts failures since the last success."""
+    each step (rounded half-even to ``digits`` if given); streak counts failures since the last success.
+
+    With a block column (one that grows with the order, such as the hour) no task holds all rows of a key: a run of steps takes u to a u + b once the counts before it are known, so
+    blocks are counted first, folded to a and b by themselves, and then folded in order. Rounding at each step has no such form and takes a key's rows together."""
+    if block is not None and digits is None:
+        return _usage_by_blocks(usage, start, alpha, block)
 
     def step(s: Column, ok: Column) -> Column:
         n, good = s["n"] + 1, s["good"] + F.when(ok, 1).otherwise(0)
@@ -28,6 +33,31 @@ def usage_state(usage: DataFrame, start: float = 0.5, alpha: float = 0.5, digits
     return s.select("key", F.col("s.n").alias("calls"), F.col("s.good").alias("successes"), F.col("s.streak").alias("streak"), F.col("s.u").alias("utility"))
 
 
+def _usage_by_blocks(usage: DataFrame, start: float, alpha: float, block: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = F.array_sort(F.collect_list(F.struct("ts", "seq", "ok")))
+    part = usage.groupBy("key", F.col(block).alias("_block")).agg(F.transform(rows, lambda x: x["ok"]).alias("_oks"))
+    part = part.select("key", "_block", "_oks", F.size("_oks").cast("long").alias("_n"), F.size(F.filter("_oks", lambda x: x)).cast("long").alias("_good"))
+    past = Window.partitionBy("key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    part = part.withColumns({"_n0": F.coalesce(F.sum("_n").over(past), F.lit(0)), "_good0": F.coalesce(F.sum("_good").over(past), F.lit(0))})
+
+    def step(s: Column, ok: Column) -> Column:
+        n, good = s["n"] + 1, s["good"] + F.when(ok, 1).otherwise(0)
+        return F.struct(n.alias("n"), good.alias("good"), F.when(ok, 0).otherwise(s["streak"] + 1).alias("streak"), (s["whole"] & ~ok).alias("whole"), ((1 - alpha) * s["a"]).alias("a"), ((1 - alpha) * s["b"] + alpha * (good / n)).alias("b"))
+
+    zero = F.struct(F.col("_n0").alias("n"), F.col("_good0").alias("good"), F.lit(0).alias("streak"), F.lit(True).alias("whole"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    folded = part.select("key", F.struct("_block", F.aggregate("_oks", zero, step).alias("f")).alias("_p")).groupBy("key").agg(F.array_sort(F.collect_list("_p")).alias("_parts"))
+
+    def then(s: Column, p: Column) -> Column:
+        f = p["f"]
+        return F.struct(f["n"].alias("n"), f["good"].alias("good"), (F.when(f["whole"], s["streak"]).otherwise(0) + f["streak"]).alias("streak"), (f["a"] * s["u"] + f["b"]).alias("u"))
+
+    first = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("good"), F.lit(0).alias("streak"), F.lit(float(start)).alias("u"))
+    s = folded.select("key", F.aggregate("_parts", first, then).alias("s"))
+    return s.select("key", F.col("s.n").alias("calls"), F.col("s.good").alias("successes"), F.col("s.streak").alias("streak"), F.col("s.u").alias("utility"))
+
+
 def next_state(state: tuple[int, int, int, float], ok: bool, alpha: float = 0.5) -> tuple[int, int, int, float]:
     """One step of usage_state in plain Python, for stateful streams."""
     n, good, streak, u = state

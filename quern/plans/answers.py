@@ -12,11 +12,11 @@ from .tables import load
 
 
 @query("""
-SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(translate(lower(text), '!"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', ''), '\\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the')), ' ')) AS h FROM documents WHERE lang = 'en'
+SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(translate(lower(text), '!"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', ''), '\\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the')), ' ')) AS h FROM documents
 """)
 def qa_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question-answer normalisation (digest of the result)."""
-    return load(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.md5(N.qa_normalize("text")).alias("h"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.md5(N.qa_normalize("text")).alias("h"))
 
 
 _F1_SQL = """

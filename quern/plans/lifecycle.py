@@ -13,7 +13,7 @@ from .tables import load
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as usage: user = key, error = failure, ordered by (ts, event_id)."""
-    return load(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"), "event_type", "value")
+    return load(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"), "event_type", "value", F.date_trunc("hour", "ts").alias("hour"))
 
 
 _ORDERED = "o AS (SELECT user_id AS key, list(event_type <> 'error' ORDER BY ts, event_id) AS oks FROM events GROUP BY 1)"
@@ -24,7 +24,7 @@ WITH {_ORDERED} SELECT key, len(oks) AS calls, round(list_reduce(list_prepend(0.
 """)
 def ema_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Utility: half the last one and half the empirical success, in order."""
-    return L.usage_state(usage(spark, sf_dir)).select("key", F.col("calls").cast("long").alias("calls"), F.round("utility", 9).alias("utility"))
+    return L.usage_state(usage(spark, sf_dir), block="hour").select("key", F.col("calls").cast("long").alias("calls"), F.round("utility", 9).alias("utility"))
 
 
 @query(f"""
@@ -34,7 +34,7 @@ SELECT key, fails::BIGINT AS consecutive_failures, CASE WHEN key % 10 = 0 THEN '
 """)
 def status_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status after all usage: drafts stay, suppressed ones with failed audits are pruned, then utility and streak decide."""
-    s = L.usage_state(usage(spark, sf_dir))
+    s = L.usage_state(usage(spark, sf_dir), block="hour")
     k = F.col("key") % 10
     before = F.when(k == 0, "draft").when(k == 1, "suppressed").otherwise("active")
     return s.select("key", F.col("streak").cast("long").alias("consecutive_failures"), M.skill_status(before, F.col("utility"), F.col("streak"), F.col("key") % 4).alias("status"))
@@ -46,8 +46,9 @@ WITH {_ORDERED} SELECT key, round(list_reduce(list_prepend(0.5::DOUBLE, list_tra
 """)
 def clamped_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit results (0.1 up or down) and primitive feedback (0.1 up, 0.15 down), clamped to [0, 1] at each step."""
-    o = L.ordered_outcomes(usage(spark, sf_dir))
-    return o.select("key", F.round(L.clamped_walk("oks", 0.5, 0.1, 0.1), 6).alias("audited"), F.round(L.clamped_walk("oks", 0.5, 0.1, 0.15), 6).alias("primitive"))
+    u = usage(spark, sf_dir).withColumn("up", F.when(F.col("ok"), 0.1).otherwise(-0.1)).withColumn("way", F.when(F.col("ok"), 0.1).otherwise(-0.15))
+    walk = lambda step, name: L.clamped_fold(u, "key", "hour", ["ts", "seq"], step, 0.5, 0.0, 1.0).select("key", F.round("value", 6).alias(name))
+    return walk("up", "audited").join(walk("way", "primitive"), "key")
 
 
 @query("""

@@ -431,12 +431,12 @@ def lookup_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {EDGE_SQL} SELECT src, tgt, src || ' -> ' || tgt AS label FROM (SELECT least(src, tgt) AS src, greatest(src, tgt) AS tgt FROM edges WHERE weight >= 50)
+WITH {EDGE_SQL} SELECT src, tgt, src || ' -> ' || tgt AS label FROM (SELECT least(src, tgt) AS src, greatest(src, tgt) AS tgt FROM edges)
 """)
 def stable_graph_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Undirected edges in stored order, sorted by their label."""
     a, b = G.canonical("src", "tgt")
-    e = graph_edges(spark, sf_dir).filter("weight >= 50").select(a.alias("src"), b.alias("tgt"))
+    e = graph_edges(spark, sf_dir).select(a.alias("src"), b.alias("tgt"))
     return e.withColumn("label", F.concat_ws(" -> ", "src", "tgt")).orderBy("label")
 
 
@@ -454,29 +454,32 @@ def graph_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CC_SQL = """
-RECURSIVE e AS (SELECT DISTINCT 'P' || l_partkey AS src, 'S' || l_suppkey AS tgt FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1),
-b AS (SELECT src, tgt FROM e UNION SELECT tgt, src FROM e),
-reach AS (SELECT src AS id, src AS root FROM b UNION SELECT b.tgt, reach.root FROM reach JOIN b ON b.src = reach.id)
+RECURSIVE e AS MATERIALIZED (SELECT DISTINCT 'P' || l_partkey AS src, 'S' || l_suppkey AS tgt FROM lineitem),
+b AS MATERIALIZED (SELECT src, tgt FROM e UNION SELECT tgt, src FROM e),
+cc(id, component) USING KEY (id) AS (
+  SELECT DISTINCT src, src FROM b
+  UNION SELECT b.tgt, min(c.component) FROM cc c JOIN b ON b.src = c.id JOIN recurring.cc r ON r.id = b.tgt WHERE c.component < r.component GROUP BY 1)
 """
 
 
-@query(f"WITH {_CC_SQL} SELECT id, min(root) AS component FROM reach GROUP BY id")
+def _shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = load(spark, sf_dir, "lineitem")
+    return li.select(F.concat(F.lit("P"), "l_partkey").alias("src"), F.concat(F.lit("S"), "l_suppkey").alias("tgt")).distinct()
+
+
+@query(f"WITH {_CC_SQL} SELECT id, component FROM cc")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected components of the graph of large discounted shipments."""
-    li = load(spark, sf_dir, "lineitem").filter("l_quantity >= 50 AND l_discount >= 0.1")
-    e = li.select(F.concat(F.lit("P"), "l_partkey").alias("src"), F.concat(F.lit("S"), "l_suppkey").alias("tgt")).distinct()
-    return G.connected_components(e)
+    """Connected components of the graph of all shipments."""
+    return G.connected_components(_shipments(spark, sf_dir))
 
 
 @query(f"""
-WITH {_CC_SQL}, c AS (SELECT id, min(root) AS component FROM reach GROUP BY id), n AS (SELECT component, count(*) AS n FROM c GROUP BY 1 ORDER BY n DESC, component LIMIT 1)
-SELECT id, component FROM c WHERE component = (SELECT component FROM n)
+WITH {_CC_SQL}, n AS (SELECT component, count(*) AS n FROM cc GROUP BY 1 ORDER BY n DESC, component LIMIT 1)
+SELECT id, component FROM cc WHERE component = (SELECT component FROM n)
 """)
 def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component with most nodes."""
-    li = load(spark, sf_dir, "lineitem").filter("l_quantity >= 50 AND l_discount >= 0.1")
-    e = li.select(F.concat(F.lit("P"), "l_partkey").alias("src"), F.concat(F.lit("S"), "l_suppkey").alias("tgt")).distinct()
-    return G.largest_component(e)
+    return G.largest_component(_shipments(spark, sf_dir))
 
 
 @query("""

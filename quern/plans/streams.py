@@ -116,3 +116,73 @@ def stream_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = rows.groupBy("dimension", "name", "subtype").agg(F.max_by("directives", F.struct("batch", F.size("directives"))).alias("directives"))
     last = rows.groupBy(*by).agg(F.max_by("delta", "batch").alias("delta"))
     return last.join(lists, ["dimension", "name", "subtype"]).select(*by, "delta", F.array_join("directives", "; ").alias("directives"))
+
+
+# generator state ----------------------------------------------------------------------------------------------------
+
+
+def _used(df: DataFrame) -> DataFrame:
+    """Episodes with the skills that they used: the selected one and, now and then, another."""
+    other = F.when(F.col("seq") % 4 == 0, F.concat(F.lit("s"), F.col("seq") % 40))
+    return df.withColumn("used", F.array_compact(F.array("skill", other)))
+
+
+_USED = EPISODES + """,
+used AS (SELECT *, list_filter([skill, CASE WHEN seq % 4 = 0 THEN 's' || (seq % 40) END], lambda x: x IS NOT NULL) AS used FROM episodes),
+uses AS (SELECT unnest(list_distinct(used)) AS skill, ts, seq, pattern, status_after, (mode = 'skill_seeded_dynamic')::BIGINT AS seeded, (mode = 'skill_seeded_dynamic' AND success)::BIGINT AS seeded_ok,
+  (provenance = 'direct_skill_reuse')::BIGINT AS direct, (provenance = 'direct_skill_reuse' AND success)::BIGINT AS direct_ok FROM used)"""
+
+
+@query(f"""WITH {_USED},
+run AS (SELECT *, sum(seeded) OVER w AS n, sum(seeded_ok) OVER w AS k FROM uses WINDOW w AS (PARTITION BY skill ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+turns AS (SELECT *, CASE WHEN status_after IN ('suppressed', 'pruned') THEN 'suppressed' WHEN n >= 3 AND k / n::DOUBLE > 0.7 THEN 'macro_action' END AS turn FROM run)
+SELECT skill, coalesce(arg_max(turn, (ts, seq)) FILTER (turn IS NOT NULL), 'planning_prior') AS role, CASE WHEN bool_or(status_after IN ('suppressed', 'pruned')) THEN 'disabled' ELSE 'soft_hint' END AS insertion,
+  round(CASE WHEN sum(direct) > 0 THEN sum(direct_ok) / sum(direct)::DOUBLE ELSE 0 END, 4) AS direct_rate, round(CASE WHEN sum(seeded) > 0 THEN sum(seeded_ok) / sum(seeded)::DOUBLE ELSE 0 END, 4) AS seeded_rate FROM turns GROUP BY 1
+""")
+def meta_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generator's action space after all episodes."""
+    return P.action_layer(P.skill_uses(_used(episodes(load(spark, sf_dir, "events")))))
+
+
+@query(f"""WITH {_USED},
+g AS (SELECT pattern, list_sort(list_distinct(used)) AS skills, count(*) AS support, arg_min(used, (ts, seq)) AS first FROM used WHERE mode = 'skill_seeded_dynamic' AND success AND len(used) > 0 GROUP BY 1, 2)
+SELECT 'motif_' || pattern || '_' || array_to_string(first[1:3], '_') AS motif, pattern, array_to_string(skills, ',') AS skills, support, support >= 3 AS active FROM g
+""")
+def meta_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workflow motifs of successful seeded episodes."""
+    m = P.motif_layer(_used(episodes(load(spark, sf_dir, "events"))))
+    return m.withColumn("skills", F.array_join("skills", ","))
+
+
+@query(f"""WITH {EPISODES}, steps AS (
+  SELECT ts, seq, 0 AS place, 'seeded_delta' AS name, 0.1::DOUBLE AS step FROM episodes WHERE provenance = 'seeded_dynamic_success'
+  UNION ALL SELECT ts, seq, 1, 'direct_skill_delta', 0.05 FROM episodes WHERE provenance = 'direct_skill_reuse' AND success
+  UNION ALL SELECT ts, seq, 2, 'seeded_delta', -0.1 FROM episodes WHERE mode = 'skill_seeded_dynamic' AND NOT success
+), o AS (SELECT name, list(step ORDER BY ts, seq, place) AS d FROM steps GROUP BY 1)
+SELECT name, list_reduce(list_prepend(0.0::DOUBLE, d), lambda u, x: round(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, u + x)), 4)) AS delta FROM o
+""")
+def meta_biases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generator's routing biases after all episodes."""
+    return P.bias_layer(episodes(load(spark, sf_dir, "events")))
+
+
+@query(f"""WITH {_USED},
+cards AS (SELECT skill, min(pattern) AS pattern, round(avg((seeded_ok + direct_ok > 0)::INT::DOUBLE) * 2.4, 6) AS utility, sum(direct_ok) AS direct_ok, sum(direct) AS direct, sum(seeded_ok) AS seeded_ok, sum(seeded) AS seeded,
+  sum((pattern = 'purchase')::INT) AS positive, sum((pattern = 'error')::INT) AS negative FROM uses GROUP BY 1),
+p AS (SELECT pattern, avg(utility) AS utility, sum(direct_ok)::BIGINT AS direct_ok, sum(direct)::BIGINT AS direct, sum(seeded_ok)::BIGINT AS seeded_ok, sum(seeded)::BIGINT AS seeded, sum(positive) AS positive, sum(negative) AS negative FROM cards GROUP BY 1),
+s AS (SELECT *, '[strategy] pattern ''' || pattern || ''': ' AS head FROM p)
+SELECT 'prefer skill-conditioned generation for ' || pattern AS directive FROM p WHERE utility > 0.7
+UNION ALL SELECT 'avoid ' || skill || ' for seeded generation' FROM cards WHERE negative > positive AND negative > 0
+UNION ALL SELECT head || 'direct skill reuse is reliable (' || direct_ok || '/' || direct || ' success)' FROM s WHERE utility >= 0.8 AND direct >= 2 AND direct_ok / direct::DOUBLE >= 0.7
+UNION ALL SELECT head || 'avoid seeded generation -- historical seeded success only ' || seeded_ok || '/' || seeded FROM s WHERE seeded >= 3 AND seeded_ok / seeded::DOUBLE < 0.4
+UNION ALL SELECT head || 'seeded generation is effective (' || seeded_ok || '/' || seeded || ' success)' FROM s WHERE seeded >= 3 AND seeded_ok / seeded::DOUBLE >= 0.7
+UNION ALL SELECT head || 'high negative transfer risk -- consider fresh dynamic generation instead of skill reuse' FROM s WHERE negative >= 3 AND negative > positive
+""")
+def meta_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directives from the bank's statistics by task pattern and skill."""
+    e = _used(episodes(load(spark, sf_dir, "events")))
+    u = P.skill_uses(e)
+    good = (F.col("seeded_ok") + F.col("direct_ok") > 0).cast("double")
+    when = lambda p: F.sum((F.col("pattern") == p).cast("long"))
+    cards = u.groupBy("skill").agg(F.min("pattern").alias("pattern"), F.round(F.avg(good) * 2.4, 6).alias("utility"), *[F.sum(c).alias(c) for c in ("direct_ok", "direct", "seeded_ok", "seeded")], when("purchase").alias("positive"), when("error").alias("negative"))
+    return P.directive_layer(cards, e)

@@ -120,12 +120,34 @@ def task_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, len(string_split(text, chr(10))) - len(list_filter(string_split(text, chr(10)), lambda x: trim(x) = '')) AS paragraphs, length(text) - length(regexp_extract(text, '[^\\n]*$')) AS last_start FROM documents WHERE text NOT LIKE '%' || chr(10)
+WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), k AS (SELECT doc_id, parts, list_filter(range(1, len(parts) + 1), lambda i: trim(parts[i]) <> '') AS own FROM p)
+SELECT doc_id, len(own) AS paragraphs, coalesce(list_sum(list_transform(parts[1:list_last(own) - 1], lambda x: length(x) + 1)), 0)::BIGINT * (len(own) > 0)::INT + CASE WHEN len(own) = 0 THEN NULL ELSE 0 END AS last_start FROM k
 """)
 def paragraph_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs, and where the last one begins."""
-    d = load(spark, sf_dir, "documents").filter(~F.col("text").endswith("\n")).select("doc_id", K.paragraphs("text").alias("p"))
-    return d.select("doc_id", F.size("p").cast("long").alias("paragraphs"), F.element_at("p", -1)["start"].cast("long").alias("last_start"))
+    """Paragraphs of whole texts, and where the last one begins; null without one."""
+    d = load(spark, sf_dir, "documents").select("doc_id", K.paragraphs("text").alias("p"))
+    return d.select("doc_id", F.size("p").cast("long").alias("paragraphs"), F.try_element_at("p", F.lit(-1))["start"].cast("long").alias("last_start"))
+
+
+@query("""
+WITH s AS (SELECT o_orderkey, sha256(o_orderkey || '|' || o_orderstatus || '|' || o_custkey) AS seal, o_orderstatus AS was, CASE WHEN o_custkey % 6 = 0 THEN 'X' ELSE o_orderstatus END AS now, o_custkey FROM orders WHERE o_orderkey % 8 <> 3 OR o_custkey % 2 = 0)
+SELECT o.o_orderkey, CASE WHEN seal IS NULL THEN 'unsealed' WHEN seal = sha256(o.o_orderkey || '|' || CASE WHEN o.o_custkey % 6 = 0 THEN 'X' ELSE o.o_orderstatus END || '|' || o.o_custkey) THEN 'sealed' ELSE 'changed' END AS state
+FROM orders o LEFT JOIN s USING (o_orderkey)
+""")
+def stored_seals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seals written when submissions came, against the submissions as they are now: changed rows and rows without a seal are told apart, so labels join neither."""
+    import uuid
+
+    from ..operators.curation import seal
+    from ..operators.lineage import shared_folder
+    from ..sources.snapshots import Snapshots
+
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
+    book = Snapshots(spark, f"{shared_folder(spark)}/seals-{uuid.uuid4().hex}")
+    book.write(o.filter("o_orderkey % 8 <> 3 OR o_custkey % 2 = 0").select("o_orderkey", seal("o_orderkey", "o_orderstatus", "o_custkey").alias("seal")))
+    now = o.withColumn("o_orderstatus", F.when(F.col("o_custkey") % 6 == 0, "X").otherwise(F.col("o_orderstatus")))
+    state = F.when(F.col("seal").isNull(), "unsealed").when(F.col("seal") == seal("o_orderkey", "o_orderstatus", "o_custkey"), "sealed").otherwise("changed")
+    return now.join(book.read(), "o_orderkey", "left").select("o_orderkey", state.alias("state"))
 
 
 @query("""
