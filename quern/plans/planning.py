@@ -186,8 +186,8 @@ WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS q, l_partkey %
 SELECT l_orderkey, l_linenumber, CASE n % 3 WHEN 0 THEN q * e = (q + d - e) * d WHEN 1 THEN q = q + d - e ELSE d = e END AS same FROM a
 """)
 def typed_grading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answer pairs made of each line's numbers, graded by type: fractions, linear expressions in another order, half-open intervals."""
-    from ..functions import typed as T
+    """Answer pairs made of each line's numbers, compared exactly by kind: fractions, linear expressions in another order, half-open intervals."""
+    from ..functions import exact as X
 
     c = F.col
     li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", c("l_quantity").cast("long").alias("q"), (c("l_partkey") % 7 + 1).alias("d"), (c("l_suppkey") % 7 + 1).alias("e"))
@@ -196,7 +196,7 @@ def typed_grading(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     p = F.when(kind == 0, made("\\frac{", c("q"), "}{", c("d"), "}")).when(kind == 1, made(c("q"), "x + ", c("d"))).otherwise(made("[", c("q"), ", ", c("q") + c("d"), ")"))
     r = F.when(kind == 0, made(other, "/", c("e"))).when(kind == 1, made(c("d"), "+", other, "x")).otherwise(made("[", c("q"), ",", c("q") + c("e"), ")"))
-    return li.select("l_orderkey", "l_linenumber", T.graded(p, r)["verdict"].alias("same"))
+    return li.select("l_orderkey", "l_linenumber", X.same_value(p, r).alias("same"))
 
 
 @query("""

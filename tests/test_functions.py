@@ -171,3 +171,14 @@ def test_graphml_round_trip(spark, tmp_path):
     nodes, edges = files.read_graphml(spark, str(tmp_path / "g"))
     assert sorted((r.id, r.entity_type) for r in nodes.collect()) == [("a", "T"), ("b", "T")]
     assert [(r.src, r.tgt, r.weight) for r in edges.collect()] == [("a", "b", 2.5)]
+
+
+def test_exact_answers(spark):
+    from quern.functions import exact as X
+
+    same = [("\\frac{1}{2}", "2/4"), ("3", "6/2"), ("2x + 1", "1+2x"), ("x - 3", "-3 + x"), ("-x+2", "2-x"), ("[0, 2)", "[0,2)"), ("3+-2x", "3 - 2x"), ("\\frac{-3}{6}", "-1/2")]
+    other = [("1/2", "1/3"), ("2x+1", "2x+2"), ("[0,2)", "[0,2]"), ("[0,2)", "2/3"), ("2x", "2")]
+    open_ = [("1/0", "1"), ("sin x", "1"), ("", "1"), ("2xx", "2x"), (None, "1"), ("x^2", "x")]
+    rows = [(a, b, True) for a, b in same] + [(a, b, False) for a, b in other] + [(a, b, None) for a, b in open_]
+    got = spark.createDataFrame(rows, "a string, b string, want boolean").select("a", "b", "want", X.same_value("a", "b").alias("got"), X.same_value("b", "a").alias("back")).collect()
+    assert [r for r in got if r.got is not r.want or r.back is not r.want] == []
