@@ -111,7 +111,7 @@ def bank_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {_OPS}, total AS (SELECT max(total) AS t FROM r), gone AS (SELECT unnest(cards) AS card FROM m)
-SELECT 'candidate' AS status, (SELECT count(*) FROM supplier) - (SELECT count(*) FROM gone) + (SELECT count(*) FROM m) AS n UNION ALL SELECT 'retired', count(*) FROM gone
+SELECT 'candidate' AS status, (SELECT count(*) FROM supplier) - (SELECT count(*) FROM gone) + (SELECT count(*) FROM m) AS n UNION ALL SELECT 'retired', count(*) FROM gone HAVING count(*) > 0
 """)
 def bank_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bank's cards by status as it stood after its first merges."""
