@@ -35,6 +35,8 @@ BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 20_000_000
 #: Words of the windows that are aligned together, padding included.
 CELLS = 200_000
+#: Meetings of places with postings that are held at once.
+MEETINGS = 2_000_000
 #: Pairs below this score are not reported.
 REPORT = 0.35
 #: A document is contaminated at this score, or with RUN_WORDS aligned words net of edits.
@@ -88,6 +90,8 @@ class Items:
         self.first = np.append(self.first, len(key))
         self.items = (np.concatenate(items) if items else np.zeros(0, np.int64))[order]
         self.offsets = (np.concatenate(offsets) if offsets else np.zeros(0, np.int64))[order]
+        # (seed, item) of each posting as one number, ascending
+        self.posted = np.repeat(np.arange(len(self.keys)), np.diff(self.first)) * len(self.words) + self.items
         self.needed = np.array([min(MIN_SEEDS, len(w) - N + 1) for w in self.words], np.int64)
 
 
@@ -129,6 +133,26 @@ def _sequences(ts: list[str], vocab: dict[bytes, int]) -> tuple[np.ndarray, np.n
     return np.array(flat, np.int64), np.array([*starts, at], np.int64)
 
 
+def _chains(at: np.ndarray, lo: np.ndarray, n: np.ndarray, starts: np.ndarray, block: Items) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, first diagonal, last diagonal) of each run of near diagonals with the seeds that its item needs, of the n postings from lo on that each place meets."""
+    post = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+    pos = np.repeat(at, n)
+    if not len(pos):
+        return
+    item = block.items[post]
+    diag = pos - block.offsets[post]
+    doc = np.searchsorted(starts, pos, side="right") - 1
+    order = np.lexsort((pos, diag, item, doc))
+    doc, item, diag = doc[order], item[order], diag[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diag[1:] - diag[:-1] > SLACK)
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, len(doc)))
+    keep = size >= block.needed[item[head]]
+    for h, t in zip(head[keep].tolist(), (head + size - 1)[keep].tolist()):
+        yield int(doc[h]), int(item[h]), int(diag[h]), int(diag[t])
+
+
 def find(ts: list[str], block: Items) -> list[tuple[int, int, float, int, int, int]]:
     """(text index, item index, score, aligned words, first word, last word) of each pair at REPORT or above."""
     seq, starts = _sequences(ts, block.vocab)
@@ -141,28 +165,20 @@ def find(ts: list[str], block: Items) -> list[tuple[int, int, float, int, int, i
     at, where = at[ok], where[ok]
     if not len(at):
         return []
-    n = block.first[where + 1] - block.first[where]
-    post = np.repeat(block.first[where] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    pos = np.repeat(at, n)
-    item = block.items[post]
-    diag = pos - block.offsets[post]
-    doc = np.searchsorted(starts, pos, side="right") - 1
-    order = np.lexsort((pos, diag, item, doc))
-    doc, item, diag, pos = doc[order], item[order], diag[order], pos[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diag[1:] - diag[:-1] > SLACK)
-    head = np.flatnonzero(new)
-    size = np.diff(np.append(head, len(doc)))
-    keep = size >= block.needed[item[head]]
-    head, tail = head[keep], (head + size - 1)[keep]
     best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
     spans = []
-    for h, t in zip(head.tolist(), tail.tolist()):
-        d, k = int(doc[h]), int(item[h])
-        length = len(block.words[k])
-        a = max(int(starts[d]), int(diag[h]) - SLACK)
-        z = min(int(starts[d + 1]) - 2, int(diag[t]) + length + SLACK)
-        spans += [(d, k, x, y) for x, y in strips(a, z, length)]
+    # a seed that many items share meets every place it stands at, so ranges of items are taken one after the other
+    total = int((block.first[where + 1] - block.first[where]).sum())
+    parts = -(-total // MEETINGS)
+    size = -(-len(block.words) // max(parts, 1))
+    for begin in range(0, len(block.words), size):
+        lo = np.searchsorted(block.posted, where * len(block.words) + begin)
+        n = np.searchsorted(block.posted, where * len(block.words) + min(begin + size, len(block.words))) - lo
+        for doc, k, low, high in _chains(at, lo, n, starts, block):
+            length = len(block.words[k])
+            a = max(int(starts[doc]), low - SLACK)
+            z = min(int(starts[doc + 1]) - 2, high + length + SLACK)
+            spans += [(doc, k, x, y) for x, y in strips(a, z, length)]
     for rows in batches_of(spans, block):
         windows = [seq[a:z] for _, _, a, z in rows]
         items = [block.words[k] for _, k, _, _ in rows]

@@ -107,3 +107,20 @@ def test_strips_and_batches_lose_no_alignment():
     batches = list(D.batches_of(rows, block))
     assert sorted(r for b in batches for r in b) == sorted(rows)
     assert all(len(b) == 1 or len(b) * max(r[3] - r[2] for r in b) <= D.CELLS for b in batches)
+
+
+def test_seeds_that_all_items_share_are_split(monkeypatch):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(3000)]
+    template = "please answer the following question with a single letter from the list"
+    items = [(i, f"{template} {' '.join(rng.choice(words, 12))}") for i in range(300)]
+    block = D.Items(items)
+    block.seed(np.ones(block.size, np.int64), 10**9)
+    texts = [f"{' '.join(rng.choice(words, 30))} {items[k][1]} {' '.join(rng.choice(words, 5))} {template}" for k in (3, 77, 298)] + [" ".join([template] * 40)]
+    whole = D.find(texts, block)
+    held = []
+    chains = D._chains
+    monkeypatch.setattr(D, "_chains", lambda at, lo, n, *more: (held.append(int(n.sum())), chains(at, lo, n, *more))[1])
+    monkeypatch.setattr(D, "MEETINGS", 5_000)
+    assert D.find(texts, block) == whole and len(held) > 20 and max(held) <= 10_000
+    assert {(d, k) for d, k, *_ in whole} >= {(0, 3), (1, 77), (2, 298)}
