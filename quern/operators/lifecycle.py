@@ -87,3 +87,35 @@ def clamped_fold(df: DataFrame, key: str, block: str, order: list[str], step: st
     whole = part.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(block).alias("_block"), "_fold"))).alias("_parts"))
     folded = F.aggregate("_parts", none, lambda s, p: then(s, p["_fold"]["shift"], p["_fold"]["low"], p["_fold"]["high"]))
     return whole.select(key, folded.alias("_all")).select(key, F.least(F.greatest(F.lit(start) + F.col("_all.shift"), F.col("_all.low")), F.col("_all.high")).alias("value"))
+
+
+def convergence(rounds: DataFrame, keep: int = 3, z: float = 0.05, least: int = 5) -> DataFrame:
+    """(round, y, se, flat, streak, converged) of rounds (round, mean, sd), one row a round, by a single walk in their order that holds the ``keep`` best rounds so far.
+
+    y is their mean (ties: the later round) and se its standard error; a change is flat within z standard deviations, and ``least`` flat changes in a row are convergence."""
+
+    def run(batches):
+        import heapq
+        import math
+
+        import pyarrow as pa
+
+        best: list[tuple[float, int, float]] = []
+        last, streak = None, 0
+        for b in batches:
+            out = []
+            for n, mean, sd in zip(*(b.column(c).to_pylist() for c in ("round", "mean", "sd"))):
+                heapq.heappush(best, (mean, n, sd))
+                if len(best) > keep:
+                    heapq.heappop(best)
+                y = sum(m for m, _, _ in sorted(best, reverse=True)) / len(best)
+                se = math.sqrt(sum(s * s for _, _, s in sorted(best, reverse=True)) / keep**2)
+                flat = last is not None and abs(y - last[0]) <= z * math.sqrt(se * se + last[1] ** 2)
+                streak = streak + 1 if flat else 0
+                last = (y, se)
+                out.append((n, y, se, flat, streak, streak >= least))
+            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["round", "y", "se", "flat", "streak", "converged"])
+
+    walk = rounds.select(F.col("round").cast("long").alias("round"), F.col("mean").cast("double").alias("mean"), F.col("sd").cast("double").alias("sd")).coalesce(1).sortWithinPartitions("round")
+    return walk.mapInArrow(run, "round long, y double, se double, flat boolean, streak long, converged boolean")

@@ -165,18 +165,11 @@ SELECT round, round(y, 6) AS y, round(se, 6) AS se, flat, sum(flat::INT) OVER (P
 """)
 def convergence_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Convergence monitor: mean of the three best rounds so far, its standard error, change against the last round, streak of
-    flat changes (z 0.05), converged from five on. Rounds are few (one row a round), so ordered windows are cheap."""
-    r = rounds(spark, sf_dir)
-    b = r.select(F.col("round").alias("br"), F.col("mean").alias("bm"), F.col("sd").alias("bs"))
-    near = r.select("round").join(b, F.col("br") <= F.col("round"))
-    best = Window.partitionBy("round").orderBy(F.desc("bm"), F.desc("br"))
-    y = near.withColumn("r", F.row_number().over(best)).filter("r <= 3").groupBy("round").agg(F.avg("bm").alias("y"), F.sqrt(F.sum(F.col("bs") * F.col("bs")) / 9).alias("se"))
-    w = Window.partitionBy(F.lit(0)).orderBy("round")
-    dy, sd = F.col("y") - F.lag("y").over(w), F.sqrt(F.col("se") * F.col("se") + F.pow(F.lag("se").over(w), F.lit(2)))
-    f = y.withColumn("flat", F.coalesce(F.abs(dy) <= 0.05 * sd, F.lit(False)))
-    i = f.withColumn("island", F.sum((~F.col("flat")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    streak = F.sum(F.col("flat").cast("int")).over(Window.partitionBy("island").orderBy("round").rowsBetween(Window.unboundedPreceding, 0))
-    return i.select("round", F.round("y", 6).alias("y"), F.round("se", 6).alias("se"), "flat", streak.alias("streak"), (streak >= 5).alias("converged"))
+    flat changes (z 0.05), converged from five on."""
+    from ..operators.lifecycle import convergence
+
+    c = convergence(rounds(spark, sf_dir), keep=3, z=0.05, least=5)
+    return c.select("round", F.round("y", 6).alias("y"), F.round("se", 6).alias("se"), "flat", "streak", "converged")
 
 
 @query(f"""
@@ -213,7 +206,12 @@ def weighted_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = p.select("round", F.sum("p").over(Window.partitionBy(F.lit(0)).orderBy("round").rowsBetween(Window.unboundedPreceding, 0)).alias("hi"))
     u = F.conv(F.substring(F.sha2(F.concat(F.lit("draw"), F.col("id").cast("string")), 256), 1, 8), 16, 10).cast("double") / 4294967296.0
     draws = spark.range(50).select(F.col("id").alias("draw"), u.alias("u"))
-    return draws.join(c, F.col("hi") > F.col("u")).groupBy("draw").agg(F.min("round").alias("round"))
+    # a draw meets only the shares of its cell, an equality join
+    cells = 1024
+    low = F.coalesce(F.lag("hi").over(Window.partitionBy(F.lit(0)).orderBy("round")), F.lit(0.0))
+    shares = c.withColumn("lo", low).withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.floor(F.col("hi") * cells))))
+    met = draws.withColumn("cell", F.floor(F.col("u") * cells)).join(shares, "cell").filter("lo <= u and u < hi")
+    return met.select("draw", "round")
 
 
 def softmax_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
