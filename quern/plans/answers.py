@@ -91,7 +91,9 @@ def answer_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN chr(92) || 'frac{1}{' || p_size || '}' END AS box, CASE WHEN p_partkey % 6 = 0 THEN CASE WHEN p_size = 1 THEN '1' ELSE '1/' || p_size END END AS value, CASE WHEN p_partkey % 6 = 0 THEN true END AS nested FROM part
+""")
 def balanced_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last balanced box at any depth and its exact rational form (Arrow UDFs: regular expressions can't count braces)."""
     return made_answers(spark, sf_dir).select("p_partkey", N.boxed_balanced("a").alias("box")).withColumn("value", N.rational("box")).withColumn("nested", F.col("box").contains("{"))

@@ -193,7 +193,10 @@ def operation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.operation_rows(t, "p_partkey", "t").select("p_partkey", F.col("result").cast("long").alias("value"))
 
 
-@query()
+@query("""
+SELECT p_partkey, CASE WHEN 2 * (p_size + 1) % 3 = 0 THEN (2 * (p_size + 1) // 3)::VARCHAR ELSE 2 * (p_size + 1) || '/3' END AS value, NULL::VARCHAR AS refused,
+  '{"args": [' || p_size || ', [1, 2]], "expected": ' || (p_size + 1) || '}' AS literals FROM part
+""")
 def safe_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expressions checked exactly without evaluating code, and literals of assertions."""
     e = F.expr("concat('(', p_size, ' + 1) * 2 / 3')")
@@ -293,7 +296,9 @@ def candidate_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.candidate_events(load(spark, sf_dir, "part").select("p_partkey", t.alias("t")), "p_partkey", "t")
 
 
-@query()
+@query("""
+SELECT p_partkey, '["(' || p_size || ', [1, 2])", "{a, b}", "x"]' AS parts, NULL::VARCHAR AS "open" FROM part
+""")
 def bracketed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tuple and set answers split outside brackets."""
     t = F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(", [1, 2]), {a, b}, x"))
