@@ -5,6 +5,8 @@ ratio is at most (1 - least)(n + m) single insertions and deletions apart. A del
 q - 1, and what is kept stands in the same order at nearly the same place in the other. So with the places of every text ordered by how rare their grams are,
 the first l + 1 places (l: the most that may be lost) of either text hold the rarest kept one of both: only these places are joined, within bands of
 lengths and by the difference of the places. Texts too short for that promise meet by their band alone.
+
+Short texts that may lose two characters at most need no grams: they meet in what they have left after so many deletions, so only true pairs meet (``short_pairs``).
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from .lineage import checkpointed
 
 #: Most rows of either side of a bucket that meet in one place.
 SUB = 2048
+#: Most characters of a text that meets others by deletions, and most deletions.
+SHORT, LOST = 32, 2
 _TINY = 1e-9
 
 
@@ -45,9 +49,43 @@ def _whole(x: Column) -> Column:
     return F.floor(x + _TINY).cast("int")
 
 
-def candidate_pairs(one: DataFrame, least: float, q: int = 3) -> DataFrame:
-    """(_a, _b): numbers of texts that may reach the ratio, from distinct texts (_k, _t); _a is the shorter one, of equal lengths the smaller number."""
+def short_length(least: float) -> int:
+    """The longest texts of which the ratio leaves all but ``LOST`` characters, whatever they are paired with."""
+    most = lambda n: math.floor(2 * (1 - least) / (2 - least) * n + _TINY)
+    return max(n for n in range(SHORT + 1) if most(n) <= LOST)
+
+
+def short_pairs(one: DataFrame, least: float) -> DataFrame:
+    """(_a, _b, _r): all pairs of texts up to ``short_length`` that reach the ratio, with it, from distinct texts (_k, _t, _yes, _no); a pair has a _yes on one side and a _no on the other.
+
+    Texts of lengths n and m whose longest common subsequence has L characters both leave it after n - L and m - L deletions, so the longest text
+    that both leave gives the ratio: nothing meets but pairs that reach it, and no text travels to be compared."""
+    texts = one.filter(F.length("_t") <= short_length(least)).select("_k", "_t", "_yes", "_no", F.length("_t").alias("_n"))
+    lengths = [r[0] for r in texts.select("_n").distinct().collect()]  # SHORT + 1 at most
+    apart = lambda n, m: math.floor((1 - least) * (n + m) + _TINY)
+    # deletions that a text of a length needs for the lengths there are
+    needed = {n: sorted({k for m in lengths for k in range(LOST + 1) if 0 <= m - (n - k) <= apart(n, m) - k}) for n in lengths}
+    t, n = F.col("_t"), F.col("_n")
+    without = lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, n))
+    without_two = lambda i, j: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, j - i - 1), F.substring(t, j + 1, n))
+    none = F.array().cast("array<string>")
+    ones = F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), without)).otherwise(none)
+    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.transform(F.sequence(i + 1, F.greatest(n, F.lit(2))), lambda j: without_two(i, j))))
+    left = [F.array(t), ones, F.when(n >= 2, pairs).otherwise(none)]
+    asked = [n.isin([x for x, ks in needed.items() if k in ks]) for k in range(LOST + 1)]
+    rest = F.concat(*[F.when(ask, F.array_distinct(c)).otherwise(none) for ask, c in zip(asked, left)])
+    v = texts.select("_k", "_n", "_yes", "_no", F.explode(rest).alias("_v"))
+    a, b = v.toDF("_a", "_na", "_ya", "_xa", "_v"), v.toDF("_b", "_nb", "_yb", "_xb", "_v")
+    both = F.col("_na") + F.col("_nb")
+    fits = (F.col("_a") < F.col("_b")) & (both - 2 * F.length("_v") <= _whole((1 - least) * both)) & ((F.col("_ya") & F.col("_xb")) | (F.col("_xa") & F.col("_yb")))
+    met = a.join(b, "_v").filter(fits)
+    return met.groupBy("_a", "_b").agg(F.max(2 * F.length("_v") / both).alias("_r"))
+
+
+def candidate_pairs(one: DataFrame, least: float, q: int = 3, over: int = -1) -> DataFrame:
+    """(_a, _b): numbers of texts that may reach the ratio, from distinct texts (_k, _t), the longer one of more than ``over`` characters; _a is the shorter one, of equal lengths the smaller number."""
     n = F.length("_t")
+    one = one.filter(n * (2 - least) + 1 > over * least)  # others are too short for any such partner
     # most places lost of the shorter and of the longer text, as shares of its length: largest where both are equally long or differ as far as the ratio allows
     equal = (2 * q - 1) * (1 - least)
     short, long = _whole(max(equal, 2 * (q - 1) * (1 - least) / least) * n), _whole(max(equal, 2 * q * (1 - least) / (2 - least)) * n)
@@ -64,7 +102,7 @@ def candidate_pairs(one: DataFrame, least: float, q: int = 3) -> DataFrame:
     side = lambda most: F.explode(F.concat(kept(most), bare(most))).alias("_p")
     # a longer text lies in the band of the shorter one or in the next
     a = r.select(F.col("_k").alias("_a"), F.col("_n").alias("_na"), side("_s"), band(F.col("_n")).alias("_x")).select("_a", "_na", "_p.*", F.explode(F.array(F.col("_x"), F.col("_x") + 1)).alias("band"))
-    b = r.select(F.col("_k").alias("_b"), F.col("_n").alias("_nb"), side("_l"), band(F.col("_n")).alias("band")).select("_b", "_nb", "_p.*", "band")
+    b = r.select(F.col("_k").alias("_b"), F.col("_n").alias("_nb"), side("_l"), band(F.col("_n")).alias("band")).filter(F.col("_nb") > over).select("_b", "_nb", "_p.*", "band")
     a, b = a.withColumnRenamed("at", "_ata"), b.withColumnRenamed("at", "_atb")
     a, b, keys = in_sub_blocks(a, b, ["gram", "band"], "_a", "_b")
     apart = _whole((1 - least) * (F.col("_na") + F.col("_nb")))  # insertions and deletions
@@ -80,13 +118,15 @@ def similar_texts(rows: DataFrame, key: str, text: str, least: float, q: int = 3
     the smallest key, null texts take no part. across: a boolean column; only pairs of one text with a true row and another with a false one."""
     sides = [F.bool_or(across).alias("_yes"), F.bool_or(~F.col(across)).alias("_no")] if across else [F.lit(True).alias("_yes"), F.lit(True).alias("_no")]
     one = checkpointed(rows.filter(F.col(text).isNotNull()).groupBy(F.col(text).alias("_t")).agg(F.min(key).alias("_k"), *sides))
-    found = candidate_pairs(one, least, q)
+    over = short_length(least)
+    found = candidate_pairs(one, least, q, over)
     a = one.select(F.col("_k").alias("_a"), F.col("_t").alias("_ta"), F.col("_yes").alias("_ya"), F.col("_no").alias("_xa"))
     b = one.select(F.col("_k").alias("_b"), F.col("_t").alias("_tb"), F.col("_yes").alias("_yb"), F.col("_no").alias("_xb"))
     met = found.join(a, "_a").join(b, "_b").filter((F.col("_ya") & F.col("_xb")) | (F.col("_xa") & F.col("_yb")))
     # few rows that cost much each: spread, where the bytes alone would put them in one task
     met = met.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_a", "_b")
-    scored = met.select(F.least("_a", "_b").alias("left"), F.greatest("_a", "_b").alias("right"), N.indel_ratio("_ta", "_tb").alias("_r"))
+    met = met.select("_a", "_b", N.indel_ratio("_ta", "_tb").alias("_r")).union(short_pairs(one, least))
+    scored = met.select(F.least("_a", "_b").alias("left"), F.greatest("_a", "_b").alias("right"), "_r")
     return scored.filter(F.col("_r") >= least - 1e-12).select("left", "right", F.round("_r", 9).alias("ratio"))
 
 

@@ -66,6 +66,15 @@ def test_pairs_across_a_border(spark):
     assert got == want and want
 
 
+def test_short_texts_meet_by_deletions_only(spark):
+    rows = [(i, f"Supplier#{i * 37:09d}"[: 16 + i % 3]) for i in range(150)]
+    one = spark.createDataFrame(rows, "_k long, _t string").selectExpr("min(_k) over (partition by _t) = _k as first", "_k", "_t", "true as _yes", "true as _no").filter("first").drop("first")
+    want = brute(rows, 0.94)
+    got = sorted((r._a, r._b, round(r._r, 9)) for r in similarity.short_pairs(one, 0.94).collect())
+    assert got == want and len({len(dict(rows)[a]) - len(dict(rows)[b]) for a, b, _ in want}) > 2
+    assert similarity.candidate_pairs(one, 0.94, over=similarity.short_length(0.94)).count() == 0
+
+
 def test_hot_buckets_are_cut(spark):
     a = spark.range(1000).selectExpr("id as _a", "'hot' as gram")
     b = spark.range(700).selectExpr("id as _b", "'hot' as gram")
