@@ -140,7 +140,7 @@ def strict_label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def skill_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Skills of one subject with like features (Jaccard 0.6) and like steps (ratio 0.75)."""
+    """Skills of one subject with like features (Jaccard 0.6) and like steps (ratio 0.75): pairs of different contents, and each copy with the skill that stands for it."""
     p = load(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("subject"), F.split("p_name", " ").alias("features"), F.col("p_type").alias("steps"))
     return C.like_pairs(p, "p_partkey", "subject", "features", "steps", 0.6, 0.75)
 

@@ -54,6 +54,13 @@ def test_like_pairs_equal_all_pairs(spark):
     assert got == want and want
 
 
+def test_like_pairs_of_copies_are_a_star(spark):
+    rows = [(k, "g", ["b", "a"] if k % 2 else ["a", "b"], "steps" if k < 40 else None) for k in range(60)] + [(60, "g", ["a", "b"], "step"), (61, "h", ["a", "b"], "steps"), (62, None, ["a"], "s"), (63, None, ["a"], "s"), (64, "g", [], "s")]
+    got = sorted(tuple(r) for r in C.like_pairs(spark.createDataFrame(rows, "k int, g string, f array<string>, s string"), "k", "g", "f", "s", 0.6, 0.75).collect())
+    want = [(0, k, 1.0, 1.0, "copy") for k in range(1, 40)] + [(40, k, 1.0, 1.0, "copy") for k in range(41, 60)] + [(0, 60, 1.0, 0.888888889, "like")]
+    assert got == sorted(want)
+
+
 def test_bootstrap_ends(spark):
     rows = [("x", k % 3 == 0, k % 2 == 0) for k in range(90)] + [("y", True, None), ("y", True, False)]
     df = spark.createDataFrame(rows, "g string, a boolean, b boolean")
