@@ -245,9 +245,9 @@ def read_graphml(spark: SparkSession, path: str, split: int | None = None) -> tu
 
     spark.dataSource.register(GraphML)
     reader = spark.read.format("graphml")
-    rows = (reader.option("range", split) if split else reader).load(path)
-    nodes = rows.filter("kind = 'node'").select("id", "entity_type", "description", "source_id")
-    return nodes, rows.filter("kind = 'edge'").select("src", "tgt", "weight", "description", "keywords", "source_id")
+    reader = reader.option("range", split) if split else reader
+    nodes = reader.option("kind", "node").load(path).select("id", "entity_type", "description", "source_id")
+    return nodes, reader.option("kind", "edge").load(path).select("src", "tgt", "weight", "description", "keywords", "source_id")
 
 
 def markdown_table(df: DataFrame, limit: int = 1000) -> str:

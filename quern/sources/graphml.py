@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
+from itertools import islice
 from xml.sax.saxutils import quoteattr, escape
 
 import pyarrow as pa
@@ -24,6 +25,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 SCHEMA = "kind string, id string, src string, tgt string, weight double, entity_type string, description string, keywords string, source_id string"
 #: Bytes of a range, and of a read inside it.
 RANGE, CHUNK = 32 << 20, 1 << 20
+#: Tasks of a read, about: a larger folder has several ranges in a row to a task (but no more than RANGE bytes). Rows of a batch.
+TASKS, ROWS = 256, 8192
+_ARROW = pa.schema([(n, pa.float64() if kind == "double" else pa.string()) for n, kind in (c.split() for c in SCHEMA.split(", "))])
 _FIELDS = ("entity_type", "description", "keywords", "source_id")
 _BEGIN = re.compile(rb"<(node|edge)(?=[\s/>])")
 _TAG = re.compile(rb"<(?:node|edge)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>")
@@ -74,6 +78,8 @@ class Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
         self.range = int(options.get("range", RANGE))
+        kind = options.get("kind")  # node or edge: the others are passed over unread
+        self.begin = re.compile(rb"<(%s)(?=[\s/>])" % kind.encode()) if kind else _BEGIN
 
     def files(self) -> list[str]:
         """The file, or the parts that the folder's manifests name."""
@@ -93,8 +99,10 @@ class Reader(DataSourceReader):
     def partitions(self) -> list[Range]:
         store, _ = _open(self.path)
         out = []
-        for f in self.files():
-            size = store.get_file_info(f).size
+        sizes = {f: store.get_file_info(f).size for f in self.files()}
+        wide = min(-(-sum(sizes.values()) // TASKS), max(RANGE, self.range))
+        wide = self.range * max(-(-wide // self.range), 1)
+        for f, size in sizes.items():
             with store.open_input_file(f) as s:
                 head = b""
                 while len(head) < size and not _BEGIN.search(head):
@@ -108,10 +116,15 @@ class Reader(DataSourceReader):
                 a = _attributes(raw)
                 for kind in (a.get("for", "all"),) if a.get("for") in ("node", "edge") else ("node", "edge"):
                     keys[f"{kind}:{a.get('id', '')}"] = a.get("attr.name", "")
-            out += [Range(f, lo, min(lo + self.range, size), keys) for lo in range(0, size, self.range)]
+            out += [Range(f, lo, min(lo + wide, size), keys) for lo in range(0, size, wide)]
         return out or [Range("", 0, 0, {})]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        rows = self.elements(partition)
+        while some := list(islice(rows, ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), _ARROW.types)], schema=_ARROW)
+
+    def elements(self, partition: Range) -> Iterator[tuple]:
         """The elements that begin in the range; the last one is read to its end behind it."""
         if partition.begin >= partition.end:
             return
@@ -131,7 +144,7 @@ class Reader(DataSourceReader):
 
             more()
             while True:
-                m = _BEGIN.search(held, at)
+                m = self.begin.search(held, at)
                 if not m:
                     at = max(at, len(held) - 6)  # a name may be cut by the end of the chunk
                     if offset + at >= min(partition.end, size) or not more():

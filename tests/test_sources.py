@@ -63,6 +63,18 @@ def graph_text(n):
     return "\n".join([*lines, "  </graph>", "</graphml>"]) + "\n"
 
 
+def test_small_ranges_of_a_large_graph_share_tasks(tmp_path):
+    from quern.sources import graphml
+
+    path = tmp_path / "g.graphml"
+    path.write_text(graph_text(3000), encoding="utf-8")
+    reader = graphml.Reader({"path": str(path), "range": 61})
+    parts = reader.partitions()
+    assert len(parts) <= graphml.TASKS + 1 and all(p.begin % 61 == 0 for p in parts)
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert [r["kind"] for r in rows] == ["node"] * 3000 + ["edge"] * 3000 and [r["id"] for r in rows[1:3000]] == [f"N{i}" if i % 5 else f"N{i} <é\u4e2d>" for i in range(1, 3000)]
+
+
 @pytest.mark.parametrize("split", [61, 1000, 1 << 20])
 def test_graphml_in_ranges_equals_an_xml_parser(spark, tmp_path, split, monkeypatch):
     import xml.etree.ElementTree as ET
