@@ -95,22 +95,80 @@ def budget_prefix(rows: DataFrame, tokens: str, order: list[Column], budget: int
     return rows.withColumn("running", F.sum(tokens).over(w)).filter(F.col("running") <= budget)
 
 
+#: Rows and bytes of edges that a task reduces to a forest at once.
+FOREST, FOREST_BYTES = 1 << 20, 64 << 20
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """(src, tgt) with the same components: of every FOREST rows that a task reads a star around the smallest node of each of their components, a row a node.
+    Null ends take no part."""
+    kind = edges.select("src").union(edges.select("tgt")).schema["src"].dataType
+    rows = edges.select(F.col("src").cast(kind).alias("src"), F.col("tgt").cast(kind).alias("tgt")).filter("src is not null and tgt is not null")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def stars(held):
+            ends = pa.chunked_array([b.column(i) for i in (0, 1) for b in held]).combine_chunks().dictionary_encode()
+            names, n = ends.dictionary, len(ends) // 2
+            order = pc.sort_indices(names)
+            rank = np.empty(len(names), np.int64)
+            rank[order.to_numpy()] = np.arange(len(names))
+            ids = rank[ends.indices.to_numpy()]
+            u, v, low = ids[:n], ids[n:], np.arange(len(names))
+            while len(u):
+                a, b = low[u], low[v]
+                apart = a != b
+                u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+                np.minimum.at(low, np.maximum(a, b), np.minimum(a, b))
+                while (low[low] != low).any():
+                    low = low[low]
+            names = names.take(order)
+            for lo in range(0, len(names), 1 << 16):
+                yield pa.RecordBatch.from_arrays([names.slice(lo, 1 << 16), names.take(pa.array(low[lo : lo + (1 << 16)]))], ["src", "tgt"])
+
+        held, n, size = [], 0, 0
+        for b in batches:
+            held, n, size = [*held, b], n + len(b), size + b.nbytes
+            if n >= FOREST or size >= FOREST_BYTES:
+                yield from stars(held)
+                held, n, size = [], 0, 0
+        if n:
+            yield from stars(held)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(id, component): smallest id reachable over undirected edges (src, tgt). Min-label rounds with label jumping until no
-    label changes, cut by checkpoints in the session's shared folder."""
+    """(id, component): smallest id reachable over undirected edges (src, tgt), which may repeat.
+
+    Edges shrink to forests where they are read. Then each node steps to its smallest neighbour, and on to where such steps end; the edges between different ends
+    are the next, smaller graph, until there are none. The smallest node of a component never steps, so it is its last end. Rounds are
+    cut by checkpoints in the session's shared folder, and only counts of changes reach the driver."""
     from .lineage import checkpointed
 
-    both = checkpointed(edges.select("src", "tgt").union(edges.select(F.col("tgt"), F.col("src"))).distinct())
-    state = both.groupBy(F.col("src").alias("id")).agg(F.min("tgt").alias("m")).select("id", F.least("id", "m").alias("component"))
-    state = checkpointed(state)
+    links, levels = checkpointed(forest(edges)), []
     while True:
-        seen = both.join(state, both.tgt == state.id).select(both.src.alias("id"), "component").groupBy("id").agg(F.min("component").alias("m"))
-        near = state.join(seen, "id").select("id", F.col("component").alias("was"), F.least("component", "m").alias("component"))
-        above = state.select(F.col("id").alias("_r"), F.col("component").alias("_up"))
-        new = checkpointed(near.join(above, F.col("component") == F.col("_r"), "left").select("id", "was", F.least("component", F.coalesce("_up", "component")).alias("component")))
-        state = new.select("id", "component")
-        if new.filter("component <> was").limit(1).count() == 0:
-            return state
+        ends = links.select("src", "tgt").union(links.select("tgt", "src"))
+        step = checkpointed(ends.groupBy(F.col("src").alias("id")).agg(F.min("tgt").alias("_m")).select("id", F.least("id", "_m").alias("to")))
+        while True:
+            on = step.select(F.col("id").alias("_r"), F.col("to").alias("_up"))
+            new = checkpointed(step.join(on, F.col("to") == F.col("_r")).select("id", F.col("to").alias("was"), F.col("_up").alias("to")))
+            step = new.select("id", "to")
+            if new.filter("to <> was").limit(1).count() == 0:
+                break
+        levels.append(step)
+        a, b = step.toDF("src", "_a"), step.toDF("tgt", "_b")
+        met = links.join(a, "src").join(b, "tgt").filter("_a <> _b").select(F.least("_a", "_b").alias("src"), F.greatest("_a", "_b").alias("tgt"))
+        links = checkpointed(forest(met))
+        if links.limit(1).count() == 0:
+            break
+    found = levels.pop()
+    while levels:
+        found = levels.pop().join(found.toDF("_r", "_up"), F.col("to") == F.col("_r"), "left").select("id", F.coalesce("_up", "to").alias("to"))
+    return found.select("id", F.col("to").alias("component"))
 
 
 def largest_component(edges: DataFrame) -> DataFrame:

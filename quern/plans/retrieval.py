@@ -464,7 +464,7 @@ cc(id, component) USING KEY (id) AS (
 
 def _shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = load(spark, sf_dir, "lineitem")
-    return li.select(F.concat(F.lit("P"), "l_partkey").alias("src"), F.concat(F.lit("S"), "l_suppkey").alias("tgt")).distinct()
+    return li.select(F.concat(F.lit("P"), "l_partkey").alias("src"), F.concat(F.lit("S"), "l_suppkey").alias("tgt"))
 
 
 @query(f"WITH {_CC_SQL} SELECT id, component FROM cc")

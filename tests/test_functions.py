@@ -107,11 +107,40 @@ def test_graph(spark):
     assert comps == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "z": "z"}
     chain = spark.range(200).selectExpr("id src", "id + 1 tgt")
     assert {r.component for r in G.connected_components(chain).collect()} == {0}
+    assert {r.component for r in G.connected_components(e.union(spark.createDataFrame([(None, "q"), ("z", None)], "src string, tgt string"))).filter("id in ('q', 'z')").collect()} == {"z"}
     m = spark.createDataFrame([("N", "t2", "d1", "c1", 1), ("N", "t1", "d2", "c1", 2)], "name string, kind string, description string, source_id string, seq int")
     r = G.merge_entities(m).first()
     assert (r.kind, r.description, r.source_id) == ("t2", "d1<SEP>d2", "c1")
 
 
+def test_components_of_random_graphs_from_small_forests(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(G, "FOREST", 40)
+    r = random.Random(3)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(230)] + [(1000 - i, 999 - i) for i in range(90)]
+    root = {x: x for e in edges for x in e}
+
+    def top(x):
+        return x if root[x] == x else top(root[x])
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    for kind, same in (("long", int), ("string", str)):
+        df = spark.createDataFrame([(same(a), same(b)) for a, b in edges * 2], f"src {kind}, tgt {kind}")
+        want = {}
+        for x in root:
+            want.setdefault(top(x), []).append(same(x))
+        got = {(x.id, x.component) for x in G.connected_components(df).collect()}
+        assert got == {(x, min(xs)) for xs in want.values() for x in xs}
+
+
+def test_components_forest_has_a_row_a_node(spark):
+    dense = spark.range(5000).selectExpr("concat('P', id % 50) src", "concat('S', id % 41) tgt").coalesce(1)
+    assert G.forest(dense).count() == 91 and G.forest(dense).filter("tgt <> 'P0'").count() == 0
+
+
 def test_record_parser(spark):
     t = N.FIELD_DELIMITER
     raw = f'("entity"{t}ann{t}person{t}tall)##("relationship"{t}ann{t}bob{t}knows{t}friend{t}2.5)##("relationship"{t}a{t}b{t}c{t}d{t}many)##("entity"{t}{t}x{t}y)##junk<END>'
