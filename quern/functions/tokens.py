@@ -8,9 +8,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import StructType
 
 #: Fixed value: the pattern that splits texts into pieces before byte pairs merge.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -67,11 +69,43 @@ def decode(ids: str | Column, path: str = RANKS) -> Column:
     return run(F.col(ids) if isinstance(ids, str) else ids)
 
 
+#: Most chunks of an output batch, and its characters before it ends.
+BATCH_CHUNKS, BATCH_CHARS = 1024, 1 << 20
+
+
+def cut_texts(keys: pa.Array, texts: pa.Array, size: int, overlap: int, path: str = RANKS) -> Iterator[tuple[pa.Array, list[int], list[int], list[str]]]:
+    """(keys, places, tokens, contents) of the windows of some texts, a bounded number at a time; null texts count as empty and give none."""
+    e = encoding(path)
+    rows, at, n, content, held = [], [], [], [], 0
+    for i, text in enumerate(texts):
+        ids = e.encode_ordinary(text.as_py() or "")
+        for k, lo in enumerate(range(0, len(ids), size - overlap)):
+            part = ids[lo : lo + size]
+            rows.append(i)
+            at.append(k)
+            n.append(len(part))
+            content.append(e.decode(part))
+            held += len(content[-1])
+            if len(rows) >= BATCH_CHUNKS or held >= BATCH_CHARS:
+                yield keys.take(pa.array(rows, pa.int64())), at, n, content
+                rows, at, n, content, held = [], [], [], [], 0
+    if rows:
+        yield keys.take(pa.array(rows, pa.int64())), at, n, content
+
+
 def bpe_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1200, overlap: int = 100, path: str = RANKS) -> DataFrame:
-    """(key, chunk_order_index, tokens, content, chunk_id): windows of ``size`` tokens, ``overlap`` of them shared with the next; every
-    document is cut in place, a window at a time."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size("_ids") - 1, F.lit(0)), F.lit(size - overlap))
-    ids = docs.select(key, encode(text, path).alias("_ids")).filter(F.size("_ids") > 0)
-    cut = ids.select(key, F.posexplode(F.transform(starts, lambda i: F.slice("_ids", i + 1, size))).alias("chunk_order_index", "_part"))
-    out = cut.select(key, "chunk_order_index", F.size("_part").alias("tokens"), F.trim(decode("_part", path)).alias("content"))
+    """(key, chunk_order_index, tokens, content, chunk_id): windows of ``size`` tokens, ``overlap`` of them shared with the next. A task encodes, cuts and decodes
+    one text at a time and holds the ids of no other."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be 0 or more and less than size")
+    src = docs.select(F.col(key), F.col(text).cast("string").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for keys, at, n, content in cut_texts(b.column(0), b.column(1), size, overlap, path):
+                yield pa.RecordBatch.from_arrays([keys, pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(content, pa.string())], names)
+
+    shape = StructType([src.schema[0], *StructType.fromDDL("chunk_order_index int, tokens int, _content string")])
+    names = shape.names
+    out = src.mapInArrow(run, shape).select(key, "chunk_order_index", "tokens", F.trim("_content").alias("content"))
     return out.withColumn("chunk_id", F.concat(F.lit("chunk-"), F.md5("content")))

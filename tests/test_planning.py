@@ -26,6 +26,21 @@ def test_bpe_equals_the_library(spark, sf_dir):
         assert got.get(r.doc_id, {}) == want
 
 
+def test_bpe_chunks_leave_in_bounded_batches(spark):
+    import pyarrow as pa
+
+    e = K.encoding()
+    texts = ["word and word " * 2000, None, "", "é漢字 " * 900, *["a few more words"] * 3000]
+    found = list(K.cut_texts(pa.array(range(len(texts))), pa.array(texts), 50, 7))
+    assert len(found) > 3 and all(len(keys) <= K.BATCH_CHUNKS for keys, *_ in found)
+    got = [(k, i, n, c) for keys, *rest in found for k, i, n, c in zip(keys.to_pylist(), *rest)]
+    ids = [e.encode_ordinary(t or "") for t in texts]
+    assert got == [(k, i, len(x[a : a + 50]), e.decode(x[a : a + 50])) for k, x in enumerate(ids) for i, a in enumerate(range(0, len(x), 43))]
+    # one step from text to chunks: no column holds the ids of a batch of texts
+    plan = K.bpe_chunks(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
 def test_strict_join_and_sealing(spark):
     rows, labels = spark.createDataFrame([(1,), (2,)], "k int"), [(1, "a"), (2, "b")]
     make = lambda x: spark.createDataFrame(x, "k int, y string")
