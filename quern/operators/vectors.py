@@ -24,24 +24,30 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 60, floor: float | No
     return rows.orderBy(F.desc("similarity"), id_col).limit(k)
 
 
-#: Most rows of a part, queries multiplied at once, and entries of the first product.
-ROWS, BATCH, HEAD = 1 << 16, 128, 16
+#: About as many rows of a part and queries of a block, queries multiplied at once, and entries of the first product.
+ROWS, ASKS, BATCH, HEAD = 1 << 16, 1 << 14, 128, 16
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 60, floor: float | None = 0.2, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, id, similarity): for each row (query_id, query_vector) of a table of queries the k nearest vectors by cosine (six digits) at or above the floor, ties by id.
 
-    Vectors lie in parts of ``ROWS``; queries stream through every part in batches, so a task holds one part. The first ``HEAD`` entries are multiplied for all
+    Vectors lie in parts of ``ROWS`` and queries in blocks of ``ASKS``. A task meets one part with one block, so what it sorts and holds is the same however
+    many rows and queries there are. The first ``HEAD`` entries are multiplied for all
     rows, and the lengths of the rests bound what the others can add: only rows that may still reach the floor, or a query's k-th best
     so far, are multiplied whole. Each part returns k rows a query at most, and only those are ranked. Null, empty, zero and ragged vectors
     (another length than the query) match nothing."""
     spark = vectors.sparkSession
-    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null and id is not null")
-    n = src.count()
-    parts = max(-(-n // ROWS), min(2 * spark.sparkContext.defaultParallelism, -(-n // 1024)), 1)
-    rows = src.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("ask"))
-    asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col("query_vector").cast("array<double>").alias("v")).filter("v is not null")
-    asked = asked.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("ask"))
+    # single floats travel as they are and become double in the tasks
+    single = all(df.schema[c].dataType.simpleString() == "array<float>" for df, c in ((vectors, vector), (queries, "query_vector")))
+    kind = "array<float>" if single else "array<double>"
+    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast(kind).alias("v")).filter("v is not null and id is not null")
+    asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col("query_vector").cast(kind).alias("v")).filter("v is not null")
+    n, blocks = src.count(), max(-(-asked.count() // ASKS), 1)
+    parts = max(-(-n // ROWS), min(-(-2 * spark.sparkContext.defaultParallelism // blocks), -(-n // 1024)), 1)
+    own = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    rows = src.select("id", "v", own(parts).alias("part"), every(blocks).alias("block"), F.lit(False).alias("ask"))
+    asked = asked.select("id", "v", own(blocks).alias("block"), every(parts).alias("part"), F.lit(True).alias("ask")).select(*rows.columns)
     least = -2.0 if floor is None else floor
 
     def run(batches):
@@ -50,16 +56,16 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 60, floor: float |
 
         def unit(col):
             """{length: (row places, unit vectors)}"""
-            lists, out = col.to_pylist(), {}
-            by: dict[int, list[int]] = {}
-            for i, v in enumerate(lists):
-                if v and None not in v:
-                    by.setdefault(len(v), []).append(i)
-            for d, at in by.items():
-                m = np.array([lists[i] for i in at], np.float64)
+            at, flat, out = col.offsets.to_numpy(), col.values, {}
+            bad = np.concatenate([[0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))])
+            values, sizes = flat.fill_null(0).to_numpy(zero_copy_only=False), np.diff(at)
+            sizes[bad[at[1:]] > bad[at[:-1]]] = 0
+            for d in set(sizes.tolist()) - {0}:
+                of = np.flatnonzero(sizes == d)
+                m = values[at[of][:, None] + np.arange(d)].astype(np.float64)
                 size = np.sqrt((m * m).sum(axis=1))
                 good = np.isfinite(size) & (size > 0)
-                out[d] = (np.array(at)[good], m[good] / size[good, None])
+                out[d] = (of[good], m[good] / size[good, None])
             return out
 
         def best(qids, q, ids, y):
@@ -83,7 +89,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 60, floor: float |
 
         held, ready, part = [], {}, None
         for b in batches:
-            where, asks = b.column("part").to_numpy(), b.column("ask").to_numpy(zero_copy_only=False)
+            where, asks = b.column("part").to_numpy() * blocks + b.column("block").to_numpy(), b.column("ask").to_numpy(zero_copy_only=False)
             edges = np.flatnonzero((where[1:] != where[:-1]) | (asks[1:] != asks[:-1])) + 1
             for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(where)]):
                 if lo == hi:
@@ -103,6 +109,6 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 60, floor: float |
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", "id", "similarity"])
 
-    met = rows.union(asked).repartition(parts, "part").sortWithinPartitions("part", "ask").mapInArrow(run, "query_id long, id long, similarity double")
+    met = rows.union(asked).repartition(parts * blocks, "part", "block").sortWithinPartitions("part", "block", "ask").mapInArrow(run, "query_id long, id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return met.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")

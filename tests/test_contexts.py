@@ -30,6 +30,22 @@ def test_nearest_equals_all_cosines(spark, monkeypatch, floor, k):
     assert {(i, j, round(s, 5)) for i, j, s in got} == {(i, j, round(s, 5)) for i, j, s in want}
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_nearest_tasks_hold_a_part_and_a_block(spark, monkeypatch, kind):
+    monkeypatch.setattr(vectors, "ROWS", 64)
+    monkeypatch.setattr(vectors, "ASKS", 16)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.round(rng.normal(size=(300, 8)), 1))] + [(400, [1.0, None]), (401, [1.0] * 3)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    found = vectors.nearest(df.toDF("query_id", "query_vector"), df, 4)
+    v = np.array([x for _, x in rows[:300]], np.float32 if kind == "float" else np.float64).astype(np.float64)
+    v /= np.sqrt((v * v).sum(axis=1))[:, None]
+    s = np.round(v @ v.T, 6)
+    want = {(i, int(j)) for i in range(300) for j in np.lexsort((np.arange(300), -s[i]))[:4] if s[i, j] >= 0.2} | {(401, 401)}
+    assert {(r.query_id, r.id) for r in found.collect()} == want
+    assert "hashpartitioning(part#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", block#" in plan
+
+
 def test_sections_of_two_queries(spark):
     edges = spark.createDataFrame([("a", "x", 3.0), ("a", "y", 1.0), ("b", "x", 2.0), ("c", "z", 9.0)], "src string, tgt string, weight double")
     nodes = spark.createDataFrame([("a", "one"), ("b", "two"), ("x", "end")], "id string, name string")
