@@ -29,27 +29,36 @@ def fitting(rows: DataFrame, line: str, order: list[Column], budget: int, tokens
 
 
 class Graph:
-    """A property graph ready for contexts: its edges with ranks and its degrees, each computed once.
+    """A property graph ready for contexts: its edges and degrees, each computed once. Ranks are joined to the edges at hits only.
 
     edges: (src, tgt, weight); nodes: (id, name); mentions: (chunk, src, tgt, quantity), the chunks that name a pair."""
 
     def __init__(self, edges: DataFrame, nodes: DataFrame, mentions: DataFrame) -> None:
-        stored = checkpointed(edges.select("src", "tgt", "weight"))
-        self.degree = checkpointed(G.degrees(stored))
-        self.edges = checkpointed(G.with_edge_rank(stored, self.degree))
+        self.edges = checkpointed(edges.select("src", "tgt", "weight"))
+        self.degree = checkpointed(G.degrees(self.edges))
         self.nodes, self.mentions = nodes, mentions
 
-    def relations(self, hits: DataFrame, mode: str, budget: int, tokens: Callable[[str], Column]) -> DataFrame:
+    def near(self, hits: DataFrame, mode: str) -> DataFrame:
+        """(src, tgt, weight, rank) of the edges that begin, or in local mode begin or end, at a hit of any query."""
+        ids = checkpointed(hits.select("id").distinct())
+        begin = self.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
+        if mode == "local":
+            end = self.edges.join(ids.withColumnRenamed("id", "tgt"), "tgt", "left_semi").join(ids.withColumnRenamed("id", "src"), "src", "left_anti")
+            begin = begin.unionByName(end)
+        return checkpointed(G.with_edge_rank(begin, self.degree).select("src", "tgt", "weight", "rank"))
+
+    def relations(self, hits: DataFrame, mode: str, budget: int, tokens: Callable[[str], Column], near: DataFrame | None = None) -> DataFrame:
         ids = hits.select("query_id", "id")
-        near = self.edges.join(ids.withColumnRenamed("id", "src"), "src")
+        edges = self.near(hits, mode) if near is None else near
+        rows = edges.join(ids.withColumnRenamed("id", "src"), "src")
         if mode == "local":
-            near = near.unionByName(self.edges.join(ids.withColumnRenamed("id", "tgt"), "tgt")).dropDuplicates(["query_id", "src", "tgt"])
-        rows = near.withColumn("line", F.concat_ws(",", "src", "tgt", "weight", "rank"))
+            rows = rows.unionByName(edges.join(ids.withColumnRenamed("id", "tgt"), "tgt")).dropDuplicates(["query_id", "src", "tgt"])
+        rows = rows.withColumn("line", F.concat_ws(",", "src", "tgt", "weight", "rank"))
         return checkpointed(fitting(rows, "line", [F.desc("rank"), F.desc("weight"), F.col("src"), F.col("tgt")], budget, tokens))
 
-    def sections(self, hits: DataFrame, mode: str, budgets: tuple[int, int, int], tokens: Callable[[str], Column] = words) -> DataFrame:
+    def sections(self, hits: DataFrame, mode: str, budgets: tuple[int, int, int], tokens: Callable[[str], Column] = words, near: DataFrame | None = None) -> DataFrame:
         """(query_id, section, line, tokens, running) of the local or global context of every query with hits (query_id, id, similarity)."""
-        relations = self.relations(hits, mode, budgets[0], tokens)
+        relations = self.relations(hits, mode, budgets[0], tokens, near)
         if mode == "local":
             entities = hits.select("query_id", "id", (-F.col("similarity")).alias("at")).join(self.nodes, "id").join(self.degree, "id")
         else:
@@ -64,7 +73,8 @@ class Graph:
 
     def both(self, hits: DataFrame, local: tuple[int, int, int] = LOCAL, over: tuple[int, int, int] = GLOBAL, tokens: Callable[[str], Column] = words) -> DataFrame:
         """(query_id, section, place, line, tokens): both contexts merged section by section, each line once, the local ones first, in their order."""
-        a = self.sections(hits, "local", local, tokens).withColumn("at", F.struct(F.lit(0), "running"))
-        b = self.sections(hits, "global", over, tokens).withColumn("at", F.struct(F.lit(1), "running"))
+        near = self.near(hits, "local")  # holds the edges of the global mode as well
+        a = self.sections(hits, "local", local, tokens, near).withColumn("at", F.struct(F.lit(0), "running"))
+        b = self.sections(hits, "global", over, tokens, near).withColumn("at", F.struct(F.lit(1), "running"))
         one = a.union(b).groupBy("query_id", "section", "line").agg(F.min("at").alias("at"), F.min("tokens").alias("tokens"))
         return one.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "section").orderBy("at"))).select("query_id", "section", "place", "line", "tokens")

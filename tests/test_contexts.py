@@ -46,6 +46,15 @@ def test_nearest_tasks_hold_a_part_and_a_block(spark, monkeypatch, kind):
     assert "hashpartitioning(part#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", block#" in plan
 
 
+def test_ranks_are_joined_at_hits_only(spark):
+    edges = spark.createDataFrame([("a", "x", 3.0), ("b", "x", 2.0), ("c", "z", 9.0), ("x", "x", 1.0)], "src string, tgt string, weight double")
+    g = contexts.Graph(edges, edges.selectExpr("src as id", "src as name"), edges.selectExpr("1L as chunk", "src", "tgt", "weight as quantity"))
+    hits = spark.createDataFrame([(7, "x", 0.9), (8, "a", 0.5)], "query_id long, id string, similarity double")
+    assert g.edges.columns == ["src", "tgt", "weight"]
+    assert sorted(tuple(r) for r in g.near(hits, "local").collect()) == [("a", "x", 3.0, 5), ("b", "x", 2.0, 5), ("x", "x", 1.0, 8)]
+    assert sorted(tuple(r) for r in g.near(hits, "global").collect()) == [("a", "x", 3.0, 5), ("x", "x", 1.0, 8)]
+
+
 def test_sections_of_two_queries(spark):
     edges = spark.createDataFrame([("a", "x", 3.0), ("a", "y", 1.0), ("b", "x", 2.0), ("c", "z", 9.0)], "src string, tgt string, weight double")
     nodes = spark.createDataFrame([("a", "one"), ("b", "two"), ("x", "end")], "id string, name string")
