@@ -31,9 +31,12 @@ SEPARATORS = "".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and their labels.
 BASE = (("the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+#: The base phrases of the query op4_license_scan.
+CONTRACT = (("under the mit license", "mit"), *BASE[1:])
 #: Label, words of the licence's notice, mandatory key phrase (part of the notice).
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
+    ("mit", "the mit license", "the mit license"),
     ("mit", "licensed under the mit license", "mit license"),
     ("mit", "released under the mit license", "mit license"),
     ("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
@@ -99,11 +102,11 @@ def idfs(counts: dict[str, int], files: int) -> dict[str, float]:
     return {w: math.log((files + 1) / (counts.get(w, 0) + 1)) + 1e-6 for w in vocabulary()}
 
 
-def index(counts: dict[str, int], files: int) -> list[Template]:
-    """Templates with their lookup words by IDF."""
+def index(counts: dict[str, int], files: int, phrases: tuple[tuple[str, str], ...] = BASE) -> list[Template]:
+    """Templates with their lookup words by IDF; phrases: base phrases and their labels, of words that BASE and TEMPLATES hold."""
     idf = idfs(counts, files)
     out = []
-    for label, text, key, base in [(b, t, t, True) for t, b in BASE] + [(b, t, k, False) for b, t, k in TEMPLATES]:
+    for label, text, key, base in [(b, t, t, True) for t, b in phrases] + [(b, t, k, False) for b, t, k in TEMPLATES]:
         words, phrase = text.split(), key.split()
         at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
         places = sorted({w: i for i, w in reversed(list(enumerate(words)))}.items(), key=lambda p: (-idf[p[0]], p[1]))[: 1 if base else None]
@@ -111,11 +114,11 @@ def index(counts: dict[str, int], files: int) -> list[Template]:
     return out
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = BASE) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches) of every file; matches lists
-    (label, base, start, share) of each verified start."""
+    (label, base, start, share) of each verified start; phrases as for index()."""
     counts, files = document_frequencies(docs)
-    templates, idf = index(counts, files), idfs(counts, files)
+    templates, idf = index(counts, files, phrases), idfs(counts, files)
     kind = "array<struct<label:string,base:boolean,start:int,share:double>>"
     rare = sorted({w for t in templates for w, _, _ in t.lookups} | {w for t in templates for w in t.key}, key=lambda w: (-idf[w], w))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_column().alias("words"))

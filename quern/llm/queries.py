@@ -28,7 +28,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.CONTRACT).drop("matches")
 
 
 def license_base_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,17 @@ def test_base_sql(spark, tmp_path):
     assert sorted((tuple(r) for r in licenses.base_phrases(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == want
 
 
+def test_contract_phrases(spark, tmp_path):
+    from quern.llm.queries import op4_license_scan
+
+    rows = [(1, "The MIT License"), (2, "Released under the MIT license, or under the-mit license."), (3, "under mit license the mit license"), (4, "UNDER THE MIT LICENSE cc by nc"), (5, "a" + "\u0301 under the mit licenses"), (6, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in op4_license_scan(spark, str(tmp_path)).collect()}
+    assert got == {
+        1: (3, 0, None, None, "", "mit"), 2: (10, 2, 1, 6, "mit", "mit"), 3: (6, 0, None, None, "", "mit"), 4: (7, 2, 0, 4, "cc-by-nc,mit", "cc-by-nc,mit"), 5: (5, 0, None, None, "", ""), 6: (0, 0, None, None, "", ""),
+    }
+
+
 def test_plan_is_native_and_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     out = licenses.scan(df)
