@@ -24,6 +24,8 @@ SUB = 2048
 #: Most characters of a text that meets others by deletions, and most deletions.
 SHORT, LOST = 32, 2
 _TINY = 1e-9
+#: Characters that are counted one by one to bound what two texts share.
+_LETTERS = " etaoinshrdlucmfwypvbgkjqxz"
 
 
 def grams(text: str | Column, q: int) -> Column:
@@ -207,12 +209,40 @@ def nearest_by_words(rows: DataFrame, key: str, words: str, least: float) -> Dat
         bound /= 2
 
 
+def block_pairs(one: DataFrame, least: float, blocks, sub: int = 256) -> DataFrame:
+    """(_a, _ta, _b, _tb): pairs of distinct texts (_k, _t) of a common block that may reach the insertion-deletion ratio, each once; _a is the shorter one, of equal lengths the smaller key.
+
+    Only rows of blocks with two rows or more travel, each once a block. They meet within bands of lengths, blocks of any size in sub x sub rows at once. A pair stays if the characters that both
+    hold, whatever their order, would reach the ratio."""
+    n = F.length("_t")
+    band = F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / math.log((2 - least) / least) + _TINY).cast("int") if least < 1 else n
+    uses = [n - F.length(F.replace("_t", F.lit(c))) for c in _LETTERS]
+    uses = F.array(*uses, n - sum(uses[1:], uses[0]))  # the last one: all other characters
+    rows = one.select("_k", "_t", n.alias("_n"), band.alias("band"), F.array_distinct(blocks("_t")).alias("_bs"))
+    rows = rows.withColumn("_block", F.explode("_bs"))
+    rows = rows.join(rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_block"), "_block", "left_semi").withColumn("_u", uses)
+    names = ["_k", "_t", "_n", "_bs", "_u"]
+    # a longer text lies in the band of the shorter one or in the next
+    a = rows.select("_block", *[F.col(c).alias(f"{c}a") for c in names], F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    b = rows.select("_block", *[F.col(c).alias(f"{c}b") for c in names], "band")
+    a, b, keys = in_sub_blocks(a, b, ["_block", "band"], "_ka", "_kb", sub)
+    longer = F.col("_nb") - F.col("_na")
+    fits = ((longer > 0) | ((longer == 0) & (F.col("_ka") < F.col("_kb")))) & (longer <= _whole((1 - least) * (F.col("_na") + F.col("_nb"))))
+    first = F.get(F.array_intersect("_bsa", "_bsb"), 0) == F.col("_block")  # pairs of several blocks meet in one
+    common = [F.least(F.get("_ua", i), F.get("_ub", i)) for i in range(len(_LETTERS) + 1)]
+    met = a.join(b, keys).filter(fits & first & (2 * sum(common[1:], common[0]) >= (least - _TINY) * (F.col("_na") + F.col("_nb"))))
+    return met.select(F.col("_ka").alias("_a"), F.col("_ta").alias("_ta"), F.col("_kb").alias("_b"), F.col("_tb").alias("_tb"))
+
+
 def similar_in_blocks(rows: DataFrame, key: str, text: str, least: float, blocks) -> DataFrame:
-    """(left, right, ratio): pairs of distinct texts of a common block whose matching-blocks ratio is ``least`` or more. That ratio is at most the
-    insertion-deletion one, so the pairs come from its exact join and a block of any size costs nothing; blocks: (key, text) -> array of block names."""
-    one = rows.groupBy(F.col(text).alias("_t")).agg(F.min(key).alias("_k"))
-    near = similar_texts(one, "_k", "_t", least)
-    side = lambda name: one.select(F.col("_k").alias(name), F.col("_t").alias(f"_{name}"))
-    met = near.select("left", "right").join(side("left"), "left").join(side("right"), "right").filter(F.arrays_overlap(blocks("_left"), blocks("_right")))
-    met = met.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "left", "right")
-    return met.select("left", "right", F.round(N.sequence_ratio("_left", "_right"), 9).alias("ratio")).filter(F.col("ratio") >= least)
+    """(left, right, ratio): pairs of distinct texts of a common block whose matching-blocks ratio is ``least`` or more; blocks: (text) -> array of block names.
+
+    That ratio is at most the insertion-deletion one, which is cheaper and leaves few pairs to be matched."""
+    one = checkpointed(rows.filter(F.col(text).isNotNull()).groupBy(F.col(text).alias("_t")).agg(F.min(key).alias("_k")))
+    met = block_pairs(one, least, blocks)
+    # few rows that cost much each: spread, where the bytes alone would put them in one task
+    met = met.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_a", "_b")
+    turned = F.col("_a") > F.col("_b")
+    x, y = F.when(turned, F.col("_tb")).otherwise(F.col("_ta")), F.when(turned, F.col("_ta")).otherwise(F.col("_tb"))
+    scored = met.select(F.least("_a", "_b").alias("left"), F.greatest("_a", "_b").alias("right"), F.round(N.sequence_ratio_from(x, y, least - _TINY), 9).alias("ratio"))
+    return scored.filter(F.col("ratio") >= least)

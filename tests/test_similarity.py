@@ -2,6 +2,7 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.functions import text as N
 from quern.operators import similarity
@@ -143,3 +144,25 @@ def test_blocked_pairs_equal_the_matcher(spark, sf_dir):
                 if r >= 0.9:
                     want.append((a, b, round(r, 9)))
     assert sorted((r.left, r.right, r.ratio) for r in near_dup_verified(spark, sf_dir).collect()) == want and want
+
+
+def test_pairs_of_blocks_meet_within_them_only(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoin shrdlu\u00e9z-") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    rows, k = {}, 0
+    for block in range(40):
+        head = f"{block:02d}" + "".join(rng.choice("abcdefgh") for _ in range(22))
+        own = [head + " ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(30 if block == 0 else 2)]
+        for t in own + [x[: len(x) // 2] + rng.choice("xyz") + x[len(x) // 2 :] for x in own]:
+            rows.setdefault(t, k := k + 1)
+    rows.setdefault("", k + 1)
+    one = spark.createDataFrame([(i * 7919 % 1009, t) for t, i in rows.items()], "_k long, _t string")
+    ends = lambda c: F.array(F.left(c, F.lit(24)), F.right(c, F.lit(24)))
+    all_ = sorted((r._k, r._t) for r in one.collect())
+    near = [(i, x, j, y) for n, (i, x) in enumerate(all_) for j, y in all_[n + 1 :] if {x[:24], x[-24:]} & {y[:24], y[-24:]}]
+    met = {sub: [(min(r._a, r._b), max(r._a, r._b)) for r in similarity.block_pairs(one, 0.9, ends, sub).collect()] for sub in (4, 256)}
+    assert sorted(met[4]) == sorted(met[256]) and len(set(met[4])) == len(met[4]) <= len(near)
+    want = sorted((i, j, round(r, 9)) for i, x, j, y in near if (r := SequenceMatcher(None, x, y, autojunk=False).ratio()) >= 0.9)
+    got = similarity.similar_in_blocks(one.select(F.col("_k").alias("id"), F.col("_t").alias("text")), "id", "text", 0.9, ends)
+    assert sorted((r.left, r.right, r.ratio) for r in got.collect()) == want and want
+    assert set(met[4]) >= {(i, j) for i, j, _ in want}
