@@ -14,10 +14,10 @@ words, never on html, body, main, article and headings, and where they leave not
 Scale: pages are parsed where they are read, what markup alone settles stays behind, and the other blocks are shuffled once,
 compressed. The pages of a host make one shard up to ``SHARD_CHARS`` characters, and larger hosts are split into shards of that size by
 a hash of the page, whatever the partitioning, so memory is bounded and a hot host is spread. What such a host repeats across its
-shards is counted over all of them: by hashes of whole blocks of ``LEAST`` tokens or more and of those windows of ``LEAST`` tokens that are the
-smallest of ``SPREAD`` neighbours (winnowing, so every repeat of LEAST + SPREAD - 1 tokens or more shares one). Counts are summed in the
-tasks first, and each shard gets the repeated ones that it holds; shorter repeats inside a block count within a shard
-only. Sizes of large hosts are broadcast if there are at most ``BROADCAST_HOSTS``.
+shards is counted over all of them, so results don't depend on the shards: by hashes of whole blocks of ``LEAST`` tokens or more and, on hosts with
+blocks outside articles, where repetition decides, of every window of ``LEAST`` tokens. Counts are summed in the tasks first, and each shard gets the
+repeated ones that it holds. Whether a frame is most of the article is voted on by all pages of the host too. Sizes of large hosts,
+and the blocks on many of their pages, are broadcast if there are at most ``BROADCAST_HOSTS``.
 
 Edge cases: null html counts as empty and gives an empty text; null urls share one empty host; rows of one page_id
 (without one: of one url) count as one page when repeats are sought within a shard; an unclosed quote or tag ends at the next >, and text after the last > is
@@ -290,9 +290,9 @@ class _Hashes(dict):
         return got
 
 
-def marks(hashes: np.ndarray, pages: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def marks(hashes: np.ndarray, pages: np.ndarray, sizes: np.ndarray, spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of pages in a row, from the hashes of their tokens, the number of tokens of each page and of each block: places and keys of the
-    winnowed windows, and numbers and keys of the blocks of LEAST tokens or more."""
+    windows that are the smallest of ``spread`` neighbours (1: of every window, 0: of none), and numbers and keys of the blocks of LEAST tokens or more."""
     n = len(hashes)
     back = np.cumprod(np.full(n + 1, _BACK, np.uint64))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * np.cumprod(np.full(n, _STEP, np.uint64)))])
@@ -301,19 +301,21 @@ def marks(hashes: np.ndarray, pages: np.ndarray, sizes: np.ndarray) -> tuple[np.
     a, z = (ends - sizes)[numbers], ends[numbers]
     blocks = (sums[z] - sums[a]) * back[a] ^ sizes[numbers].astype(np.uint64)
     at = np.zeros(0, np.int64)
-    if n >= LEAST:
+    if spread and n >= LEAST:
         window = (sums[LEAST:] - sums[:-LEAST]) * back[: n - LEAST + 1]
         window ^= window >> np.uint64(31)
         left = np.repeat(np.cumsum(pages), pages) - np.arange(n) - LEAST + 1  # windows of the page from each place on
         found = []
-        if len(window) >= SPREAD:
-            whole = np.flatnonzero(left[: len(window) - SPREAD + 1] >= SPREAD)
-            near = np.lib.stride_tricks.sliding_window_view(window, SPREAD)
+        if spread == 1:
+            found.append(np.flatnonzero(left[: len(window)] > 0))
+        elif len(window) >= spread:
+            whole = np.flatnonzero(left[: len(window) - spread + 1] >= spread)
+            near = np.lib.stride_tricks.sliding_window_view(window, spread)
             for lo in range(0, len(whole), 1 << 16):
                 own = whole[lo : lo + (1 << 16)]
                 found.append(own + near[own].argmin(axis=1))
         starts = np.cumsum(pages) - pages
-        for x in starts[(pages >= LEAST) & (pages < LEAST + SPREAD - 1)].tolist():  # pages of one span or less
+        for x in starts[(pages >= LEAST) & (pages < LEAST + spread - 1)].tolist():  # pages of one span or less
             found.append(np.array([x + int(window[x : x + int(left[x])].argmin())]))
         at = np.unique(np.concatenate(found)) if found else at
         return at, window[at].view(np.int64), numbers, blocks.view(np.int64)
@@ -339,9 +341,16 @@ def _frame(kinds: list[int], often: list[bool]) -> set[int]:
     return out
 
 
-def _shard(rows: list[tuple], far: dict[int, int] | None = None, of_host: int = 0) -> list[tuple[str, int]]:
-    """(text, covered tokens) of each (page key, kept_blocks) of one shard of a host; far: on how many pages of the whole host the
-    keys stand that other shards have too; of_host: the host's distinct pages, if this shard isn't all of it."""
+def _minority(sizes: list[int], kinds: list[int], frame: set[int]) -> int:
+    """1 if the frame is at most half of the article's tokens, else -1."""
+    own = [n if kind == 1 else 0 for n, kind in zip(sizes, kinds)]
+    return 1 if 2 * sum(own[i] for i in frame) <= sum(own) else -1
+
+
+def _shard(rows: list[tuple], far: dict[int, int] | None = None, of_host: int = 0, votes: dict[int, int] | None = None) -> list[tuple[str, int]]:
+    """(text, covered tokens outside articles) of each (page key, kept_blocks) of one shard of a host; far: on how many pages of the whole host the
+    keys stand that other shards have too; of_host: the host's distinct pages, if this shard isn't all of it; votes: then by block key, on how
+    many of its pages the block is in a frame that is a minority of the article, less the others."""
     pages = [blocks for _, blocks in rows]
     vocab = _Numbers()
     lengths = [np.array([t.count(" ") + 1 for t, _ in p], np.int64) for p in pages]
@@ -354,7 +363,9 @@ def _shard(rows: list[tuple], far: dict[int, int] | None = None, of_host: int =
             if size >= LEAST:
                 on.setdefault(text, set()).add(ids[page])
     whole_n = np.zeros(sum(map(len, lengths)), np.int64)  # of each block: on how many pages of the host it stands, if other shards have it
-    if far:
+    named = np.zeros(len(whole_n), np.int64)  # keys of the blocks
+    if far or votes:
+        far = far or {0: 0}
         keys = np.array(sorted(far), np.int64)
         counts = np.array([far[k] for k in keys.tolist()], np.int64)
 
@@ -364,7 +375,8 @@ def _shard(rows: list[tuple], far: dict[int, int] | None = None, of_host: int =
 
         hashes = np.fromiter(map(_Hashes().__getitem__, vocab), np.uint64, len(vocab))
         n = np.array([len(x) for x in streams], np.int64)
-        places, windows, numbers, whole = marks(hashes[np.concatenate(streams)], n, np.concatenate(lengths))
+        places, windows, numbers, whole = marks(hashes[np.concatenate(streams)], n, np.concatenate(lengths), 1)
+        named[numbers] = whole
         places = places + np.searchsorted(np.cumsum(n), places, side="right")  # separators in front
         held[places] = np.maximum(held[places], known(windows))
         whole_n[numbers] = known(whole)
@@ -375,10 +387,10 @@ def _shard(rows: list[tuple], far: dict[int, int] | None = None, of_host: int =
     for blocks, sizes in zip(pages, lengths):
         often = [max(whole_n[k + i], len(on.get(text, ()))) >= least for i, (text, _) in enumerate(blocks)]
         frames.append(_frame([kind for _, kind in blocks], often))
-        k += len(blocks)
-        own = [n if kind == 1 else 0 for n, (_, kind) in zip(sizes.tolist(), blocks)]
+        vote = _minority(sizes.tolist(), [kind for _, kind in blocks], frames[-1]) if frames[-1] else 0
         for i in frames[-1]:
-            small[blocks[i][0]] = small.get(blocks[i][0], 0) + (1 if 2 * sum(own[j] for j in frames[-1]) <= sum(own) else -1)
+            small[blocks[i][0]] = votes.get(int(named[k + i]), 0) if votes else small.get(blocks[i][0], 0) + vote
+        k += len(blocks)
     k = 0
     for blocks, sizes, frame in zip(pages, lengths, frames):
         kept, hinted, total = [], [], 0
@@ -387,12 +399,12 @@ def _shard(rows: list[tuple], far: dict[int, int] | None = None, of_host: int =
             if whole_n[k] > 1:
                 c = np.ones(size, bool)
             at, k = at + size, k + 1
-            n = int(c.sum())
-            total += n
             if kind in (1, 3):
                 if i not in frame or small[text] <= 0:
                     kept.append(text)
                 continue
+            n = int(c.sum())
+            total += n
             to = hinted if kind == 2 else kept
             if not n:
                 to.append(text)
@@ -408,8 +420,23 @@ def host_of(url: str | Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(c, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@]*@)?([^/:?#]+)", 1))
 
 
-def _far_counts(src: DataFrame) -> DataFrame:
-    """(_host, _shard, _key, _n): keys that several shards of a large host hold, with the distinct pages of the host that have them, for each of the shards.
+#: Stands among the keys for: the page has blocks outside articles.
+_ASKS = 0
+
+
+def _hashed(html: pa.Array, hashes: _Hashes, spread: int) -> tuple:
+    """kept_blocks and block sizes of pages, and their marks."""
+    if len(hashes) > 300_000:
+        hashes.clear()
+    blocks = [kept_blocks(x) for x in texts(html)]
+    lengths = [[t.count(" ") + 1 for t, _ in p] for p in blocks]
+    words = " ".join([t for p in blocks for t, _ in p]).split(" ") if any(blocks) else []
+    flat = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    return blocks, lengths, marks(flat, np.array([sum(p) for p in lengths], np.int64), np.array([n for p in lengths for n in p], np.int64), spread)
+
+
+def _far_counts(src: DataFrame, every: bool) -> DataFrame:
+    """(_host, _shard, _key, _n): on how many distinct pages of each shard of a large host a key stands: of the whole blocks (and _ASKS), or of every window.
 
     Tasks count the pages that have one row (null _twice) and name the others, whose rows count once together."""
 
@@ -420,27 +447,58 @@ def _far_counts(src: DataFrame) -> DataFrame:
                 host, shard = (b.column(c).slice(lo, hi - lo).to_numpy() for c in ("_host", "_shard"))
                 many = b.column("_twice").slice(lo, hi - lo)
                 named, page = many.is_valid().to_numpy(zero_copy_only=False), many.fill_null(0).to_numpy()
-                if len(hashes) > 300_000:
-                    hashes.clear()
-                blocks = [[t for t, _ in kept_blocks(x)] for x in texts(b.column("_html").slice(lo, hi - lo))]
-                lengths = [[t.count(" ") + 1 for t in p] for p in blocks]
-                sizes = np.array([n for p in lengths for n in p], np.int64)
-                pages = np.array([sum(p) for p in lengths], np.int64)
-                words = " ".join([t for p in blocks for t in p]).split(" ") if len(sizes) else []
-                flat = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                places, windows, numbers, whole = marks(flat, pages, sizes)
-                of = np.concatenate([np.searchsorted(np.cumsum(pages), places, side="right"), np.repeat(np.arange(len(blocks)), [len(p) for p in blocks])[numbers]])
-                rows = np.stack([of, np.concatenate([windows, whole])], axis=1)
-                rows = np.unique(rows, axis=0)  # a page counts once
+                blocks, lengths, (places, windows, numbers, whole) = _hashed(b.column("_html").slice(lo, hi - lo), hashes, int(every))
+                if every:
+                    of, own = np.searchsorted(np.cumsum([sum(p) for p in lengths]), places, side="right"), windows
+                else:
+                    asks = [i for i, p in enumerate(blocks) if any(kind in (0, 2) for _, kind in p)]
+                    of = np.concatenate([np.array(asks, np.int64), np.repeat(np.arange(len(blocks)), [len(p) for p in blocks])[numbers]])
+                    own = np.concatenate([np.full(len(asks), _ASKS, np.int64), whole])
+                rows = np.unique(np.stack([of, own], axis=1), axis=0)  # a page counts once
                 own = rows[:, 0]
                 keys, n = np.unique(np.stack([host[own], shard[own].astype(np.int64), rows[:, 1], named[own].astype(np.int64), page[own]], axis=1), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1].astype(np.int32)), pa.array(keys[:, 2]), pa.array(keys[:, 4], mask=keys[:, 3] == 0), pa.array(n.astype(np.int32))], ["_host", "_shard", "_key", "_twice", "_n"])
 
     found = src.select("_host", "_shard", "_twice", "_html").mapInArrow(run, "_host long, _shard int, _key long, _twice long, _n int").repartition("_host", "_key")
-    held = found.groupBy("_host", "_key", "_shard").agg((F.coalesce(F.sum(F.when(F.col("_twice").isNull(), F.col("_n"))), F.lit(0)) + F.size(F.collect_set("_twice"))).alias("_n"))
+    return found.groupBy("_host", "_key", "_shard").agg((F.coalesce(F.sum(F.when(F.col("_twice").isNull(), F.col("_n"))), F.lit(0)) + F.size(F.collect_set("_twice"))).alias("_n"))
+
+
+def _frame_votes(src: DataFrame) -> DataFrame:
+    """(_host, _key, _votes): on how many pages a block is in a frame that is a minority of the article, less the others; _often: keys of the blocks on many of the host's pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for b in batches:
+            for lo, hi in text_slices(b.column("_html")):
+                part = b.slice(lo, hi - lo)
+                blocks, lengths, (_, _, numbers, whole) = _hashed(part.column("_html"), hashes, 0)
+                named, k, votes = dict(zip(numbers.tolist(), whole.tolist())), 0, {}
+                for host, often, page, sizes in zip(part.column("_host").to_pylist(), map(set, part.column("_often").to_pylist()), blocks, lengths):
+                    kinds = [kind for _, kind in page]
+                    frame = _frame(kinds, [named.get(k + i) in often for i in range(len(page))])
+                    vote = _minority(sizes, kinds, frame) if frame else 0
+                    for i in frame:
+                        votes[host, named[k + i]] = votes.get((host, named[k + i]), 0) + vote
+                    k += len(page)
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes], pa.int64()), pa.array([x for _, x in votes], pa.int64()), pa.array(list(votes.values()), pa.int64())], ["_host", "_key", "_votes"])
+
+    return src.select("_host", "_often", "_html").mapInArrow(run, "_host long, _key long, _votes long").groupBy("_host", "_key").agg(F.sum("_votes").cast("int").alias("_votes"))
+
+
+def _far(src: DataFrame, hosts: DataFrame, small) -> DataFrame:
+    """(_host, _shard, _key, _n, _votes): keys that several shards of a large host hold, with the distinct pages of the host that have them, for each of those shards; and the
+    frame votes for every shard. hosts: (_host, _shards, _pages)."""
+    blocks = checkpointed(_far_counts(src, False))
+    asking = blocks.filter(F.col("_key") == _ASKS).select("_host").distinct()
+    held = blocks.filter(F.col("_key") != _ASKS).union(_far_counts(src.join(small(asking), "_host", "left_semi"), True))
     every = Window.partitionBy("_host", "_key")  # a row a shard
-    held = held.withColumn("_all", F.sum("_n").over(every)).withColumn("_shards", F.count(F.lit(1)).over(every))
-    return held.filter("_shards > 1").select("_host", "_shard", "_key", F.col("_all").cast("int").alias("_n"))
+    held = held.withColumn("_all", F.sum("_n").over(every)).withColumn("_held_by", F.count(F.lit(1)).over(every))
+    counts = held.filter("_held_by > 1").select("_host", "_shard", "_key", F.col("_all").cast("int").alias("_n"), F.lit(None).cast("int").alias("_votes"))
+    whole = blocks.filter(F.col("_key") != _ASKS).groupBy("_host", "_key").agg(F.sum("_n").alias("_all"))
+    often = whole.join(hosts, "_host").filter(F.col("_all") >= F.greatest(F.lit(OFTEN), SHARE * F.col("_pages"))).groupBy("_host").agg(F.collect_list("_key").alias("_often"))
+    votes = _frame_votes(src.select("_host", "_html").join(small(checkpointed(often)), "_host")).join(hosts, "_host")
+    shards = F.explode(F.sequence(F.lit(0), F.col("_shards") - 1)).alias("_shard")
+    return counts.union(votes.select("_host", shards, "_key", F.lit(None).cast("int").alias("_n"), "_votes"))
 
 
 def _parsed(src: DataFrame) -> DataFrame:
@@ -470,24 +528,27 @@ def main_text(pages: DataFrame) -> DataFrame:
     rows_of = src.join(small(large.select("_host")), "_host").groupBy("_host", "_page").agg(F.count(F.lit(1)).alias("_rows"))
     rows_of = checkpointed(rows_of) if n else rows_of
     sizes = rows_of.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
-    src = src.join(small(large.join(sizes, "_host")), "_host", "left")
+    hosts = small(large.join(sizes, "_host"))
+    src = src.join(hosts, "_host", "left")
     src = src.withColumn("_shard", F.coalesce(F.pmod("_page", "_shards"), F.lit(0)).cast("int"))
-    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("_key", "long"), ("_n", "int"))]
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("_key", "long"), ("_n", "int"), ("_votes", "int"))]
     rows = _parsed(src).select("_host", "_shard", *none, "_pages", "_page", "_id", "_url", "_blocks")
     if n:
         absent = [F.lit(None).cast(kind).alias(c) for c, kind in (("_pages", "long"), ("_page", "long"), ("_id", "long"), ("_url", "string"), ("_blocks", "binary"))]
         twice = rows_of.filter("_rows > 1").select("_host", "_page", F.col("_page").alias("_twice"))
-        rows = rows.union(_far_counts(src.filter("_shards is not null").join(twice, ["_host", "_page"], "left")).select("_host", "_shard", "_key", "_n", *absent))
+        far = _far(src.filter("_shards is not null").drop("_pages", "_shards").join(twice, ["_host", "_page"], "left"), hosts, small)
+        rows = rows.union(far.select("_host", "_shard", "_key", "_n", "_votes", *absent))
     # a shard's keys come before its pages
     rows = rows.repartition("_host", "_shard").sortWithinPartitions("_host", "_shard", F.col("_key").isNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         far: dict[int, int] = {}
+        votes: dict[int, int] = {}
         shard = None
 
         def out() -> Iterator[pa.RecordBatch]:
-            done = _shard([(r[1], json.loads(zlib.decompress(r[4]))) for r in held], far, max(r[0] or 0 for r in held))
+            done = _shard([(r[1], json.loads(zlib.decompress(r[4]))) for r in held], far, max(r[0] or 0 for r in held), votes)
             for lo in range(0, len(held), 2000):
                 part, own = held[lo : lo + 2000], done[lo : lo + 2000]
                 yield pa.RecordBatch.from_arrays(
@@ -496,13 +557,15 @@ def main_text(pages: DataFrame) -> DataFrame:
                 )
 
         for b in batches:
-            for host, number, key, n, *row in zip(*(c.to_pylist() for c in b.columns)):
+            for host, number, key, n, vote, *row in zip(*(c.to_pylist() for c in b.columns)):
                 if (host, number) != shard:
                     if held:
                         yield from out()
-                    held, far, shard = [], {}, (host, number)
+                    held, far, votes, shard = [], {}, {}, (host, number)
                 if key is None:
                     held.append(tuple(row))
+                elif n is None:
+                    votes[key] = vote
                 else:
                     far[key] = n
         if held:

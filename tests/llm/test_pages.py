@@ -156,6 +156,24 @@ def test_repetition_decides_without_markup_and_partitions_do_not_matter(spark, s
     assert all((notice in t) == (p not in several) for p, _, t in split[0])
 
 
+def test_texts_do_not_depend_on_the_shards(spark, sf_dir, monkeypatch):
+    bare, _ = stripped(spark, sf_dir)
+    # runs of 10 words inside blocks, on a page with another each; articles within a frame that is most of them on most pages, and with a frame that isn't
+    runs = [" ".join(f"run{i}x{k}" for k in range(10)) for i in range(30)]
+    page = lambda i: f"<p>{' '.join(f'u{i}x{k}' for k in range(9))} {runs[i // 2 % 30]} v{i} w{i}</p>" + " ".join(f"fill{i}x{k}" for k in range(60))
+    heavy, light = (" ".join(f"{name}{k}" for k in range(n)) for name, n in (("heavy", 40), ("light", 9)))
+    inside = lambda i: f"<article><p>{' '.join(f'a{i}x{k}' for k in range(20 if i % 8 else 200))}</p><p>{heavy}</p></article>"
+    kept = lambda i: f"<article><p>{' '.join(f'b{i}x{k}' for k in range(50))}</p><p>{light}</p></article>"
+    made = [(1000 + i, "http://runs.org/", page(i)) for i in range(60)] + [(2000 + i, "http://heavy.org/", inside(i)) for i in range(48)] + [(3000 + i, "http://light.org/", kept(i)) for i in range(40)]
+    df = bare.union(spark.createDataFrame(made + made[:3], "page_id long, url string, html string"))
+    whole = sorted(map(tuple, pages.main_text(df).collect()), key=str)
+    texts = {r[0]: r[2] for r in whole}
+    assert runs[0] not in texts[1000] and all(heavy in texts[2000 + i] for i in range(48)) and not any(light in texts[3000 + i] for i in range(40))
+    for chars in (30_000, 3_000):
+        monkeypatch.setattr(pages, "SHARD_CHARS", chars)
+        assert sorted(map(tuple, pages.main_text(df).collect()), key=str) == whole
+
+
 def test_far_repeats_equal_brute_force():
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(4000)]
