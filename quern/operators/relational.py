@@ -11,8 +11,19 @@ def insert_missing(store: DataFrame, incoming: DataFrame, keys: list[str]) -> Da
     return store.unionByName(incoming.join(store.select(*keys), keys, "left_anti"))
 
 
-def last_version(rows: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
-    """For each key the values of the row that comes last in order."""
+#: Rows of a task that aggregates under keys of which most have few rows, about.
+TASK_ROWS = 1 << 19
+
+
+def dealt(rows: DataFrame, n: int, keys: list[str]) -> DataFrame:
+    """rows, n at most, dealt by their keys over so many tasks that each gets about TASK_ROWS; as they are where the session's partitions are as many."""
+    tasks = -(-n // TASK_ROWS)
+    return rows if tasks <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(tasks, *keys)
+
+
+def last_version(rows: DataFrame, keys: list[str], order: list[str], values: list[str], n: int = 0) -> DataFrame:
+    """For each key the values of the row that comes last in order; n: the most rows there are, where keys have few each, so that memory is bounded by more tasks."""
+    rows = dealt(rows, n, keys)
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_v")).select(*keys, "_v.*")
 
 

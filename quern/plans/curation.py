@@ -307,4 +307,4 @@ def bank_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current version of each card after a transition."""
     p = load(spark, sf_dir, "part").select("p_partkey", F.lit(1).alias("version"), "p_size", F.lit("active").alias("status"))
     two = p.filter("p_size > 40").select("p_partkey", F.lit(2), F.col("p_size") + 1, F.lit("retired"))
-    return R.last_version(p.union(two), ["p_partkey"], ["version"], ["version", "p_size", "status"])
+    return R.last_version(p.union(two), ["p_partkey"], ["version"], ["version", "p_size", "status"], n=2 * p.count())

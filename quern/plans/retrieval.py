@@ -450,7 +450,7 @@ def graph_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = graph_edges(spark, sf_dir).select("src", "tgt", "weight", F.lit(0).alias("seq"))
     upd = e.filter("weight > 40").select("src", "tgt", F.col("weight") + 1000, F.lit(1))
-    return last_version(e.union(upd), ["src", "tgt"], ["seq"], ["weight"])
+    return last_version(e.union(upd), ["src", "tgt"], ["seq"], ["weight"], n=2 * load(spark, sf_dir, "lineitem").count())
 
 
 _CC_SQL = """

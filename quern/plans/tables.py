@@ -21,9 +21,13 @@ edges AS (
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.relational import dealt
+
     li = load(spark, sf_dir, "lineitem")
+    # most pairs have a row or two: adding up where they are read would hold them all and save nothing
     return (
-        li.groupBy("l_partkey", "l_suppkey")
+        dealt(li.select("l_partkey", "l_suppkey", "l_quantity", "l_orderkey"), li.count(), ["l_partkey", "l_suppkey"])
+        .groupBy("l_partkey", "l_suppkey")
         .agg(F.sum("l_quantity").alias("weight"), F.countDistinct("l_orderkey").alias("orders"))
         .select(F.concat(F.lit("P#"), "l_partkey").alias("src"), F.concat(F.lit("S#"), "l_suppkey").alias("tgt"), "weight", "orders")
     )

@@ -245,7 +245,7 @@ def registry_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry rows replaced by later ones under the same key."""
     o = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.lit(0).alias("seq"))
     late = o.filter("o_orderkey % 9 = 0").select("o_orderkey", F.lit("late"), F.lit(1))
-    return R.last_version(o.union(late), ["o_orderkey"], ["seq"], ["status"])
+    return R.last_version(o.union(late), ["o_orderkey"], ["seq"], ["status"], n=2 * o.count())
 
 
 @query("""

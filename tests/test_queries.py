@@ -72,3 +72,16 @@ def test_entry_imports_without_the_llm_parts(monkeypatch):
         assert entry.llm is None and set(entry.queries()) == set(catalog.QUERIES) and entry.oracle_sql()
     finally:
         sys.modules.pop("__spark_entry__", None)
+
+
+def test_versions_are_aggregated_in_tasks_of_bounded_rows(spark, sf_dir, monkeypatch):
+    from quern.catalog import QUERIES
+    from quern.operators import relational
+
+    names = ("graph_upsert", "registry_overwrite", "bank_versions")
+    want = {n: sorted(map(tuple, QUERIES[n](spark, sf_dir).collect())) for n in names}
+    monkeypatch.setattr(relational, "TASK_ROWS", 20)
+    for n in names:
+        got = QUERIES[n](spark, sf_dir)
+        sizes = got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert sorted(map(tuple, got.collect())) == want[n] and max(sizes) < 60, n
