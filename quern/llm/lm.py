@@ -1,7 +1,8 @@
 """Language-model scoring by masked pseudo-likelihood.
 
 Words are counted over all documents. The ``TOP`` most frequent ones are the model's words and the others share ``REST`` hash
-buckets; a bucket's probability is split among its words by their own corpus counts, which are joined from the whole count table. A
+buckets; a bucket's probability is split among its words by their own corpus counts: those of the ``KNOWN`` next frequent words go to the
+tasks, all others are joined from the whole count table. A
 window network predicts each token from ``REACH`` words on both sides: embeddings, one tanh layer, and a two-level softmax over classes
 and words in a class. It is trained in numpy on all tokens of all documents: each task walks its documents from the shared weights with
 Adagrad steps on masked positions (one in ``ROUNDS``, by place, other places in the next round, so that every position is predicted
@@ -9,8 +10,9 @@ once), and the tasks' weights are averaged by their number of steps, in ``ROUNDS
 short walks teach little. A document's score is the sum over all its tokens of log P(token | both sides), and its mean.
 
 Scale: the counts are partially aggregated in the tasks; what tasks send for the average grows with the number of tasks
-and is added up in a tree (common.block_sums); the weights have a fixed size (0.9 MB). The counts of words outside the model
+and is added up in a tree (common.block_sums); the weights have a fixed size (0.9 MB), as has the list of known words (``KNOWN`` at most). The counts of rarer words
 meet their places in a shuffle join by word hash; no such word can hold more than one in ``TOP`` + 1 of all tokens, so the join has no hot key.
+The network meets the rows of a batch in order of their classes, ``ROWS`` at once, so that logits stay in a CPU's cache.
 
 Edge cases: null and empty texts have no tokens, sum 0 and mean null; repeated rows get equal scores; one word has
 padding on both sides; an empty table gives an empty result; other columns are ignored, whatever their names; texts of any length are
@@ -20,12 +22,12 @@ cut into batches. Sums are added in the order of arrival, so scores are rounded
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, block_sums, checkpointed, list_array, raw_texts, text_key, text_slices
@@ -40,7 +42,9 @@ EMBED = 16
 HIDDEN = 32
 ROUNDS = 2
 #: Rows of a gradient step, and of a scoring batch.
-STEP, BATCH = 8192, 8192
+STEP, BATCH = 8192, 65536
+#: Rows whose logits are in memory at once.
+ROWS = 2048
 RATE = 0.16
 #: Tokens that a training task has at least, where the corpus allows.
 TASK_TOKENS = 2_000_000
@@ -48,6 +52,8 @@ TASK_TOKENS = 2_000_000
 LIMIT = np.float32(60)
 DIGITS = 6
 MEMO = 400_000
+#: Words after the model's whose corpus counts go to the tasks; those of all others are joined.
+KNOWN = 65_536
 #: Floats of the weights that travel together.
 BLOCK = 1024
 _SHAPES = ((SIZE + 1, EMBED), (2 * REACH * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, INNER), (CLASSES, INNER))
@@ -61,7 +67,7 @@ def word_hash(word: bytes) -> int:
 
 def buckets(hashes: np.ndarray) -> np.ndarray:
     """Ids of the buckets of word hashes."""
-    return TOP + hashes % REST
+    return TOP + (hashes & (REST - 1))  # REST is a power of two
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -87,16 +93,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame) -> tuple[dict[bytes, int], np.ndarray]:
+def _level() -> Column:
+    return F.floor(F.log2("n") * 16)
+
+
+def histogram(counts: DataFrame) -> list[Row]:
+    """(b, k): number of words k in each step b of the counts, 16 steps an octave, highest first."""
+    return sorted(counts.groupBy(_level().alias("b")).agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r.b)
+
+
+def vocabulary(counts: DataFrame, steps: list[Row] | None = None) -> tuple[dict[bytes, int], np.ndarray]:
     """Model words with ids by frequency (ties by word), and the occurrences of every id, from the whole word counts."""
-    # a histogram of the counts (16 steps an octave) finds where the top begins, so that tasks send little besides it
-    level = F.floor(F.log2("n") * 16)
+    # the histogram finds where the top begins, so that tasks send little besides it
     need, least = TOP, 0
-    for r in sorted(counts.groupBy(level.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r.b):
+    for r in histogram(counts) if steps is None else steps:
         least, need = r.b, need - r.k
         if need <= 0:
             break
-    rows = counts.filter(level >= least).orderBy(F.desc("n"), "word").limit(TOP).collect()
+    rows = counts.filter(_level() >= least).orderBy(F.desc("n"), "word").limit(TOP).collect()
     top = {bytes(r.word): i for i, r in enumerate(rows)}
     uses = np.zeros(SIZE, np.int64)
     uses[: len(rows)] = [r.n for r in rows]
@@ -108,12 +122,26 @@ def vocabulary(counts: DataFrame) -> tuple[dict[bytes, int], np.ndarray]:
     return top, uses
 
 
+def known_words(counts: DataFrame, steps: list[Row], top: dict[bytes, int]) -> dict[bytes, float]:
+    """Log corpus counts of the most frequent words outside the model: KNOWN at most, as whole steps of the histogram, so that ties stay together."""
+    room, least = TOP + KNOWN, None
+    for r in steps:
+        room -= r.k
+        if room < 0:
+            break
+        least = r.b
+    if least is None:
+        return {}
+    rows = counts.filter((_level() >= least) & (F.col("n") > 1)).select("word", F.log("n").alias("worth")).collect()
+    return {w: r.worth for r in rows if (w := bytes(r.word)) not in top}
+
+
 class Reader(dict):
-    """Texts to codes: the id of a word of the model, the hash of any other."""
+    """Texts to codes: the id of a word of the model, SIZE and more for the known words in their order, the hash of any other."""
 
-    def __init__(self, top: dict[bytes, int]) -> None:
-        super().__init__(top)
-        self.top = top
+    def __init__(self, top: dict[bytes, int], known: Iterable[bytes] = ()) -> None:
+        self.top = top | {w: SIZE + k for k, w in enumerate(known)}
+        super().__init__(self.top)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > MEMO:
@@ -166,72 +194,96 @@ def windows(ids: np.ndarray) -> np.ndarray:
     return np.stack([p[k : k + n] for k in range(2 * REACH + 1) if k != REACH], axis=1)
 
 
-def _forward(w: list[np.ndarray], ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hidden(w: list[np.ndarray], ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = np.take(w[0], ctx, axis=0).reshape(len(ctx), -1)  # many times faster than indexing by rows
     h = x @ w[1]
     h += w[2]
-    np.tanh(h, out=h)
-    return x, h, _clipped(h @ w[3], w[4])
+    return x, np.tanh(h, out=h)
+
+
+def _passes_limit(w: list[np.ndarray]) -> bool:
+    """Whether a logit can be larger than LIMIT at all, as hidden units lie between -1 and 1."""
+    return not max(float((np.abs(m).sum(axis=-2) + np.abs(b)).max()) for m, b in ((w[3], w[4]), (w[5], w[6]))) < LIMIT
 
 
-def _clipped(z: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    z += bias
-    return np.clip(z, -LIMIT, LIMIT, out=z)
+def _clipped(z: np.ndarray, clip: bool) -> np.ndarray:
+    return np.clip(z, -LIMIT, LIMIT, out=z) if clip else z
 
 
-def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Order of the rows by class, and (class, from, to)."""
-    c = target % CLASSES
-    order = np.argsort(c, kind="stable")
-    ends = np.searchsorted(c[order], np.arange(CLASSES + 1))
-    return order, [(k, int(ends[k]), int(ends[k + 1])) for k in range(CLASSES) if ends[k] < ends[k + 1]]
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, list[tuple[int, int, int]]]]]:
+    """Order of the rows by class, and blocks (from, to, parts) of it: small enough for a CPU's cache, with parts (class, from, to) from the block's begin."""
+    c = (target % CLASSES).astype(np.uint8)  # one byte: sorted in linear time
+    ends = np.concatenate([[0], np.cumsum(np.bincount(c, minlength=CLASSES))]).tolist()
+    blocks = []
+    for lo in range(0, len(target), ROWS):
+        hi = min(lo + ROWS, len(target))
+        cuts = [(k, max(ends[k], lo) - lo, min(ends[k + 1], hi) - lo) for k in range(CLASSES)]
+        blocks.append((lo, hi, [p for p in cuts if p[1] < p[2]]))
+    return np.argsort(c, kind="stable"), blocks
+
+
+def _logits(w: list[np.ndarray], h: np.ndarray, parts: list[tuple[int, int, int]], clip: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of the classes, and of the words in the class of each row."""
+    z, s = h @ w[3], np.empty((len(h), INNER), np.float32)
+    z += w[4]
+    for c, a, b in parts:
+        np.matmul(h[a:b], w[5][c], out=s[a:b])
+        s[a:b] += w[6][c]
+    return _clipped(z, clip), _clipped(s, clip)
 
 
 def log_probabilities(w: list[np.ndarray], ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log P(target | context) of each row."""
-    _, h, z = _forward(w, ctx)
-    n = len(target)
-    out = z[np.arange(n), target % CLASSES].astype(np.float64)
-    out -= np.log(np.exp(z, out=z) @ np.ones(CLASSES, np.float32))
-    order, groups = _by_class(target)
-    h, inner = np.take(h, order, axis=0), (target // CLASSES)[order]
-    part = np.empty(n)
-    for c, a, b in groups:
-        s = _clipped(h[a:b] @ w[5][c], w[6][c])
-        part[a:b] = s[np.arange(b - a), inner[a:b]]
-        part[a:b] -= np.log(np.exp(s, out=s) @ np.ones(INNER, np.float32))
-    out[order] += part
+    clip = _passes_limit(w)
+    order, blocks = _by_class(target)
+    ctx, target = np.take(ctx, order, axis=0), target[order]
+    out, part = np.empty(len(target)), np.empty(len(target))
+    for lo, hi, parts in blocks:
+        t = target[lo:hi]
+        logits = _logits(w, _hidden(w, ctx[lo:hi])[1], parts, clip)
+        own = [z.ravel()[np.arange(0, z.size, z.shape[1]) + at] for z, at in zip(logits, (t % CLASSES, t // CLASSES))]
+        part[lo:hi] = sum(x - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], np.float32)) for x, z in zip(own, logits))
+    out[order] = part
     return out
 
 
+def _errors(z: np.ndarray, at: np.ndarray, n: np.float32) -> None:
+    """Logits to gradients of the mean loss of n rows by them, in place."""
+    np.exp(z, out=z)
+    z *= (1 / n / (z @ np.ones(z.shape[1], np.float32)))[:, None]
+    z.ravel()[np.arange(0, z.size, z.shape[1]) + at] -= 1 / n
+
+
 def gradients(w: list[np.ndarray], ctx: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
     """Gradients of the mean negative log-likelihood of a batch, in the order of the weights."""
-    n = np.float32(len(target))
-    x, h, z = _forward(w, ctx)
-    np.exp(z, out=z)
-    z *= (1 / n / (z @ np.ones(CLASSES, np.float32)))[:, None]
-    z[np.arange(len(target)), target % CLASSES] -= 1 / n
-    order, groups = _by_class(target)
-    hs, inner = np.take(h, order, axis=0), (target // CLASSES)[order]
-    ds = np.empty_like(hs)
-    matrix, bias = np.zeros_like(w[5]), np.zeros_like(w[6])
-    for c, a, b in groups:
-        s = _clipped(hs[a:b] @ w[5][c], w[6][c])
-        np.exp(s, out=s)
-        s *= (1 / n / (s @ np.ones(INNER, np.float32)))[:, None]
-        s[np.arange(b - a), inner[a:b]] -= 1 / n
-        ds[a:b] = s @ w[5][c].T
-        matrix[c] = hs[a:b].T @ s
-        bias[c] = s.sum(axis=0)
-    dh = z @ w[3].T
-    back = np.empty_like(order)
-    back[order] = np.arange(len(order))
-    dh += np.take(ds, back, axis=0)
-    dp = dh * (1 - h * h)
-    dx = (dp @ w[1].T).reshape(-1, EMBED)
-    at = ctx.ravel()
-    words = np.stack([np.bincount(at, weights=dx[:, k], minlength=SIZE + 1) for k in range(EMBED)], axis=1).astype(np.float32)
-    return [words, x.T @ dp, dp.sum(axis=0), h.T @ z, z.sum(axis=0), matrix, bias]
+    n, clip = np.float32(len(target)), _passes_limit(w)
+    order, blocks = _by_class(target)
+    ctx, target = np.take(ctx, order, axis=0), target[order]
+    out = [np.zeros_like(x) for x in w]
+    # what each entry of the embeddings gets lies side by side
+    by_entry = w[1].reshape(2 * REACH, EMBED, HIDDEN).transpose(1, 0, 2).reshape(-1, HIDDEN)
+    dp = np.empty((len(target), HIDDEN), np.float32)
+    for lo, hi, parts in blocks:
+        t, ones = target[lo:hi], np.ones(hi - lo, np.float32)
+        x, h = _hidden(w, ctx[lo:hi])
+        z, s = _logits(w, h, parts, clip)
+        _errors(z, t % CLASSES, n)
+        _errors(s, t // CLASSES, n)
+        dh = np.matmul(z, w[3].T, out=dp[lo:hi])
+        for c, a, b in parts:
+            dh[a:b] += s[a:b] @ w[5][c].T
+            out[5][c] += h[a:b].T @ s[a:b]
+            out[6][c] += ones[: b - a] @ s[a:b]
+        out[3] += h.T @ z
+        out[4] += ones @ z
+        np.multiply(h, h, out=h)
+        dh *= np.subtract(1, h, out=h)
+        out[1] += x.T @ dh
+        out[2] += ones @ dh
+    at = ctx.T.astype(np.intp).ravel()
+    for k, d in enumerate((by_entry @ dp.T).reshape(EMBED, -1)):
+        out[0][:, k] = np.bincount(at, weights=d, minlength=SIZE + 1)
+    return out
 
 
 def step(w: list[np.ndarray], past: list[np.ndarray], ctx: np.ndarray, target: np.ndarray, rate: float) -> None:
@@ -248,11 +300,15 @@ def _source(docs: DataFrame) -> DataFrame:
     return src.withColumn("row_key", F.xxhash64("doc_id", "th"))
 
 
-def sequences(docs: DataFrame, top: dict[bytes, int]) -> DataFrame:
-    """(doc_id, th, row_key, ids, rare): every text as 16-bit ids in a binary column, and the hashes of its words outside the model."""
+def sequences(docs: DataFrame, top: dict[bytes, int], known: dict[bytes, float] | None = None) -> DataFrame:
+    """(doc_id, th, row_key, ids, known, rare): every text as 16-bit ids in a binary column, the sum of log corpus count over its known
+    words, and the hashes of its words that are neither known nor of the model."""
+    known = known or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(top)
+        reader = Reader(top, known)
+        own_bucket = buckets(np.array([word_hash(w) for w in known], np.int64))
+        own_worth = np.array(list(known.values()), float)
         for b in batches:
             col = b.column("text")
             for lo, hi in text_slices(col):
@@ -260,19 +316,23 @@ def sequences(docs: DataFrame, top: dict[bytes, int]) -> DataFrame:
                 n = np.array([len(c) for c in codes])
                 flat = np.concatenate(codes)
                 other = (flat < 0) | (flat >= TOP)
-                ids = np.where(other, buckets(flat), flat).astype(np.uint16).tobytes()
+                ids = np.where(other, buckets(flat), flat).astype(np.uint16)
+                met = np.flatnonzero((flat >= SIZE) & (flat < SIZE + len(known)))
+                which = flat[met] - SIZE
+                ids[met], other[met] = own_bucket[which], False
+                worth = np.bincount(np.repeat(np.arange(len(n)), n)[met], weights=own_worth[which], minlength=len(n))
+                ids = ids.tobytes()
                 ends = np.concatenate([[0], np.cumsum(n)])
                 rare = np.concatenate([[0], np.cumsum(other)])[ends]
                 own = [ids[2 * x : 2 * y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                cols = [*(b.column(c).slice(lo, hi - lo) for c in ("doc_id", "th", "row_key")), pa.array(own, pa.binary()), list_array(flat[other], np.diff(rare), pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "row_key", "ids", "rare"])
+                cols = [*(b.column(c).slice(lo, hi - lo) for c in ("doc_id", "th", "row_key")), pa.array(own, pa.binary()), pa.array(worth.astype(float)), list_array(flat[other], np.diff(rare), pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "row_key", "ids", "known", "rare"])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), F.col("text").cast("string").alias("text"))
-    return src.withColumn("row_key", F.xxhash64("doc_id", "th")).mapInArrow(run, "doc_id long, th long, row_key long, ids binary, rare array<long>")
+    return _source(docs).mapInArrow(run, "doc_id long, th long, row_key long, ids binary, known double, rare array<long>")
 
 
 def rare_sums(coded: DataFrame, counts: DataFrame) -> DataFrame:
-    """(row_key, worth): for every text the sum of log corpus count over its words outside the model."""
+    """(row_key, worth): for every text the sum of log corpus count over its rare words."""
     places = coded.select("row_key", F.explode("rare").alias("word"))
     worth = counts.filter("n > 1").select(F.xxhash64("word").alias("word"), F.log("n").alias("worth"))
     met = places.join(worth, "word").select("row_key", "worth", F.lit(0).alias("copies"))
@@ -374,8 +434,9 @@ def _groups(n: list[int], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
 def scored(docs: DataFrame) -> DataFrame:
     """(doc_id, th, n_tokens, sum_logprob, mean_logprob) of every document by a model of all documents."""
     counts = checkpointed(word_counts(docs))
-    top, uses = vocabulary(counts)
-    coded = checkpointed(sequences(docs, top))
+    steps = histogram(counts)
+    top, uses = vocabulary(counts, steps)
+    coded = checkpointed(sequences(docs, top, known_words(counts, steps, top)))
     weights = train(coded, uses)
     share = np.concatenate([np.zeros(TOP), np.log(np.maximum(1, uses[TOP:]))])
 
@@ -388,10 +449,10 @@ def scored(docs: DataFrame) -> DataFrame:
                 seqs = read_ids(part.column("ids"))
                 one = hi - lo == 1 and n[0] > BATCH  # a very long text: its contexts are made batch by batch
                 sums = np.array([score_text(seqs[0], weights, share)]) if one else _score_slice(seqs, weights, share)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "th", "row_key")), pa.array(n), pa.array(sums)], ["doc_id", "th", "row_key", "n_tokens", "net"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "th", "row_key", "known")), pa.array(n), pa.array(sums)], ["doc_id", "th", "row_key", "known", "n_tokens", "net"])
 
-    net = coded.mapInArrow(run, "doc_id long, th long, row_key long, n_tokens int, net double")
-    whole = F.col("net") + F.coalesce("worth", F.lit(0.0))
+    net = coded.mapInArrow(run, "doc_id long, th long, row_key long, known double, n_tokens int, net double")
+    whole = F.col("net") + F.col("known") + F.coalesce("worth", F.lit(0.0))
     met = net.join(rare_sums(coded, counts), "row_key", "left")
     mean = F.when(F.col("n_tokens") > 0, F.round(whole / F.col("n_tokens"), DIGITS))
     return met.select("doc_id", "th", "n_tokens", F.round(whole, DIGITS).alias("sum_logprob"), mean.alias("mean_logprob"))

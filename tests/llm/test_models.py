@@ -244,6 +244,62 @@ def test_lm_whole_table(spark):
     assert lm.scored(docs.limit(0)).count() == 0
 
 
+def test_lm_blocks_and_limit(monkeypatch):
+    """Results don't depend on how many rows are multiplied at once, and logits past the limit are cut as one by one."""
+    rng = np.random.default_rng(4)
+    w = lm.start(rng.integers(0, 50, lm.SIZE))
+    ctx, t = rng.integers(0, lm.SIZE + 1, (5000, 4)).astype(np.int32), (lm.SIZE * rng.random(5000) ** 3).astype(np.int32)
+    for factor in (1, 40):
+        v = [x * np.float32(factor) for x in w]
+        h = np.tanh(v[0][ctx].reshape(5000, -1) @ v[1] + v[2]).astype(np.float64)
+        z = np.clip(h @ v[3] + v[4], -60, 60)
+        s = np.clip(np.einsum("nh,nhk->nk", h, v[5][t % lm.CLASSES]) + v[6][t % lm.CLASSES], -60, 60)
+        n = np.arange(5000)
+        want = z[n, t % lm.CLASSES] - np.log(np.exp(z).sum(axis=1)) + s[n, t // lm.CLASSES] - np.log(np.exp(s).sum(axis=1))
+        assert np.allclose(lm.log_probabilities(v, ctx, t), want, atol=1e-3)
+        whole = lm.gradients(v, ctx, t)
+        monkeypatch.setattr(lm, "ROWS", 300)
+        assert np.allclose(lm.log_probabilities(v, ctx, t), want, atol=1e-3)
+        shares = [[x * np.float32(len(t[a:b]) / 5000) for x in lm.gradients(v, ctx[a:b], t[a:b])] for a, b in ((0, 1), (1, 1700), (1700, 5000))]
+        monkeypatch.undo()
+        for g, *parts in zip(whole, *shares):
+            assert np.allclose(g, sum(parts), atol=1e-4 * np.abs(g).max())
+    # a long text in batches
+    ids, share = np.tile(np.arange(300, dtype=np.int32), 100), np.zeros(lm.SIZE)
+    whole = lm.score_text(ids, w, share)
+    monkeypatch.setattr(lm, "BATCH", 4096)
+    assert lm.score_text(ids, w, share) == pytest.approx(whole, rel=1e-6)
+
+
+def test_lm_known_words(spark, monkeypatch):
+    """Counts that tasks know need no join, and give the scores that joined counts give."""
+    docs, _ = frames(spark, "sf0.001")
+    counts = lm.word_counts(docs).cache()
+    steps = lm.histogram(counts)
+    top, uses = lm.vocabulary(counts, steps)
+    n = {bytes(r.word): r.n for r in counts.collect()}
+    monkeypatch.setattr(lm, "KNOWN", 6000)
+    known = lm.known_words(counts, steps, top)
+    # whole steps of counts, the highest ones
+    assert 0 < len(known) <= 6000 and not known.keys() & top.keys()
+    assert min(n[w] for w in known) > max((k for w, k in n.items() if w not in top and w not in known), default=0)
+    assert all(x == pytest.approx(np.log(n[w])) for w, x in known.items())
+    plain, told = (lm.sequences(docs, top, k).orderBy("doc_id", "th").collect() for k in (None, known))
+    hashes = {lm.word_hash(w): x for w, x in known.items()}
+    met = 0
+    for a, b in zip(plain, told, strict=True):
+        assert a.ids == b.ids and a.known == 0 and b.rare == [h for h in a.rare if h not in hashes]
+        assert b.known == pytest.approx(sum(hashes.get(h, 0) for h in a.rare))
+        met += len(a.rare) - len(b.rare)
+    assert met == sum(n[w] for w in known)
+    weights = lm.train(lm.sequences(docs, top), uses)
+    monkeypatch.setattr(lm, "train", lambda coded, uses: weights)
+    some = lm.scored(docs).orderBy("doc_id", "th").collect()
+    monkeypatch.setattr(lm, "KNOWN", 0)
+    none = lm.scored(docs).orderBy("doc_id", "th").collect()
+    assert [r.sum_logprob for r in some] == pytest.approx([r.sum_logprob for r in none], rel=1e-9, abs=2e-6)
+
+
 @pytest.mark.parametrize("walks, nats, above", [(4, 0.55, 0.9), (32, 0.25, 0.8)])
 def test_lm_learns(spark, monkeypatch, walks, nats, above):
     """As many walks as named really run and are averaged: 4 of a million tokens, 32 of 125,000 (which teach less; the operator's own have two million or more)."""
