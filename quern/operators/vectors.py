@@ -24,26 +24,26 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 60, floor: float | No
     return rows.orderBy(F.desc("similarity"), id_col).limit(k)
 
 
-#: About as many rows of a part and queries of a block, queries multiplied at once, and entries of the first product.
-ROWS, ASKS, BATCH, HEAD = 1 << 16, 1 << 14, 128, 16
+#: Most rows of a part and queries of a block, queries multiplied at once, and rows multiplied at once: few at first, until a query has its first best.
+ROWS, ASKS, BATCH, CHUNKS = 1 << 22, 1 << 15, 512, (256, 1024, 4096)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 60, floor: float | None = 0.2, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, id, similarity): for each row (query_id, query_vector) of a table of queries the k nearest vectors by cosine (six digits) at or above the floor, ties by id.
 
-    Vectors lie in parts of ``ROWS`` and queries in blocks of ``ASKS``. A task meets one part with one block, so what it sorts and holds is the same however
-    many rows and queries there are. The first ``HEAD`` entries are multiplied for all
-    rows, and the lengths of the rests bound what the others can add: only rows that may still reach the floor, or a query's k-th best
-    so far, are multiplied whole. Each part returns k rows a query at most, and only those are ranked. Null, empty, zero and ragged vectors
-    (another length than the query) match nothing."""
+    Vectors lie in parts and queries in blocks of ``ASKS`` at most. A task holds one block with its queries' best so far, and the rows of one part stream by, so
+    what it holds is the same however many rows there are. Only a few queries need several parts to keep all cores busy. Products of single floats, with a bound
+    on their error, find the rows that may reach the floor and a query's k-th best so far; only those are multiplied in full. Where there are more parts, each
+    returns k rows a query at most, and only those are ranked. Null, empty, zero and ragged vectors (another length than the query) match nothing."""
     spark = vectors.sparkSession
     # single floats travel as they are and become double in the tasks
     single = all(df.schema[c].dataType.simpleString() == "array<float>" for df, c in ((vectors, vector), (queries, "query_vector")))
     kind = "array<float>" if single else "array<double>"
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast(kind).alias("v")).filter("v is not null and id is not null")
     asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col("query_vector").cast(kind).alias("v")).filter("v is not null")
-    n, blocks = src.count(), max(-(-asked.count() // ASKS), 1)
-    parts = max(-(-n // ROWS), min(-(-2 * spark.sparkContext.defaultParallelism // blocks), -(-n // 1024)), 1)
+    n, m, busy = src.count(), asked.count(), 2 * spark.sparkContext.defaultParallelism
+    blocks = max(-(-m // ASKS), min(busy, -(-m // 1024)), 1)
+    parts = max(-(-n // ROWS), min(-(-busy // blocks), -(-n // 1024)), 1)
     own = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     rows = src.select("id", "v", own(parts).alias("part"), every(blocks).alias("block"), F.lit(False).alias("ask"))
@@ -54,61 +54,95 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 60, floor: float |
         import numpy as np
         import pyarrow as pa
 
-        def unit(col):
-            """{length: (row places, unit vectors)}"""
+        def read(ids, col):
+            """{length: (ids, vectors, their lengths in space, single unit vectors)}"""
             at, flat, out = col.offsets.to_numpy(), col.values, {}
             bad = np.concatenate([[0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))])
             values, sizes = flat.fill_null(0).to_numpy(zero_copy_only=False), np.diff(at)
             sizes[bad[at[1:]] > bad[at[:-1]]] = 0
             for d in set(sizes.tolist()) - {0}:
                 of = np.flatnonzero(sizes == d)
-                m = values[at[of][:, None] + np.arange(d)].astype(np.float64)
-                size = np.sqrt((m * m).sum(axis=1))
+                v = values[at[of][:, None] + np.arange(d)].astype(np.float64)
+                size = np.sqrt((v * v).sum(axis=1))
                 good = np.isfinite(size) & (size > 0)
-                out[d] = (of[good], m[good] / size[good, None])
+                out[d] = (ids[of][good], v[good], size[good], (v[good] / size[good, None]).astype(np.float32))
             return out
 
-        def best(qids, q, ids, y):
-            found = []
-            q_rest, y_rest = (np.sqrt((m[:, HEAD:] ** 2).sum(axis=1)) for m in (q, y))
-            for lo in range(0, len(q), BATCH):
-                a, ra = q[lo : lo + BATCH], q_rest[lo : lo + BATCH]
-                bound = a[:, :HEAD] @ y[:, :HEAD].T + ra[:, None] * y_rest[None, :] + 1e-6
-                at = np.flatnonzero((bound >= least).any(axis=0))
+        # one piece of memory for all products: to get and return it each time would cost more than they do
+        products, reaches = np.empty(BATCH * CHUNKS[-1], np.float32), np.empty(BATCH * CHUNKS[-1], bool)
+
+        class Best:
+            """The best rows so far of the queries of one length."""
+
+            def __init__(self, asks):
+                self.ids, self.v, self.size, self.unit = (np.concatenate(x) for x in zip(*asks))
+                self.found, self.near = np.zeros((len(self.ids), k), np.int64), np.full((len(self.ids), k), -np.inf)
+                self.slack, self.seen = 1e-6 + 2.0**-23 * (self.v.shape[1] + 4), 0
+
+            def meet(self, ids, v, size, unit):
+                lo = 0
+                while lo < len(ids):
+                    hi = lo + next((c for c in CHUNKS if self.seen < 4 * c), CHUNKS[-1])
+                    for a in range(0, len(self.ids), BATCH):
+                        self.take(slice(a, a + BATCH), ids[lo:hi], v[lo:hi], size[lo:hi], unit[lo:hi])
+                    self.seen, lo = self.seen + hi - lo, hi
+
+            def take(self, some, ids, v, size, unit):
+                near, found = self.near[some], self.found[some]
+                bar = (np.maximum(near[:, -1], least) - self.slack).astype(np.float32)
+                shape = len(near), len(ids)
+                product, reach = (x[: shape[0] * shape[1]].reshape(shape) for x in (products, reaches))
+                np.matmul(self.unit[some], unit.T, out=product)
+                at = np.flatnonzero(np.greater_equal(product, np.nextafter(bar, np.float32(-np.inf))[:, None], out=reach))
                 if not len(at):
-                    continue
-                s = np.round(a @ y[at].T, 6)
-                for i in range(len(a)):
-                    own = s[i]
-                    ok = np.flatnonzero(own >= least)
-                    if len(ok) > k:
-                        ok = ok[own[ok] >= np.partition(own[ok], -k)[-k]]
-                    ok = ok[np.lexsort((ids[at[ok]], -own[ok]))[:k]]
-                    found.append((np.full(len(ok), qids[lo + i]), ids[at[ok]], own[ok]))
-            return found
-
-        held, ready, part = [], {}, None
+                    return
+                q, r = np.divmod(at, len(ids))
+                s = np.round(np.einsum("ij,ij->i", self.v[some][q], v[r]) / (self.size[some][q] * size[r]), 6)
+                ok = s >= np.maximum(near[q, -1], least)
+                if not ok.any():
+                    return
+                q, s, r = q[ok], s[ok], ids[r[ok]]
+                old = np.unique(q)
+                q, s, r = np.concatenate([q, np.repeat(old, k)]), np.concatenate([s, near[old].ravel()]), np.concatenate([r, found[old].ravel()])
+                order = np.lexsort((r, -s, q))
+                q, s, r = q[order], s[order], r[order]
+                first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+                place = np.arange(len(q)) - np.repeat(first, np.diff([*first, len(q)]))
+                q, s, r, place = (x[place < k] for x in (q, s, r, place))
+                near[q, place], found[q, place] = s, r  # views: a query of the piece has k places, old ones among them
+
+            def rows(self):
+                q, place = np.nonzero(self.near > -np.inf)
+                return self.ids[q], self.found[q, place], self.near[q, place]
+
+        def result(best):
+            for b in best.values():
+                cols = b.rows()
+                for lo in range(0, len(cols[0]), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + (1 << 16)]) for c in cols], ["query_id", "id", "similarity"])
+
+        asks, best, task = {}, {}, None
         for b in batches:
-            where, asks = b.column("part").to_numpy() * blocks + b.column("block").to_numpy(), b.column("ask").to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero((where[1:] != where[:-1]) | (asks[1:] != asks[:-1])) + 1
+            where, ask = b.column("part").to_numpy() * blocks + b.column("block").to_numpy(), b.column("ask").to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((where[1:] != where[:-1]) | (ask[1:] != ask[:-1])) + 1
             for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(where)]):
                 if lo == hi:
                     continue
-                if where[lo] != part:
-                    held, ready, part = [], {}, where[lo]
-                ids, units = b.column("id").slice(lo, hi - lo).to_numpy(), unit(b.column("v").slice(lo, hi - lo))
-                if not asks[lo]:
-                    held.append((ids, units))
-                    continue
-                if held:
-                    for d in {d for _, u in held for d in u}:
-                        some = [(i[u[d][0]], u[d][1]) for i, u in held if d in u]
-                        ready[d] = (np.concatenate([x for x, _ in some]), np.concatenate([x for _, x in some]))
-                    held = []
-                found = [f for d, (at, q) in units.items() if d in ready for f in best(ids[at], q, *ready[d])]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", "id", "similarity"])
-
-    met = rows.union(asked).repartition(parts * blocks, "part", "block").sortWithinPartitions("part", "block", "ask").mapInArrow(run, "query_id long, id long, similarity double")
+                if where[lo] != task:
+                    yield from result(best)
+                    asks, best, task = {}, {}, where[lo]
+                for d, x in read(b.column("id").slice(lo, hi - lo).to_numpy(), b.column("v").slice(lo, hi - lo)).items():
+                    if ask[lo]:
+                        asks.setdefault(d, []).append(x)
+                    elif d in asks or d in best:
+                        if d in asks:
+                            best[d] = Best(asks.pop(d))
+                        best[d].meet(*x)
+        yield from result(best)
+
+    # four times the tasks: fewer blocks then share a task by chance
+    met = rows.union(asked).repartition(4 * parts * blocks, "part", "block").sortWithinPartitions("part", "block", F.desc("ask")).mapInArrow(run, "query_id long, id long, similarity double")
+    if parts == 1:
+        return met
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return met.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")

@@ -70,3 +70,64 @@ def test_sections_of_two_queries(spark):
     cut = g.sections(hits, "local", (9, 3, 3)).filter("query_id = 7").collect()
     assert sorted(r.line for r in cut) == ["1,5.0", "a,one,2", "a,x,3.0,4"]
     assert g.sections(hits.filter(F.lit(False)), "global", (9, 9, 9)).count() == 0
+
+
+def test_all_queries_against_all_rows_need_no_ranking(spark):
+    """Before, each part returned its best of every query, and these were shuffled and ranked."""
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(9000, 6)), 1)
+    v[5000:] = v[:4000]  # ties by id, far beyond the first rows
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<float>").repartition(3).cache()
+    found = vectors.nearest(df.toDF("query_id", "query_vector"), df, 4, 0.9)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.filter("query_id % 90 = 7").collect():
+        got.setdefault(r.query_id, []).append((-r.similarity, r.id))
+    v = v.astype(np.float32).astype(np.float64)
+    size = np.sqrt((v * v).sum(axis=1))
+    for i in range(7, 9000, 90):
+        s = np.round(v @ v[i] / np.maximum(size * size[i], 1e-300), 6)
+        want = [int(j) for j in np.lexsort((np.arange(9000), -s))[:4] if s[j] >= 0.9] if size[i] else []
+        assert [j for _, j in sorted(got.get(i, []))] == want
+
+
+@pytest.mark.parametrize("batch", [1, 3, 10000])
+def test_places_within_the_budget(spark, batch):
+    rows = [(q, [(7 * q + 5 * h + 3 * e) % 50 for e in range(h + 1)]) for q in range(12) for h in range(q % 5)] + [(40, []), (41, [3]), (41, [3, 9])]
+    count = lambda p: p % 4 + 1
+    df = spark.createDataFrame([(q, p, [count(x) for x in p]) for q, p in rows], "query_id long, places array<long>, counts array<long>")
+    want = set()
+    for q in {q for q, _ in rows}:
+        running = 0
+        for p in sorted({x for o, ps in rows if o == q for x in ps}):
+            running += count(p)
+            if running <= 9:
+                want.add((q, p, count(p), running))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = [tuple(r) for r in contexts.fitting_places(df, 9, 1).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("sent", [1 << 21, 0])
+def test_edges_of_mentions_only_at_hits(spark, monkeypatch, sent):
+    """Before, the edges of all mentions were added up and stored; ids may be numbers now."""
+    monkeypatch.setattr(contexts, "SENT", sent)
+    mentions = [(1, 2, 3, 5.0), (2, 2, 3, 1.0), (2, 2, 5, 2.0), (3, 4, 3, 4.0), (4, 6, 7, 9.0), (4, 6, 3, 1.0), (5, 3, 3, 8.0)]
+    m = spark.createDataFrame(mentions, "chunk long, src long, tgt long, quantity double")
+    nodes = spark.createDataFrame([(2, "one"), (3, "end"), (6, "off")], "id long, name string")
+    hits = spark.createDataFrame([(8, 2, 0.9), (9, 3, 0.5), (9, 2, 0.4)], "query_id long, id long, similarity double")
+    name = lambda c: F.concat(F.lit("n"), F.col(c))
+    g = contexts.Graph(None, nodes, m, name)
+    named = m.select("chunk", name("src").alias("src"), name("tgt").alias("tgt"), "quantity")
+    edges = named.groupBy("src", "tgt").agg(F.sum("quantity").alias("weight"))
+    old = contexts.Graph(edges, nodes.select(name("id").alias("id"), "name"), named)
+    other = hits.select("query_id", name("id").alias("id"), "similarity")
+    assert sorted(tuple(r) for r in g.near(hits, "global").collect()) == [(2, 3, 6.0, 7), (2, 5, 2.0, 3), (3, 3, 8.0, 10)]
+    for mode in ("local", "global"):
+        got = sorted(tuple(r) for r in g.sections(hits, mode, (14, 9, 6)).collect())
+        assert got and got == sorted(tuple(r) for r in old.sections(other, mode, (14, 9, 6)).collect())
+    assert sorted(map(tuple, g.both(hits).collect())) == sorted(map(tuple, old.both(other).collect()))
+    assert {r.line for r in g.sections(hits, "local", (99, 99, 99)).filter("section = 'relations' and query_id = 9").collect()} == {"n2,n3,6.0,7", "n2,n5,2.0,3", "n3,n3,8.0,10", "n4,n3,4.0,6", "n6,n3,1.0,7"}
