@@ -44,9 +44,9 @@ def among(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
     return rows.join(F.broadcast(named) if ids.count() <= SENT else named.hint("shuffle_hash"), col, "left_semi")
 
 
-def fitting_places(rows: DataFrame, budget: int, n: int) -> DataFrame:
+def fitting_places(rows: DataFrame, budget: int, n: int, once: bool = True) -> DataFrame:
     """(query_id, pos, tokens, running) of rows (query_id, places, counts), about n, the parallel arrays of the places that a hit of the query offers and of their tokens:
-    each query's places, each once, in order while the running sum of tokens stays within the budget."""
+    each query's places, each once where this is asked, in order while the running sum of tokens stays within the budget."""
 
     def run(batches):
         import numpy as np
@@ -57,8 +57,9 @@ def fitting_places(rows: DataFrame, budget: int, n: int) -> DataFrame:
             pos, tokens = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
             order = np.lexsort((pos, queries))
             queries, pos, tokens = queries[order], pos[order], tokens[order]
-            once = np.concatenate([[True], (queries[1:] != queries[:-1]) | (pos[1:] != pos[:-1])])[: len(pos)]
-            queries, pos, tokens = queries[once], pos[once], tokens[once]
+            if once:
+                new = np.concatenate([[True], (queries[1:] != queries[:-1]) | (pos[1:] != pos[:-1])])[: len(pos)]
+                queries, pos, tokens = queries[new], pos[new], tokens[new]
             total = np.cumsum(tokens)
             first = np.flatnonzero(np.concatenate([[True], queries[1:] != queries[:-1]])[: len(pos)])
             running = total - np.repeat(total[first] - tokens[first], np.diff([*first, len(pos)]))
@@ -143,11 +144,9 @@ class Graph:
         if mode == "local":
             entities = hits.select("query_id", "id", (-F.col("similarity")).alias("at")).join(self.nodes, "id").join(around.degree, "id")
         else:
-            # lines of entities belong to the ends as well, so nodes and degrees meet the edges before the queries do
-            ends = around.placed.select("pos", F.explode(F.array_distinct(F.array("src", "tgt"))).alias("id"))
-            known = ends.join(self.nodes, "id").join(around.degree, "id").select("pos", "id", "name", "degree", (-F.col("degree")).cast("double").alias("at"))
-            entities = kept.select("query_id", "pos").join(known, "pos").drop("pos")
-            entities = by_query(entities, 2 * n).dropDuplicates(["query_id", "id"])
+            known = self.nodes.join(around.degree, "id").withColumn("at", (-F.col("degree")).cast("double"))
+            ends = around.placed.select("pos", F.explode(F.array_distinct(F.array("src", "tgt"))).alias("id")).join(known, "id", "left_semi")
+            entities = by_query(kept.join(ends, "pos").select("query_id", "id"), n).distinct().join(known, "id")
         entities = entities.withColumn("_id", label("id"))
         entities = fitting(entities.withColumn("line", F.concat_ws(",", "_id", "name", "degree")), "line", [F.col("at"), F.col("_id")], budgets[1], tokens)
         named = by_query(around.named.join(kept.select("query_id", "pos", F.col("running").alias("at")), "pos").drop("pos"), n)
@@ -186,4 +185,4 @@ class Around:
         best = ends.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("pos"))).filter(F.col("_r") <= budget)
         counted = best.select("id", F.struct("pos", F.greatest(tokens("line").cast("long"), F.lit(1).cast("long")).alias("tokens")).alias("_e"))
         lists = counted.groupBy("id").agg(F.collect_list("_e").alias("_e")).select("id", F.col("_e.pos").alias("places"), F.col("_e.tokens").alias("counts"))
-        return checkpointed(fitting_places(hits.select("query_id", "id").join(lists, "id"), budget, hits.count()))
+        return checkpointed(fitting_places(hits.select("query_id", "id").join(lists, "id"), budget, hits.count(), mode == "local"))

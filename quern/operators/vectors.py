@@ -116,10 +116,18 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 60, floor: float |
                 return self.ids[q], self.found[q, place], self.near[q, place]
 
         def result(best):
-            for b in best.values():
-                cols = b.rows()
-                for lo in range(0, len(cols[0]), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + (1 << 16)]) for c in cols], ["query_id", "id", "similarity"])
+            if not best:
+                return
+            q, r, near = (np.concatenate(x) for x in zip(*(b.rows() for b in best.values())))
+            asked = np.concatenate([b.ids for b in best.values()])
+            if len(np.unique(asked)) < len(asked):  # several vectors of one query share its places
+                order = np.lexsort((r, -near, q))
+                q, r, near = q[order], r[order], near[order]
+                first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])[: len(q)])
+                kept = np.arange(len(q)) - np.repeat(first, np.diff([*first, len(q)])) < k
+                q, r, near = q[kept], r[kept], near[kept]
+            for lo in range(0, len(q), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + (1 << 16)]) for c in (q, r, near)], ["query_id", "id", "similarity"])
 
         asks, best, task = {}, {}, None
         for b in batches:

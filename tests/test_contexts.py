@@ -131,3 +131,22 @@ def test_edges_of_mentions_only_at_hits(spark, monkeypatch, sent):
         assert got and got == sorted(tuple(r) for r in old.sections(other, mode, (14, 9, 6)).collect())
     assert sorted(map(tuple, g.both(hits).collect())) == sorted(map(tuple, old.both(other).collect()))
     assert {r.line for r in g.sections(hits, "local", (99, 99, 99)).filter("section = 'relations' and query_id = 9").collect()} == {"n2,n3,6.0,7", "n2,n5,2.0,3", "n3,n3,8.0,10", "n4,n3,4.0,6", "n6,n3,1.0,7"}
+
+
+def test_vectors_of_one_query_share_its_places(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.9, 0.1]), (3, [0.1, 0.8]), (4, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = vectors.nearest(df.toDF("query_id", "query_vector").filter("query_id < 3"), df, 3)
+    got = sorted((r.query_id, -r.similarity, r.id) for r in found.collect())
+    assert [(q, i) for q, _, i in got] == [(1, 1), (1, 1), (1, 4), (2, 2), (2, 1), (2, 3)]
+
+
+def test_repeated_hits_and_nodes_count_as_often_as_sql_joins_them(spark):
+    m = spark.createDataFrame([(1, 2, 3, 5.0), (2, 2, 5, 1.0)], "chunk long, src long, tgt long, quantity double")
+    nodes = spark.createDataFrame([(2, "one"), (2, "one")], "id long, name string")
+    hits = spark.createDataFrame([(8, 2, 0.9), (8, 2, 0.9)], "query_id long, id long, similarity double")
+    g = contexts.Graph(None, nodes, m)
+    lines = lambda mode: sorted((r.section, r.line, r.running) for r in g.sections(hits, mode, (99, 99, 99)).collect())
+    assert [x for x in lines("global") if x[0] == "relations"] == [("relations", "2,3,5.0,3", 5), ("relations", "2,3,5.0,3", 10), ("relations", "2,5,1.0,3", 15), ("relations", "2,5,1.0,3", 20)]
+    assert [x for x in lines("global") if x[0] != "relations"] == [("entities", "2,one,2", 3), ("entities", "2,one,2", 6), ("sources", "1,10.0", 3), ("sources", "2,2.0", 6)]
+    assert [x for x in lines("local") if x[0] == "relations"] == [("relations", "2,3,5.0,3", 5), ("relations", "2,5,1.0,3", 10)]
