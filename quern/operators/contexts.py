@@ -157,10 +157,11 @@ class Graph:
 
     def both(self, hits: DataFrame, local: tuple[int, int, int] = LOCAL, over: tuple[int, int, int] = GLOBAL, tokens: Callable[[str], Column] = words) -> DataFrame:
         """(query_id, section, place, line, tokens): both contexts merged section by section, each line once, the local ones first, in their order."""
+        local_most = max(local)  # a number, not a pair of mode and number, can be kept in a hash table
         around = self.around(hits, "local")  # holds the edges of the global mode as well
-        a = self.sections(hits, "local", local, tokens, around).withColumn("at", F.struct(F.lit(0), "running"))
-        b = self.sections(hits, "global", over, tokens, around).withColumn("at", F.struct(F.lit(1), "running"))
-        one = a.union(b).groupBy("query_id", "section", "line").agg(F.min("at").alias("at"), F.min("tokens").alias("tokens"))
+        a = self.sections(hits, "local", local, tokens, around).withColumn("at", F.col("running"))
+        b = self.sections(hits, "global", over, tokens, around).withColumn("at", F.col("running") + local_most)
+        one = a.union(b).repartition("query_id").groupBy("query_id", "section", "line").agg(F.min("at").alias("at"), F.min("tokens").alias("tokens"))
         return one.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "section").orderBy("at"))).select("query_id", "section", "place", "line", "tokens")
 
 

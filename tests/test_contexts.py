@@ -150,3 +150,13 @@ def test_repeated_hits_and_nodes_count_as_often_as_sql_joins_them(spark):
     assert [x for x in lines("global") if x[0] == "relations"] == [("relations", "2,3,5.0,3", 5), ("relations", "2,3,5.0,3", 10), ("relations", "2,5,1.0,3", 15), ("relations", "2,5,1.0,3", 20)]
     assert [x for x in lines("global") if x[0] != "relations"] == [("entities", "2,one,2", 3), ("entities", "2,one,2", 6), ("sources", "1,10.0", 3), ("sources", "2,2.0", 6)]
     assert [x for x in lines("local") if x[0] == "relations"] == [("relations", "2,3,5.0,3", 5), ("relations", "2,5,1.0,3", 10)]
+
+
+def test_merged_contexts_are_not_sorted_to_be_grouped(spark):
+    m = spark.createDataFrame([(1, 2, 3, 5.0), (2, 2, 5, 1.0)], "chunk long, src long, tgt long, quantity double")
+    hits = spark.createDataFrame([(8, 2, 0.9), (9, 2, 0.9)], "query_id long, id long, similarity double")
+    g = contexts.Graph(None, spark.createDataFrame([(2, "one")], "id long, name string"), m)
+    merged = g.both(hits)
+    assert "SortAggregate" not in merged._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.query_id, r.section, r.place, r.line) for r in merged.collect())
+    assert got[:5] == [(8, "entities", 1, "2,one,2"), (8, "relations", 1, "2,3,5.0,3"), (8, "relations", 2, "2,5,1.0,3"), (8, "sources", 1, "1,5.0"), (8, "sources", 2, "2,1.0")]
