@@ -161,7 +161,7 @@ class Graph:
         around = self.around(hits, "local")  # holds the edges of the global mode as well
         a = self.sections(hits, "local", local, tokens, around).withColumn("at", F.col("running"))
         b = self.sections(hits, "global", over, tokens, around).withColumn("at", F.col("running") + local_most)
-        one = a.union(b).repartition("query_id").groupBy("query_id", "section", "line").agg(F.min("at").alias("at"), F.min("tokens").alias("tokens"))
+        one = by_query(a.union(b), 8 * hits.count()).groupBy("query_id", "section", "line").agg(F.min("at").alias("at"), F.min("tokens").alias("tokens"))
         return one.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "section").orderBy("at"))).select("query_id", "section", "place", "line", "tokens")
 
 
